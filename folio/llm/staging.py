@@ -1,0 +1,45 @@
+"""Tables that cut lineage, written to the folder shared by driver and executors."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a private one only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        root = "file://" + tempfile.mkdtemp(prefix="folio-")
+    else:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_folio_scratch"
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, removed when the driver ends."""
+    path = f"{scratch_root(spark)}/folio-{uuid.uuid4().hex}/{name}"
+    atexit.register(_remove, spark, path.rsplit("/", 1)[0])
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have ended before the interpreter did
+        return
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet and read back: later uses neither recompute it nor lose it with an executor."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
