@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.llm.bpe import bpe_digest
 from folio.llm.line_dedup import line_dedup_digest
 from folio.llm.quality_rules import quality_verdicts
+from folio.llm.token_counts import token_count_digest
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(_read(spark, sf_dir, "documents"))
 
@@ -20,4 +32,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op8_quality_rules)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count_digest(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op5_line_dedup, op8_quality_rules, op9_token_counts)}
