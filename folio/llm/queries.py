@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.bpe import bpe_digest
+from folio.llm.flac import media_digest
 from folio.llm.line_dedup import line_dedup_digest
 from folio.llm.quality_rules import quality_verdicts
 from folio.llm.token_counts import token_count_digest
@@ -24,6 +25,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(_read(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(_read(spark, sf_dir, "documents"))
 
@@ -36,4 +41,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count_digest(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op5_line_dedup, op8_quality_rules, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_flac_media, op5_line_dedup, op8_quality_rules, op9_token_counts)}
