@@ -8,6 +8,7 @@ from folio.llm.bpe import bpe_digest
 from folio.llm.flac import media_digest
 from folio.llm.license_scan import license_digest
 from folio.llm.line_dedup import line_dedup_digest
+from folio.llm.minhash_dedup import near_duplicate_classes
 from folio.llm.quality_rules import quality_verdicts
 from folio.llm.token_counts import token_count_digest
 
@@ -22,6 +23,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(_read(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -46,4 +51,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count_digest(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_flac_media, op5_line_dedup, op6_license_scan, op8_quality_rules, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_flac_media, op5_line_dedup, op6_license_scan, op8_quality_rules, op9_token_counts)}
