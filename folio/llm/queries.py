@@ -11,6 +11,7 @@ from folio.llm.line_dedup import line_dedup_digest
 from folio.llm.minhash_dedup import near_duplicate_classes
 from folio.llm.quality_rules import quality_verdicts
 from folio.llm.token_counts import token_count_digest
+from folio.llm.warc import warc_round_trip
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(_read(spark, sf_dir, "documents"))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(_read(spark, sf_dir, "documents"))
 
@@ -51,4 +56,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count_digest(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_flac_media, op5_line_dedup, op6_license_scan, op8_quality_rules, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_flac_media, op4_warc_round_trip, op5_line_dedup, op6_license_scan, op8_quality_rules, op9_token_counts)}
