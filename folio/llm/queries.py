@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.bpe import bpe_digest
 from folio.llm.flac import media_digest
+from folio.llm.hmm import score_texts
 from folio.llm.license_scan import license_digest
 from folio.llm.line_dedup import line_dedup_digest
 from folio.llm.minhash_dedup import near_duplicate_classes
@@ -48,6 +49,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(_read(spark, sf_dir, "documents"))
 
 
+def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -56,4 +61,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count_digest(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_flac_media, op4_warc_round_trip, op5_line_dedup, op6_license_scan, op8_quality_rules, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_flac_media, op4_warc_round_trip, op5_line_dedup, op6_license_scan, op7_hmm_scores, op8_quality_rules, op9_token_counts)}
