@@ -313,8 +313,8 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``ids`` (array<int>), ``decoded`` (the text that the ids give).
+def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, ``ids`` (array<int>), ``decoded`` (the text that the ids give), with ``keep_text`` also ``text``.
 
     ``vocabulary`` is the path of a byte-level BPE file, at the same place on every machine.  A null
     text is the empty text and has no ids; null ids and repeated rows pass through; an empty table
@@ -329,11 +329,14 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
             ends = np.concatenate([[0], np.cumsum([len(x) for x in every])])
             texts = pa.array([decoder.decode(x.tolist()) for x in every], pa.string())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(every)))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in chunk], pa.int64()), lists, texts], ["id", "ids", "decoded"])
+            columns = [pa.array([i for i, _ in chunk], pa.int64()), lists, texts]
+            if keep_text:
+                columns.append(pa.array([t for _, t in chunk], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded", "text"][: len(columns)])
 
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, ids array<int>, decoded string" + ", text string" * keep_text).withColumnRenamed("id", id_col)
 
 
 def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:

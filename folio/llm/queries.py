@@ -10,6 +10,7 @@ from folio.llm.hmm import score_texts
 from folio.llm.license_scan import license_digest
 from folio.llm.line_dedup import line_dedup_digest
 from folio.llm.minhash_dedup import near_duplicate_classes
+from folio.llm.mixing import mixing_report
 from folio.llm.quality_rules import quality_verdicts
 from folio.llm.token_counts import token_count_digest
 from folio.llm.warc import warc_round_trip
@@ -61,4 +62,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count_digest(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_flac_media, op4_warc_round_trip, op5_line_dedup, op6_license_scan, op7_hmm_scores, op8_quality_rules, op9_token_counts)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_flac_media, op4_warc_round_trip, op5_line_dedup, op6_license_scan, op7_hmm_scores, op8_quality_rules, op9_token_counts, op10_mixing)}
