@@ -2,8 +2,8 @@
 
 A naive Bayes classifier, learned from counts over a bounded sample of the labelled table, gives every
 document a posterior over domains.  A document with rate r and n tokens then adds r * n * p_d expected
-tokens to domain d.  The rates solve min ||T(r) - target||^2 over r >= 0, by projected gradient:
-each step needs only the residual of the domain totals, one aggregation over all documents, so the
+tokens to domain d.  The rates approach the weighted least squares of T(r) - target over r >= 0, by projected
+gradient from rate 1: each step needs only the residual of the domain totals, one aggregation over all documents, so the
 rate of a document is an expression of its own posterior and of the residuals so far.
 """
 
@@ -22,6 +22,10 @@ from folio.llm.staging import staged
 TRAIN_ROWS, VOCABULARY = 20_000, 256
 #: How much more often a word of the vocabulary occurs in one domain's documents than in the others'.
 MIN_LIFT = 4.0
+#: The least log-likelihood ratio of a lexicon word.
+MIN_RATIO = 25.0
+#: Least share of the largest domain's Gram entry by which a domain's residual is divided.
+FLOOR = 0.02
 #: Lexicon words found in a text are counted up to this number.
 MOST_FOUND = 3
 _SPLIT = r"[\s.,;:!?]+"
@@ -89,12 +93,14 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], *, i
     counts = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
     by_word = features.select("domain", F.explode("f").alias("w")).groupBy("w").agg(*counts).where(~F.col("w").startswith("\x00"))
     df = sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0))
-    # A lexicon has the words that one domain's documents have far more often than the others', by n ln(lift).
+    # A lexicon has the words that one domain's documents have far more often than the others', by the
+    # log-likelihood ratio of the two shares; its least value keeps out what a small sample shows by chance.
     ranked = []
     for i, d in enumerate(domains):
-        own, others = sizes.get(d, 0), total - sizes.get(d, 0)
-        lift = (F.col(f"n{i}") / float(max(own, 1))) / ((df - F.col(f"n{i}") + 0.5) / float(others + 1))
-        ranked.append(F.struct(F.when((F.col(f"n{i}") >= 5) & (lift >= MIN_LIFT), F.col(f"n{i}") * F.log(lift)).otherwise(0.0).alias("gain"), F.lit(d).alias("domain")))
+        a, b, own, others = F.col(f"n{i}"), df - F.col(f"n{i}"), float(max(sizes.get(d, 0), 1)), float(max(total - sizes.get(d, 0), 1))
+        part = lambda n, size: F.when(n > 0, n * F.log(n * float(total) / (df * size))).otherwise(0.0)
+        ratio = 2 * (part(a, own) + part(b, others))
+        ranked.append(F.struct(F.when((a / own >= MIN_LIFT * b / others) & (ratio >= MIN_RATIO), ratio).otherwise(0.0).alias("gain"), F.lit(d).alias("domain")))
     best = by_word.select("w", F.greatest(*ranked, F.struct(F.lit(0.0).alias("gain"), F.lit("").alias("domain"))).alias("b")).where("b.gain > 0")
     lexicons: dict[str, list[str]] = {d: [] for d in domains}
     for r in best.orderBy(F.desc("b.gain"), "w").limit(vocabulary).collect():
@@ -141,8 +147,10 @@ def mix_documents(
     budget = scale * (sum(have) if anchor is None else have[domains.index(anchor)] / weight[domains.index(anchor)])
     goal = [budget * w for w in weight]
     gram = [[facts[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(domains))] for i in range(len(domains))]
-    # Residuals are divided by the Gram diagonal; the largest row sum then bounds the step's curvature.
-    pace = 1 / max([1.0, *(sum(row) / row[i] for i, row in enumerate(gram) if row[i] > 0)])
+    # The squares are weighted by the inverse Gram diagonal, so that all domains converge alike; its floor keeps a
+    # domain that hardly exists from steering the others.  The curvature is then at most the number of domains.
+    spread = [max(row[i], FLOOR * max(g[k] for k, g in enumerate(gram)), 1e-9) for i, row in enumerate(gram)]
+    pace = 1 / min(len(domains), max(1.0, *(sum(row) / spread[i] for i, row in enumerate(gram))))
     moves: list[list[float]] = []
     for _ in range(steps):
         rate = _rate(moves, len(domains))
@@ -150,7 +158,7 @@ def mix_documents(
         off = [(now[f"t{i}"] or 0.0) - goal[i] for i in range(len(domains))]
         if max(map(abs, off)) <= tolerance * max(budget, 1e-9):
             break
-        moves.append([pace * off[i] / gram[i][i] if gram[i][i] > 0 else 0.0 for i in range(len(domains))])
+        moves.append([pace * off[i] / spread[i] for i in range(len(domains))])
     best = F.array_position("_p", F.array_max("_p")).cast("int")
     return rows.withColumn("_r", _rate(moves, len(domains))).select(
         F.col("_id").alias(id_col),
