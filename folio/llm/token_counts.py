@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.arrow_rows import in_chunks, row_numbers, text_rows
+from folio.llm.frequent import most_frequent
 from folio.llm.staging import staged
 from folio.sources.shipping import ship_package
 
@@ -78,7 +79,7 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
 
     found = rows.mapInArrow(distinct, "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
     counts = staged(found.mapInArrow(pieces_of, "piece string, freq long, tokens long"), "pretoken_counts")
-    hot = counts.where(F.char_length("piece") <= HOT_CHARS).orderBy(F.desc("freq"), "piece").limit(hot_entries).select("piece", "tokens").toArrow()
+    hot = most_frequent(counts.where(F.char_length("piece") <= HOT_CHARS), "freq", hot_entries).select("piece", "tokens").toArrow()
     sent = docs.sparkSession.sparkContext.broadcast(dict(zip(hot["piece"].to_pylist(), hot["tokens"].to_pylist(), strict=True)))
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
