@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.arrow_rows import row_numbers
+from folio.llm.frequent import most_frequent
 from folio.llm.staging import staged
 from folio.sources.shipping import ship_package
 
@@ -204,7 +205,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out(id_col).alias("held_out"))
     found = rows.where("NOT held_out").select("text").mapInArrow(_counted, "word string, class int, c long")
     counts = staged(found.groupBy("word").agg(F.first("class").alias("class"), F.sum("c").alias("c")), "word_counts")
-    hot = counts.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(HOT_WORDS)
+    hot = most_frequent(counts.where(F.octet_length("word") <= HOT_BYTES), "c", HOT_WORDS)
     table = hot.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     own = table.slice(0, OWN_SYMBOLS)
     by_class = counts.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
