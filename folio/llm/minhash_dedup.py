@@ -35,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Buckets of up to this many nodes give all their pairs; blocks of the larger ones have this many nodes.
 SMALL_BUCKET, BLOCK = 12, 512
+#: Parts by which the nodes of a large bucket are dealt out for its star.
+SLICES = 32
 #: Rows of a key table that may be sent to every task; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -167,7 +169,10 @@ def _star_pairs(large: DataFrame) -> DataFrame:
     """Each node of a large bucket with the bucket's pivot: the node that large buckets hold most often, by their sizes."""
     score = large.groupBy("node").agg(F.sum("n").alias("score"))
     pivot = large.join(score, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("pivot"))
-    return large.join(pivot, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    # A bucket may hold a third of all nodes: both sides are dealt by bucket and a slice of its nodes.
+    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice")
+    dealt = large.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(SLICES)).cast("int"))
+    return dealt.join(pivot.select("bucket", "pivot", slices), ["bucket", "slice"]).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
 
 def _block_links(large: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
