@@ -14,6 +14,32 @@ _TITLES = """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name || ' ' || p_
 _FROM_BRACKET = "CASE WHEN instr({x}, '[') > 1 THEN substr({x}, instr({x}, '[')) ELSE {x} END"
 _NORM = "trim(regexp_replace(lower(text), '[\\s\\p{Z}]+', ' ', 'g'))"
 
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _before_plus(x: str) -> str:
+    return f"regexp_replace({x}, '(?s)\\s*\\+.*$', '')"
+
+
+def _comparable(x: str) -> str:
+    """The comparison form of an ASCII name."""
+    out = f"lower({_before_plus(_FROM_BRACKET.format(x=_strip(x)))})"
+    out = f"replace({out}, '~', '')"
+    for part in (r"\b(disc|disk)\s*\d+\b", r"\[(\d{7,})\]", r"\[\s*\d+(?:\.\d+)?\s*(?:kb|mb|gb|tb)\s*\]", r"\b(?:crack|patch|update)\b", r"\bmini\s*adv\b"):
+        out = f"regexp_replace({out}, '{part}', '', 'g')"
+    return _strip(f"regexp_replace({out}, '[\\s\\-_.]+', ' ', 'g')")
+
+
+_KEYWORDS = f"""n AS (SELECT *, {_FROM_BRACKET.format(x="dn")} AS name FROM t),
+g AS (SELECT *, list_transform(regexp_extract_all(name, '\\[([^\\]]+)\\]', 1), lambda x: trim(x)) AS tags FROM n),
+k AS (SELECT *, list_filter(tags, lambda x: regexp_full_match(x, '\\d{{6}}'))[1] AS d,
+             list_filter(tags, lambda x: NOT regexp_full_match(x, '\\d{{6,}}') AND NOT regexp_full_match(lower(x), '\\s*\\d+(?:\\.\\d+)?\\s*(?:kb|mb|gb|tb)\\s*'))[1] AS o FROM g),
+w AS (SELECT *, CASE WHEN d IS NOT NULL AND o IS NOT NULL THEN '[' || d || '] [' || o || ']' WHEN d IS NOT NULL THEN '[' || d || ']'
+                     WHEN o IS NOT NULL THEN '[' || o || ']' ELSE substr(trim({_before_plus("name")}), 1, 30) END AS keyword FROM k)"""
+
 ORACLES = {
     "catalog_listing": _CATALOG + "SELECT substr(date, 1, 4) AS year, substr(date, 6, 2) AS month, name, company, link AS download_url, NULL::VARCHAR AS match_name, comment, coalesce(downloaded, 0) AS downloaded, NULL::VARCHAR AS infohash_hex FROM cat",
     "catalog_years": _CATALOG + "SELECT DISTINCT substr(date, 1, 4)::INT AS year FROM cat",
@@ -74,16 +100,30 @@ UNION ALL SELECT s_suppkey, 2, b.n, b.least FROM i JOIN b USING (nation) WHERE N
     + ", ".join(f"nullif(url_decode(replace(regexp_extract(q, '(?:^|&){n}=([^&]+)', 1), '+', ' ')), '') AS {n}" for n in ("page", "ref", "utm_source"))
     + " FROM q",
     "magnet_parts": "SELECT p_partkey, true AS ok, upper(sha1(p_name || '|' || p_partkey)) AS btih, p_name AS dn, 'udp://t' || p_size AS trackers, sha1(p_name || '|' || p_partkey) AS infohash_hex, '' AS errors FROM part",
-    "compare_normalize": "WITH a AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM documents WHERE strlen(text) = length(text)), b AS (SELECT doc_id, lower(regexp_replace("
-    + _FROM_BRACKET.format(x="x")
-    + r""", '(?s)\s*\+.*$', '')) AS x FROM a)
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '~', ''), '\b(disc|disk)\s*\d+\b', '', 'g'), '\[(\d{7,})\]', '', 'g'),
-  '\[\s*\d+(?:\.\d+)?\s*(?:kb|mb|gb|tb)\s*\]', '', 'g'), '\b(?:crack|patch|update)\b', '', 'g'), '\bmini\s*adv\b', '', 'g'), '[\s\-_.]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS name FROM b""",
-    "bracket_keyword": f"WITH t AS ({_TITLES}), n AS (SELECT p_partkey, "
-    + _FROM_BRACKET.format(x="dn")
-    + r""" AS name FROM t), g AS (SELECT *, list_transform(regexp_extract_all(name, '\[([^\]]+)\]', 1), lambda x: trim(x)) AS tags FROM n),
-k AS (SELECT *, list_filter(tags, lambda x: regexp_full_match(x, '\d{6}'))[1] AS d, list_filter(tags, lambda x: NOT regexp_full_match(x, '\d{6,}') AND NOT regexp_full_match(lower(x), '\s*\d+(?:\.\d+)?\s*(?:kb|mb|gb|tb)\s*'))[1] AS o FROM g)
-SELECT p_partkey, CASE WHEN d IS NOT NULL AND o IS NOT NULL THEN '[' || d || '] [' || o || ']' WHEN d IS NOT NULL THEN '[' || d || ']' WHEN o IS NOT NULL THEN '[' || o || ']' ELSE substr(trim(regexp_replace(name, '\s*\+.*$', '')), 1, 30) END AS keyword FROM k""",
+    "compare_normalize": f"SELECT doc_id, {_comparable('text')} AS name FROM documents WHERE strlen(text) = length(text)",
+    "bracket_keyword": f"WITH t AS ({_TITLES}), {_KEYWORDS} SELECT p_partkey, keyword FROM w",
+    "existence_confidence": f"""
+WITH t AS ({_TITLES}), {_KEYWORDS},
+m AS (SELECT p_partkey AS id, dn, keyword, sha1('m|' || p_partkey) AS h, {_comparable("dn")} AS norm,
+             coalesce(regexp_extract_all(dn, '\\[(\\d{{6}})\\]', 1)[1], '') AS code,
+             {_strip("regexp_replace(" + _FROM_BRACKET.format(x=_before_plus("dn")) + ", '\\[[^\\]]+\\]', '', 'g')")} AS title FROM w),
+f AS (SELECT s_suppkey AS file, CASE WHEN s_nationkey % 2 = 0 THEN '[' || lpad(s_suppkey::VARCHAR, 6, '0') || '] [x' || s_name || ']'
+             ELSE 'old red ' || lpad(s_suppkey::VARCHAR, 6, '0') || ' ' || s_name END AS name FROM supplier),
+fn AS (SELECT *, {_comparable("name")} AS fnorm FROM f),
+searches AS (SELECT id, norm, 0 AS level, keyword AS word FROM m UNION ALL SELECT id, norm, 1, code FROM m
+             UNION ALL SELECT id, norm, 2, CASE WHEN length(title) >= 3 THEN substr(title, 1, 20) ELSE '' END FROM m),
+found AS (SELECT s.id, s.level, s.norm, fn.file, fn.name, fn.fnorm FROM searches s JOIN fn ON s.word <> '' AND contains(fn.name, s.word)),
+level_hits AS (SELECT * FROM found WHERE (id, level) IN (SELECT id, min(level) FROM found GROUP BY id)),
+matched AS (SELECT id, file, name FROM level_hits WHERE norm <> '' AND fnorm <> '' AND (contains(norm, fnorm) OR contains(fnorm, norm))),
+tasked AS (SELECT DISTINCT m.id FROM m JOIN supplier ON s_acctbal > 5000 AND m.h = sha1('m|' || s_suppkey)),
+by_hash AS (SELECT m.id, fn.file, fn.name FROM m JOIN fn ON contains(fn.name, substr(m.h, 1, 12)) AND norm <> '' AND fnorm <> '' AND (contains(norm, fnorm) OR contains(fnorm, norm))
+            WHERE m.id NOT IN (SELECT id FROM matched) AND m.id NOT IN (SELECT id FROM tasked)),
+every AS (SELECT id, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT * FROM matched UNION SELECT * FROM by_hash) GROUP BY id),
+low AS (SELECT DISTINCT m.id FROM m JOIN fn ON contains(fn.name, substr(keyword, 1, greatest(8, length(keyword) // 3))))
+SELECT m.id AS magnet_id, every.id IS NOT NULL OR tasked.id IS NOT NULL AS exists,
+       CASE WHEN every.id IS NOT NULL OR tasked.id IS NOT NULL THEN 'high' WHEN low.id IS NOT NULL THEN 'low' ELSE 'none' END AS confidence,
+       coalesce(names, '') AS matched_files, tasked.id IS NOT NULL AS in_tasks
+FROM m LEFT JOIN every ON m.id = every.id LEFT JOIN tasked ON m.id = tasked.id LEFT JOIN low ON m.id = low.id""",
     "containment_match": f"WITH b AS (SELECT item_id, {_NORM} AS b FROM benchmark), d AS (SELECT doc_id, {_NORM} AS d FROM documents) SELECT item_id, doc_id FROM b JOIN d ON b.b <> '' AND d.d <> '' AND (contains(d.d, b.b) OR contains(b.b, d.d))",
     "infohash_base32": "WITH h AS (SELECT doc_id, sha1(coalesce(text, '')) AS h FROM documents) SELECT doc_id, h AS infohash_hex, "
     + " || ".join(f"substr('abcdefghijklmnopqrstuvwxyz234567', ((('0x' || substr(h, {10 * c + 1}, 10))::BIGINT >> {35 - 5 * d}) & 31)::INT + 1, 1)" for c in range(4) for d in range(8))
