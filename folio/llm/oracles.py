@@ -1,6 +1,15 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {10 * c + 1}, 10))::BIGINT >> {35 - 5 * d}) & 31)::INT + 1, 1)" for c in range(4) for d in range(8))
+
 ORACLES = {
+    "op4_warc_round_trip": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS target FROM pages)
+SELECT page_id, strlen(p) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = target THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> target THEN target END AS refers_to, true AS verified
+FROM p
+""",
     "op5_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
      e AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
