@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -19,5 +20,7 @@ def ship_package(spark: SparkSession | None = None) -> None:
     root = Path(__file__).resolve().parents[1]
     with tempfile.TemporaryDirectory() as build:
         shutil.copytree(root, Path(build, "src", root.name), ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="folio-"), root.name)), "zip", Path(build, "src")))
+        place = tempfile.mkdtemp(prefix="folio-")  # the driver serves the file from here to the executors
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(str(Path(place, root.name)), "zip", Path(build, "src")))
     _done.add(context.applicationId)
