@@ -10,13 +10,6 @@ from pyspark.sql import functions as F
 from folio.sources.catalog import KEY
 
 
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]):
-    out = F.lit(True)
-    for k in keys:
-        out = out & (a[k] == b[k])
-    return out
-
-
 def insert_or_ignore(existing: DataFrame, batch: DataFrame, keys: Sequence[str] = KEY, ordinal: str = "ordinal") -> DataFrame:
     """``existing`` and the batch's rows with new keys; the first of a batch's rows with one key counts.
 
