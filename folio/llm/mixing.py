@@ -2,16 +2,19 @@
 
 A naive Bayes classifier, learned from counts over a bounded sample of the labelled table, gives every
 document a posterior over domains.  A document with rate r and n tokens then adds r * n * p_d expected
-tokens to domain d.  The rates approach the weighted least squares of T(r) - target over r >= 0, by projected
-gradient from rate 1: each step needs only the residual of the domain totals, one aggregation over all documents, so the
-rate of a document is an expression of its own posterior and of the residuals so far.
+tokens to domain d.  The rates are the weighted least squares of T(r) - target over r >= 0, and of all such rates the
+nearest to 1: max(0, 1 + p . m) for one multiplier m a domain.  The multipliers are found by gradient steps,
+preconditioned with the Gram matrix of the documents whose rate is positive; each needs only the domain totals and that
+matrix, one aggregation over all documents.  Steps end when the gradient vanishes; targets that are missed are reported.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +27,11 @@ TRAIN_ROWS, VOCABULARY = 20_000, 256
 MIN_LIFT = 4.0
 #: The least log-likelihood ratio of a lexicon word.
 MIN_RATIO = 25.0
-#: Least share of the largest domain's Gram entry by which a domain's residual is divided.
+#: Least share of the largest domain's Gram entry in the inverse weight of a domain.  Weights only matter where no
+#: rates meet all targets: there a domain that hardly exists does not steer the others.
 FLOOR = 0.02
+#: Weight of the rates' distance from 1 against the squares.
+NEAR = 1e-8
 #: Lexicon words found in a text are counted up to this number.
 MOST_FOUND = 3
 _SPLIT = r"[\s.,;:!?]+"
@@ -132,51 +138,85 @@ def mix_documents(
     A null or empty text has no tokens and the prior as posterior; null ids are never labelled but
     mixed; repeated rows get equal results; ties of the posterior go to the first domain by name;
     without labels all domains are equally likely; an empty table gives no rows.  Of other columns
-    only ``keep_columns`` are read and returned.
+    only ``keep_columns`` are read and returned.  The metadata of ``rate`` has under ``mixing`` the goal and the
+    expected tokens of each domain, and whether the fit is optimal within ``steps``; a missed target also gives a warning.
     """
     domains = sorted(targets)
     model = learn_domains(docs, labelled, domains, id_col=id_col, text_col=text_col, **options)
     tokens = _tokens(docs, id_col, text_col, keep_columns or [])
     chance = F.pmod(F.xxhash64("_id", "_w"), F.lit(1 << 20)) / float(1 << 20)
     rows = staged(tokens.select("_id", "_more", "_n", chance.alias("_u"), model.posterior().alias("_p")), "posteriors")
-    p = [F.col("_p")[i] for i in range(len(domains))]
-    names = [(i, j) for i in range(len(domains)) for j in range(i, len(domains))]
-    facts = rows.agg(*(F.sum(F.col("_n") * p[i]).alias(f"t{i}") for i in range(len(domains))), *(F.sum(F.col("_n") * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in names)).first()
-    have = [facts[f"t{i}"] or 0.0 for i in range(len(domains))]
     weight = [targets[d] / sum(targets.values()) for d in domains]
+    have = _totals(rows, [0.0] * len(domains)).tokens
     budget = scale * (sum(have) if anchor is None else have[domains.index(anchor)] / weight[domains.index(anchor)])
     goal = [budget * w for w in weight]
-    gram = [[facts[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(domains))] for i in range(len(domains))]
-    # The squares are weighted by the inverse Gram diagonal, so that all domains converge alike; its floor keeps a
-    # domain that hardly exists from steering the others.  The curvature is then at most the number of domains.
-    spread = [max(row[i], FLOOR * max(g[k] for k, g in enumerate(gram)), 1e-9) for i, row in enumerate(gram)]
-    pace = 1 / min(len(domains), max(1.0, *(sum(row) / spread[i] for i, row in enumerate(gram))))
-    moves: list[list[float]] = []
-    for _ in range(steps):
-        rate = _rate(moves, len(domains))
-        now = rows.agg(*(F.sum(F.col("_n") * p[i] * rate).alias(f"t{i}") for i in range(len(domains)))).first()
-        off = [(now[f"t{i}"] or 0.0) - goal[i] for i in range(len(domains))]
-        if max(map(abs, off)) <= tolerance * max(budget, 1e-9):
-            break
-        moves.append([pace * off[i] / spread[i] for i in range(len(domains))])
+    multipliers, got, optimal = _fit(rows, goal, steps, tolerance)
+    report = {"optimal": optimal, "goal": dict(zip(domains, goal)), "expected": dict(zip(domains, got))}
+    missed = {d: round(t / g, 4) for d, t, g in zip(domains, got, goal) if abs(t - g) > 10 * tolerance * g}
+    if budget > 0 and (missed or not optimal):
+        warnings.warn(f"mixing: {'no rates meet all targets' if optimal else f'not optimal after {steps} steps'}; expected tokens by target: {missed}", stacklevel=2)
     best = F.array_position("_p", F.array_max("_p")).cast("int")
-    return rows.withColumn("_r", _rate(moves, len(domains))).select(
+    return rows.withColumn("_r", _rate(multipliers)).select(
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_tokens"),
         F.map_from_arrays(F.array(*map(F.lit, domains)), F.col("_p")).alias("posterior"),
         F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"),
-        F.col("_r").alias("rate"),
+        F.col("_r").alias("rate", metadata={"mixing": report}),
         F.floor(F.col("_r") + F.col("_u")).cast("long").alias("copies"),
         *(F.col("_more")[c].alias(c) for c in keep_columns or [] if c != id_col),
     )
 
 
-def _rate(moves: list[list[float]], domains: int) -> Column:
-    """The rate after the given steps: from 1, each step goes against the residuals and back to zero where it fell below."""
-    if not moves:
-        return F.lit(1.0)
-    steps = F.array(*(F.array(*map(F.lit, m)) for m in moves))
-    return F.aggregate(steps, F.lit(1.0), lambda r, v: F.greatest(F.lit(0.0), r - sum((F.col("_p")[i] * v[i] for i in range(1, domains)), F.col("_p")[0] * v[0])))
+@dataclass
+class Totals:
+    """Expected tokens by domain, the Gram matrix of the documents whose rate is positive, and half the squared rates."""
+
+    tokens: list[float]
+    gram: np.ndarray
+    energy: float
+
+
+def _rate(multipliers: list[float]) -> Column:
+    """max(0, 1 + p . m)"""
+    return F.greatest(F.lit(0.0), sum((F.col("_p")[i] * float(m) for i, m in enumerate(multipliers)), F.lit(1.0)))
+
+
+def _totals(rows: DataFrame, multipliers: list[float]) -> Totals:
+    n, rate, k = F.col("_n"), _rate(multipliers), len(multipliers)
+    p = [F.col("_p")[i] for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    out = rows.withColumn("_r", rate).agg(
+        *(F.sum(n * p[i] * F.col("_r")).alias(f"t{i}") for i in range(k)), *(F.sum(F.when(F.col("_r") > 0, n * p[i] * p[j])).alias(f"g{i}_{j}") for i, j in pairs), F.sum(n * F.col("_r") * F.col("_r") / 2).alias("e")
+    ).first()
+    gram = np.array([[out[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    return Totals([out[f"t{i}"] or 0.0 for i in range(k)], gram, out["e"] or 0.0)
+
+
+def _fit(rows: DataFrame, goal: list[float], steps: int, tolerance: float) -> tuple[list[float], list[float], bool]:
+    """Multipliers of the rates, their expected tokens, and whether they are optimal.
+
+    They maximise the concave dual  m . goal - sum n r(m)^2 / 2 - NEAR / 2 * sum spread * m^2.
+    """
+    at, aim = np.zeros(len(goal)), np.array(goal)
+    now = _totals(rows, [0.0] * len(goal))
+    spread = np.maximum(np.diag(now.gram), max(FLOOR * np.diag(now.gram).max(), 1e-9))
+    exact = tolerance * np.where(aim > 0, aim, max(aim.sum(), 1e-9))
+    value = lambda m, t: float(m @ aim) - t.energy - NEAR / 2 * float(spread @ m**2)
+    for _ in range(steps):
+        slope = aim - now.tokens - NEAR * spread * at
+        if (np.abs(slope) <= exact).all():
+            return at.tolist(), now.tokens, True
+        step = np.linalg.solve(now.gram + NEAR * np.diag(spread), slope)
+        was, length = value(at, now), 1.0
+        while True:
+            after = _totals(rows, (at + length * step).tolist())
+            gain = value(at + length * step, after) - was
+            if gain >= 1e-4 * length * float(slope @ step) or length < 1e-6:
+                break
+            length /= 2
+        at, now = at + length * step, after
+    slope = aim - now.tokens - NEAR * spread * at
+    return at.tolist(), now.tokens, bool((np.abs(slope) <= exact).all())
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:

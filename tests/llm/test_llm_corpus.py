@@ -195,6 +195,24 @@ def test_mixing_meets_targets(spark):
     assert mix_documents(df.limit(0), labels, {"plain": 1.0, "odd": 1.0}).count() == 0
 
 
+def test_mixing_meets_the_target_of_a_rare_domain(spark):
+    from folio.llm.mixing import mix_documents
+
+    rng = random.Random(6)
+    plain = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(["bad", "worse", "worst"] if i % 500 == 0 else plain) for _ in range(30))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, "odd" if i % 500 == 0 else "plain") for i, _ in rows], "doc_id long, domain string")
+    mixed = mix_documents(df, labels, {"plain": 0.95, "odd": 0.05})
+    got = mixed.collect()
+    for d, share in (("plain", 0.95), ("odd", 0.05)):
+        assert sum(r["rate"] * r["n_tokens"] * r["posterior"][d] for r in got) == pytest.approx(share * 90_000, rel=0.01)
+    assert mixed.schema["rate"].metadata["mixing"]["optimal"]
+    with pytest.warns(UserWarning, match="not optimal after 0 steps"):
+        report = mix_documents(df, labels, {"plain": 0.95, "odd": 0.05}, steps=0).schema["rate"].metadata["mixing"]
+    assert not report["optimal"] and report["expected"]["odd"] < 0.1 * report["goal"]["odd"]
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
