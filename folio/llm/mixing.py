@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,6 +126,7 @@ def mix_documents(
     text_col: str = "text",
     scale: float = 1.0,
     anchor: str | None = None,
+    banned: Sequence[str] = (),
     steps: int = 30,
     tolerance: float = 1e-4,
     keep_columns: list[str] | None = None,
@@ -133,7 +135,11 @@ def mix_documents(
     """One row per row of ``docs``: id, ``n_tokens``, ``posterior`` (domain to probability), ``domain``, ``rate``, ``copies``.
 
     ``targets`` are relative weights of the domains.  The token budget is ``scale`` times all tokens,
-    or, with ``anchor``, such that the anchor domain's target is ``scale`` times what it has.
+    or, with ``anchor``, such that the anchor domain's target is ``scale`` times what it has; another domain's target
+    is then at least what the documents of the anchor domain add to it at that scale, and does not count if no document
+    is likeliest of that domain, so that it does not thin them.
+    Documents whose domain is ``banned`` get rate 0; such a domain's target is what the other documents add to it by
+    their own posteriors, whatever ``targets`` says, so it neither thins nor raises them.
     ``copies`` rounds the rate up or down by a hash of id and text, so that its mean is the rate.
     A null or empty text has no tokens and the prior as posterior; null ids are never labelled but
     mixed; repeated rows get equal results; ties of the posterior go to the first domain by name;
@@ -147,20 +153,28 @@ def mix_documents(
     chance = F.pmod(F.xxhash64("_id", "_w"), F.lit(1 << 20)) / float(1 << 20)
     rows = staged(tokens.select("_id", "_more", "_n", chance.alias("_u"), model.posterior().alias("_p")), "posteriors")
     weight = [targets[d] / sum(targets.values()) for d in domains]
-    have = _totals(rows, [0.0] * len(domains)).tokens
+    best = F.element_at(F.array(*map(F.lit, domains)), F.array_position("_p", F.array_max("_p")).cast("int"))
+    rows, aimed = rows.withColumn("_d", best), [i for i, d in enumerate(domains) if d not in banned]
+    live = rows.where(~F.col("_d").isin(list(banned))) if banned else rows
+    have = _totals(live, [0.0] * len(domains)).tokens
     budget = scale * (sum(have) if anchor is None else have[domains.index(anchor)] / weight[domains.index(anchor)])
     goal = [budget * w for w in weight]
-    multipliers, got, optimal = _fit(rows, goal, steps, tolerance)
-    report = {"optimal": optimal, "goal": dict(zip(domains, goal)), "expected": dict(zip(domains, got))}
-    missed = {d: round(t / g, 4) for d, t, g in zip(domains, got, goal) if abs(t - g) > 10 * tolerance * g}
+    if anchor is not None:
+        own = _totals(live.where(F.col("_d") == anchor), [0.0] * len(domains)).tokens
+        goal = [g if d == anchor else max(g, scale * t) for d, g, t in zip(domains, goal, own)]
+        found = {r["_d"] for r in live.select("_d").distinct().collect()}
+        aimed = [i for i in aimed if domains[i] in found]
+    multipliers, got, optimal = _fit(live, goal, aimed, steps, tolerance)
+    report = {"optimal": optimal, "goal": {d: g for d, g in zip(domains, goal) if d not in banned}, "expected": dict(zip(domains, got))}
+    missed = {d: round(t / g, 4) for d, t, g in zip(domains, got, goal) if d not in banned and abs(t - g) > 10 * tolerance * g}
     if budget > 0 and (missed or not optimal):
-        warnings.warn(f"mixing: {'no rates meet all targets' if optimal else f'not optimal after {steps} steps'}; expected tokens by target: {missed}", stacklevel=2)
-    best = F.array_position("_p", F.array_max("_p")).cast("int")
-    return rows.withColumn("_r", _rate(multipliers)).select(
+        warnings.warn(f"mixing: {'not all targets are met' if optimal else f'not optimal after {steps} steps'}; expected tokens by target: {missed}", stacklevel=2)
+    rate = F.when(F.col("_d").isin(list(banned)), 0.0).otherwise(_rate(multipliers)) if banned else _rate(multipliers)
+    return rows.withColumn("_r", rate).select(
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_tokens"),
         F.map_from_arrays(F.array(*map(F.lit, domains)), F.col("_p")).alias("posterior"),
-        F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"),
+        F.col("_d").alias("domain"),
         F.col("_r").alias("rate", metadata={"mixing": report}),
         F.floor(F.col("_r") + F.col("_u")).cast("long").alias("copies"),
         *(F.col("_more")[c].alias(c) for c in keep_columns or [] if c != id_col),
@@ -192,31 +206,34 @@ def _totals(rows: DataFrame, multipliers: list[float]) -> Totals:
     return Totals([out[f"t{i}"] or 0.0 for i in range(k)], gram, out["e"] or 0.0)
 
 
-def _fit(rows: DataFrame, goal: list[float], steps: int, tolerance: float) -> tuple[list[float], list[float], bool]:
-    """Multipliers of the rates, their expected tokens, and whether they are optimal.
+def _fit(rows: DataFrame, goal: list[float], aimed: list[int], steps: int, tolerance: float) -> tuple[list[float], list[float], bool]:
+    """Multipliers of the rates, their expected tokens, and whether they are optimal; only the ``aimed`` domains have a goal.
 
     They maximise the concave dual  m . goal - sum n r(m)^2 / 2 - NEAR / 2 * sum spread * m^2.
     """
-    at, aim = np.zeros(len(goal)), np.array(goal)
-    now = _totals(rows, [0.0] * len(goal))
-    spread = np.maximum(np.diag(now.gram), max(FLOOR * np.diag(now.gram).max(), 1e-9))
+    on = np.zeros(len(goal))
+    on[aimed] = 1.0
+    at, aim = np.zeros(len(goal)), np.array(goal) * on
+    now = _totals(rows, at.tolist())
+    diagonal = np.diag(now.gram)
+    spread = np.maximum(diagonal, max(FLOOR * (diagonal * on).max(), 1e-9))
     exact = tolerance * np.where(aim > 0, aim, max(aim.sum(), 1e-9))
     value = lambda m, t: float(m @ aim) - t.energy - NEAR / 2 * float(spread @ m**2)
+    slope_at = lambda m, t: on * (aim - np.array(t.tokens) - NEAR * spread * m)
     for _ in range(steps):
-        slope = aim - now.tokens - NEAR * spread * at
+        slope = slope_at(at, now)
         if (np.abs(slope) <= exact).all():
-            return at.tolist(), now.tokens, True
-        step = np.linalg.solve(now.gram + NEAR * np.diag(spread), slope)
+            break
+        step = np.zeros(len(goal))
+        step[aimed] = np.linalg.solve((now.gram + NEAR * np.diag(spread))[np.ix_(aimed, aimed)], slope[aimed])
         was, length = value(at, now), 1.0
         while True:
             after = _totals(rows, (at + length * step).tolist())
-            gain = value(at + length * step, after) - was
-            if gain >= 1e-4 * length * float(slope @ step) or length < 1e-6:
+            if value(at + length * step, after) - was >= 1e-4 * length * float(slope @ step) or length < 1e-6:
                 break
             length /= 2
         at, now = at + length * step, after
-    slope = aim - now.tokens - NEAR * spread * at
-    return at.tolist(), now.tokens, bool((np.abs(slope) <= exact).all())
+    return at.tolist(), now.tokens, bool((np.abs(slope_at(at, now)) <= exact).all())
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:

@@ -213,6 +213,31 @@ def test_mixing_meets_the_target_of_a_rare_domain(spark):
     assert not report["optimal"] and report["expected"]["odd"] < 0.1 * report["goal"]["odd"]
 
 
+@pytest.mark.parametrize("toxic", [4, 40, 400])
+def test_pipeline_mixing_drops_toxic_documents_at_any_share(spark, tmp_path, toxic):
+    import corpus_pipeline
+
+    rng = random.Random(toxic)
+    plain, bad = (["".join(rng.choice(letters) for _ in range(4)) for _ in range(100)] for letters in ("abcdef", "uvwxyz"))
+    rows = [(i, " ".join(rng.choice(bad[:8] if i < toxic and rng.random() < 0.5 else plain) for _ in range(30)), "en", "s", 0) for i in range(4000)]
+    spark.createDataFrame([(i, 1, int(i < toxic)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
+    assert got == list(range(toxic, 4000))
+
+
+def test_pipeline_mixing_keeps_clean_documents_beside_many_low_ones(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    plain, poor = (["".join(rng.choice(letters) for _ in range(4)) for _ in range(100)] for letters in ("abcdef", "uvwxyz"))
+    rows = [(i, " ".join(rng.choice(poor[:8] if i < 400 and rng.random() < 0.5 or rng.random() < 0.01 else plain) for _ in range(30)), "en", "s", 0) for i in range(2000)]
+    spark.createDataFrame([(i, int(i >= 400), 0) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()}
+    assert len(got & set(range(400, 2000))) >= 1590
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
