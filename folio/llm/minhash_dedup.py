@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.arrow_rows import in_chunks
@@ -110,6 +110,12 @@ def _keyed_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, str]
             yield tuple(x.as_py() for x in row[:-1]), row[-1].as_py() or ""
 
 
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """h1 and h2, 128 bits that stand for a text; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")
+
+
 def signed_rows(docs: DataFrame, *, id_col: str, text_col: str, bands: int, rows: int, shingle: int, weighted: bool) -> DataFrame:
     """id, h1, h2 (128 bits of the text's hash) and the band values of each row; a text without words has none."""
 
@@ -128,7 +134,7 @@ def signed_rows(docs: DataFrame, *, id_col: str, text_col: str, bands: int, rows
             yield pa.RecordBatch.from_arrays([*keys, lists], ["id", "h1", "h2", "bands"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), *text_hashes(text), text.alias("text"))
     return keyed.mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
 
 
@@ -137,7 +143,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, s
     few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = nodes.select("node", F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.col("min_id").alias("n_id"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), *text_hashes(text), text.alias("text"))
     same = (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")) & F.col("id").eqNullSafe(F.col("n_id"))
     own = keyed.join(F.broadcast(wanted) if few else wanted, same)
 
@@ -220,7 +226,7 @@ def _block_links(large: DataFrame, labels: DataFrame, sets: DataFrame, similarit
 
 
 def near_duplicate_classes(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, with_hashes: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``class_id`` (least id of its class), ``class_rows``, ``keep`` (this row stands for the class).
 
@@ -230,7 +236,8 @@ def near_duplicate_classes(
     A null text is the empty text.  Texts without words are copies only of equal texts; texts of fewer
     words than a shingle are compared as one shingle.  Rows with a null id take part; if a whole class
     has none, its ``class_id`` is null.  Of repeated rows exactly one per class has ``keep``.  An empty
-    table gives no rows; only the two named columns are read.
+    table gives no rows; only the two named columns are read.  ``with_hashes`` adds ``h1`` and ``h2`` of
+    :func:`text_hashes`, which with the id name a row as far as its repeats.
     """
     ship_package(docs.sparkSession)
     signed = staged(signed_rows(docs, id_col=id_col, text_col=text_col, bands=bands, rows=rows, shingle=shingle, weighted=weighted).withColumn("row", F.monotonically_increasing_id()), "signed")
@@ -253,4 +260,4 @@ def near_duplicate_classes(
     placed = signed.select("row", "id", "h1", "h2").join(known, ["h1", "h2"])
     heads = staged(placed.groupBy("comp").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("head"), F.count(F.lit(1)).alias("class_rows")), "heads")
     stands = known.join(heads, "comp").select("h1", "h2", "class_id", "head", "class_rows")
-    return signed.select("row", "id", "h1", "h2").join(stands, ["h1", "h2"]).select(F.col("id").alias(id_col), "class_id", "class_rows", (F.col("row") == F.col("head")).alias("keep"))
+    return signed.select("row", "id", "h1", "h2").join(stands, ["h1", "h2"]).select(F.col("id").alias(id_col), "class_id", "class_rows", (F.col("row") == F.col("head")).alias("keep"), *(["h1", "h2"] if with_hashes else []))

@@ -238,6 +238,16 @@ def test_pipeline_mixing_keeps_clean_documents_beside_many_low_ones(spark, tmp_p
     assert len(got & set(range(400, 2000))) >= 1590
 
 
+def test_pipeline_near_duplicates_with_ids_that_are_not_unique(spark):
+    import corpus_pipeline
+
+    x, y, z, u, v, w, copied = near_rows(21, 60, 0, 0)[:7]
+    rows = [(None, x), (None, y), (None, z), (7, z), (8, u), (8, v), (8, copied), (3, copied), (9, w), (9, w)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, x), (None, y), (7, z), (8, u), (8, v), (3, copied), (9, w)], key=str)
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
