@@ -137,7 +137,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     behind a broken link of an archive's chain is not read.
     """
     ship_package(spark)
-    parsed = staged(_parsed(_pieces(spark, path)), "candidates")
+    # Rows are numbered by how files are cut into splits, which another read may do otherwise: the pieces are kept.
+    pieces = staged(_pieces(spark, path), "pieces")
+    parsed = staged(_parsed(pieces), "candidates")
     order = Window.partitionBy("file").orderBy("split", "row")
     # A piece begins where the magic before it begins; the first of a file is what stands before any magic.
     before = F.sum(F.col("size") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -152,9 +154,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     out = whole.select(*columns)
     if torn.limit(1).count():
         parts = chain.join(torn, ["file", "owner"]).select("file", "row", "owner", "off")
-        pieces = _pieces(spark, path).drop("split").join(parts, ["file", "row"])
-        joined = pieces.groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
-        out = out.unionByName(_parsed(joined.select("file", F.col("owner").alias("off"), "value")).select(*columns))
+        joined = pieces.drop("split").join(parts, ["file", "row"]).groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+        rebuilt = staged(_parsed(joined.select("file", F.col("owner").alias("off"), "value")), "rebuilt")
+        if rebuilt.count() != torn.count():
+            raise RuntimeError(f"{path}: {rebuilt.count()} records put together of {torn.count()} that are in pieces")
+        out = out.unionByName(rebuilt.select(*columns))
     revisit = F.col("record_type") == "revisit"
     return out.select(
         "id",

@@ -134,6 +134,24 @@ def test_warc_round_trip(spark):
     assert all(r["verified"] for r in got)
 
 
+def test_warc_pieces_survive_other_splits(spark, monkeypatch):
+    from folio.llm import warc
+
+    sizes, pieces = iter(["50000", "9000"]), warc._pieces
+
+    def read(session, path):
+        session.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return pieces(session, path)
+
+    monkeypatch.setattr(warc, "_pieces", read)
+    rows = [(i, "u", f"{i} " + "x" * 7000 + warc.MAGIC + "y" * (i % 7)) for i in range(60)]
+    try:
+        got = warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r["page_id"] for r in got) == list(range(60)) and all(r["verified"] for r in got)
+
+
 def topic_rows():
     rng = random.Random(9)
     topics = [["".join(rng.choice(letters) for _ in range(4)) for _ in range(60)] for letters in ("abcde", "vwxyz")]
