@@ -160,6 +160,11 @@ def compare_normalize(spark, sf_dir):
     return _t(spark, sf_dir, "documents").where(ascii_only).select("doc_id", text.comparable(F.col("text")).alias("name"))
 
 
+def compare_normalize_all(spark, sf_dir):
+    """The comparison form of every document; without SQL, as DuckDB has other rules for Unicode case and word boundaries."""
+    return _t(spark, sf_dir, "documents").select("doc_id", text.comparable(F.col("text")).alias("name"))
+
+
 def _titles(spark, sf_dir):
     key = F.lpad(F.col("p_partkey").cast("string"), 6, "0")
     size = F.col("p_size").cast("string")
@@ -245,7 +250,7 @@ QUERIES = {
     for f in (
         catalog_listing, catalog_years, catalog_latest_month, catalog_page, catalog_month_total, links_to_check, missing_enrichment, present_enrichment,
         skip_list_filter, delete_list_clean, normalize_name, keyword_relax, greedy_prefix_dedup, insert_or_ignore, insert_counts, partial_update, delete_by_key,
-        tiered_top1, early_release_flag, fallback_lookup, url_params, magnet_parts, compare_normalize, bracket_keyword, containment_match, existence_confidence,
+        tiered_top1, early_release_flag, fallback_lookup, url_params, magnet_parts, compare_normalize, compare_normalize_all, bracket_keyword, containment_match, existence_confidence,
         infohash_base32, bencode_infohash, torrent_metadata, torrent_total_size, html_links, ingest_progress, month_grid, json_first_key, additive_schema, duplicate_links,
     )
 }

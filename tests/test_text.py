@@ -51,3 +51,23 @@ def test_comparable_equals_a_plain_version(spark):
 
     names = ["A [B] c_d..e + f", "disk 3 x", "♥ ～y", "[7654321][99 kb] crack update", "日本語・タイトル disc１", "a.b-c", "  [x]"]
     assert one(spark, text.comparable, *names) == [plain(n) for n in names]
+
+
+def test_compare_normalize_all_covers_multilingual_documents(spark, tmp_path):
+    from folio.plans.catalog_queries import QUERIES
+
+    def plain(name):
+        if name is None:
+            return None
+        name = name.strip()
+        at = name.find("[")
+        name = re.split(r"\s*\+\s*", name[at:] if at > 0 else name)[0].lower()
+        name = name.translate({ord(c): None for c in text.DROPPED_SYMBOLS})
+        for part in text.DROPPED_PARTS:
+            name = re.sub(part, "", name)
+        return re.sub(r"[\s\-_.]+", " ", name).strip()
+
+    names = ["A [B] c_d + f", "　雨の庭　disc 2", "ÉCOLE～Patch é", "日本語・タイトル disc１", "Ж [1234567] ДОМ", "♥ update", "édisc 3 x", "[１.5 GB] y", "", None]
+    spark.createDataFrame(list(enumerate(names)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["name"] for r in QUERIES["compare_normalize_all"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(map(plain, names)))
