@@ -120,15 +120,16 @@ def sample_labels(labels: DataFrame, *, id_col: str = "doc_id", train_rows: int
 
 
 def learn_rules(
-    counts: DataFrame, *, bins: int = 32, max_rules: int = 6, max_conditions: int = 3, min_precision: float = 0.9, min_covered: int = 5
+    counts: DataFrame, *, id_col: str = "doc_id", bins: int = 32, max_rules: int = 6, max_conditions: int = 3, min_precision: float = 0.9, min_covered: int = 5
 ) -> DecisionList:
     """Sequential covering over labelled counts (``bad`` and the columns of :func:`with_counts`).
 
-    A rule enters the list only if it rejects with ``min_precision`` on the pruning third and holds
+    Rows are dealt to the two growing thirds and the pruning third by a hash of the id, so the list is
+    the same however the rows are partitioned.  A rule enters the list only if it rejects with ``min_precision`` on the pruning third and holds
     for ``min_covered`` bad rows or more; with no labels of either class the list is empty.
     """
     feats = feature_columns()
-    rows = staged(counts.select("bad", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(3)).alias("part"), *(c.alias(f) for f, c in feats.items())), "labelled")
+    rows = staged(counts.select("bad", F.pmod(F.xxhash64(F.col(id_col), F.lit("part")), F.lit(3)).alias("part"), *(c.alias(f) for f, c in feats.items())), "labelled")
     cuts_row = rows.agg(*(F.percentile_approx(f, [i / bins for i in range(1, bins)], 10_000).alias(f) for f in FEATURES), *(F.percentile_approx(F.when(F.col("bad"), F.col(f)), [i / bins for i in range(1, bins)], 10_000).alias(f"{f}_bad") for f in FEATURES)).first()
     if cuts_row is None or cuts_row[f"{FEATURES[0]}_bad"] is None:
         return DecisionList()
@@ -197,16 +198,18 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     The list is learned from at most ``train_rows`` labelled documents.  A null text has no words; a
     null id is kept as it is; repeated rows get equal results; ties between thresholds go to the first
     feature and the smallest threshold; without labels only the base rules decide; ``keep_columns``
-    of ``docs`` are returned too, others are not read.
+    of ``docs`` are returned too, unless a column of the result has that name; others are not read.
     """
     picked = sample_labels(labels, id_col=id_col, train_rows=train_rows)
-    own = docs.join(F.broadcast(picked), id_col, "left_semi")  # at most train_rows ids
-    train = with_counts(own, id_col=id_col, text_col=text_col).join(F.broadcast(picked), id_col).where(~base_failed())
-    rules = learn_rules(train, **options)
+    # The labelled texts are kept first: else the filter on their counts would be moved below the join, onto every text.
+    own = staged(docs.select(id_col, text_col).join(F.broadcast(picked), id_col), "labelled_texts")  # at most train_rows ids
+    train = with_counts(own, id_col=id_col, text_col=text_col, keep_columns=["bad"]).withColumn("bad", F.col("_more.bad")).where(~base_failed())
+    rules = learn_rules(train, id_col=id_col, **options)
     feats = feature_columns()
     counted = with_counts(docs, id_col=id_col, text_col=text_col, keep_columns=keep_columns)
     verdict = counted.select(*counted.columns, *(c.alias(f"_{f}") for f, c in feats.items()))
     listed = DecisionList([[Condition(f"_{c.feature}", c.above, c.threshold) for c in r] for r in rules.rules]).verdict()
     names = [c for c in counted.columns if c != "_more"]
-    more = [F.col("_more")[c].alias(c) for c in keep_columns or [] if c != id_col]
+    own_names = {*names, "base_failed", "kept"}
+    more = [F.col("_more")[c].alias(c) for c in keep_columns or [] if c not in own_names]
     return verdict.select(*names, base_failed().alias("base_failed"), (~base_failed() & listed).alias("kept"), *more)
