@@ -45,41 +45,68 @@ def decode(data: bytes):
             return done[0]
 
 
+class _Mark(bytes):
+    """Bytes of the format, not a value."""
+
+
 def encode(value) -> bytes:
-    """Dictionary keys come in byte order."""
-    if isinstance(value, dict):
-        raw = {k.encode() if isinstance(k, str) else k: v for k, v in value.items()}
-        return b"d" + b"".join(encode(k) + encode(raw[k]) for k in sorted(raw)) + b"e"
-    if isinstance(value, list):
-        return b"l" + b"".join(map(encode, value)) + b"e"
-    if isinstance(value, int):
-        return b"i%de" % value
-    if isinstance(value, str):
-        value = value.encode()
+    """Dictionary keys come in byte order; nesting may have any depth."""
+    out, todo = [], [value]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, _Mark):
+            out.append(item)
+        elif isinstance(item, dict):
+            raw = {k.encode() if isinstance(k, str) else k: v for k, v in item.items()}
+            out.append(b"d")
+            todo.append(_Mark(b"e"))
+            for k in sorted(raw, reverse=True):
+                todo += [raw[k], k]
+        elif isinstance(item, list):
+            out.append(b"l")
+            todo += [_Mark(b"e"), *reversed(item)]
+        elif isinstance(item, int):
+            out.append(b"i%de" % item)
+        elif isinstance(item, (str, bytes)):
+            item = item.encode() if isinstance(item, str) else item
+            out.append(b"%d:%s" % (len(item), item))
+        else:
+            raise TypeError(f"can't encode {type(item).__name__}")
+    return b"".join(out)
+
+
+def _text(value) -> str:
     if isinstance(value, bytes):
-        return b"%d:%s" % (len(value), value)
-    raise TypeError(f"can't encode {type(value).__name__}")
+        return value.decode("utf-8", "replace")
+    if isinstance(value, int):
+        return str(value)
+    raise ValueError("a text is expected where a list or dictionary stands")
 
 
 def _facts(data: bytes) -> dict:
-    meta = decode(data)
-    info = meta.get(b"info") if isinstance(meta, dict) else None
+    """What METADATA holds of a metadata file: one file entry for each of ``files``, or the one that ``name`` and ``length`` describe."""
+    outer = decode(data)
+    info = outer.get(b"info") if isinstance(outer, dict) else None
     if not isinstance(info, dict):
         raise ValueError("missing_info")
-    text = lambda b: b.decode("utf-8", "replace") if isinstance(b, bytes) else str(b)
-    name = text(info[b"name"]) if b"name" in info else None
-    if b"files" in info:
-        files = [{"path": "/".join(map(text, f.get(b"path") or [])), "size": int(f.get(b"length") or 0)} for f in info[b"files"] or [] if isinstance(f, dict)]
-    else:
-        files = [{"path": name or "", "size": int(info.get(b"length") or 0)}]
-    return {"infohash_hex": hashlib.sha1(encode(info)).hexdigest(), "name": name, "total_size": sum(f["size"] for f in files), "files": files, "error": None}
+    name = _text(info[b"name"]) if b"name" in info else None
+    entries = [info | {b"path": [info.get(b"name", b"")]}] if b"files" not in info else [e for e in info[b"files"] or [] if isinstance(e, dict)]
+    sizes = [int(e.get(b"length") or 0) for e in entries]
+    if any(abs(n) >= 1 << 63 for n in (*sizes, sum(sizes))):
+        raise ValueError("a size has more than 64 bits")
+    files = [{"path": "/".join(map(_text, e.get(b"path") or [])), "size": n} for e, n in zip(entries, sizes, strict=True)]
+    return {"infohash_hex": hashlib.sha1(encode(info)).hexdigest(), "name": name, "total_size": sum(sizes), "files": files, "error": None}
 
 
 METADATA = "struct<infohash_hex: string, name: string, total_size: bigint, files: array<struct<path: string, size: bigint>>, error: string>"
 
 
 def parse_torrent(data: Column) -> Column:
-    """struct of METADATA from the bytes of a metadata file; ``error`` tells why the rest is null."""
+    """struct of METADATA from the bytes of a metadata file; ``error`` tells why the rest is null.
+
+    Files that are malformed in any way give an error: deep nesting, sizes of more than 64 bits and
+    texts that are lists among them.  A null file gives nulls throughout.
+    """
     ship_package()
 
     @F.pandas_udf(METADATA)

@@ -105,9 +105,13 @@ def anchors(html: Column) -> Column:
 
 
 def listings(pages: DataFrame, skip: list[str], *, date_col: str = "date", html_col: str = "html") -> DataFrame:
-    """date, name, company, ordinal of stored listing pages: both fields filled, and no skipped literal in the name."""
-    rows = pages.select(date_col, F.posexplode(listing_rows(F.col(html_col))).alias("ordinal", "row"))
-    return rows.select(date_col, "row.name", "row.company", "ordinal").where((F.col("name") != "") & (F.col("company") != "") & ~contains_any(F.col("name"), skip))
+    """date, name, company, ordinal of stored listing pages: both fields filled, and no skipped literal in the name.
+
+    ``ordinal`` is (page, row); ``page`` is 0 where ``pages`` has no such column.
+    """
+    page = F.col("page") if "page" in pages.columns else F.lit(0)
+    rows = pages.select(date_col, page.alias("_p"), F.posexplode(listing_rows(F.col(html_col))).alias("_r", "row"))
+    return rows.select(date_col, "row.name", "row.company", F.struct("_p", "_r").alias("ordinal")).where((F.col("name") != "") & (F.col("company") != "") & ~contains_any(F.col("name"), skip))
 
 
 def candidates(pages: DataFrame, *, key_cols: list[str], html_col: str = "html") -> DataFrame:

@@ -14,7 +14,8 @@ def query_values(url: Column, name: str) -> Column:
     query = F.when(F.instr(bare, "?") > 0, F.regexp_replace(bare, r"(?s)^[^?]*\?", "")).otherwise(F.lit(""))
     pairs = F.filter(F.split(query, "&"), lambda p: F.startswith(p, F.lit(f"{name}=")) & (F.length(p) > len(name) + 1))
     raw = F.transform(pairs, lambda p: F.substring(p, len(name) + 2, 1_000_000_000))
-    return F.transform(raw, lambda v: F.coalesce(F.try_url_decode(v), F.replace(v, F.lit("+"), F.lit(" "))))
+    # A percent sign without two hexadecimal digits stands for itself; the rest of the value is decoded all the same.
+    return F.transform(raw, lambda v: F.url_decode(F.regexp_replace(v, "%(?![0-9A-Fa-f]{2})", "%25")))
 
 
 def infohash_to_base32(hex40: Column) -> Column:

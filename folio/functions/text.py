@@ -66,11 +66,13 @@ def before_plus(name: Column) -> Column:
 
 #: Symbols that comparison drops (fixed values).
 DROPPED_SYMBOLS = "・♡❤♥~～！："
+#: A file size (fixed value).
+SIZE = r"\s*\d+(?:\.\d+)?\s*(?:kb|mb|gb|tb)\s*"
 #: Parts that comparison drops, in this order (fixed values): disc numbers, long numeric tags, sizes, patches, extras.
 DROPPED_PARTS = [
     r"\b(disc|disk)\s*\d+\b",
     r"\[(\d{7,})\]",
-    r"\[\s*\d+(?:\.\d+)?\s*(?:kb|mb|gb|tb)\s*\]",
+    rf"\[{SIZE}\]",
     r"\b(?:crack|patch|update)\b",
     r"\bmini\s*adv\b",
 ]
@@ -93,7 +95,7 @@ def search_keyword(title: Column) -> Column:
     name = from_first_bracket(strip(title))
     tags = F.transform(F.regexp_extract_all(name, F.lit(r"\[([^\]]+)\]"), F.lit(1)), strip)
     date = F.get(F.filter(tags, lambda t: t.rlike(r"(?U)^\d{6}$")), 0)
-    other = F.get(F.filter(tags, lambda t: ~t.rlike(r"(?U)^\d{6,}$") & ~F.lower(t).rlike(r"(?U)^\s*\d+(?:\.\d+)?\s*(?:kb|mb|gb|tb)\s*$")), 0)
+    other = F.get(F.filter(tags, lambda t: ~t.rlike(r"(?U)^\d{6,}$") & ~F.lower(t).rlike(f"(?U)^{SIZE}$")), 0)
     bracketed = lambda x: F.concat(F.lit("["), x, F.lit("]"))
     return (
         F.when(date.isNotNull() & other.isNotNull(), F.concat_ws(" ", bracketed(date), bracketed(other)))

@@ -32,43 +32,47 @@ def save_path(root: str, year: Column) -> Column:
     return F.concat(F.lit(f"{root.rstrip('/')}/"), year.cast("string"))
 
 
+def epoch_seconds(at: Column) -> Column:
+    """Whole seconds since 1970 of a timestamp, as status rows carry them."""
+    return F.unix_timestamp(at)
+
+
 def run_id(*parts: Column) -> Column:
     return F.concat_ws(":", *(p.cast("string") for p in parts))
 
 
 def _first(value, keys: Sequence[str], fits):
     """Depth first: the given keys of an object in their order, then its values; lists item by item."""
-    if isinstance(value, dict):
-        for k in keys:
-            found = fits(value.get(k))
-            if found is not None:
-                return found
-        inner = list(value.values())
-    elif isinstance(value, list):
-        inner = value
-    else:
-        return None
-    for v in inner:
-        found = _first(v, keys, fits)
-        if found is not None:
-            return found
+    todo = [value]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, dict):
+            for k in keys:
+                found = fits(item.get(k))
+                if found is not None:
+                    return found
+            item = list(item.values())
+        if isinstance(item, list):
+            todo += reversed(item)
     return None
 
 
-def _text(v):
+def _words(v):
     return v.strip() if isinstance(v, str) and v.strip() else None
 
 
 def _number(v):
-    if isinstance(v, int):
-        return int(v)
-    return int(v.strip()) if isinstance(v, str) and v.strip().isdecimal() else None
+    """Whole numbers of up to 64 bits; larger ones are passed over."""
+    if isinstance(v, str) and v.strip().isdecimal() and len(v.strip()) <= 4000:
+        v = int(v.strip())
+    return int(v) if isinstance(v, int) and -(1 << 63) <= v < 1 << 63 else None
 
 
 def _loads(raw):
+    """The value of a JSON text; malformed text, and text nested too deep for the parser, has none."""
     try:
         return json.loads(raw) if raw is not None else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
@@ -79,13 +83,13 @@ def first_text(col: Column, keys: Sequence[str]) -> Column:
 
     @F.pandas_udf("string")
     def run(raw: pd.Series) -> pd.Series:
-        return pd.Series([_first(_loads(x), keys, _text) for x in raw], dtype=object)
+        return pd.Series([_first(_loads(x), keys, _words) for x in raw], dtype=object)
 
     return run(col)
 
 
 def first_int(col: Column, keys: Sequence[str]) -> Column:
-    """The first whole number, or text of digits, under any of the keys at any depth."""
+    """The first whole number, or text of digits, under any of the keys at any depth; numbers of more than 64 bits are passed over."""
     ship_package()
     keys = list(keys)
 

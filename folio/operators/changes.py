@@ -32,12 +32,23 @@ def insert_counts(existing: DataFrame, batch: DataFrame, keys: Sequence[str] = K
     return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fetched"), F.coalesce(F.sum(inserted), F.lit(0)).alias("inserted")).withColumn("skipped", F.col("fetched") - F.col("inserted"))
 
 
-def update_rows(df: DataFrame, patch: DataFrame, fields: Sequence[str], keys: Sequence[str] = KEY) -> DataFrame:
+def _one_patch(patch: DataFrame, fields: Sequence[str], keys: Sequence[str], ordinal: str | None) -> DataFrame:
+    """One row per key: of each field the last value that is not null."""
+    if ordinal is None:
+        last = [F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a key has several patches; their order must be named"))).otherwise(F.first(f"new_{f}")).alias(f"new_{f}") for f in fields]
+    else:
+        last = [F.max_by(f"new_{f}", F.when(F.col(f"new_{f}").isNotNull(), F.struct(ordinal, f"new_{f}"))).alias(f"new_{f}") for f in fields]
+    return patch.groupBy(*keys).agg(*last)
+
+
+def update_rows(df: DataFrame, patch: DataFrame, fields: Sequence[str], keys: Sequence[str] = KEY, ordinal: str | None = None) -> DataFrame:
     """Each patch row has the keys and ``new_<field>``; null leaves a field as it is, an empty text is a value.
 
-    Keys may change; call :func:`collisions` first to see whether that makes two rows one.
+    Several patches of one key apply in the order of ``ordinal`` (equal ordinals by value), as if one
+    after the other; without ``ordinal`` they fail the job.  A row of ``df`` stays one row.  Keys may
+    change; call :func:`collisions` first to see whether that makes two rows one.
     """
-    new = patch.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(f"new_{f}") for f in fields))
+    new = _one_patch(patch, fields, keys, ordinal).select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(f"new_{f}") for f in fields))
     on = F.lit(True)
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
@@ -62,7 +73,29 @@ def delete_rows(df: DataFrame, keys_df: DataFrame, keys: Sequence[str] = KEY) ->
     return df.join(keys_df.select(*keys), list(keys), "left_anti")
 
 
-def set_downloaded(df: DataFrame, marks: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+def set_downloaded(df: DataFrame, marks: DataFrame, keys: Sequence[str] = KEY, ordinal: str | None = None) -> DataFrame:
     """Marks have the keys, ``new_downloaded`` and ``new_infohash_hex``; an empty hash leaves the old one."""
     marks = marks.withColumn("new_infohash_hex", F.nullif("new_infohash_hex", F.lit("")))
-    return update_rows(df, marks, ["downloaded", "infohash_hex"], keys)
+    return update_rows(df, marks, ["downloaded", "infohash_hex"], keys, ordinal)
+
+
+#: Fields of an edit that an empty text leaves as they are, and those that it empties.
+KEPT_WHEN_EMPTY, EMPTIED = ["date", "name", "company"], ["link", "match_name"]
+
+
+def edits_as_patch(edits: DataFrame) -> DataFrame:
+    """The patch of edit requests: ``date``, ``old_name`` and any of ``new_date``, ``new_name``, ``new_company``, ``new_link``, ``new_match_name``, ``new_downloaded``.
+
+    An empty date, name or company is not supplied; an empty link or match name is a value; a
+    ``new_downloaded`` that is not null becomes 0 or 1.  Further columns (an ordinal) stay.
+    """
+    kept = {f"new_{f}": F.nullif(F.col(f"new_{f}"), F.lit("")) for f in KEPT_WHEN_EMPTY if f"new_{f}" in edits.columns}
+    if "new_downloaded" in edits.columns:
+        kept["new_downloaded"] = (F.col("new_downloaded") != 0).cast("int")
+    return edits.withColumns(kept).withColumnRenamed("old_name", "name")
+
+
+def edit_rows(df: DataFrame, edits: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """``df`` after the edits of :func:`edits_as_patch`."""
+    patch = edits_as_patch(edits)
+    return update_rows(df, patch, [f for f in [*KEPT_WHEN_EMPTY, *EMPTIED, "downloaded"] if f"new_{f}" in patch.columns], KEY, ordinal)

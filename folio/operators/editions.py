@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 from folio.functions.text import longest_first, normalize_name, remove_literals
 
 
-def dedup_editions(items: DataFrame, literals: Sequence[str] = (), *, group: str = "date", name: str = "name", company: str = "company", ordinal: str = "ordinal") -> DataFrame:
-    """group, name (cleaned), company of the accepted items.  ``ordinal`` is the input order, unique in a group."""
+def dedup_editions(items: DataFrame, literals: Sequence[str] = (), *, group: str = "date", name: str = "name", company: str = "company", ordinal: str = "ordinal", ordered: bool = False) -> DataFrame:
+    """group, name (cleaned), company of the accepted items, with ``ordered`` by group and name.
+
+    ``ordinal`` is the input order, unique in a group; any type with an order will do.  The key's
+    prefixes join the first positions of whole keys, one row each, so a first word that very many keys
+    share makes no large group on that side.
+    """
     literals = longest_first(literals)
     cleaned = items.select(F.col(group).alias("_g"), remove_literals(F.col(name), literals).alias("_n"), F.col(company).alias("_c"), F.col(ordinal).alias("_o"))
     keyed = cleaned.withColumn("_k", normalize_name(F.col("_n"), literals))
@@ -30,4 +35,5 @@ def dedup_editions(items: DataFrame, literals: Sequence[str] = (), *, group: str
     chain = known.groupBy("_g", "_key").agg(F.array_sort(F.collect_list(F.struct("i", "f"))).alias("chain"))
     kind = first.schema["f"].dataType.simpleString()
     accepted = F.aggregate("chain", F.lit(None).cast(kind), lambda t, x: F.when(x["f"].isNotNull() & (t.isNull() | (t > x["f"])), x["f"]))
-    return chain.select("_g", accepted.alias("t")).where("t IS NOT NULL").select(F.col("_g").alias(group), F.col("t.n").alias(name), F.col("t.c").alias(company))
+    out = chain.select("_g", accepted.alias("t")).where("t IS NOT NULL").select(F.col("_g").alias(group), F.col("t.n").alias(name), F.col("t.c").alias(company))
+    return out.orderBy(group, name) if ordered else out

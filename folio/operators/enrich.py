@@ -18,6 +18,12 @@ def tier(name: Column, month: Column, tags: Sequence[str]) -> Column:
     return out
 
 
+def month_before_tag(name: Column, month: Column, tag: str) -> Column:
+    """The tiers of the variant that narrows to the month first, if any candidate has it, and prefers the tag among what is left."""
+    has_month, has_tag = F.contains(name, month), F.contains(name, F.lit(tag))
+    return F.when(has_month & has_tag, 1).when(has_month, 2).when(has_tag, 3).otherwise(4)
+
+
 def best_candidates(rows: DataFrame, keys: Sequence[str], tier_col: Column, date: Column, ties: Sequence[str], values: Sequence[str], link: str = "link", last_tier: int | None = None) -> DataFrame:
     """Per key the candidate of the least tier, newest first (no date last), then by ``ties``; in ``last_tier`` its link is cleared.
 

@@ -11,17 +11,20 @@ from folio.functions.html import listings
 from folio.functions.magnet import parse_magnet, with_mismatch
 from folio.functions.text import hyphens_to_spaces, month_tag, without_hyphens, words_only
 from folio.operators.catalog import has_link
-from folio.operators.changes import insert_counts, insert_or_ignore, update_rows
+from folio.operators.changes import insert_counts, insert_or_ignore
 from folio.operators.editions import dedup_editions
 from folio.operators.enrich import best_candidates, lookup_with_fallback, tier
 from folio.sources.catalog import KEY
 
 
 def ingest(catalog: DataFrame, pages: DataFrame, skip: Sequence[str] = (), delete: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """The catalog with the new items of listing pages (date, html), and one row of counts."""
+    """The catalog with the new items of listing pages (date, html, and where a date has several pages their order ``page``), and one row of counts.
+
+    The run is a success if it fetched anything, whether or not that was new.
+    """
     found = listings(pages, list(skip))
     items = dedup_editions(found, delete).withColumn("ordinal", F.length("name"))
-    return insert_or_ignore(catalog, items), insert_counts(catalog, items)
+    return insert_or_ignore(catalog, items), insert_counts(catalog, items).withColumn("success", F.col("fetched") > 0)
 
 
 def with_search_keys(catalog: DataFrame) -> DataFrame:
@@ -35,15 +38,23 @@ def enrich(catalog: DataFrame, candidates: DataFrame, tags: Sequence[str] = ())
 
     ``candidates`` has ``query``, name, link, size, date (timestamp) and ordinal.  The relaxed query
     counts only for items whose own query has no candidate.  Without a candidate of the month the
-    newest one is noted without its link.
+    newest one is noted without its link; without any, size, link, match_name and comment become null.
     """
-    open_rows = with_search_keys(catalog.where(~has_link(F.col("link"))).select("date", "name", "company"))
+    open_catalog = catalog.where(~has_link(F.col("link")))
+    open_rows = with_search_keys(open_catalog.select("date", "name", "company"))
     keyed = open_rows.select(F.xxhash64("date", "name").alias("item"), F.col("date").alias("item_date"), F.col("name").alias("item_name"), "search", "relaxed")
     c = candidates.select("query", F.col("name").alias("new_match_name"), F.col("link").alias("new_link"), F.col("size").alias("new_size"), F.col("date").alias("released"), "ordinal")
     rows = lookup_with_fallback(keyed, c.withColumnRenamed("query", "search"), c.withColumnRenamed("query", "relaxed"), ["search"], ["relaxed"], "item")
     chosen = best_candidates(rows, ["item_date", "item_name"], tier(F.col("new_match_name"), month_tag(F.col("item_date")), tags), F.col("released"), ["ordinal"], ["new_match_name", "new_link", "new_size"], link="new_link", last_tier=len(tags) + 2)
-    patch = chosen.select(F.col("item_date").alias("date"), F.col("item_name").alias("name"), "new_size", "new_link", "new_match_name")
-    return update_rows(catalog, patch, ["size", "link", "match_name"], KEY)
+    patch = chosen.select(F.col("item_date").alias("date"), F.col("item_name").alias("name"), "new_size", "new_link", "new_match_name", F.lit(True).alias("_any"))
+    joined = open_catalog.join(patch, KEY, "left")
+    filled = {"size": F.col("new_size"), "link": F.col("new_link"), "match_name": F.col("new_match_name"), "comment": F.when(F.col("_any"), F.col("comment"))}
+    return catalog.where(has_link(F.col("link"))).unionByName(joined.select(*(filled.get(c, F.col(c)).alias(c) for c in catalog.columns)))
+
+
+def answers(requests: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """One JSON text per request line (``value``: a JSON object with ``magnet``); a line that is no such object asks for a null link."""
+    return magnet_report(requests.select(F.get_json_object("value", "$.magnet").alias("magnet")), metadata)
 
 
 def magnet_report(requests: DataFrame, metadata: DataFrame | None = None, magnet: str = "magnet") -> DataFrame:

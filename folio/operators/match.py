@@ -1,9 +1,11 @@
 """Matching titles with file lists by containment, without comparing every pair.
 
-``a in b`` for a name of three words or more: its inner words are whole words of b, so its longest
-inner word is an equality key.  Shorter names are found by their first three characters among the
-character triples of b, and names below three characters by themselves.  Every candidate is then
-checked, so the result is exactly the containment join.
+If a needle of three words or more is part of a text, its inner words are whole words of that text; the
+one that the fewest texts have is its key.  The longest word of a shorter needle is part of a word of
+the text; those words are found in the vocabulary of all texts by the rarest of its character triples,
+and are its keys.  Only ids and single words are exploded and shuffled; a word that very many texts have
+is dealt out in slices.  The texts are joined to the candidates that are left, and checked, so the
+result is exactly the containment join.
 """
 
 from __future__ import annotations
@@ -12,26 +14,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import before_plus, comparable, from_first_bracket, search_keyword, strip
+from folio.sources.staging import staged
+
+#: Words that at least this part of all (text, word) rows have are dealt out; there can be no more of them than its inverse.
+HEAVY_PART = 1 / 200
+#: Rows of a gram table that may be sent to every task; beyond it the join is shuffled.
+BROADCAST_ROWS = 200_000
+#: Stands for needles of nothing but spaces: every text with a space has it.  No word is like it, as words have no spaces.
+_BLANK = " "
+
+
+def _words(text: Column) -> Column:
+    """Distinct words between single spaces (empty ones, too), and the mark of a text with a space."""
+    return F.array_distinct(F.concat(F.split(text, " "), F.when(F.contains(text, F.lit(" ")), F.array(F.lit(_BLANK))).otherwise(F.array().cast("array<string>"))))
+
+
+def _grams(word: Column) -> Column:
+    """All runs of one to three characters, in time proportional to the word."""
+
+    def runs(chars: Column) -> Column:
+        near = lambda i, k: F.get(chars, i + k)
+        return F.flatten(F.transform(chars, lambda c, i: F.array(c, F.concat(c, near(i, 1)), F.concat(c, near(i, 1), near(i, 2)))))
+
+    # Inside a lambda an expression is evaluated for each element, so the characters are bound to a variable first.
+    return F.array_distinct(F.array_compact(F.transform(F.array(F.split(word, "")), runs)[0]))
+
+
+def _dealt_join(postings: DataFrame, wanted: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """``postings`` and ``wanted`` on ``_k``; rows of heavy words are dealt by a hash of their text, and what wants them goes to each slice."""
+    heavy = F.broadcast(counts.where(F.col("df") >= HEAVY_PART * total).select("_k", F.ceil(F.col("df") / (HEAVY_PART * total)).cast("int").alias("_m")))  # at most 1 / HEAVY_PART rows
+    m = F.coalesce("_m", F.lit(1))
+    left = postings.join(heavy, "_k", "left").withColumn("_s", F.pmod(F.xxhash64("_b"), m).cast("int")).drop("_m")
+    right = wanted.join(heavy, "_k", "left").withColumn("_s", F.explode(F.sequence(F.lit(0), m - 1))).drop("_m")
+    return left.join(right, ["_k", "_s"]).drop("_s")
+
+
+def _words_with(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``_h``, ``_k``: the words of the vocabulary that have the part ``_e``, found by its gram that the fewest words have."""
+    grams = counts.select("_k", F.explode(_grams(F.col("_k"))).alias("_g"))
+    often = staged(grams.groupBy("_g").agg(F.count(F.lit(1)).alias("gf")), "grams")
+    often = F.broadcast(often) if often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else often
+    own = F.filter(_grams(F.col("_e")), lambda g: F.length(g) == F.least(F.lit(3), F.length("_e")))
+    rarest = parts.select("_h", "_e", F.explode(own).alias("_g")).join(often, "_g").groupBy("_h").agg(F.min_by(F.struct("_g", "_e"), F.struct("gf", "_g")).alias("r"))
+    return rarest.select("_h", "r.*").join(grams, "_g").where(F.contains("_k", "_e")).select("_h", "_k")
 
 
 def contained_in(needles: DataFrame, hay: DataFrame, needle: str, text: str, keys: tuple[str, str]) -> DataFrame:
-    """Pairs of keys (needle's, text's) where the non-empty needle is part of the text."""
-    n = needles.select(F.col(keys[0]).alias("_a"), F.col(needle).alias("_n")).where(F.col("_n") != "").withColumn("_w", F.split("_n", " "))
-    inner = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))
-    anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
-    by_word = n.where(F.coalesce(F.length(anchor), F.lit(0)) > 0).select("_a", "_n", anchor.alias("_k"))
-    by_gram = n.where(F.coalesce(F.length(anchor), F.lit(0)) == 0).select("_a", "_n", F.substring("_n", 1, 3).alias("_k"))
+    """Distinct pairs of keys (needle's, text's) where the non-empty needle is part of the text; nulls are part of nothing."""
+    n = needles.select(F.col(keys[0]).alias("_a"), F.col(needle).alias("_n")).where(F.col("_n") != "")
     h = hay.select(F.col(keys[1]).alias("_b"), F.col(text).alias("_t")).where(F.col("_t") != "")
-    words = h.select("_b", "_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("_k"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.array(*(F.substring(F.col("_t"), i, F.lit(k)) for k in (1, 2, 3)))))
-    pieces = h.select("_b", "_t", F.explode(F.array_distinct(grams)).alias("_k"))
-    hits = by_word.join(words, "_k").where(F.contains("_t", "_n")).select("_a", "_b")
-    short = by_gram.join(pieces, "_k").where(F.contains("_t", "_n")).select("_a", "_b")
-    return hits.unionByName(short).distinct().select(F.col("_a").alias(keys[0]), F.col("_b").alias(keys[1]))
+    postings = h.select("_b", F.explode(_words(F.col("_t"))).alias("_k"))
+    counts = staged(postings.groupBy("_k").agg(F.count(F.lit(1)).alias("df")), "words")
+    total = counts.agg(F.sum("df").alias("n")).first()["n"] or 1
+    longest_text = h.agg(F.max(F.length("_t")).alias("n")).first()["n"] or 0
+    # Equal needles are sought once; one longer than every text is part of none.
+    texts = n.where(F.length("_n") <= longest_text).select("_n").distinct().select("_n", F.struct(F.xxhash64("_n"), F.xxhash64("_n", F.lit(1))).alias("_h"), F.split("_n", " ").alias("_w"))
+    inner = F.filter(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: w != "")
+    by_word = texts.where(F.size(inner) > 0).select("_h", F.explode(F.array_distinct(inner)).alias("_k")).join(counts, "_k").groupBy("_h").agg(F.min_by("_k", F.struct("df", "_k")).alias("_k"))
+    longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    edges = texts.where(F.size(inner) == 0).select("_h", longest.alias("_e"))
+    blank = edges.where(F.col("_e") == "").select("_h", F.lit(_BLANK).alias("_k"))
+    wanted = by_word.select("_h", "_k").unionByName(blank)
+    edges = staged(edges.where(F.col("_e") != ""), "edges")
+    if edges.limit(1).count():
+        wanted = wanted.unionByName(_words_with(edges, counts))
+
+    pairs = _dealt_join(postings, wanted, counts, total).select("_h", "_b").distinct()
+    found = pairs.join(texts.select("_h", "_n"), "_h").join(h, "_b").where(F.contains("_t", "_n")).select("_n", "_b")
+    return n.join(found, "_n").select(F.col("_a").alias(keys[0]), F.col("_b").alias(keys[1])).distinct()
 
 
 def containment_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, keys: tuple[str, str]) -> DataFrame:
-    """Pairs of keys where either name contains the other, both non-empty."""
+    """Pairs of keys where either name contains the other, both non-empty; both tables are read once and kept."""
+    left, right = (staged(df.select(key, name), "names") for df, key, name in ((left, keys[0], left_name), (right, keys[1], right_name)))
     forth = contained_in(left, right, left_name, right_name, keys)
     back = contained_in(right, left, right_name, left_name, (keys[1], keys[0])).select(*keys)
     return forth.unionByName(back).distinct()
@@ -53,14 +108,18 @@ def match_existing(magnets: DataFrame, files: DataFrame, tasks: DataFrame) -> Da
     """
     dn = F.coalesce("dn", F.lit(""))
     m = magnets.select("magnet_id", "magnet", dn.alias("dn"), "infohash_hex", search_keyword(dn).alias("keyword"), comparable(dn).alias("_norm"))
+    m = staged(m, "magnets")
     code = F.coalesce(F.get(F.regexp_extract_all("dn", F.lit(r"\[(\d{6})\]"), F.lit(1)), 0), F.lit(""))
     title = F.when(F.length(_title(F.col("dn"))) >= 3, F.substring(_title(F.col("dn")), 1, 20)).otherwise(F.lit(""))
-    searches = m.where("dn <> ''").select("magnet_id", F.posexplode(F.array("keyword", code, title)).alias("level", "word"))
-    searches = searches.select(F.concat_ws("\x00", F.col("magnet_id").cast("string"), "level").alias("search"), "magnet_id", "level", "word")
-    found = contained_in(searches, files, "word", "file_name", ("search", "file_id")).join(searches.select("search", "magnet_id", "level"), "search")
-    least = found.groupBy("magnet_id").agg(F.min("level").alias("level"))
-    level_hits = found.join(least, ["magnet_id", "level"]).select("magnet_id", "file_id").distinct()
-    names = files.select("file_id", "file_name", comparable(F.col("file_name")).alias("_file"))
+    short = F.expr("substring(keyword, 1, greatest(8, cast(floor(length(keyword) / 3) as int)))")
+    # All searches of all magnets are one containment join: levels 0 to 2 in turn, 3 by the hash, 4 for low confidence.
+    words = F.array("keyword", code, title, F.coalesce(F.substring("infohash_hex", 1, 12), F.lit("")), short)
+    searches = m.where("dn <> ''").select("magnet_id", F.posexplode(words).alias("level", "word")).where("word <> ''")
+    searches = staged(searches.select(F.struct("magnet_id", "level").alias("search"), "word"), "searches")
+    names = staged(files.select("file_id", "file_name", comparable(F.col("file_name")).alias("_file")), "names")
+    found = staged(contained_in(searches, names, "word", "file_name", ("search", "file_id")).select("search.magnet_id", "search.level", "file_id"), "found")
+    least = found.where("level < 3").groupBy("magnet_id").agg(F.min("level").alias("level"))
+    level_hits = found.join(least, ["magnet_id", "level"]).select("magnet_id", "file_id")
     either = (F.col("_norm") != "") & (F.col("_file") != "") & (F.contains("_norm", "_file") | F.contains("_file", "_norm"))
     check = lambda hits: hits.join(m.select("magnet_id", "_norm"), "magnet_id").join(names, "file_id").where(either).select("magnet_id", "file_id", "file_name")
     matched = check(level_hits)
@@ -69,12 +128,11 @@ def match_existing(magnets: DataFrame, files: DataFrame, tasks: DataFrame) -> Da
     links = m.select("magnet_id", F.explode(F.array(F.lower("magnet"), F.coalesce("infohash_hex", F.lit("")))).alias("part"))
     in_tasks = contained_in(links, lowered, "part", "_url", ("magnet_id", "task_id")).select("magnet_id").distinct().withColumn("in_tasks", F.lit(True))
 
-    open_hash = m.where("dn <> '' AND infohash_hex IS NOT NULL").join(matched.select("magnet_id").distinct(), "magnet_id", "left_anti").join(in_tasks, "magnet_id", "left_anti")
-    by_hash = check(contained_in(open_hash.withColumn("prefix", F.substring("infohash_hex", 1, 12)), files, "prefix", "file_name", ("magnet_id", "file_id")))
+    by_hash = check(found.where("level = 3").select("magnet_id", "file_id"))
+    by_hash = by_hash.join(matched.select("magnet_id").distinct(), "magnet_id", "left_anti").join(in_tasks.select("magnet_id"), "magnet_id", "left_anti")
     all_matched = matched.unionByName(by_hash).distinct().groupBy("magnet_id").agg(F.array_sort(F.collect_list("file_name")).alias("matched_files"))
 
-    wide = m.where("dn <> ''").select("magnet_id", F.expr("substring(keyword, 1, greatest(8, cast(floor(length(keyword) / 3) as int)))").alias("short"))
-    low = contained_in(wide, files, "short", "file_name", ("magnet_id", "file_id")).select("magnet_id").distinct().withColumn("_low", F.lit(True))
+    low = found.where("level = 4").select("magnet_id").distinct().withColumn("_low", F.lit(True))
     out = m.select("magnet_id").join(all_matched, "magnet_id", "left").join(in_tasks, "magnet_id", "left").join(low, "magnet_id", "left")
     exists = F.col("matched_files").isNotNull() | F.col("in_tasks").isNotNull()
     return out.select(

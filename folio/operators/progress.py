@@ -31,6 +31,13 @@ def run_summary(months: DataFrame, ok: str = "ok") -> DataFrame:
 
 
 def check_summary(results: DataFrame, most_errors: int = 10) -> DataFrame:
-    """One row of a verification run: checked, found, and the first errors by name."""
-    least = F.slice(F.array_sort(F.collect_list("error")), 1, most_errors)
-    return results.agg(F.count(F.lit(1)).alias("checked"), F.count_if("exists").alias("found_downloaded"), least.alias("errors"))
+    """One row of a verification run: checked, found, and the first errors by name.
+
+    The errors come from an ordered limit, so no task or row ever holds more than ``most_errors`` of them.
+    """
+    none = F.array().cast("array<string>")
+    counts = results.agg(F.count(F.lit(1)).alias("checked"), F.count_if("exists").alias("found_downloaded")).withColumn("errors", none)
+    first = results.where("error IS NOT NULL").select("error").orderBy("error").limit(most_errors).agg(F.array_sort(F.collect_list("error")).alias("errors"))
+    zero = F.lit(0).cast("long")
+    both = counts.unionByName(first.select(zero.alias("checked"), zero.alias("found_downloaded"), "errors"))
+    return both.agg(F.sum("checked").alias("checked"), F.sum("found_downloaded").alias("found_downloaded"), F.flatten(F.collect_list("errors")).alias("errors"))

@@ -24,13 +24,27 @@ def _before_plus(x: str) -> str:
     return f"regexp_replace({x}, '(?s)\\s*\\+.*$', '')"
 
 
+#: Characters that end a word: RE2's own word boundary knows ASCII only.
+_EDGE = "[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\x{200c}\\x{200d}]"
+_SPACE = "[\\s\\x0b\\x85\\p{Z}]"
+
+
 def _comparable(x: str) -> str:
-    """The comparison form of an ASCII name."""
-    out = f"lower({_before_plus(_FROM_BRACKET.format(x=_strip(x)))})"
-    out = f"replace({out}, '~', '')"
-    for part in (r"\b(disc|disk)\s*\d+\b", r"\[(\d{7,})\]", r"\[\s*\d+(?:\.\d+)?\s*(?:kb|mb|gb|tb)\s*\]", r"\b(?:crack|patch|update)\b", r"\bmini\s*adv\b"):
-        out = f"regexp_replace({out}, '{part}', '', 'g')"
-    return _strip(f"regexp_replace({out}, '[\\s\\-_.]+', ' ', 'g')")
+    """The comparison form of a name.  A dropped word takes the characters around it as groups and puts them back; two passes find words that share one."""
+    strip = lambda y: f"regexp_replace({y}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+    out = _FROM_BRACKET.format(x=strip(x))
+    out = f"lower(regexp_replace({out}, '(?s){_SPACE}*\\+.*$', ''))"
+    out = f"translate({out}, '・♡❤♥~～！：', '')"
+    around = lambda y, word: f"regexp_replace({y}, '(^|{_EDGE}){word}($|{_EDGE})', '\\1\\2', 'g')"
+    without = lambda y, part: f"regexp_replace({y}, '{part}', '', 'g')"
+    for _ in range(2):
+        out = around(out, f"(?:disc|disk){_SPACE}*\\p{{Nd}}+")
+    out = without(out, "\\[\\p{Nd}{7,}\\]")
+    out = without(out, f"\\[{_SPACE}*\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?{_SPACE}*(?:kb|mb|gb|tb){_SPACE}*\\]")
+    for word in ("(?:crack|patch|update)", f"mini{_SPACE}*adv"):
+        for _ in range(2):
+            out = around(out, word)
+    return strip(f"regexp_replace({out}, '(?:{_SPACE}|[-_.])+', ' ', 'g')")
 
 
 _KEYWORDS = f"""n AS (SELECT *, {_FROM_BRACKET.format(x="dn")} AS name FROM t),
@@ -40,6 +54,29 @@ k AS (SELECT *, list_filter(tags, lambda x: regexp_full_match(x, '\\d{{6}}'))[1]
 w AS (SELECT *, CASE WHEN d IS NOT NULL AND o IS NOT NULL THEN '[' || d || '] [' || o || ']' WHEN d IS NOT NULL THEN '[' || d || ']'
                      WHEN o IS NOT NULL THEN '[' || o || ']' ELSE substr(trim({_before_plus("name")}), 1, 30) END AS keyword FROM k)"""
 
+_PAGE = _CATALOG + "SELECT substr(date, 1, 4)::INT AS year, substr(date, 6, 2)::INT AS month, name, company, link AS download_url, NULL::VARCHAR AS match_name, comment, coalesce(downloaded, 0) AS downloaded FROM cat "
+
+_SHIPPED = """
+WITH c AS (
+  SELECT p_partkey, 'm' || strftime(l_shipdate, '%m') || ' ' || l_returnflag AS name, 'm' || lpad((p_size %% 12 + 1)::VARCHAR, 2, '0') AS month, l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, 'link ' || l_orderkey AS link
+  FROM part JOIN lineitem ON p_partkey = l_partkey),
+t AS (SELECT *, {tier} AS tier FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier, l_shipdate DESC NULLS LAST, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS rn FROM t)
+SELECT p_partkey, tier, name, l_orderkey, link FROM r WHERE rn = 1""".replace("%%", "%")
+
+_INGEST = """
+WITH RECURSIVE items AS (
+  SELECT p_partkey AS o, '2001-' || lpad((p_size % 12 + 1)::VARCHAR, 2, '0') AS date, array_to_string((string_split(p_name || ' ' || p_type, ' '))[1:p_size % 3 + 1], ' ') AS name, 'm' || (p_size % 5) AS company FROM part),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY company, length(name), o) AS pos FROM items WHERE NOT (contains(name, 'ring') OR contains(name, 'gear'))),
+keys AS (SELECT date, name AS k, regexp_replace(name, ' [^ ]*$', '') AS parent, min(pos) AS f FROM ranked GROUP BY date, name),
+walk AS (
+  SELECT a.date, a.k, a.f AS t FROM keys a LEFT JOIN keys b ON a.date = b.date AND b.k = a.parent AND a.parent <> a.k WHERE b.k IS NULL
+  UNION ALL
+  SELECT c.date, c.k, CASE WHEN w.t IS NULL OR w.t > c.f THEN c.f END FROM walk w JOIN keys c ON c.date = w.date AND c.parent = w.k AND c.k <> w.k),
+fresh AS (SELECT r.date, r.name, r.company FROM walk w JOIN ranked r ON r.date = w.date AND r.pos = w.t),
+old AS (SELECT date, name, min(company) AS company FROM items WHERE o % 9 = 0 GROUP BY ALL)
+"""
+
 ORACLES = {
     "catalog_listing": _CATALOG + "SELECT substr(date, 1, 4) AS year, substr(date, 6, 2) AS month, name, company, link AS download_url, NULL::VARCHAR AS match_name, comment, coalesce(downloaded, 0) AS downloaded, NULL::VARCHAR AS infohash_hex FROM cat",
     "catalog_years": _CATALOG + "SELECT DISTINCT substr(date, 1, 4)::INT AS year FROM cat",
@@ -73,9 +110,9 @@ WITH old AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAM
      fresh AS (SELECT DISTINCT * FROM batch EXCEPT SELECT * FROM old)
 SELECT (SELECT count(*) FROM batch) AS fetched, (SELECT count(*) FROM fresh) AS inserted, (SELECT count(*) FROM batch) - (SELECT count(*) FROM fresh) AS skipped""",
     "partial_update": """
-WITH p AS (SELECT o_custkey, max(o_orderstatus) AS s, max(o_totalprice) AS p FROM orders GROUP BY o_custkey)
-SELECT c_custkey, c_name, c_nationkey, CASE WHEN p.p > 400000 THEN p.p ELSE c_acctbal END AS c_acctbal,
-       CASE p.s WHEN 'P' THEN '' WHEN 'O' THEN 'OPEN' ELSE c_mktsegment END AS c_mktsegment
+WITH p AS (SELECT o_custkey, arg_max(CASE o_orderstatus WHEN 'P' THEN '' WHEN 'O' THEN 'OPEN' END, o_orderkey) FILTER (o_orderstatus IN ('P', 'O')) AS s,
+                  arg_max(o_totalprice, o_orderkey) FILTER (o_totalprice > 300000) AS p FROM orders GROUP BY o_custkey)
+SELECT c_custkey, c_name, c_nationkey, coalesce(p.p, c_acctbal) AS c_acctbal, coalesce(p.s, c_mktsegment) AS c_mktsegment
 FROM customer LEFT JOIN p ON c_custkey = o_custkey""",
     "delete_by_key": "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "tiered_top1": """
@@ -100,7 +137,8 @@ UNION ALL SELECT s_suppkey, 2, b.n, b.least FROM i JOIN b USING (nation) WHERE N
     + ", ".join(f"nullif(url_decode(replace(regexp_extract(q, '(?:^|&){n}=([^&]+)', 1), '+', ' ')), '') AS {n}" for n in ("page", "ref", "utm_source"))
     + " FROM q",
     "magnet_parts": "SELECT p_partkey, true AS ok, upper(sha1(p_name || '|' || p_partkey)) AS btih, p_name AS dn, 'udp://t' || p_size AS trackers, sha1(p_name || '|' || p_partkey) AS infohash_hex, '' AS errors FROM part",
-    "compare_normalize": f"SELECT doc_id, {_comparable('text')} AS name FROM documents WHERE strlen(text) = length(text)",
+    "compare_normalize": f"SELECT doc_id, {_comparable('text')} AS name FROM documents",
+    "compare_normalize_all": f"SELECT doc_id, {_comparable('text')} AS name FROM documents",
     "bracket_keyword": f"WITH t AS ({_TITLES}), {_KEYWORDS} SELECT p_partkey, keyword FROM w",
     "existence_confidence": f"""
 WITH t AS ({_TITLES}), {_KEYWORDS},
@@ -137,4 +175,57 @@ FROM m LEFT JOIN every ON m.id = every.id LEFT JOIN tasked ON m.id = tasked.id L
     "json_first_key": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS found FROM events",
     "additive_schema": "SELECT c_name AS name, c_mktsegment AS company, NULL::VARCHAR AS link, NULL::VARCHAR AS match_name, 0 AS downloaded, NULL::VARCHAR AS infohash_hex FROM customer",
     "duplicate_links": "SELECT doc_id, uses FROM (SELECT doc_id, text, count(*) OVER (PARTITION BY text) AS uses FROM documents WHERE text <> '') WHERE uses > 1",
+    "missing_links": _CATALOG + "SELECT date, name, link FROM cat WHERE date = '1996-03' AND coalesce(link, '') = ''",
+    "catalog_page_of_year": _PAGE + "WHERE date LIKE '1997-%' ORDER BY year DESC, month DESC, name, company LIMIT 50 OFFSET 100",
+    "catalog_page_of_month": _PAGE + "WHERE date LIKE '%-02' ORDER BY year DESC, month DESC, name, company LIMIT 50 OFFSET 50",
+    "listing_html_rows": "SELECT p_partkey, p_name AS name, p_brand AS company, 0 AS row FROM part WHERE NOT (contains(p_name, 'ring') OR contains(p_name, 'gear'))",
+    "candidate_html_rows": "SELECT o_orderkey, 'A & ' || o_orderkey AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'magnet:?xt=urn:btih:' || sha1(o_orderkey::VARCHAR) END AS link, '1 GB' AS size, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M') END AS released, 0 AS ordinal FROM orders",
+    "json_first_at_any_depth": "SELECT event_id, event_type AS kind, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    "lenient_numbers": "SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_size ELSE 7 END::BIGINT AS number FROM part",
+    "month_arithmetic": """
+SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 MONTH, '%Y-%m') AS before, strftime(date_trunc('month', o_orderdate) + INTERVAL 13 MONTH, '%Y-%m') AS after,
+       year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, strftime(o_orderdate, '%y%m') AS tag, strftime(o_orderdate, '%Y-%m') AS date FROM orders""",
+    "run_ids": "SELECT o_orderkey, '/store/' || year(o_orderdate) AS path, epoch(o_orderdate)::BIGINT || ':' || o_orderkey || ':' || year(o_orderdate) || ':' || month(o_orderdate) AS run FROM orders",
+    "month_grid_of_all_months": "SELECT y::INT AS year, m::INT AS month, format('{:04d}-{:02d}', y, m) AS date FROM range(2001, 2004) a(y), range(1, 13) b(m)",
+    "magnet_escapes": "SELECT p_partkey, '%zzA ' || p_name || '%4' AS dn, sha1(p_partkey::VARCHAR) AS infohash_hex, true AS ok FROM part",
+    "magnet_mismatch": """
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'infohash_mismatch,timeout' WHEN p_size % 3 = 1 THEN 'infohash_mismatch' ELSE '' END AS errors FROM part""",
+    "request_answers": """
+SELECT CASE WHEN p_partkey % 4 = 0 THEN 'false' ELSE 'true' END AS ok, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey::VARCHAR END AS dn,
+       CASE WHEN p_partkey % 4 <> 0 THEN sha1(p_partkey::VARCHAR) END AS infohash_hex, CASE WHEN p_partkey % 4 = 0 THEN 'not_magnet' END AS error FROM part""",
+    "status_lines": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'click') AS inserted, count(*) FILTER (WHERE event_type <> 'click') AS skipped FROM events GROUP BY 1",
+    "torrent_files": """
+SELECT doc_id, sha1('d5:filesld6:lengthi' || n_chars || 'e4:pathl1:a' || strlen(source) || ':' || source || 'eed6:lengthi7e4:pathl1:a' || strlen(lang) || ':' || lang || 'eei3ee4:name2:dde') AS infohash_hex,
+       'dd' AS name, n_chars + 7 AS total_size, 'a/' || source || ',a/' || lang AS paths, NULL::VARCHAR AS error FROM documents""",
+    "tiered_one_tag": _SHIPPED.format(tier="CASE WHEN contains(name, month) AND contains(name, 'R') THEN 1 WHEN contains(name, month) THEN 2 ELSE 3 END"),
+    "tiered_month_first": _SHIPPED.format(tier="CASE WHEN contains(name, month) AND contains(name, 'R') THEN 1 WHEN contains(name, month) THEN 2 WHEN contains(name, 'R') THEN 3 ELSE 4 END"),
+    "run_summary": """
+WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS date, CASE WHEN min(o_totalprice) < 1500 THEN count(*) FILTER (o_orderstatus = 'P') < 40 END AS ok FROM orders GROUP BY 1)
+SELECT count(ok) AS finished_months, count(*) AS total_months, coalesce(bool_and(ok), true) AS success FROM m""",
+    "check_summary": _CATALOG
+    + """, e AS (SELECT date || '/' || name || ': timeout' AS error FROM cat WHERE link = '' ORDER BY error LIMIT 10)
+SELECT count(*) AS checked, count(*) FILTER (downloaded = 1) AS found_downloaded, (SELECT coalesce(string_agg(error, ',' ORDER BY error), '') FROM e) AS errors FROM cat""",
+    "key_collisions": "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "mark_downloaded": _CATALOG
+    + """, n AS (SELECT *, substr(name, 7)::BIGINT AS k FROM cat)
+SELECT date, name, CASE WHEN k % 7 = 0 THEN 1 ELSE downloaded END AS downloaded, CASE WHEN k % 7 = 0 THEN sha1(name || '|' || (2 - k % 2)) END AS infohash_hex FROM n""",
+    "edit_rows": _CATALOG
+    + """, n AS (SELECT *, substr(name, 7)::BIGINT AS k FROM cat)
+SELECT date, CASE WHEN k % 22 = 0 THEN name || ' b' ELSE name END AS name, company, CASE WHEN k % 33 = 0 THEN '' WHEN k % 11 = 0 AND k % 3 = 1 THEN 'l' ELSE link END AS link,
+       CASE WHEN k % 55 = 0 THEN 1 ELSE downloaded END AS downloaded FROM n""",
+    "ingest_listings": _INGEST + "SELECT * FROM old UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.date = f.date AND o.name = f.name)",
+    "ingest_counts": _INGEST
+    + """, k AS (SELECT count(*) AS fetched, count(*) FILTER (NOT EXISTS (SELECT 1 FROM old o WHERE o.date = f.date AND o.name = f.name)) AS inserted FROM fresh f)
+SELECT fetched, inserted, fetched - inserted AS skipped, fetched > 0 AS success FROM k""",
+    "enrich_catalog": """
+WITH own AS (SELECT p_partkey AS k, (1995 + p_size % 3) || '-' || lpad((p_size % 12 + 1)::VARCHAR, 2, '0') AS date, p_name || '-' || p_partkey AS name,
+                    CASE p_partkey % 4 WHEN 0 THEN 'has' WHEN 1 THEN '' END AS link FROM part),
+c AS (SELECT own.k, strftime(l_shipdate, '%y%m') || ' ' || l_returnflag AS match_name, 'link ' || l_orderkey AS new_link, l_linenumber || ' GB' AS size, l_shipdate, l_orderkey, l_linenumber, l_returnflag,
+             substr(replace(date, '-', ''), 3) AS tag, CASE WHEN own.k % 3 = 0 AND l_linenumber <= 5 THEN 1 ELSE 2 END AS level
+      FROM own JOIN lineitem ON own.k = l_partkey WHERE own.k % 3 < 2 AND own.k % 4 <> 0),
+l AS (SELECT * FROM c WHERE (k, level) IN (SELECT k, min(level) FROM c GROUP BY k)),
+t AS (SELECT *, CASE WHEN contains(match_name, tag) AND contains(match_name, 'R') THEN 1 WHEN contains(match_name, tag) AND contains(match_name, 'A') THEN 2 WHEN contains(match_name, tag) THEN 3 ELSE 4 END AS tier FROM l),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tier, l_shipdate DESC NULLS LAST, l_orderkey, l_linenumber, l_returnflag) AS rn FROM t) WHERE rn = 1)
+SELECT date, name, CASE WHEN own.k % 4 = 0 THEN link WHEN tier < 4 THEN new_link END AS link, size, match_name, CASE WHEN own.k % 4 = 0 OR b.k IS NOT NULL THEN 'old' END AS comment
+FROM own LEFT JOIN b ON own.k = b.k""",
 }

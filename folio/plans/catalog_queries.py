@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions import bencode, html, magnet, text
-from folio.operators import catalog, changes, editions, enrich, match, progress
-from folio.sources.catalog import evolved
+from folio.functions import bencode, html, magnet, text, values
+from folio.operators import catalog, changes, editions, enrich, flows, match, progress
+from folio.sources.catalog import evolved, status_rows, to_json_lines
 
 SKIP = ["ring", "gear"]
 DELETE = ["small", "red", "small red", "ECONOMY"]
@@ -108,10 +108,10 @@ def insert_counts(spark, sf_dir):
 
 
 def partial_update(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer")
-    orders = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderstatus").alias("s"), F.max("o_totalprice").alias("p"))
-    patch = orders.select("c_custkey", F.when(F.col("s") == "P", "").when(F.col("s") == "O", "OPEN").alias("new_c_mktsegment"), F.when(F.col("p") > 400000, F.col("p")).alias("new_c_acctbal"))
-    return changes.update_rows(c, patch, ["c_mktsegment", "c_acctbal"], ["c_custkey"])
+    """Every order is a patch of its customer, so keys repeat; the last value of each field counts."""
+    status, price = F.col("o_orderstatus"), F.col("o_totalprice")
+    patch = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.when(status == "P", "").when(status == "O", "OPEN").alias("new_c_mktsegment"), F.when(price > 300000, price).alias("new_c_acctbal"))
+    return changes.update_rows(_t(spark, sf_dir, "customer"), patch, ["c_mktsegment", "c_acctbal"], ["c_custkey"], "o_orderkey")
 
 
 def delete_by_key(spark, sf_dir):
@@ -156,8 +156,7 @@ def magnet_parts(spark, sf_dir):
 
 
 def compare_normalize(spark, sf_dir):
-    ascii_only = F.octet_length("text") == F.char_length("text")
-    return _t(spark, sf_dir, "documents").where(ascii_only).select("doc_id", text.comparable(F.col("text")).alias("name"))
+    return _t(spark, sf_dir, "documents").select("doc_id", text.comparable(F.col("text")).alias("name"))
 
 
 def compare_normalize_all(spark, sf_dir):
@@ -245,6 +244,193 @@ def duplicate_links(spark, sf_dir):
     return catalog.with_link_uses(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def missing_links(spark, sf_dir):
+    return catalog.missing_links(orders_catalog(spark, sf_dir), 1996, 3).select("date", "name", "link")
+
+
+def catalog_page_of_year(spark, sf_dir):
+    return catalog.catalog_page(orders_catalog(spark, sf_dir), page=3, year=1997)
+
+
+def catalog_page_of_month(spark, sf_dir):
+    return catalog.catalog_page(orders_catalog(spark, sf_dir), page=2, month=2)
+
+
+def listing_html_rows(spark, sf_dir):
+    row = F.concat(F.lit('<table><tr bgcolor="#ffffff"><td>1</td><td> <b>'), "p_name", F.lit("</b> </td><td>"), "p_brand", F.lit("</td></tr>"))
+    other = F.lit('<tr><td>1</td><td>no</td><td>colour</td></tr><tr bgcolor="#ffffff"><td>short</td></tr></table>')
+    pages = _t(spark, sf_dir, "part").select("p_partkey", F.concat(row, other).alias("html"))
+    return html.listings(pages, SKIP, date_col="p_partkey").select("p_partkey", "name", "company", F.col("ordinal._r").alias("row"))
+
+
+def candidate_html_rows(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    day = F.when(F.col("o_orderkey") % 5 == 0, "unknown").otherwise(F.date_format("o_orderdate", "yyyy-M-d H:m"))
+    link = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit('<a href="magnet:?xt=urn:btih:'), F.sha1(key), F.lit('">m</a>')))
+    row = F.concat(F.lit('<tr><td>c</td><td><a href="/view/1#c" title="3">3</a><a href="/view/1" title="A &amp; '), key, F.lit('">t</a></td><td><a href="/x">d</a>'), link, F.lit("</td><td> 1 GB </td><td>"), day, F.lit("</td></tr><tr><td>short</td></tr>"))
+    found = html.candidates(_t(spark, sf_dir, "orders").select("o_orderkey", row.alias("html")), key_cols=["o_orderkey"])
+    return found.select("o_orderkey", "name", "link", "size", F.date_format("date", "yyyy-MM-dd HH:mm").alias("released"), "ordinal")
+
+
+def json_first_at_any_depth(spark, sf_dir):
+    kind, props = F.col("event_type"), F.coalesce("props", F.lit("{}"))
+    nested = F.concat(F.lit('{"id": " ", "a": [[], {"b": {"id": ["x"]}}, {"c": '), props, F.lit(', "id": " '), kind, F.lit(' "}], "uid": true}'))
+    return _t(spark, sf_dir, "events").select("event_id", values.first_text(nested, ["id"]).alias("kind"), values.first_int(nested, ["k", "none"]).alias("k"))
+
+
+def lenient_numbers(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    raw = F.when(F.col("p_partkey") % 4 == 0, size).when(F.col("p_partkey") % 4 == 1, F.concat(size, F.lit(".75"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("x"), size)).otherwise(F.lit(" "))
+    return _t(spark, sf_dir, "part").select("p_partkey", values.lenient_int(raw, 7).alias("number"))
+
+
+def month_arithmetic(spark, sf_dir):
+    day = F.col("o_orderdate")
+    date, loose = F.date_format(day, "yyyy-MM"), F.date_format(day, "yyyy-M")
+    m = values.month_of(loose)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", values.month_shift(date, -1).alias("before"), values.month_shift(date, 13).alias("after"), m["year"].alias("year"), m["month"].alias("month"), text.month_tag(date).alias("tag"), text.month_text(m["year"], m["month"]).alias("date"))
+
+
+def run_ids(spark, sf_dir):
+    day = F.col("o_orderdate")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", values.save_path("/store/", F.year(day)).alias("path"), values.run_id(values.epoch_seconds(day), F.col("o_orderkey"), F.year(day), F.month(day)).alias("run"))
+
+
+def month_grid_of_all_months(spark, sf_dir):
+    return progress.month_grid(spark, 2003, 2001, 0, 0)
+
+
+def magnet_escapes(spark, sf_dir):
+    hashed = F.sha1(F.col("p_partkey").cast("string"))
+    uri = F.concat(F.lit("magnet:?xt=urn:btih:"), magnet.infohash_to_base32(hashed), F.lit("&dn=%zz%41+"), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("%4"))
+    m = magnet.parse_magnet(uri, accept_base32=True)
+    return _t(spark, sf_dir, "part").select("p_partkey", m["dn"].alias("dn"), m["infohash_hex"].alias("infohash_hex"), m["ok"].alias("ok"))
+
+
+def magnet_mismatch(spark, sf_dir):
+    wanted = F.sha1(F.col("p_partkey").cast("string"))
+    found = F.when(F.col("p_size") % 3 == 0, wanted).when(F.col("p_size") % 3 == 1, F.sha1(F.col("p_name")))
+    errors = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("timeout"), F.lit("infohash_mismatch"))).otherwise(F.array().cast("array<string>"))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(magnet.with_mismatch(errors, wanted, found), ",").alias("errors"))
+
+
+def request_answers(spark, sf_dir):
+    """JSON request lines in, JSON answers out, one of four requests malformed."""
+    key = F.col("p_partkey").cast("string")
+    uri = F.concat(F.lit("magnet:?xt=urn:btih:"), F.sha1(key), F.lit("&dn="), key)
+    line = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('{"magnet": '), key)).otherwise(F.to_json(F.struct(uri.alias("magnet"))))
+    said = flows.answers(_t(spark, sf_dir, "part").select(line.alias("value")))
+    field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
+    return said.select(field("ok"), field("dn"), field("infohash_hex"), F.get_json_object("value", "$.errors[0]").alias("error"))
+
+
+def status_lines(spark, sf_dir):
+    """Status rows written as JSON lines and read back."""
+    lines = to_json_lines(ingest_progress(spark, sf_dir))
+    return status_rows(lines, "day string, fetched long, inserted long, skipped long")
+
+
+def torrent_files(spark, sf_dir):
+    name, size = F.col("source"), F.col("n_chars")
+    entry = lambda n, path: F.concat(F.lit("d6:lengthi"), n.cast("string"), F.lit("e4:pathl1:a"), F.octet_length(path).cast("string"), F.lit(":"), path, F.lit("ee"))
+    info = F.concat(F.lit("d5:filesl"), entry(size, name), entry(F.lit(7), F.col("lang")), F.lit("i3ee4:name2:dde"))
+    meta = bencode.parse_torrent(F.encode(F.concat(F.lit("d4:info"), info, F.lit("1:zd1:aleee")), "UTF-8"))
+    m = _t(spark, sf_dir, "documents").select("doc_id", meta.alias("m"))
+    return m.select("doc_id", "m.infohash_hex", F.col("m.name").alias("name"), "m.total_size", F.array_join(F.transform("m.files", lambda f: f["path"]), ",").alias("paths"), F.col("m.error").alias("error"))
+
+
+def _shipped(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0").alias("month"))
+    li = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.concat_ws(" ", F.concat(F.lit("m"), F.date_format("l_shipdate", "MM")), "l_returnflag").alias("name"), "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", F.concat(F.lit("link "), F.col("l_orderkey").cast("string")).alias("link"))
+    return p.join(li, "p_partkey")
+
+
+_TIES = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+
+
+def tiered_one_tag(spark, sf_dir):
+    """One tag only, and the link of a candidate without the month stays."""
+    tier = enrich.tier(F.col("name"), F.concat(F.lit("m"), F.col("month")), TAGS[:1])
+    return enrich.best_candidates(_shipped(spark, sf_dir), ["p_partkey"], tier, F.col("l_shipdate"), _TIES, ["name", "l_orderkey", "link"])
+
+
+def tiered_month_first(spark, sf_dir):
+    """Candidates of the month if there are any, and among them the tagged ones."""
+    tier = enrich.month_before_tag(F.col("name"), F.concat(F.lit("m"), F.col("month")), TAGS[0])
+    return enrich.best_candidates(_shipped(spark, sf_dir), ["p_partkey"], tier, F.col("l_shipdate"), _TIES, ["name", "l_orderkey", "link"])
+
+
+def run_summary(spark, sf_dir):
+    months = _t(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("date")).agg(F.when(F.min("o_totalprice") < 1500, F.count_if(F.col("o_orderstatus") == "P") < 40).alias("ok"))
+    return progress.run_summary(months)
+
+
+def check_summary(spark, sf_dir):
+    c = orders_catalog(spark, sf_dir)
+    results = c.select((F.col("downloaded") == 1).alias("exists"), F.when(F.col("link") == "", F.concat("date", F.lit("/"), "name", F.lit(": timeout"))).alias("error"))
+    return progress.check_summary(results).withColumn("errors", F.array_join("errors", ","))
+
+
+def key_collisions(spark, sf_dir):
+    return changes.collisions(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def mark_downloaded(spark, sf_dir):
+    """Found links; a record found twice has its later mark."""
+    c = orders_catalog(spark, sf_dir)
+    number = F.col("name").substr(7, 20).cast("long")
+    found = c.where(number % 7 == 0).select("date", "name", F.explode(F.array(F.lit(1), F.lit(2))).alias("ordinal"))
+    marks = found.select("date", "name", "ordinal", F.when(F.col("ordinal") == 2, 1).alias("new_downloaded"), F.when((number % 2 == 0) | (F.col("ordinal") == 1), F.sha1(F.concat_ws("|", "name", F.col("ordinal").cast("string")))).otherwise("").alias("new_infohash_hex"))
+    return changes.set_downloaded(c, marks, ordinal="ordinal").select("date", "name", "downloaded", "infohash_hex")
+
+
+def edit_rows(spark, sf_dir):
+    """Edits: an empty name or company is not supplied, an empty link is a value."""
+    c = orders_catalog(spark, sf_dir)
+    number = F.col("name").substr(7, 20).cast("long")
+    asked = c.where(number % 11 == 0)
+    edits = asked.select(
+        "date", F.col("name").alias("old_name"), F.when(number % 2 == 0, F.concat("name", F.lit(" b"))).otherwise("").alias("new_name"), F.lit("").alias("new_company"),
+        F.when(number % 3 == 0, "").when(number % 3 == 1, "l").alias("new_link"), F.when(number % 5 == 0, F.lit(4)).alias("new_downloaded"),
+    )
+    return changes.edit_rows(c, edits).select("date", "name", "company", "link", "downloaded")
+
+
+def _short_titles(spark, sf_dir):
+    words = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
+    name = F.array_join(F.slice(words, 1, F.col("p_size") % 3 + 1), " ")
+    date = F.concat(F.lit("2001-"), F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0"))
+    return _t(spark, sf_dir, "part").select("p_partkey", date.alias("date"), name.alias("name"), F.concat(F.lit("m"), (F.col("p_size") % 5).cast("string")).alias("company"))
+
+
+def _ingested(spark, sf_dir):
+    items = _short_titles(spark, sf_dir)
+    old = items.where(F.col("p_partkey") % 9 == 0).groupBy("date", "name").agg(F.min("company").alias("company"))
+    row = F.concat(F.lit('<tr bgcolor="#ffffff"><td></td><td>'), "name", F.lit("</td><td>"), "company", F.lit("</td></tr>"))
+    return flows.ingest(old, items.select("date", F.col("p_partkey").alias("page"), row.alias("html")), SKIP)
+
+
+def ingest_listings(spark, sf_dir):
+    return _ingested(spark, sf_dir)[0]
+
+
+def ingest_counts(spark, sf_dir):
+    return _ingested(spark, sf_dir)[1]
+
+
+def enrich_catalog(spark, sf_dir):
+    """Open records get the best of the candidates of their query, or of their relaxed query where it has none."""
+    n = F.col("p_partkey")
+    date = F.concat((F.col("p_size") % 3 + 1995).cast("string"), F.lit("-"), F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0"))
+    own = evolved(_t(spark, sf_dir, "part").select("p_partkey", date.alias("date"), F.concat_ws("-", "p_name", n.cast("string")).alias("name"), F.concat(F.lit("M-"), "p_brand").alias("company"), F.when(n % 4 == 0, "has").when(n % 4 == 1, "").alias("link"), F.lit("old").alias("comment")))
+    lines = _t(spark, sf_dir, "lineitem").join(flows.with_search_keys(own).select(n.alias("l_partkey"), "search", "relaxed"), "l_partkey")
+    kind = F.col("l_partkey") % 3
+    query = F.when((kind == 0) & (F.col("l_linenumber") <= 5), F.col("search")).when(kind < 2, F.col("relaxed")).otherwise("nothing")
+    name = F.concat_ws(" ", F.date_format("l_shipdate", "yyMM"), "l_returnflag")
+    found = lines.select(query.alias("query"), name.alias("name"), F.concat(F.lit("link "), F.col("l_orderkey").cast("string")).alias("link"), F.concat(F.col("l_linenumber").cast("string"), F.lit(" GB")).alias("size"), F.col("l_shipdate").cast("timestamp").alias("date"), F.struct("l_orderkey", "l_linenumber", "l_returnflag").alias("ordinal"))
+    return flows.enrich(own.drop("p_partkey"), found, TAGS).select("date", "name", "link", "size", "match_name", "comment")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -252,5 +438,8 @@ QUERIES = {
         skip_list_filter, delete_list_clean, normalize_name, keyword_relax, greedy_prefix_dedup, insert_or_ignore, insert_counts, partial_update, delete_by_key,
         tiered_top1, early_release_flag, fallback_lookup, url_params, magnet_parts, compare_normalize, compare_normalize_all, bracket_keyword, containment_match, existence_confidence,
         infohash_base32, bencode_infohash, torrent_metadata, torrent_total_size, html_links, ingest_progress, month_grid, json_first_key, additive_schema, duplicate_links,
+        missing_links, catalog_page_of_year, catalog_page_of_month, listing_html_rows, candidate_html_rows, json_first_at_any_depth, lenient_numbers, month_arithmetic, run_ids,
+        month_grid_of_all_months, magnet_escapes, magnet_mismatch, request_answers, status_lines, torrent_files, tiered_one_tag, tiered_month_first, run_summary, check_summary,
+        key_collisions, mark_downloaded, edit_rows, ingest_listings, ingest_counts, enrich_catalog,
     )
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +52,29 @@ def read_config(path: str) -> dict:
         return {}
 
 
+def write_status(path: str, status: dict) -> None:
+    """A status object as a JSON file on the driver.  Readers see the old file or the new one, never a part: it is written beside and then renamed."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    handle, beside = tempfile.mkstemp(prefix=".tmp-", dir=target.parent)
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            json.dump(status, f, ensure_ascii=False)
+        os.replace(beside, target)
+    finally:
+        Path(beside).unlink(missing_ok=True)
+
+
 def read_status(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Status rows (one JSON object a line); a path without files gives no rows."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
+def status_rows(lines: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema`` from JSON objects in ``value``; malformed lines give nulls."""
+    return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("s")).select("s.*")
+
+
 def read_torrents(spark: SparkSession, path: str) -> DataFrame:
     """path and parsed metadata of every ``.torrent`` file below a folder."""
     from folio.functions.bencode import parse_torrent

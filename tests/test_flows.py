@@ -23,13 +23,21 @@ def test_first_values_in_json(spark):
     assert [r[0] for r in df.select(values.first_int(F.col("d"), ["n", "uid", "a"])).collect()] == [None, 7, 12, None, None, 1]
 
 
+def test_hostile_json_is_passed_over(spark):
+    deep = '{"a": ' * 50_000 + "1" + "}" * 50_000
+    docs = ['{"n": 9223372036854775808, "a": {"n": 5}}', '{"n": "' + "9" * 6000 + '", "a": [{"n": "7"}]}', deep, "[" * 900 + '{"n": 3}' + "]" * 900]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, d string").orderBy("i")
+    got = [tuple(r) for r in df.select(values.first_int(F.col("d"), ["n"]), values.first_text(F.col("d"), ["n"])).collect()]
+    assert got == [(5, None), (7, "9" * 6000), (None, None), (3, None)]
+
+
 def test_ingest(spark):
     old = evolved(spark.createDataFrame([("2018-01", "Old", "M")], "date string, name string, company string"))
     row = lambda n, m: f'<tr bgcolor="#ffffff"><td></td><td>{n}</td><td>{m}</td></tr>'
     pages = spark.createDataFrame([("2018-01", row("Old", "M") + row("New LE", "M") + row("New LE box", "M") + row("skip", "M") + row("", "M"))], "date string, html string")
     catalog, counts = flows.ingest(old, pages, ["skip"], ["LE"])
     assert sorted(r["name"] for r in catalog.collect()) == ["New", "Old"]  # "New  box" follows its parent
-    assert tuple(counts.first()) == (2, 1, 1)
+    assert tuple(counts.first()) == (2, 1, 1, True)
 
 
 def test_enrich(spark):

@@ -22,6 +22,8 @@ def test_parse_magnet(spark):
     assert (got[4]["dn"], got[4]["trackers"], got[4]["infohash_hex"]) == ("a b c", ["u1", "u2"], HASH)
     assert got[4]["infohash_base32"] == b32.lower()
     assert got[6]["dn"] == "%zz"
+    half = df.where("i = 6").select(magnet.query_values(F.lit("magnet:?dn=%zz%41+%&dn=%E3%81%82%ff"), "dn")).first()[0]
+    assert half == ["%zzA %", "\u3042\ufffd"]
     opened = df.where("i = 5").select(magnet.parse_magnet(F.col("m"), accept_base32=True)["infohash_hex"]).first()[0]
     assert opened == HASH
 
@@ -58,3 +60,22 @@ def test_parse_torrent(spark):
     assert got[0]["infohash_hex"] == hashlib.sha1(bencode.encode(many["info"])).hexdigest()
     assert got[1]["total_size"] == 5 and got[1]["files"][0]["path"] == "n"
     assert got[2]["error"] == "missing_info" and got[3]["error"] and got[4]["error"] is None and got[5]["error"]
+
+
+def test_hostile_files_give_errors(spark):
+    nested = b"d4:info" + b"l" * 5000 + b"e" * 5000 + b"e"
+    deep = b"d4:infod5:filesl" + b"l" * 5000 + b"e" * 5000 + b"e4:name" + b"l" * 5000 + b"e" * 5000 + b"ee"
+    deep_key = b"d4:infod1:a" + b"l" * 5000 + b"e" * 5000 + b"6:lengthi3e4:name1:nee"
+    sizes = b"d4:infod6:lengthi9223372036854775808e4:name1:nee"
+    total = b"d4:infod5:filesld6:lengthi9223372036854775807eed6:lengthi9223372036854775807eee4:name1:nee"
+    digits = b"d4:infod6:lengthi" + b"9" * 6000 + b"eee"
+    keys = b"d4:infodi1e1:a1:b1:cee"
+    rows = [nested, deep, sizes, total, digits, keys, b"d4:info999999999999999999999:x", deep_key]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw binary").orderBy("i")
+    got = [r[0] for r in df.select(bencode.parse_torrent(F.col("raw"))).collect()]
+    assert all(g["error"] and g["files"] is None for g in got[:7])
+    assert got[7]["error"] is None and got[7]["total_size"] == 3
+    value = []
+    for _ in range(20_000):
+        value = [value]
+    assert bencode.encode(value) == b"l" * 20_001 + b"e" * 20_001

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import html
 from folio.operators import catalog, changes, editions, enrich, match, progress
-from folio.sources.catalog import evolved, read_catalog, read_config, write_months
+from folio.sources.catalog import evolved, read_catalog, read_config, read_status, write_months, write_status
 
 
 def rows(df):
@@ -74,6 +74,21 @@ def test_updates_and_deletes(spark):
     assert rows(changes.set_downloaded(c, marks).select("name", "downloaded", "infohash_hex")) == sorted([("a", 1, None), ("b", 1, "h")], key=repr)
 
 
+def test_repeated_patches_apply_in_order(spark):
+    c = shop(spark, [("d", "a", "x", "l"), ("d", "b", "x", "l")])
+    patch = spark.createDataFrame([("d", "a", "first", "q", 1), ("d", "a", None, "r", 2), ("d", "a", "", None, 3), ("d", "a", "late", None, 0)], "date string, name string, new_link string, new_company string, o int")
+    got = changes.update_rows(c, patch, ["link", "company"], ordinal="o")
+    assert rows(got.select("name", "company", "link")) == [("a", "r", ""), ("b", "x", "l")]
+    with pytest.raises(Exception, match="several patches"):
+        changes.update_rows(c, patch, ["link", "company"]).collect()
+
+
+def test_edits_leave_what_is_not_supplied(spark):
+    c = shop(spark, [("d", "a", "x", "l"), ("d", "b", "y", "m")])
+    edits = spark.createDataFrame([("d", "a", "", "", "", "", 3), ("d", "b", "e", "n", None, None, None)], "date string, old_name string, new_date string, new_name string, new_company string, new_link string, new_downloaded int")
+    assert rows(changes.edit_rows(c, edits).select("date", "name", "company", "link", "downloaded")) == [("d", "a", "x", "", 1), ("e", "n", "y", "m", 0)]
+
+
 def test_best_candidates(spark):
     data = [
         (1, "tagA 1801", "2018-01-01 00:00", 0, "l0"), (1, "tagA 1801", "2018-01-02 00:00", 1, ""), (1, "1801", "2018-02-01 00:00", 2, "l2"),
@@ -137,6 +152,7 @@ def test_progress(spark):
     assert tuple(progress.run_summary(months).first()) == (2, 3, False)
     checks = spark.createDataFrame([(True, None), (False, "e2"), (False, "e1")], "exists boolean, error string")
     assert tuple(progress.check_summary(checks, 1).first()) == (3, 1, ["e1"])
+    assert tuple(progress.check_summary(checks.where("exists")).first()) == (1, 1, [])
 
 
 def test_streaming_counters(spark, tmp_path):
@@ -156,3 +172,19 @@ def test_stored_catalog(spark, tmp_path):
     write_months(shop(spark, [("2018-02", "c", "x", None)]), path)
     assert rows(read_catalog(spark, path).select("date", "name")) == [("2018-01", "a"), ("2018-02", "c")]
     assert read_config(str(tmp_path / "none.json")) == {}
+
+
+def test_status_files(spark, tmp_path):
+    path = tmp_path / "status" / "run.json"
+    write_status(str(path), {"running": True, "name": "雨"})
+    with pytest.raises(TypeError):
+        write_status(str(path), {"running": object()})
+    assert read_config(str(path)) == {"running": True, "name": "雨"} and [p.name for p in path.parent.iterdir()] == ["run.json"]
+    assert tuple(read_status(spark, str(path), "running boolean, name string").first()) == (True, "雨")
+
+
+def test_containment_deals_out_a_word_that_every_text_has(spark):
+    names = [(i, f"the {i} x of all") for i in range(300)]
+    got = match.contained_in(spark.createDataFrame([(1, "the"), (2, " of "), (3, "7 x of"), (4, " "), (5, "e 1")], "a int, x string"), spark.createDataFrame(names, "b int, y string"), "x", "y", ("a", "b"))
+    counts = {r["a"]: r["count"] for r in got.groupBy("a").count().collect()}
+    assert counts == {1: 300, 2: 300, 3: 30, 4: 300, 5: sum(str(i).startswith("1") for i in range(300))}

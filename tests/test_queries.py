@@ -1,5 +1,6 @@
 import os
 
+import pandas as pd
 import pytest
 
 from folio.plans.catalog_oracles import ORACLES
@@ -10,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def text(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return ""
     return f"{float(value):.6g}" if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
