@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.staging import scratch_path, staged
+from folio.sources.staging import scratch_path, staged
 from folio.sources.shipping import ship_package
 
 MAGIC = "WARC/1.1\r\n"
