@@ -232,3 +232,18 @@ def test_line_dedup(spark, keep_first):
     bits = lambda r: "".join("1" if any(a <= p < a + n for a, n in r["keep_runs"]) else "0" for p in range(r["n_lines"]))
     assert collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"], bits(r)) for r in got) == collections.Counter(want(*r) for r in rows)
     assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_line_dedup_with_shuffled_joins(spark, monkeypatch):
+    """Many frequent lines, one of them in every document, and a column with the name of a result."""
+    from folio.llm import line_dedup as m
+
+    rows = [(i, "\n".join(["in all", *(f"line {(i + k) % 20}" for k in range(8)), f"own {i}"]), i) for i in range(60)] + [(99, "x" * 300_000 + "\nin all\n" + "y\n" * 50_000, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines long")
+    want = {r["doc_id"]: (r["n_dropped"], r["kept_text"]) for r in m.dedup_lines(df).collect()}
+    assert want[0] == (9, "own 0") and want[99][0] == 1 and want[99][1] == rows[-1][1].replace("\nin all", "")
+    monkeypatch.setattr(m, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(m, "HEAVY_PART", 1 / 20)
+    got = m.dedup_lines(df, keep_columns=["n_lines"])
+    assert got.columns == ["doc_id", "n_lines", "n_dropped", "keep_runs", "kept_text"]
+    assert {r["doc_id"]: (r["n_dropped"], r["kept_text"]) for r in got.collect()} == want
