@@ -75,5 +75,5 @@ def missing_links(catalog: DataFrame, year: int, month: int) -> DataFrame:
 
 def with_link_uses(df: DataFrame, key: str, link: str, alias: str = "uses") -> DataFrame:
     """``key`` and how many rows share each link that more than one row has; counted before the join, so a frequent link is one row of it."""
-    shared = df.where(has_link(F.col(link))).groupBy(F.xxhash64(link).alias("_h"), F.xxhash64(link, F.lit(1)).alias("_g")).agg(F.count(F.lit(1)).alias(alias)).where(F.col(alias) > 1)
-    return df.select(key, F.xxhash64(link).alias("_h"), F.xxhash64(link, F.lit(1)).alias("_g")).join(shared, ["_h", "_g"]).select(key, alias)
+    shared = df.where(has_link(F.col(link))).groupBy(F.xxhash64(link).alias("_h"), F.xxhash64(F.lit(1), link).alias("_g")).agg(F.count(F.lit(1)).alias(alias)).where(F.col(alias) > 1)
+    return df.select(key, F.xxhash64(link).alias("_h"), F.xxhash64(F.lit(1), link).alias("_g")).join(shared, ["_h", "_g"]).select(key, alias)

@@ -68,7 +68,7 @@ def contained_in(needles: DataFrame, hay: DataFrame, needle: str, text: str, key
     total = counts.agg(F.sum("df").alias("n")).first()["n"] or 1
     longest_text = h.agg(F.max(F.length("_t")).alias("n")).first()["n"] or 0
     # Equal needles are sought once; one longer than every text is part of none.
-    texts = n.where(F.length("_n") <= longest_text).select("_n").distinct().select("_n", F.struct(F.xxhash64("_n"), F.xxhash64("_n", F.lit(1))).alias("_h"), F.split("_n", " ").alias("_w"))
+    texts = n.where(F.length("_n") <= longest_text).select("_n").distinct().select("_n", F.struct(F.xxhash64("_n"), F.xxhash64(F.lit(1), "_n")).alias("_h"), F.split("_n", " ").alias("_w"))
     inner = F.filter(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: w != "")
     by_word = texts.where(F.size(inner) > 0).select("_h", F.explode(F.array_distinct(inner)).alias("_k")).join(counts, "_k").groupBy("_h").agg(F.min_by("_k", F.struct("df", "_k")).alias("_k"))
     longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
