@@ -24,14 +24,9 @@ HEAVY_PART = 1 / 20_000
 BROADCAST_ROWS, BROADCAST_RUNS = 200_000, 1_000_000
 
 
-def line_key(line: Column) -> Column:
-    """A line without the white space at its ends, A-Z in lower case."""
-    return ascii_lower(F.btrim(line, F.lit(SPACE_CHARS)))
-
-
 def _sums(col: Column, *names: str) -> list[Column]:
-    """128 bits that stand for a string."""
-    return [F.xxhash64(col, *seed).alias(n) for n, seed in zip(names, ([], [F.lit(1)]), strict=True)]
+    """128 bits that stand for a string.  A hash of several values takes each as the seed of the next, so the seed comes first."""
+    return [F.xxhash64(*seed, col).alias(n) for n, seed in zip(names, ([], [F.lit(1)]), strict=True)]
 
 
 def _keep_runs(n: Column, drops: Column) -> Column:
@@ -52,8 +47,9 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     split = docs.select(F.col(id_col).alias("_doc"), *_sums(text, "_s1", "_s2"), F.split(text, "\n").alias("_l"))
     lines = (
         split.select(*_DOC, F.size("_l").alias("n"), F.posexplode_outer("_l").alias("pos", "line"))
-        .select(*_DOC, "n", "pos", line_key(F.col("line")).alias("k"))
+        .select(*_DOC, "n", "pos", F.btrim("line", F.lit(SPACE_CHARS)).alias("k"))
         .where(F.char_length("k") >= min_chars)
+        .select(*_DOC, "n", "pos", ascii_lower(F.col("k")).alias("k"))
         .select(*_DOC, "n", "pos", *_sums(F.col("k"), *_LINE))
     )
     lines = staged(lines, "line_hashes")

@@ -111,9 +111,9 @@ def _keyed_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, str]
 
 
 def text_hashes(text: Column) -> tuple[Column, Column]:
-    """h1 and h2, 128 bits that stand for a text; null counts as empty."""
+    """h1 and h2, 128 bits that stand for a text; null counts as empty.  A hash of several values takes each as the seed of the next, so the seed comes first."""
     text = F.coalesce(text, F.lit(""))
-    return F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
 
 def signed_rows(docs: DataFrame, *, id_col: str, text_col: str, bands: int, rows: int, shingle: int, weighted: bool) -> DataFrame:
