@@ -7,15 +7,23 @@ left edge of its merge tree.  The next rule that moves p must come later in the
 part must have such a u at its left edge.  So the longest weighted chain of rules, each later than the
 one before it and linked in that way, bounds how far the end of the input reaches back: tokens that
 end at least that many bytes before the end of what has been read can no longer change.
+
+Streams.  Every pre-token is a byte stream that the transducer reads in windows of the lookahead and a
+step: it merges what it holds, emits the tokens that are stable, and reads on; the end of a stream makes
+all of it stable.  Many streams advance together.  A long text is itself read in pieces: pre-tokens are
+cut off as soon as no further character can change them, and one that outgrows a piece is passed on to
+its stream piece by piece.  So what is held beside a row never depends on the length of its text.
 """
 
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
 
@@ -25,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.arrow_rows import in_chunks, text_rows
+from folio.llm.arrow_rows import row_numbers
 from folio.sources.shipping import ship_package
 
 #: The published split rule of byte-level BPE vocabularies (a fixed value).
@@ -35,7 +43,12 @@ _LATIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(
 _NOT_LATIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
 _MEMO_ENTRIES = 200_000
 _SHORT_BYTES = 64
-_BLOCK_CHARS = 1 << 16
+#: Bytes of a long text that are read at a time, and characters of the texts that are coded together.
+BLOCK_BYTES, CHUNK_CHARS = 1 << 17, 2_000_000
+#: Characters behind a pre-token that may still change where it ends: two of a contraction, and one behind white space.
+_UNSURE = 3
+#: What a pre-token that outgrows a piece goes on with, by its second character.
+_RUNS = {"letters": regex.compile(r"\p{L}*"), "numbers": regex.compile(r"\p{N}*"), "space": regex.compile(r"\p{White_Space}*"), "other": regex.compile(r"[^\p{White_Space}\p{L}\p{N}]*")}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,13 +103,15 @@ class Vocabulary:
                 self.token_bytes[i] = raw(token)
         for literal, i in self.literals.items():
             self.token_bytes[i] = literal.encode()
+        self.token_sizes = np.array([len(b) for b in self.token_bytes], np.int64)
         self.lookahead = sufficient_lookahead([(raw(a), raw(b)) for a, b in pairs])
         self._tables()
         self.split_literals = regex.compile("(" + "|".join(map(regex.escape, sorted(self.literals, key=len, reverse=True))) + ")") if self.literals else None
 
-    def merged(self, ids: list[int]) -> list[int]:
-        """Applies the rules: always the earliest rule that fits, leftmost first."""
-        return _merged_short(ids, self.rules) if len(ids) <= 40 else _merged_long(ids, self.rules)
+    def merged(self, raw: bytes) -> np.ndarray:
+        """Ids of bytes by the rules: always the earliest rule that fits, leftmost first."""
+        ids = [self.of_byte[b] for b in raw]
+        return np.array(_merged_short(ids, self.rules) if len(ids) <= 40 else _merged_long(ids, self.rules), np.int32)
 
     def _tables(self) -> None:
         pairs = sorted((a << 32 | b, rank) for (a, b), (rank, _) in self.rules.items())
@@ -113,9 +128,12 @@ class Vocabulary:
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NO_RULE)
 
     def merged_many(self, pieces: list[bytes]) -> list[bytes]:
-        """``merged`` for many short pieces side by side: row by row the earliest rule that fits, leftmost first; ids as int32 bytes."""
+        """``merged`` for many pieces, short ones side by side: row by row the earliest rule that fits, leftmost first; ids as int32 bytes."""
         out: list[bytes] = [b""] * len(pieces)
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        order = sorted((i for i in range(len(pieces)) if len(pieces[i]) <= _SHORT_BYTES), key=lambda i: len(pieces[i]))
+        for i in range(len(pieces)):
+            if len(pieces[i]) > _SHORT_BYTES:
+                out[i] = self.merged(pieces[i]).tobytes()
         at = 0
         while at < len(order):
             width = next(w for w in (8, 12, 16, 24, 32, 48, _SHORT_BYTES) if len(pieces[order[at]]) <= w)
@@ -196,100 +214,196 @@ def _merged_long(ids: list[int], rules: dict) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-class StreamingEncoder:
-    """Reads one pre-token's bytes in pieces and emits ids as soon as no further byte can change them.
+class Transducer:
+    """Reads byte streams in windows and emits ids as soon as no further byte can change them.
 
-    It holds at most lookahead + ``step`` bytes and one piece, whatever the length of the pre-token.
+    It holds at most lookahead + ``step`` bytes of a stream, whatever the length of the stream.
     """
 
     def __init__(self, vocabulary: Vocabulary, step: int = 2048):
-        self.vocabulary, self.most, self.held = vocabulary, vocabulary.lookahead + step, b""
+        self.vocabulary, self.window = vocabulary, vocabulary.lookahead + step
+
+    def advance(self, held: list[bytes], ended: list[bool]) -> list[tuple[bytes, bytes]]:
+        """Of each stream the ids that are stable (as int32 bytes), and the bytes that it goes on to hold; at its end all is stable."""
+        out = []
+        for raw, ids, over in zip(held, self.vocabulary.merged_many(held), ended, strict=True):
+            if not over:
+                ends = np.cumsum(self.vocabulary.token_sizes[np.frombuffer(ids, np.int32)])
+                stable = int(np.searchsorted(ends, len(raw) - self.vocabulary.lookahead, "right"))
+                ids, raw = ids[: 4 * stable], raw[int(ends[stable - 1]) :] if stable else raw
+            out.append((ids, b"" if over else raw))
+        return out
+
+    def run(self, streams: list[bytes]) -> list[bytes]:
+        """The ids of whole streams; all that have bytes left take a step together."""
+        out: list[list[bytes]] = [[] for _ in streams]
+        live, at, held = list(range(len(streams))), [0] * len(streams), [b""] * len(streams)
+        while live:
+            for i in live:
+                take = self.window - len(held[i])
+                held[i], at[i] = held[i] + streams[i][at[i] : at[i] + take], at[i] + take
+            for i, (ids, rest) in zip(live, self.advance([held[i] for i in live], [at[i] >= len(streams[i]) for i in live]), strict=True):
+                out[i].append(ids)
+                held[i] = rest
+            live = [i for i in live if at[i] < len(streams[i])]
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+
+class StreamingEncoder:
+    """One stream of a :class:`Transducer` whose bytes come in pieces of any size."""
+
+    def __init__(self, transducer: Transducer):
+        self.transducer, self.held = transducer, b""
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        most = self.transducer.window
+        for at in range(0, len(data), most):
+            self.held += data[at : at + most]
+            if len(self.held) > most:
+                ids, self.held = self.transducer.advance([self.held], [False])[0]
+                yield ids
 
-    def feed(self, data: bytes) -> Iterator[int]:
-        for at in range(0, len(data), self.most):
-            self.held += data[at : at + self.most]
-            if len(self.held) > self.most:
-                yield from self._emit(len(self.held) - self.vocabulary.lookahead)
+    def finish(self) -> bytes:
+        ids, self.held = self.transducer.advance([self.held], [True])[0]
+        return ids
 
-    def finish(self) -> Iterator[int]:
-        yield from self._emit(len(self.held))
 
-    def _emit(self, stable: int) -> Iterator[int]:
-        of_byte, sizes, end = self.vocabulary.of_byte, self.vocabulary.token_bytes, 0
-        for i in self.vocabulary.merged([of_byte[b] for b in self.held]):
-            if end + len(sizes[i]) > stable:
+@dataclass
+class Part:
+    """Some bytes of a pre-token that comes in several parts, or with ``literal`` the id of a literal."""
+
+    raw: bytes = b""
+    last: bool = False
+    literal: int | None = None
+
+
+class PretokenReader:
+    """Pre-tokens of a text that comes in pieces, as lists of whole ones or as :class:`Part` s of long ones."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.wide, self.latin = vocabulary, regex.compile(SPLIT).findall, re.compile(_LATIN_SPLIT).findall
+        self.pending, self.carry, self.run = "", "", None
+
+    def whole(self, text: str) -> list[str]:
+        """Pre-tokens of a text without literals."""
+        return (self.wide if _NOT_LATIN.search(text) else self.latin)(text)
+
+    def feed(self, text: str, last: bool = False) -> Iterator[list[str] | Part]:
+        """What is certain after another piece; literals end what stands before them."""
+        text, at = self.pending + text, 0
+        split = self.vocabulary.split_literals
+        sure = len(text) if last else self._sure(text, 0)
+        for m in split.finditer(text) if split else ():
+            if m.start() >= sure:
                 break
-            end += len(sizes[i])
-            yield i
-        self.held = self.held[end:]
+            yield from self._segment(text[at : m.start()], True)
+            yield Part(literal=self.vocabulary.literals[m[0]])
+            at = m.end()
+            sure = len(text) if last else self._sure(text, at)
+        self.pending = text[sure:]
+        yield from self._segment(text[at:sure], last)
+
+    def _sure(self, text: str, start: int) -> int:
+        """The place from which the end of what is known may be the beginning of a literal."""
+        most = max(map(len, self.vocabulary.literals), default=0)
+        for at in range(max(start, len(text) - most + 1), len(text)):
+            if any(len(x) > len(text) - at and x.startswith(text[at:]) for x in self.vocabulary.literals):
+                return at
+        return len(text)
+
+    def _segment(self, text: str, last: bool) -> Iterator[list[str] | Part]:
+        text, self.carry = self.carry + text, ""
+        if self.run:
+            end = _RUNS[self.run].match(text).end()
+            over = end < len(text) if last else end < len(text) - _UNSURE
+            end -= self.run == "space" and end < len(text)  # its last character belongs to what follows
+            if over:
+                yield Part(text[:end].encode(), True)
+                text, self.run = text[end:], None
+            elif last:
+                yield Part(text.encode(), True)
+                text, self.run = "", None
+            else:
+                end = max(0, min(end, len(text) - _UNSURE))
+                yield Part(text[:end].encode())
+                self.carry = text[end:]
+                return
+        found = self.whole(text)
+        if not last:
+            end = len(text)
+            while found and end > len(text) - _UNSURE:
+                end -= len(found.pop())
+            self.carry = text[end:]
+            if not found and len(text) > BLOCK_BYTES:
+                second = text[1]
+                self.run = "space" if regex.match(r"\p{White_Space}", second) else "letters" if regex.match(r"\p{L}", second) else "numbers" if regex.match(r"\p{N}", second) else "other"
+                yield Part(text[:-_UNSURE].encode())
+                self.carry = text[-_UNSURE:]
+        if found:
+            yield found
 
 
 class Encoder:
-    """Ids of whole texts; a bounded memo holds the ids of short pre-tokens."""
+    """Ids of texts, all of them from the transducer; a bounded memo keeps what it gave for short pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.memo = vocabulary, {}
-        self.pretokens, self.latin_pretokens = regex.compile(SPLIT).findall, re.compile(_LATIN_SPLIT).findall
-
-    def _segments(self, text: str) -> Iterator[str]:
-        """Literals, and runs of text cut only where a white-space character follows another one: pre-tokens never span such a place."""
-        for k, part in enumerate(self.vocabulary.split_literals.split(text) if self.vocabulary.split_literals else [text]):
-            if k % 2:
-                yield part
-                continue
-            start = 0
-            while len(part) - start > _BLOCK_CHARS and (cut := _CUT.search(part, start + _BLOCK_CHARS)):
-                yield part[start : cut.start()]
-                start = cut.start()
-            yield part[start:]
-
-    def pieces(self, text: str) -> Iterator[list[str]]:
-        """Pre-tokens and literals, a block of the text at a time."""
-        literals = self.vocabulary.literals
-        for segment in self._segments(text):
-            if segment in literals:
-                yield [segment]
-            else:
-                yield (self.pretokens if _NOT_LATIN.search(segment) else self.latin_pretokens)(segment)
+        self.vocabulary, self.memo, self.transducer = vocabulary, {}, Transducer(vocabulary)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.int32), *(np.frombuffer(x, np.int32) for block in self.pieces(text) for x in self._ids([block]))])
+        return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the new short pre-tokens of all of them go through the rules side by side."""
+        """Ids of each whole text; the new pre-tokens of all of them advance together."""
+        reader, split, literals = PretokenReader(self.vocabulary), self.vocabulary.split_literals, self.vocabulary.literals
         blocks, owner = [], []
         for k, text in enumerate(texts):
-            for block in self.pieces(text):
-                blocks.append(block)
-                owner.append(k)
-        parts: list[list[bytes]] = [[] for _ in texts]
-        for k, ids in zip(owner, self._ids(blocks), strict=True):
-            parts[k].append(ids)
-        return [np.frombuffer(b"".join(p), np.int32) for p in parts]
+            parts = split.split(text) if split else [text]
+            for n, part in enumerate(parts):
+                blocks.append([part] if n % 2 else reader.whole(part))
+                owner.append((k, n % 2))
+        ids = iter(self._ids([b for b, (_, literal) in zip(blocks, owner, strict=True) if not literal]))
+        out: list[list[bytes]] = [[] for _ in texts]
+        for block, (k, literal) in zip(blocks, owner, strict=True):
+            out[k].append(np.array([literals[block[0]]], np.int32).tobytes() if literal else next(ids))
+        return [np.frombuffer(b"".join(p), np.int32) for p in out]
+
+    def encode_pieces(self, pieces: Iterable[str]) -> Iterator[tuple[str, np.ndarray]]:
+        """Of a text in pieces each piece and the ids that are certain after it."""
+        reader, stream, before = PretokenReader(self.vocabulary), None, None
+
+        def coded(found: Iterable[list[str] | Part]) -> Iterator[bytes]:
+            nonlocal stream
+            for x in found:
+                if isinstance(x, list):
+                    yield self._ids([x])[0]
+                elif x.literal is not None:
+                    yield np.array([x.literal], np.int32).tobytes()
+                else:
+                    stream = stream or StreamingEncoder(self.transducer)
+                    yield from stream.feed(x.raw)
+                    if x.last:
+                        yield stream.finish()
+                        stream = None
+
+        for piece in pieces:
+            if before is not None:
+                yield before, np.frombuffer(b"".join(coded(reader.feed(before))), np.int32)
+            before = piece
+        yield before or "", np.frombuffer(b"".join(coded(reader.feed(before or "", last=True))), np.int32)
 
     def _ids(self, blocks: list[list[str]]) -> list[bytes]:
-        memo, literals = self.memo, self.vocabulary.literals
+        memo = self.memo
         if len(memo) >= _MEMO_ENTRIES:
             memo.clear()
-        new = set().union(*blocks) - memo.keys()
-        raw = [p.encode() for p in new]
-        short = [(p, r) for p, r in zip(new, raw, strict=True) if len(r) <= _SHORT_BYTES and p not in literals]
-        memo.update(zip((p for p, _ in short), self.vocabulary.merged_many([r for _, r in short]), strict=True))
-        long = {}
-        for p, r in zip(new, raw, strict=True):
-            if p in literals:
-                long[p] = np.array([literals[p]], np.int32).tobytes()
-            elif len(r) > _SHORT_BYTES:
-                machine = StreamingEncoder(self.vocabulary)
-                long[p] = np.fromiter((i for part in (machine.feed(r), machine.finish()) for i in part), np.int32).tobytes()
+        new = list(set().union(*blocks) - memo.keys())
+        found = dict(zip(new, self.transducer.run([p.encode() for p in new]), strict=True))
+        long = {p: ids for p, ids in found.items() if len(p) > _SHORT_BYTES}
+        memo.update((p, ids) for p, ids in found.items() if len(p) <= _SHORT_BYTES)
         if not long:
             return [b"".join(map(memo.__getitem__, block)) for block in blocks]
         return [b"".join(memo[p] if p in memo else long[p] for p in block) for block in blocks]
 
 
-_CUT = regex.compile(r"(?<=\S)\s")
-
-
 class ByteTextDecoder:
     """Text of a stream of ids: bytes that do not yet end a character are held, malformed ones become U+FFFD."""
 
@@ -313,37 +427,109 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _pieces(raw: pa.Buffer) -> Iterator[str]:
+    """A text in pieces, straight from its bytes."""
+    state = codecs.getincrementaldecoder("utf-8")()
+    view = memoryview(raw)
+    for at in range(0, len(view), BLOCK_BYTES):
+        yield state.decode(view[at : at + BLOCK_BYTES])
+
+
+def _coded(batches: Iterable[pa.RecordBatch], vocabulary: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`bpe_blocks`, without ``keep_text`` with empty texts: texts of up to BLOCK_BYTES whole and many at a time, longer ones piece by piece."""
+    vocab = _vocabulary(vocabulary)
+    encoder, numbers = Encoder(vocab), row_numbers()
+
+    def chunk_rows(chunk: list[tuple[int | None, str]]) -> pa.RecordBatch:
+        decoder = ByteTextDecoder(vocab)
+        every = encoder.encode_many([text for _, text in chunk])
+        rows = [next(numbers) for _ in chunk]
+        return _block_batch(rows, [i for i, _ in chunk], [True] * len(chunk), every, [decoder.decode(x.tolist()) for x in every], [t if keep_text else "" for _, t in chunk])
+
+    chunk, size = [], 0
+    for batch in batches:
+        for i, text in zip(batch.column(0), batch.column(1), strict=True):
+            raw = text.as_buffer() if text.is_valid else None
+            if raw is None or raw.size <= BLOCK_BYTES:
+                chunk.append((i.as_py(), text.as_py() or ""))
+                size += len(chunk[-1][1])
+                if size >= CHUNK_CHARS or len(chunk) >= 4096:
+                    yield chunk_rows(chunk)
+                    chunk, size = [], 0
+                continue
+            row, decoder = next(numbers), ByteTextDecoder(vocab)
+            for piece, ids in encoder.encode_pieces(_pieces(raw)):
+                yield _block_batch([row], [i.as_py()], [False], [ids], [decoder.feed(ids.tolist())], [piece if keep_text else ""])
+            yield _block_batch([row], [i.as_py()], [True], [np.empty(0, np.int32)], [decoder.finish()], [""])
+    if chunk:
+        yield chunk_rows(chunk)
+
+
+_BLOCK_NAMES = ["row", "id", "last", "ids", "decoded", "text"]
+_BLOCK_SCHEMA = "row long, id long, last boolean, ids array<int>, decoded string, text string"
+
+
+def _block_batch(rows: list, ids: list, last: list, tokens: list[np.ndarray], decoded: list[str], texts: list[str]) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in tokens])])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens)))
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(last, pa.bool_()), lists, pa.array(decoded, pa.string()), pa.array(texts, pa.string())], _BLOCK_NAMES)
+
+
+def bpe_blocks(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """The blocks of every row of ``docs``, one after the other in its partition: ``row`` (a number), ``id``, ``last``, ``ids``, ``decoded``, and ``text`` (empty without ``keep_text``).
+
+    Texts of up to BLOCK_BYTES are one block; the concatenated ids, decoded texts and texts of a row's
+    blocks are those of the row.  ``vocabulary`` is the path of a byte-level BPE file, at the same place
+    on every machine.  A null text is the empty text and has no ids; null ids and repeated rows are rows
+    of their own; an empty table gives no rows; only the two named columns are read.
+    """
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lambda batches: _coded(batches, vocabulary, keep_text), _BLOCK_SCHEMA)
+
+
 def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``ids`` (array<int>), ``decoded`` (the text that the ids give), with ``keep_text`` also ``text``.
 
-    ``vocabulary`` is the path of a byte-level BPE file, at the same place on every machine.  A null
-    text is the empty text and has no ids; null ids and repeated rows pass through; an empty table
-    gives no rows; only the two named columns are read.
+    As :func:`bpe_blocks`, but with a row's blocks put together.
     """
+    names = ["id", "ids", "decoded", "text"][: 3 + keep_text]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = _vocabulary(vocabulary)
-        encoder, decoder = Encoder(vocab), ByteTextDecoder(vocab)
-        for chunk in in_chunks(text_rows(batches)):
-            every = encoder.encode_many([text for _, text in chunk])
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in every])])
-            texts = pa.array([decoder.decode(x.tolist()) for x in every], pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(every)))
-            columns = [pa.array([i for i, _ in chunk], pa.int64()), lists, texts]
-            if keep_text:
-                columns.append(pa.array([t for _, t in chunk], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded", "text"][: len(columns)])
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for batch in _coded(batches, vocabulary, keep_text):
+            parts.append(batch)
+            if not batch.column("last")[batch.num_rows - 1].as_py():
+                continue
+            if len(parts) > 1:
+                join = lambda c: "".join("".join(p.column(c).to_pylist()) for p in parts)  # noqa: E731, B023
+                tokens = np.concatenate([p.column("ids").flatten().to_numpy() for p in parts])
+                batch = _block_batch([0], [batch.column("id")[0].as_py()], [True], [tokens], [join("decoded")], [join("text")])
+            yield batch.select(names)
+            parts = []
 
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>, decoded string" + ", text string" * keep_text).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(whole, "id long, ids array<int>, decoded string" + ", text string" * keep_text).withColumnRenamed("id", id_col)
+
+
+def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Checksums over the blocks of each row; a row's blocks come one after the other, so only one row is open."""
+    n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+    for batch in batches:
+        out = []
+        for i, last, ids, decoded in zip(*(batch.column(c) for c in ("id", "last", "ids", "decoded")), strict=True):
+            tokens = ids.values.to_numpy().tolist()
+            if tokens:
+                of_ids.update(("," * bool(n) + ",".join(map(str, tokens))).encode())
+            n += len(tokens)
+            of_text.update(decoded.as_buffer())
+            if last.as_py():
+                out.append((i.as_py(), n, of_ids.hexdigest(), of_text.hexdigest()))
+                n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     """The contract's columns for ``documents``."""
-    return bpe_round_trip(docs, vocabulary).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    return bpe_blocks(docs, vocabulary).drop("text").mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,6 +7,7 @@ import re
 import string
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ TEXTS = [
     (1, None), (2, ""), (3, "  a  \n\n ▁▁b \x00 \x01\r\n日本 <s>"), (4, " " * 50 + "x\n"), (None, "null id"), (5, "<|endoftext|> a <|endoftext|>"),
     (6, "twice"), (6, "twice"), (7, "aé" * 3000), (8, "CC BY cc-by, General  Public\nLicense. ALL RIGHTS RESERVED cc"), (9, "a²½ ⅧⅨ \x1c\x1d _x__ it's we'll"),
     (10, "released under the mit license " * 3), (11, "one two three four five six seven eight nine " * 4), (12, "same line\nSame Line \nother $ # |\nsame line"),
-    (13, "z" * 200_000), (14, "\t\n\x0b\x0c\r "),
+    (13, "z" * 200_000), (14, "\t\n\x0b\x0c\r "), (15, "long <|endoftext|> text, 'tis é \n\n  of words " * 9000), (None, "日本語 " * 60_000),
 ]
 
 
@@ -38,7 +39,7 @@ def sha(x):
 
 
 def test_lookahead_and_streams():
-    from folio.llm.bpe import ByteTextDecoder, Encoder, StreamingEncoder, Vocabulary, sufficient_lookahead
+    from folio.llm.bpe import ByteTextDecoder, Encoder, StreamingEncoder, Transducer, Vocabulary, sufficient_lookahead
 
     assert sufficient_lookahead([(b"a", b"b"), (b"c", b"ab")]) == 2  # "ab" may pull in a "c" before it
     assert sufficient_lookahead([]) == 0
@@ -52,11 +53,66 @@ def test_lookahead_and_streams():
         assert decoder.decode(ids, step=3) == text
     word = "".join(rng.choice("aeinorstguh") for _ in range(20_000)).encode()
     for size in (1, 7, 1000, 50_000):
-        machine, got = StreamingEncoder(vocab, step=64), []
+        machine, got = StreamingEncoder(Transducer(vocab, step=64)), b""
         for at in range(0, len(word), size):
-            got += machine.feed(word[at : at + size])
-            assert len(machine.held) <= vocab.lookahead + 64 + max(size, vocab.lookahead + 64)
-        assert [*got, *machine.finish()] == library.encode(word.decode(), add_special_tokens=False).ids
+            got += b"".join(machine.feed(word[at : at + size]))
+            assert len(machine.held) <= 2 * (vocab.lookahead + 64)
+        assert np.frombuffer(got + machine.finish(), np.int32).tolist() == library.encode(word.decode(), add_special_tokens=False).ids
+
+
+def test_every_id_comes_from_the_transducer(monkeypatch):
+    from folio.llm import bpe
+
+    vocab, gave = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")), {}
+    advance = bpe.Transducer.advance
+
+    def recorded(self, held, ended):
+        out = advance(self, held, ended)
+        for raw, (ids, rest) in zip(held, out, strict=True):
+            assert len(raw) <= self.window + vocab.lookahead and b"".join(vocab.token_bytes[i] for i in np.frombuffer(ids, np.int32)) + rest == raw
+            gave[raw] = gave.get(raw, 0) + len(ids) // 4
+        return out
+
+    monkeypatch.setattr(bpe.Transducer, "advance", recorded)
+    texts = ["the cat the dog", "it's <|endoftext|> cat " + "z" * 9000]
+    encoder = bpe.Encoder(vocab)
+    every = encoder.encode_many(texts)
+    # Each distinct pre-token passes once: seven of one id, and the long one, which is the second text without five ids of others.
+    assert sum(gave.values()) == 7 + len(every[1]) - 5
+    assert [b"".join(vocab.token_bytes[i] for i in x).decode() for x in every] == texts
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 37, 1 << 17])
+def test_texts_in_pieces_equal_the_library(size, monkeypatch):
+    from folio.llm import bpe
+
+    vocab = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(size)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 40)
+    bits = ["a", "the", "ing", " ", "  ", "\n", "é", "日", "1", "'s", "'", "'re", "!", "<|endoftext|>", "<|endof", "<", "\u3000", "z" * 90, " " * 90, "7" * 90, "?" * 90, "\n" * 90, " " + "q" * 90]
+    for _ in range(60):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        got = list(bpe.Encoder(vocab).encode_pieces(text[at : at + size] for at in range(0, len(text), size)))
+        assert "".join(p for p, _ in got) == text
+        assert [i for _, ids in got for i in ids.tolist()] == library.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_of_a_long_text_is_constant():
+    import tracemalloc
+
+    from folio.llm import bpe
+
+    vocab = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder, peaks = bpe.Encoder(vocab), []
+    for pieces in (20, 200):
+        tracemalloc.start()
+        n = sum(len(ids) for _, ids in encoder.encode_pieces("ab cd " * 100 + "z" * 9000 for _ in range(pieces)))
+        n += sum(len(ids) for _, ids in encoder.encode_pieces("x" * 9600 for _ in range(pieces)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n > pieces * 500
+    assert peaks[1] < 1.5 * peaks[0] + 1_000_000
 
 
 def test_malformed_bytes_decode_like_the_library():
