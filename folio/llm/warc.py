@@ -2,9 +2,12 @@
 
 The reader cuts the files at every occurrence of the record magic, which the text source does in
 splits of any size.  Each piece is a candidate: its header gives the offset of its successor.  Pieces
-that begin inside a payload are candidates too, so candidates alone prove nothing.  Per archive,
-pointer jumping from offset 0 marks what the chain of successors reaches; only that is a record, and
-the pieces between one record and the next are put together again as its payload.
+that begin inside a payload are candidates too, so candidates alone prove nothing.  A task follows the
+successors inside its split and tells for each candidate where the chain leaves the split.  Pointer
+jumping from the start of each archive over these exits, some for each split, finds where the real chain
+enters every split, and from there a task marks the records of its split.  Only they are records, and
+the pieces between one record and the next are put together again as its payload.  No task holds more
+of an archive than a split of it.
 """
 
 from __future__ import annotations
@@ -14,14 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.sources.staging import scratch_path, staged
+from folio.sources.staging import free, scratch_path, staged
 from folio.sources.shipping import ship_package
 
 MAGIC = "WARC/1.1\r\n"
 END, BREAK = "\r\n\r\n", "\r\n"
 #: Rows of a key table that may be sent to every task; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
-#: Records of one archive at most: what the chain of one archive takes in memory has a bound.
+#: Records of one archive at most, as written here; archives of any size are read.
 ARCHIVE_RECORDS = 100_000
 _CRAWLED = "2000-01-01T00:00:00Z"
 _BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
@@ -109,24 +112,81 @@ def _parsed(pieces: DataFrame, body: str = "value") -> DataFrame:
     )
 
 
-def _reached(group: pd.DataFrame) -> pd.DataFrame:
-    """Pointer jumping over one archive's candidates: after k rounds every record within 2**k steps of offset 0 is marked."""
+def _placed(parsed: DataFrame) -> DataFrame:
+    """Adds the offset of each piece and of its successor (-1 if it has no length): sums of whole splits, and running sums inside a split."""
+    width = F.col("size") + len(MAGIC)
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    splits = parsed.groupBy("file", "split").agg(F.sum(width).alias("bytes"))  # one row a split
+    begins = splits.select("file", "split", F.coalesce(F.sum("bytes").over(earlier("file").orderBy("split")), F.lit(0)).alias("begin"))
+    inside = parsed.withColumn("before", F.coalesce(F.sum(width).over(earlier("file", "split").orderBy("row")), F.lit(0)))
+    # A piece begins where the magic before it begins; the first of a file is what stands before any magic.
+    placed = inside.join(begins, ["file", "split"]).withColumn("off", F.col("begin") + F.col("before") - len(MAGIC)).where("off >= 0")
+    return placed.drop("begin", "before").withColumn("after", F.coalesce(F.col("off") + len(MAGIC) + F.col("claims"), F.lit(-1)))
+
+
+def _steps(off: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted candidates the number of the successor among them, their own where they have none, and whether they have one."""
+    at = np.minimum(np.searchsorted(off, after), len(off) - 1)
+    inside = (off[at] == after) & (after > off)
+    return np.where(inside, at, np.arange(len(off))), inside
+
+
+def _exits(group: pd.DataFrame) -> pd.DataFrame:
+    """Where the chain of each candidate of a split leaves the split: the first offset behind its last candidate, or -1 if the chain breaks before."""
     group = group.sort_values("off")
     off, after = group["off"].to_numpy(), group["after"].to_numpy()
-    at = np.searchsorted(off, after)
-    stop = len(off)
-    known = (at < stop) & (off[np.minimum(at, stop - 1)] == after) & (after > off)
-    jump = np.append(np.where(known, at, stop), stop)
-    reach = np.zeros(stop + 1, bool)
-    reach[0] = stop > 0 and off[0] == 0
+    jump, _ = _steps(off, after)
+    while (jump[jump] != jump).any():
+        jump = jump[jump]
+    return pd.DataFrame({"file": group["file"].to_numpy(), "off": off, "next": np.where(after > off[-1], after, -1)[jump]})
+
+
+def _records_of_split(group: pd.DataFrame) -> pd.DataFrame:
+    """Marks what the chain reaches from where it enters the split; ``owner`` is the record that a piece belongs to, -1 if that began before the split."""
+    group = group.sort_values("off")
+    off, reach = group["off"].to_numpy(), group["entry"].to_numpy(bool)
+    jump, _ = _steps(off, group["after"].to_numpy())
     while True:
         grown = reach.copy()
         grown[jump[reach]] = True
         if (grown == reach).all():
             break
         reach, jump = grown, jump[jump]
-    real = reach[:stop]
-    return pd.DataFrame({"file": group["file"].to_numpy(), "row": group["row"].to_numpy(), "off": off, "owner": off[np.maximum.accumulate(np.where(real, np.arange(stop), 0))] if stop else off, "reached": real})
+    owner = np.maximum.accumulate(np.where(reach, off, -1))
+    return pd.DataFrame({"file": group["file"].to_numpy(), "split": group["split"].to_numpy(), "row": group["row"].to_numpy(), "off": off, "owner": owner, "reached": reach})
+
+
+def _entries(placed: DataFrame) -> DataFrame:
+    """file, off of the candidates where the chain that begins at offset 0 enters a split; at most a few a split."""
+    exits = staged(placed.select("file", "split", "off", "after").groupBy("file", "split").applyInPandas(_exits, "file string, off long, next long"), "exits")
+    targets = exits.where("next >= 0").select("file", F.col("next").alias("off")).union(exits.where("off = 0").select("file", "off")).distinct()
+    links = staged(exits.join(targets, ["file", "off"]), "links")
+    free(exits)
+    reached = staged(links.where("off = 0").select("file", "off"), "entries")
+    known = reached.count()
+    while True:
+        step = links.join(reached, ["file", "off"]).select("file", F.col("next").alias("off")).join(links.select("file", "off"), ["file", "off"], "left_semi")
+        grown = staged(reached.union(step).distinct(), "entries")
+        free(reached)
+        reached, before, known = grown, known, grown.count()
+        if known == before:
+            return reached
+        ahead = links.select("file", F.col("off").alias("next"), F.col("next").alias("further"))
+        doubled = staged(links.join(ahead, ["file", "next"], "left").select("file", "off", F.coalesce("further", F.lit(-1)).alias("next")), "links")
+        free(links)
+        links = doubled
+
+
+def _chain(placed: DataFrame) -> DataFrame:
+    """file, row, off, ``owner`` (offset of the record that a piece belongs to), ``reached`` (the piece begins a record)."""
+    entries = _entries(placed).withColumn("entry", F.lit(True))
+    few = entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    marked = placed.select("file", "split", "row", "off", "after").join(F.broadcast(entries) if few else entries, ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    chain = staged(marked.groupBy("file", "split").applyInPandas(_records_of_split, "file string, split long, row long, off long, owner long, reached boolean"), "chain")
+    # A record that goes on in later splits owns the pieces there up to the next record.
+    last = chain.groupBy("file", "split").agg(F.nullif(F.max("owner"), F.lit(-1)).alias("tail"))
+    open_record = last.select("file", "split", F.last("tail", True).over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
+    return chain.join(open_record, ["file", "split"]).select("file", "row", "off", F.when(F.col("owner") >= 0, F.col("owner")).otherwise(F.col("open")).alias("owner"), "reached")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -140,25 +200,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     # Rows are numbered by how files are cut into splits, which another read may do otherwise: the pieces are kept.
     pieces = staged(_pieces(spark, path), "pieces")
     parsed = staged(_parsed(pieces), "candidates")
-    order = Window.partitionBy("file").orderBy("split", "row")
-    # A piece begins where the magic before it begins; the first of a file is what stands before any magic.
-    before = F.sum(F.col("size") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = parsed.withColumn("off", before - len(MAGIC)).where("off IS NOT NULL")
-    placed = staged(placed.withColumn("after", F.coalesce(F.col("off") + len(MAGIC) + F.col("claims"), F.lit(-1))), "placed")
-    chain = placed.select("file", "row", "off", "after").groupBy("file").applyInPandas(_reached, "file string, row long, off long, owner long, reached boolean")
-    chain = staged(chain, "chain")
-    facts = placed.drop("split").join(chain.select("file", "row", "owner", "reached"), ["file", "row"])
+    placed = staged(_placed(parsed), "placed")
+    free(parsed)
+    chain = staged(_chain(placed), "chain")
+    facts = placed.drop("split", "off").join(chain, ["file", "row"])
     whole = facts.where("reached AND size = claims")
     torn = facts.where("reached AND size <> claims").select("file", F.col("off").alias("owner"))
     columns = ["id", "record_type", "refers_to", "claimed_digest", "claimed_bytes", "payload_bytes", "digest"]
     out = whole.select(*columns)
     if torn.limit(1).count():
-        parts = chain.join(torn, ["file", "owner"]).select("file", "row", "owner", "off")
-        joined = pieces.drop("split").join(parts, ["file", "row"]).groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+        parts = staged(chain.join(torn, ["file", "owner"]).select("file", "row", "owner", "off"), "parts")
+        few = parts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        joined = pieces.drop("split").join(F.broadcast(parts) if few else parts, ["file", "row"]).groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
         rebuilt = staged(_parsed(joined.select("file", F.col("owner").alias("off"), "value")), "rebuilt")
         if rebuilt.count() != torn.count():
             raise RuntimeError(f"{path}: {rebuilt.count()} records put together of {torn.count()} that are in pieces")
         out = out.unionByName(rebuilt.select(*columns))
+    free(pieces)
     revisit = F.col("record_type") == "revisit"
     return out.select(
         "id",
