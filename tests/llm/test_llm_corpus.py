@@ -179,20 +179,96 @@ def test_scores(spark):
     assert len(got) == len(rows) and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_forward_is_exact_and_training_climbs():
+def plain_forward(model, s):
+    """All filtered states, unscaled, and log10 of the likelihood."""
+    alphas, log, alpha = [], 0.0, None
+    for x in s:
+        alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[x]
+        log += math.log10(alpha.sum())
+        alpha = alpha / alpha.sum()
+        alphas.append(alpha)
+    return alphas, log
+
+
+def plain_counts(model, s):
+    """Expected starts, moves and emissions of one sequence, by the textbook."""
+    alphas, _ = plain_forward(model, s)
+    states = len(model.start)
+    moves, emits, beta = np.zeros((states, states)), np.zeros(model.emit.shape), np.ones(states)
+    for t in range(len(s) - 1, -1, -1):
+        gamma = alphas[t] * beta
+        emits[s[t]] += gamma / gamma.sum()
+        if t:
+            both = alphas[t - 1][:, None] * model.move * (model.emit[s[t]] * beta)[None]
+            moves += both / both.sum()
+            beta = model.move @ (model.emit[s[t]] * beta)
+            beta /= beta.sum()
+    return gamma / gamma.sum(), moves, emits
+
+
+@pytest.mark.parametrize("segment", [1, 4, 7, 1000])
+def test_segments_change_nothing(segment):
     from folio.llm import hmm
 
     rng = np.random.default_rng(1)
-    model = hmm.Model.first(rng.dirichlet(np.ones(hmm._SYMBOLS)), 3)
-    sequences = [rng.integers(0, 50, size).astype(np.uint16) for size in (1, 5, 3, 5)]
-    for s, got in zip(sequences, hmm.log10_likelihood(model, sequences)):
-        alpha = model.start * model.emit[s[0]]
-        for x in s[1:]:
-            alpha = (alpha @ model.move) * model.emit[x]
-        assert got == pytest.approx(math.log10(alpha.sum()))
-    start, again, moves, emits = hmm.expected_counts(model, sequences, np.array([True, True, False, True]))
-    assert start.sum() == pytest.approx(3, rel=1e-4) and again.sum() == pytest.approx(1, rel=1e-4)
-    assert moves.sum() == pytest.approx(sum(len(s) - 1 for s in sequences), rel=1e-4) and emits.sum() == pytest.approx(sum(map(len, sequences)), rel=1e-4)
+    model = hmm.Model.first(rng.dirichlet(np.ones(50)), 3)
+    model.start = rng.dirichlet(np.ones(3))
+    sequences = [rng.integers(0, 50, size).astype(np.uint16) for size in (1, 5, 8, 4, 29, 3)]
+    assert hmm.log10_likelihood(model, sequences, segment) == pytest.approx([plain_forward(model, s)[1] for s in sequences])
+    want = [sum(x) for x in zip(*(plain_counts(model, s) for s in sequences), strict=True)]
+    for got, plain in zip(hmm.expected_counts(model, sequences, segment), want, strict=True):
+        assert np.allclose(got, plain, rtol=1e-3, atol=1e-4)
+
+
+def plain_scores(rows, states, iterations, own, classes):
+    """The whole method with loops: ranks, classes, Baum-Welch and the score."""
+    from folio.llm.hmm import Model
+
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    tokens = [[*(w.encode() for w in words_of((t or "").translate(LOWER))), b""] for _, t in rows]
+    counts = collections.Counter(w for (i, _), ws in zip(rows, tokens) if not held(i) for w in ws)
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    number = {w: k for k, w in enumerate(ranked[:own])}
+    symbol = lambda w: number.get(w, own + zlib.crc32(w[-3:]) % classes)
+    n, v = np.zeros(own + classes), np.zeros(own + classes)
+    for w, c in counts.items():
+        n[symbol(w)] += c
+        v[symbol(w)] += 1
+    unigram = n / max(n.sum(), 1)
+    model = Model.first(unigram, states)
+    coded = [[symbol(w) for w in ws] for ws in tokens]
+    for _ in range(iterations):
+        parts = [plain_counts(model, s) for (i, _), s in zip(rows, coded) if not held(i)]
+        start, move, emit = (sum(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(states), np.zeros((states, states)), np.zeros((len(n), states)))
+        emit = emit + 0.1 * (unigram[:, None] + 1e-6)
+        model = Model((start + 1e-3) / (start + 1e-3).sum(), (move + 1e-3) / (move + 1e-3).sum(1, keepdims=True), emit / emit.sum(0))
+    inside = lambda w: 0.0 if w in number else math.log10(counts[w] + 0.1) - math.log10(n[symbol(w)] + 0.1 * (v[symbol(w)] + 1))
+    return [plain_forward(model, s)[1] + sum(map(inside, ws)) for s, ws in zip(coded, tokens)]
+
+
+@pytest.mark.parametrize("own", [6, 400])
+def test_scores_equal_a_plain_version(spark, monkeypatch, own):
+    from folio.llm import hmm
+
+    monkeypatch.setattr(hmm, "KEY_BYTES", 12)
+    monkeypatch.setattr(hmm, "PIECE_BYTES", 40)
+    rows = topic_rows()[:60] + [(901, None), (902, "a long " + "w" * 30 + " word " + "w" * 30), (903, "w" * 30 + " unseen zz"), (None, "É é"), (1, "twice"), (1, "twice")]
+    got = hmm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), states=3, iterations=2, symbols=hmm.Symbols(own, 5)).collect()
+    want = collections.Counter((i, round(x, 2)) for (i, _), x in zip(rows, plain_scores(rows, 3, 2, own, 5)))
+    assert collections.Counter((r["doc_id"], round(r["score"], 2)) for r in got) == want
+
+
+def test_scores_of_odd_tables(spark):
+    from folio.llm.hmm import score_texts
+
+    held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    df = spark.createDataFrame([(held, "nothing to learn from", "clash")], "doc_id long, text string, score string")
+    row = score_texts(df).first()
+    assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (True, 5, 0, 0, 0.0) and math.isfinite(row["score"])
+    assert score_texts(df.limit(0)).count() == 0
+    long = [(1, "the cat " * 200_000), (2, "x" * 3_000_000), (3, "the cat")]
+    rows = {r["doc_id"]: r for r in score_texts(spark.createDataFrame(long, "doc_id long, text string"), iterations=1).collect()}
+    assert rows[1]["n_tokens"] == 400_001 and rows[2]["n_known"] == 2 and all(math.isfinite(r["score"]) for r in rows.values())
 
 
 def test_mixing_meets_targets(spark):
