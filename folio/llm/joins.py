@@ -1,0 +1,24 @@
+"""Joins that no frequent key can burden."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key is heavy if it has more than this part of all rows; there can be no more heavy keys than its inverse.
+HEAVY_PART = 1 / 20_000
+
+
+def join_by_weight(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
+    """Inner join where ``right`` has one row per key and in ``weight`` how many rows ``left`` has of it, ``total`` being all of them.
+
+    Heavy keys are sent to every task, so their rows stay where they are; the others are shuffled.  Null
+    keys match nothing.
+    """
+    keys = list(keys)
+    heavy = F.broadcast(right.where(F.col(weight) > HEAVY_PART * total))  # at most 1 / HEAVY_PART rows
+    light = right.where(F.col(weight) <= HEAVY_PART * total)
+    rest = left.join(F.broadcast(right.where(F.col(weight) > HEAVY_PART * total).select(*keys)), keys, "left_anti")
+    return left.join(heavy, keys).unionByName(rest.join(light, keys))

@@ -9,9 +9,11 @@ about k ln k + 2k darts hit; documents with an empty coordinate try again with t
 
 Links.  Exact copies are folded first, so a thousand copies are one node.  Nodes that share a band of
 coordinates share a bucket.  A bucket of few nodes gives all its pairs.  A larger one gives the star
-around its most central node; if that leaves it in several components, the nodes of different
-components are compared in blocks of bounded size, which emit only links that join components.  So no
-link between different texts is lost once the bands have met, and no group is expanded into pairs.
+around its most central node.  If that leaves it in several components, a prefix filter finds its nodes
+that can have a link into another component: with the elements of a set in order of their frequency,
+rarest first, two sets of the wanted similarity share one among the first of each.  Those nodes are
+compared in blocks of bounded size, which emit only links that join components.  So no link between
+different texts is lost once the bands have met, and no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -22,21 +24,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.arrow_rows import in_chunks
 from folio.llm.components import components
-from folio.sources.staging import staged
+from folio.llm.joins import join_by_weight
 from folio.llm.word_hashes import NOT_SPACE, grams, hash_words, mix
 from folio.sources.shipping import ship_package
+from folio.sources.staging import free, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Buckets of up to this many nodes give all their pairs; blocks of the larger ones have this many nodes.
-SMALL_BUCKET, BLOCK = 12, 512
-#: Parts by which the nodes of a large bucket are dealt out for its star.
-SLICES = 32
+#: Buckets of up to this many nodes give all their pairs; blocks of the larger ones have about so many nodes, and so many set elements.
+SMALL_BUCKET, BLOCK, BLOCK_ELEMENTS = 12, 512, 500_000
 #: Rows of a key table that may be sent to every task; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -138,8 +139,12 @@ def signed_rows(docs: DataFrame, *, id_col: str, text_col: str, bands: int, rows
     return keyed.mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """node, ``s`` (distinct shingle hashes, 32 bits) for the named nodes, from the row with the least id of each text."""
+def _sets_of(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, shingle: int, weighted: bool) -> DataFrame:
+    """node, ``s`` (distinct shingle hashes, sorted) for the named nodes, from the row with the least id of each text.
+
+    With ``weighted`` a shingle that occurs c times gives c elements, one for each occurrence, so that the
+    Jaccard similarity of the sets is the weighted one of the counts.
+    """
     few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = nodes.select("node", F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.col("min_id").alias("n_id"))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -149,12 +154,15 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in in_chunks(_keyed_rows(batches), 1_000_000):
-            of, h, _ = shingle_sets([t for _, t in chunk], shingle)
+            of, h, count = shingle_sets([t for _, t in chunk], shingle)
+            if weighted:
+                rows, nth = _spread(count)
+                of, h = of[rows], np.where(nth == 0, h[rows], mix(h[rows] + nth.astype(_U)))
             ends = np.searchsorted(of, np.arange(len(chunk) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((h >> _U(32)).astype(np.uint32).view(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in chunk], pa.int64()), lists], ["node", "s"])
 
-    return own.select("node", "text").mapInArrow(run, "node long, s array<int>")
+    return own.select("node", "text").mapInArrow(run, "node long, s array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -174,21 +182,45 @@ def _small_pairs(members: DataFrame) -> DataFrame:
 def _star_pairs(large: DataFrame) -> DataFrame:
     """Each node of a large bucket with the bucket's pivot: the node that large buckets hold most often, by their sizes."""
     score = large.groupBy("node").agg(F.sum("n").alias("score"))
-    pivot = large.join(score, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("pivot"))
-    # A bucket may hold a third of all nodes: both sides are dealt by bucket and a slice of its nodes.
-    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice")
-    dealt = large.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(SLICES)).cast("int"))
-    return dealt.join(pivot.select("bucket", "pivot", slices), ["bucket", "slice"]).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    pivot = large.join(score, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("pivot"), F.count(F.lit(1)).alias("m"))
+    pivot = staged(pivot, "pivots")
+    total = pivot.agg(F.sum("m").alias("m")).first()["m"] or 0
+    return join_by_weight(large, pivot, ["bucket"], "m", total).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+
+
+def _linkable(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """bucket, node, comp of the members that share a prefix element with a member of another component of their bucket."""
+    nodes = members.select("node").distinct()
+    elements = sets.join(nodes, "node").select("node", F.size("s").alias("size"), F.explode("s").alias("e"))
+    often = elements.groupBy("e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("f", "e"))
+    longest = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
+    prefix = elements.join(often, "e", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("nth", nth).where((F.col("nth") <= longest) & (F.col("f") > 1)).select("node", "e")
+    spots = staged(members.join(prefix, "node").select("bucket", "node", "comp", "e"), "prefixes")
+    shared = staged(spots.groupBy("bucket", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("bucket", "e", "m"), "shared_elements")
+    out = staged(join_by_weight(spots, shared, ["bucket", "e"], "m", spots.count()).select("bucket", "node", "comp").distinct(), "linkable")
+    free(spots, shared)
+    return out
 
 
 def _block_links(large: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between different components of large buckets, found block against block."""
-    marked = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    open_buckets = marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    """Links between different components of large buckets, found block against block among the members that can have one."""
+    marked = staged(large.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")), "marked")
+    several = staged(marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n"), "open_buckets")
+    members = staged(join_by_weight(marked, several, ["bucket"], "n", marked.count()).select("bucket", "node", "comp"), "open_members")
+    free(marked, several)
+    if not members.limit(1).count():
+        return large.sparkSession.createDataFrame([], "a long, b long")
+    found = staged(_linkable(members, sets, similarity).join(sets.select("node", F.size("s").alias("size")), "node"), "linkable")
+    free(members)
     # Blocks are cut by a hash within ranges of components: the main component of a bucket fills blocks of its own.
-    sizes = marked.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
-    cut = F.when(F.col("m") >= BLOCK // 4, F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK))))).otherwise(F.pmod(F.xxhash64("comp"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))))
-    placed = staged(marked.join(open_buckets.select("bucket", "n"), "bucket").join(sizes, ["bucket", "comp"]).select("bucket", "node", "comp", cut.alias("block")), "blocks")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_ELEMENTS))
+    totals = lambda *by: found.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("t"))
+    by_comp, by_bucket, total = totals("bucket", "comp"), totals("bucket").select("bucket", F.col("m").alias("n"), blocks(F.col("m"), F.col("t")).alias("of_bucket")), found.count()
+    own = by_comp.withColumn("of_comp", F.when(F.col("m") >= BLOCK // 4, blocks(F.col("m"), F.col("t")))).select("bucket", "comp", "m", "of_comp")
+    sized = join_by_weight(join_by_weight(found, by_bucket, ["bucket"], "n", total), own, ["bucket", "comp"], "m", total)
+    cut = F.when(F.col("of_comp").isNotNull(), F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("of_comp")))).otherwise(F.pmod(F.xxhash64("comp"), F.col("of_bucket")))
+    placed = staged(sized.select("bucket", "node", "comp", cut.alias("block")), "blocks")
     ranges = placed.groupBy("bucket", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     other = ranges.select("bucket", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     tasks = ranges.join(other, "bucket").where("block <= block2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("bucket", F.col("block").alias("b1"), F.col("block2").alias("b2"))
@@ -198,7 +230,7 @@ def _block_links(large: DataFrame, labels: DataFrame, sets: DataFrame, similarit
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("node")
         size = group["s"].map(len).to_numpy()
-        flat = np.concatenate(group["s"].to_list()) if len(group) else np.empty(0, np.int32)
+        flat = np.concatenate(group["s"].to_list()) if len(group) else np.empty(0, np.int64)
         owner = np.repeat(np.arange(len(group)), size)
         _, term, df = np.unique(flat, return_inverse=True, return_counts=True)
         shared = np.flatnonzero(df > 1)
@@ -232,7 +264,8 @@ def near_duplicate_classes(
 
     Documents are linked when the Jaccard similarity of their sets of ``shingle``-word shingles (words
     are runs of non-space; case counts) is at least ``similarity``; classes are connected components.
-    With ``weighted`` the signatures take shingle counts as weights, which suits weighted similarities.
+    With ``weighted`` shingles count as often as they occur, in the signatures and in the check: the
+    similarity is the sum of the lesser counts over the sum of the greater ones.
     A null text is the empty text.  Texts without words are copies only of equal texts; texts of fewer
     words than a shingle are compared as one shingle.  Rows with a null id take part; if a whole class
     has none, its ``class_id`` is null.  Of repeated rows exactly one per class has ``keep``.  An empty
@@ -241,23 +274,35 @@ def near_duplicate_classes(
     """
     ship_package(docs.sparkSession)
     signed = staged(signed_rows(docs, id_col=id_col, text_col=text_col, bands=bands, rows=rows, shingle=shingle, weighted=weighted).withColumn("row", F.monotonically_increasing_id()), "signed")
-    classes = staged(signed.groupBy("h1", "h2").agg(F.min("id").alias("min_id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = staged(signed.groupBy("h1", "h2").agg(F.min("id").alias("min_id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n_rows")).withColumn("node", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
-    several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(buckets.join(several, "bucket"), "members")
+    several = staged(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared_buckets")
+    in_several = several.agg(F.sum("n").alias("n")).first()["n"] or 0
+    members = staged(join_by_weight(buckets, several, ["bucket"], "n", in_several), "members")
+    free(several)
     large = members.where(F.col("n") > SMALL_BUCKET)
     pairs = staged(_small_pairs(members).union(_star_pairs(large)).distinct(), "pairs")
     wanted = staged(members.select("node").distinct().join(classes.select("node", "h1", "h2", "min_id"), "node"), "wanted")
-    sets = staged(_sets_of(docs, wanted, id_col=id_col, text_col=text_col, shingle=shingle), "sets")
+    sets = staged(_sets_of(docs, wanted, id_col=id_col, text_col=text_col, shingle=shingle, weighted=weighted), "sets")
     links = staged(_verified(pairs, sets, similarity), "links")
+    free(pairs, wanted)
     labels = components(links)
     more = staged(_block_links(large, labels, sets, similarity), "block_links")
     if more.limit(1).count():
         labels = components(links.union(more))
-    node_class = classes.select("node", "h1", "h2", "min_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = node_class.groupBy("comp").agg(F.min("min_id").alias("class_id"))
-    known = node_class.join(least, "comp").select("h1", "h2", "comp", "class_id")
-    placed = signed.select("row", "id", "h1", "h2").join(known, ["h1", "h2"])
-    heads = staged(placed.groupBy("comp").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("head"), F.count(F.lit(1)).alias("class_rows")), "heads")
-    stands = known.join(heads, "comp").select("h1", "h2", "class_id", "head", "class_rows")
-    return signed.select("row", "id", "h1", "h2").join(stands, ["h1", "h2"]).select(F.col("id").alias(id_col), "class_id", "class_rows", (F.col("row") == F.col("head")).alias("keep"), *(["h1", "h2"] if with_hashes else []))
+    free(members, sets, links, more)
+    return _stands(signed, classes, labels, id_col, with_hashes)
+
+
+def _stands(signed: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str, with_hashes: bool) -> DataFrame:
+    """The class of every row.  A text with very many copies, and a class of very many texts, are no burden to one task."""
+    nodes = classes.select("node", "h1", "h2", "min_id", "n_rows").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    nodes = staged(nodes, "node_classes")
+    n_nodes, n_rows = nodes.count(), signed.count()
+    least = nodes.groupBy("comp").agg(F.min("min_id").alias("class_id"), F.sum("n_rows").alias("class_rows"), F.count(F.lit(1)).alias("m"))
+    known = staged(join_by_weight(nodes, least, ["comp"], "m", n_nodes).select("h1", "h2", "comp", "class_id", "class_rows", "n_rows"), "texts")
+    placed = staged(join_by_weight(signed.select("row", "id", "h1", "h2"), known, ["h1", "h2"], "n_rows", n_rows), "placed")
+    heads = placed.groupBy("comp").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("head"), F.count(F.lit(1)).alias("m"))
+    out = join_by_weight(placed, heads, ["comp"], "m", n_rows)
+    free(nodes, known)
+    return out.select(F.col("id").alias(id_col), "class_id", "class_rows", (F.col("row") == F.col("head")).alias("keep"), *(["h1", "h2"] if with_hashes else []))
