@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.columns import SPACE_CHARS, ascii_lower, let, sha256_hex, text_or_empty
+from folio.llm.joins import join_by_weight
 from folio.sources.staging import staged
 
 _DOC = ["_doc", "_s1", "_s2"]
 _LINE = ["h1", "h2"]
-#: A line with more than this part of all line rows is sent to every task; there can be no more such lines than its inverse.
-HEAVY_PART = 1 / 20_000
 #: Rows of a key table, and runs of bitmaps, that may be sent to every task; beyond it the join is shuffled.
 BROADCAST_ROWS, BROADCAST_RUNS = 200_000, 1_000_000
 
@@ -56,8 +55,9 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # One ordered pass over each range: no further exchange stands between the sort and the first occurrence in each document.
     ranged = lines.select(*_LINE, *_DOC, "pos").repartitionByRange(*_LINE, *_DOC)
     by_document = Window.partitionBy(*_LINE, *_DOC).orderBy("pos")
-    firsts = ranged.withColumn("nth", F.row_number().over(by_document)).where("nth = 1")
-    counts = firsts.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("docs"), *([F.min(F.struct(*_DOC, "pos")).alias("first")] if keep_first else []))
+    numbered = ranged.withColumn("nth", F.row_number().over(by_document))
+    first = [F.min(F.when(F.col("nth") == 1, F.struct(*_DOC, "pos"))).alias("first")] if keep_first else []
+    counts = numbered.groupBy(*_LINE).agg(F.count_if(F.col("nth") == 1).alias("docs"), F.count(F.lit(1)).alias("rows"), *first)
     frequent = staged(counts.where(F.col("docs") >= min_docs), "frequent_lines")
     dropped = _rows_of(lines, frequent)
     if keep_first:
@@ -66,13 +66,10 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def _rows_of(lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The rows of frequent lines.  Few frequent lines go to every task; of many only the heavy ones do, and the others are shuffled."""
+    """The rows of frequent lines.  Few frequent lines go to every task; of many only those with very many rows do, and the others are shuffled."""
     if frequent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return lines.join(F.broadcast(frequent), _LINE)
-    most = lines.count() * HEAVY_PART
-    heavy = F.broadcast(frequent.where(F.col("docs") > most))  # at most 1 / HEAVY_PART lines
-    light = lines.join(heavy.select(*_LINE), _LINE, "left_anti").join(frequent.where(F.col("docs") <= most), _LINE)
-    return lines.join(heavy, _LINE).unionByName(light)
+    return join_by_weight(lines, frequent, _LINE, "rows", lines.count())
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_columns: list[str] | None = None, **options) -> DataFrame:
