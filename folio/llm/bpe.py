@@ -513,23 +513,38 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     return rows.mapInArrow(whole, "id long, ids array<int>, decoded string" + ", text string" * keep_text).withColumnRenamed("id", id_col)
 
 
-def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Checksums over the blocks of each row; a row's blocks come one after the other, so only one row is open."""
-    n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+_WHOLE_SCHEMA = "id long, ids array<int>, decoded string, n long, ids_sha256 string, decoded_sha256 string"
+
+
+def _with_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one block as they are; of a row in several blocks the checksums over them, one block at a time, and no ids or text."""
+    n, of_ids, of_text, is_open = 0, hashlib.sha256(), hashlib.sha256(), False
+    names = [x.split()[0] for x in _WHOLE_SCHEMA.split(", ")]
     for batch in batches:
-        out = []
-        for i, last, ids, decoded in zip(*(batch.column(c) for c in ("id", "last", "ids", "decoded")), strict=True):
-            tokens = ids.values.to_numpy().tolist()
-            if tokens:
-                of_ids.update(("," * bool(n) + ",".join(map(str, tokens))).encode())
-            n += len(tokens)
-            of_text.update(decoded.as_buffer())
-            if last.as_py():
-                out.append((i.as_py(), n, of_ids.hexdigest(), of_text.hexdigest()))
-                n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        rows = batch.num_rows
+        if not is_open and batch.column("last")[rows - 1].as_py():
+            nulls = [pa.nulls(rows, t) for t in (pa.int64(), pa.string(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *nulls], names)
+            continue
+        tokens = batch.column("ids")[0].values.to_numpy().tolist()
+        if tokens:
+            of_ids.update(("," * bool(n) + ",".join(map(str, tokens))).encode())
+        n += len(tokens)
+        of_text.update(batch.column("decoded")[0].as_buffer())
+        is_open = not batch.column("last")[0].as_py()
+        if not is_open:
+            row = [batch.column("id"), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.string()), pa.array([n], pa.int64()), pa.array([of_ids.hexdigest()]), pa.array([of_text.hexdigest()])]
+            yield pa.RecordBatch.from_arrays(row, names)
+            n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
 
 
 def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """The contract's columns for ``documents``."""
-    return bpe_blocks(docs, vocabulary).drop("text").mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """The contract's columns for ``documents``: checksums of the blocks of :func:`bpe_blocks`."""
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(lambda batches: _with_digests(_coded(batches, vocabulary, False)), _WHOLE_SCHEMA)
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce("n", F.size("ids").cast("long")).alias("n_tokens"),
+        F.coalesce("ids_sha256", F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256)).alias("ids_sha256"),
+        F.coalesce("decoded_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256)).alias("decoded_sha256"),
+    )
