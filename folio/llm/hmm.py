@@ -137,7 +137,7 @@ def _forward(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
     """log10 of the likelihood of each sequence, and the states at its end; all sequences take a step together."""
     order, flat, start, live = _lanes(sequences)
     total = np.zeros(len(sequences))
-    ends = np.empty((len(sequences), len(model.start)))
+    ends = np.empty((len(sequences), len(model.start)), model.emit.dtype)
     alpha = np.broadcast_to(model.start, ends.shape)
     for t, n in enumerate(live):
         ends[n : len(alpha)] = alpha[n:]
@@ -155,7 +155,7 @@ def _transfers(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, n
     order, flat, start, live = _lanes(sequences)
     states = len(model.start)
     total = np.zeros(len(sequences))
-    out = np.broadcast_to(np.eye(states), (len(sequences), states, states)).copy()
+    out = np.broadcast_to(np.eye(states, dtype=model.emit.dtype), (len(sequences), states, states)).copy()
     for t, n in enumerate(live):
         ahead = (out[:n].reshape(n * states, states) @ model.move).reshape(n, states, states) * model.emit[flat[start[:n] + t]][:, None]
         scale = ahead.sum((1, 2))
@@ -203,9 +203,10 @@ def log10_likelihood(model: Model, sequences: list[np.ndarray], segment: int = S
 def expected_counts(model: Model, sequences: list[np.ndarray], segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over whole sequences: expected starts, moves and emissions."""
     states = len(model.start)
+    narrow = Model(model.start.astype(np.float32), model.move.astype(np.float32), model.emit.astype(np.float32))
     parts, before, behind = [], [], []
     cut = [_cut(s, segment) for s in sequences]
-    long = iter(_carried(model, [c for c in cut if len(c) > 1]) if any(len(c) > 1 for c in cut) else [])
+    long = iter(_carried(narrow, [c for c in cut if len(c) > 1]) if any(len(c) > 1 for c in cut) else [])
     for c in cut:
         own = next(long)[:2] if len(c) > 1 else ([None], [np.full(states, 1 / states)])
         parts += c
@@ -215,7 +216,7 @@ def expected_counts(model: Model, sequences: list[np.ndarray], segment: int = SE
     first = np.array([before[i] is None for i in order])
     came = np.array([np.zeros(states) if before[i] is None else before[i] for i in order], np.float32)
     last = np.array([behind[i] for i in order], np.float32)
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
+    emit, move = narrow.emit, narrow.move
     alpha = np.where(first[:, None], model.start, came @ move).astype(np.float32)
     alphas, scales, seens = [], [], []
     for t, n in enumerate(live):
