@@ -9,6 +9,7 @@ leaves only the rare ones to be shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 
 from folio.llm.arrow_rows import in_chunks, row_numbers, text_rows
 from folio.llm.frequent import most_frequent
-from folio.sources.staging import staged
 from folio.sources.shipping import ship_package
+from folio.sources.staging import staged
 
-#: Bound of the table that is sent to every task: entries, and characters of each.
-HOT_ENTRIES, HOT_CHARS = 1 << 18, 64
+#: Bound of the table that is sent to every task: entries, and characters of each key.
+HOT_ENTRIES, KEY_CHARS = 1 << 18, 64
 _MARK = "▁"
 _PRETOKEN = re.compile(r" *[^ \n]+| +|\n")
 
@@ -45,6 +46,11 @@ def pretokens(text: str) -> list[str]:
     return _PRETOKEN.findall(" " + text.replace(_MARK, " ")) if text else []
 
 
+def key_of(piece: str) -> str:
+    """The pre-token, or if it is long a line feed (no other pre-token begins with one) and 128 bits that stand for it."""
+    return piece if len(piece) <= KEY_CHARS else "\n" + hashlib.blake2b(piece.encode(), digest_size=16).hexdigest()
+
+
 def count_pieces(model, pieces: list[str]) -> list[int]:
     """Pieces of each pre-token; behind a line feed the model adds no word mark of its own to it."""
     return [len(ids) - 2 for ids in model.encode(["\n" + p for p in pieces], num_threads=1)]
@@ -55,7 +61,7 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
 
     ``model_path`` is at the same place on every machine.  A null or empty text has no tokens; null
     ids and repeated rows are rows of their own; an empty table gives no rows; only the two named
-    columns are read.
+    columns are read.  Pre-tokens of more than KEY_CHARS characters are told apart by 128 bits.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -75,12 +81,13 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
                 part = batch.slice(at, 5000)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count_pieces(model, part.column(0).to_pylist()), pa.int64())], ["piece", "freq", "tokens"])
+                pieces = part.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(map(key_of, pieces), pa.string()), part.column(1), pa.array(count_pieces(model, pieces), pa.int64())], ["key", "freq", "tokens"])
 
     found = rows.mapInArrow(distinct, "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
-    counts = staged(found.mapInArrow(pieces_of, "piece string, freq long, tokens long"), "pretoken_counts")
-    hot = most_frequent(counts.where(F.char_length("piece") <= HOT_CHARS), "freq", hot_entries).select("piece", "tokens").toArrow()
-    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(hot["piece"].to_pylist(), hot["tokens"].to_pylist(), strict=True)))
+    counts = staged(found.mapInArrow(pieces_of, "key string, freq long, tokens long"), "pretoken_counts")
+    hot = most_frequent(counts, "freq", hot_entries).select("key", "tokens").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(hot["key"].to_pylist(), hot["tokens"].to_pylist(), strict=True)))
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_tokens, numbers = sent.value, row_numbers()
@@ -89,17 +96,18 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
             for i, text in chunk:
                 total, rare = 0, Counter()
                 for piece, n in Counter(pretokens(text)).items():
-                    known = hot_tokens.get(piece)
+                    key = piece if len(piece) <= KEY_CHARS else key_of(piece)
+                    known = hot_tokens.get(key)
                     if known is None:
-                        rare[piece] = n
+                        rare[key] = n
                     else:
                         total += n * known
                 out.append((next(numbers), i, len(text.encode()), total, list(rare), list(rare.values())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _FREQ_TYPES, strict=True)], _FREQ_NAMES)
 
     freq = staged(rows.mapInArrow(frequencies, "row long, id long, n_bytes long, tokens long, rare array<string>, n array<long>"), "pretoken_frequencies")
-    tail = freq.select("row", F.explode(F.arrays_zip("rare", "n")).alias("x")).select("row", F.col("x.rare").alias("piece"), F.col("x.n").alias("n"))
-    rare_sums = tail.join(counts.select("piece", F.col("tokens").alias("each")), "piece").select("row", F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("n_bytes"), (F.col("n") * F.col("each")).alias("tokens"))
+    tail = freq.select("row", F.explode(F.arrays_zip("rare", "n")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.n").alias("n"))
+    rare_sums = tail.join(counts.select("key", F.col("tokens").alias("each")), "key").select("row", F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("n_bytes"), (F.col("n") * F.col("each")).alias("tokens"))
     sums = freq.select("row", "id", "n_bytes", "tokens").unionByName(rare_sums).groupBy("row").agg(F.max("id").alias(id_col), F.sum("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
     return sums.drop("row")
 
