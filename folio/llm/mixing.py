@@ -33,7 +33,7 @@ MIN_RATIO = 25.0
 FLOOR = 0.02
 #: Weight of the rates' distance from 1 against the squares.
 NEAR = 1e-8
-#: Lexicon words found in a text are counted up to this number.
+#: Lexicon words found in a text are counted up to this number, by default.
 MOST_FOUND = 3
 _SPLIT = r"[\s.,;:!?]+"
 #: Shape features and the cuts of their bins.
@@ -65,6 +65,7 @@ class Classifier:
     prior: list[float]
     lexicons: dict[str, list[str]]
     weights: dict[str, list[float]]
+    most_found: int = MOST_FOUND
 
     def posterior(self) -> Column:
         """array<double> over ``domains`` from the columns of :func:`_tokens`."""
@@ -72,14 +73,18 @@ class Classifier:
             return F.array(*(F.lit(1.0 / len(self.domains)) for _ in self.domains))
         table = F.map_from_arrays(F.array(*map(F.lit, self.weights)), F.array(*(F.array(*map(F.lit, w)) for w in self.weights.values())))
         start = F.array(*map(F.lit, self.prior))
-        bins = F.concat("_b", *(F.array(b) for b in _lexicon_bins(self.lexicons, F.col("_w"))))
+        bins = F.concat("_b", *(F.array(b) for b in _lexicon_bins(self.lexicons, F.col("_w"), self.most_found)))
         logs = F.aggregate(bins, start, lambda acc, b: F.zip_with(acc, F.coalesce(F.element_at(table, b), F.array(*(F.lit(0.0) for _ in self.domains))), lambda x, y: x + y))
         return F.aggregate(F.array(logs), F.array().cast("array<double>"), lambda _, x: _softmax(x))
 
 
-def _lexicon_bins(lexicons: dict[str, list[str]], words: Column) -> list[Column]:
-    """Of each lexicon how many of its words are among ``words``, up to MOST_FOUND."""
-    return [F.concat(F.lit(f"\x00lexicon {d} "), F.least(F.size(F.array_intersect(words, F.array(*map(F.lit, lex)))), F.lit(MOST_FOUND)).cast("string")) for d, lex in lexicons.items() if lex]
+def _found(lexicon: list[str], words: Column) -> Column:
+    return F.size(F.array_intersect(words, F.array(*map(F.lit, lexicon))))
+
+
+def _lexicon_bins(lexicons: dict[str, list[str]], words: Column, most: int) -> list[Column]:
+    """Of each lexicon how many of its words are among ``words``, up to ``most``."""
+    return [F.concat(F.lit(f"\x00lexicon {d} "), F.least(_found(lex, words), F.lit(most)).cast("string")) for d, lex in lexicons.items() if lex]
 
 
 def _softmax(logs: Column) -> Column:
@@ -87,8 +92,12 @@ def _softmax(logs: Column) -> Column:
     return F.aggregate(F.array(raised), F.array().cast("array<double>"), lambda _, e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
 
 
-def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> Classifier:
-    """Naive Bayes on at most ``train_rows`` rows of ``labelled`` (id, ``domain``), taken in hash order of the id."""
+def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY, most_found: int | None = MOST_FOUND) -> Classifier:
+    """Naive Bayes on at most ``train_rows`` rows of ``labelled`` (id, ``domain``), taken in hash order of the id.
+
+    The lexicons have ``vocabulary`` words in all.  Lexicon words found in a text count up to
+    ``most_found``; None lets them count up to the largest number that a labelled text has.
+    """
     own = labelled.where(F.col(id_col).isNotNull() & F.col("domain").isin(domains)).groupBy(id_col).agg(F.min("domain").alias("domain"))
     picked = F.broadcast(own.orderBy(F.xxhash64(id_col), id_col).limit(train_rows).withColumnRenamed(id_col, "_id"))  # at most train_rows ids
     train = _tokens(docs.join(picked.select(F.col("_id").alias(id_col)), id_col, "left_semi"), id_col, text_col, []).join(picked, "_id")
@@ -112,9 +121,11 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], *, i
     lexicons: dict[str, list[str]] = {d: [] for d in domains}
     for r in best.orderBy(F.desc("b.gain"), "w").limit(vocabulary).collect():
         lexicons[r["b"]["domain"]].append(r["w"])
-    bins = F.concat(F.filter("f", lambda x: x.startswith("\x00")), *(F.array(b) for b in _lexicon_bins(lexicons, F.col("f"))))
+    if most_found is None:
+        most_found = features.agg(F.max(F.greatest(F.lit(1), F.lit(1), *(_found(lex, F.col("f")) for lex in lexicons.values() if lex))).alias("n")).first()["n"]
+    bins = F.concat(F.filter("f", lambda x: x.startswith("\x00")), *(F.array(b) for b in _lexicon_bins(lexicons, F.col("f"), most_found)))
     weights = {r["b"]: [math.log((r[f"n{i}"] + 0.5) / (sizes.get(d, 0) + 2)) for i, d in enumerate(domains)] for r in features.select("domain", F.explode(bins).alias("b")).groupBy("b").agg(*counts).collect()}
-    return Classifier(domains, [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains], lexicons, weights)
+    return Classifier(domains, [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains], lexicons, weights, most_found)
 
 
 def mix_documents(
@@ -144,7 +155,7 @@ def mix_documents(
     A null or empty text has no tokens and the prior as posterior; null ids are never labelled but
     mixed; repeated rows get equal results; ties of the posterior go to the first domain by name;
     without labels all domains are equally likely; an empty table gives no rows.  Of other columns
-    only ``keep_columns`` are read and returned.  The metadata of ``rate`` has under ``mixing`` the goal and the
+    only ``keep_columns`` are read, and returned unless a column of the result has their name.  The metadata of ``rate`` has under ``mixing`` the goal and the
     expected tokens of each domain, and whether the fit is optimal within ``steps``; a missed target also gives a warning.
     """
     domains = sorted(targets)
@@ -177,7 +188,7 @@ def mix_documents(
         F.col("_d").alias("domain"),
         F.col("_r").alias("rate", metadata={"mixing": report}),
         F.floor(F.col("_r") + F.col("_u")).cast("long").alias("copies"),
-        *(F.col("_more")[c].alias(c) for c in keep_columns or [] if c != id_col),
+        *(F.col("_more")[c].alias(c) for c in keep_columns or [] if c not in {id_col, "n_tokens", "posterior", "domain", "rate", "copies"}),
     )
 
 
