@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.sources.staging import free, scratch_path, staged
+from folio.llm.joins import HEAVY_PART
 from folio.sources.shipping import ship_package
+from folio.sources.staging import free, scratch_path, staged
 
 MAGIC = "WARC/1.1\r\n"
 END, BREAK = "\r\n\r\n", "\r\n"
@@ -46,10 +47,16 @@ def _records(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     payload = F.coalesce(F.col(html_col), F.lit(""))
     keyed = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
     digests = staged(keyed.select("id", "digest"), "digests")
-    copied = digests.groupBy("digest").agg(F.max("id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "target")
-    copied = staged(copied, "copied")
-    few = copied.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    out = keyed.join(F.broadcast(copied) if few else copied, "digest", "left")
+    copied = staged(digests.groupBy("digest").agg(F.max("id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copied")
+    if copied.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        out = keyed.join(F.broadcast(copied.select("digest", "target")), "digest", "left")
+    else:
+        # Payloads with very many copies, as the empty one, get their target where they are; the shuffle deals them by their id.
+        heavy = F.col("n") > HEAVY_PART * digests.count()
+        first = keyed.join(F.broadcast(copied.where(heavy).select("digest", F.col("target").alias("t1"))), "digest", "left")
+        key = F.when(F.col("t1").isNull(), F.col("digest")).otherwise(F.xxhash64("id").cast("string"))
+        light = copied.where(~heavy).select(F.col("digest").alias("key"), F.col("target").alias("t2"))
+        out = first.withColumn("key", key).join(light, "key", "left").withColumn("target", F.coalesce("t1", "t2")).drop("key", "t1", "t2")
     return out.withColumn("revisit", F.col("target").isNotNull() & ~F.col("id").eqNullSafe(F.col("target")))
 
 
