@@ -72,12 +72,32 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert near_duplicate_classes(df.limit(0)).count() == 0
 
 
+def test_weighted_near_duplicates_equal_all_pairs(spark):
+    from folio.llm.minhash_dedup import near_duplicate_classes
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    texts = [" ".join(base), " ".join(base * 3), " ".join(base * 3 + base[:20]), " ".join(base + base[:3]), " ".join(rng.choice(vocabulary) for _ in range(60))]
+    bags = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(words_of, texts)]
+    alike = lambda a, b: sum((a & b).values()) >= 0.8 * sum((a | b).values())
+    want = {}
+    for i in range(len(texts)):
+        want[i] = next((want[j] for j in range(i) if alike(bags[i], bags[j])), i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(df, weighted=True).collect()} == want == {0: 0, 1: 1, 2: 1, 3: 0, 4: 4}
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    from folio.llm import joins
     from folio.llm import minhash_dedup as m
 
     monkeypatch.setattr(m, "SMALL_BUCKET", 3)
     monkeypatch.setattr(m, "BLOCK", 16)
+    monkeypatch.setattr(m, "BLOCK_ELEMENTS", 900)
     monkeypatch.setattr(m, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(joins, "HEAVY_PART", 0.05)
     rows = list(enumerate(near_rows(7, 90, 110, 12)))
     got = {r["doc_id"]: r["class_id"] for r in m.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(zip((i for i, _ in rows), plain_classes(rows)))
@@ -134,6 +154,25 @@ def test_warc_round_trip(spark):
     assert all(r["verified"] for r in got)
 
 
+def test_warc_of_many_splits_and_copies(spark, monkeypatch):
+    """Records over many small splits, false records inside payloads, and more copied payloads than a broadcast takes."""
+    from folio.llm import warc
+
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(warc, "HEAVY_PART", 0.2)
+    rng = random.Random(2)
+    false = f"{warc.MAGIC}WARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    rows = [(i, "u", "" if i % 3 == 0 else f"copy {i % 8}" if i % 3 == 1 else f"{i} " + "".join(rng.choice([false, warc.MAGIC, "x" * 900]) for _ in range(rng.randint(0, 12)))) for i in range(150)]
+    largest = {h: i for i, _, h in rows}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {(i, len(h), largest[h] if largest[h] != i else None) for i, _, h in rows}
+    assert {(r["page_id"], r["payload_bytes"], r["refers_to"]) for r in got} == want and len(got) == 150 and all(r["verified"] for r in got)
+
+
 def test_warc_pieces_survive_other_splits(spark, monkeypatch):
     from folio.llm import warc
 
@@ -289,6 +328,27 @@ def test_mixing_meets_targets(spark):
     assert mix_documents(df.limit(0), labels, {"plain": 1.0, "odd": 1.0}).count() == 0
 
 
+@pytest.mark.parametrize("most_found", [3, None])
+def test_mixing_rates_equal_a_plain_projection(spark, most_found):
+    """Of all rates over 0 that meet the targets the nearest to 1, by many plain dual steps over the returned posteriors."""
+    from folio.llm.mixing import mix_documents
+
+    rng = random.Random(8)
+    plain, odd = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(200)], ["bad", "worse", "worst", "ill", "foul"]
+    rows = [(i, " ".join(rng.choice(odd if rng.random() < (i % 5) / 5 else plain) for _ in range(rng.randint(5, 60))), 7) for i in range(300)] + [(None, None, 7), (400, "", 7), (401, "bad " * 90_000, 7)]
+    labels = spark.createDataFrame([(i, "odd" if i % 5 > 2 else "plain") for i in range(200)], "doc_id long, domain string")
+    mixed = mix_documents(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"), labels, {"plain": 0.5, "odd": 0.5}, scale=0.8, tolerance=1e-7, most_found=most_found, keep_columns=["n_tokens"])
+    got = mixed.collect()
+    n, p = np.array([r["n_tokens"] for r in got], float), np.array([[r["posterior"][d] for d in ("odd", "plain")] for r in got])
+    goal = 0.8 * n.sum() * np.array([0.5, 0.5])
+    m = np.zeros(2)
+    for _ in range(20_000):
+        r = np.maximum(0, 1 + p @ m)
+        m += 0.5 * (goal - (n * r) @ p) / (n @ p**2)
+    assert np.allclose((n * r) @ p, goal, rtol=1e-6) and np.allclose(r, [x["rate"] for x in got], atol=1e-3)
+    assert mixed.columns.count("n_tokens") == 1 and len(got) == len(rows)
+
+
 def test_mixing_meets_the_target_of_a_rare_domain(spark):
     from folio.llm.mixing import mix_documents
 
@@ -316,8 +376,10 @@ def test_pipeline_mixing_drops_toxic_documents_at_any_share(spark, tmp_path, tox
     rows = [(i, " ".join(rng.choice(bad[:8] if i < toxic and rng.random() < 0.5 else plain) for _ in range(30)), "en", "s", 0) for i in range(4000)]
     spark.createDataFrame([(i, 1, int(i < toxic)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
-    got = sorted(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
-    assert got == list(range(toxic, 4000))
+    got = collections.Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
+    assert sorted(got) == list(range(toxic, 4000))
+    # A tenth more clean tokens than there were, as the rates say: every document has 30.
+    assert sum(got.values()) == pytest.approx(1.1 * (4000 - toxic), rel=0.02) and set(got.values()) == {1, 2}
 
 
 def test_pipeline_mixing_keeps_clean_documents_beside_many_low_ones(spark, tmp_path):
@@ -332,6 +394,24 @@ def test_pipeline_mixing_keeps_clean_documents_beside_many_low_ones(spark, tmp_p
     assert len(got & set(range(400, 2000))) >= 1590
 
 
+def test_pipeline_mixing_writes_the_mix_that_was_solved_for(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from folio.llm.mixing import domain_labels, mix_documents
+
+    rng = random.Random(15)
+    plain, poor = (["".join(rng.choice(letters) for _ in range(4)) for _ in range(100)] for letters in ("abcdef", "uvwxyz"))
+    rows = [(i, " ".join(rng.choice(poor[:8] if i < 400 and rng.random() < 0.5 else plain) for _ in range(30)), "en", "s", 0) for i in range(2400)]
+    labels = spark.createDataFrame([(i, int(i >= 400), 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    monkeypatch.setattr(corpus_pipeline, "MIX", {"clean": 0.7, "low": 0.3, "toxic": 0.0001})
+    got = collections.Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
+    posterior = {r["doc_id"]: r["posterior"] for r in mix_documents(docs, domain_labels(labels), corpus_pipeline.MIX).select("doc_id", "posterior").collect()}
+    tokens = {d: sum(30 * n * posterior[i][d] for i, n in got.items()) for d in ("clean", "low")}
+    assert tokens["clean"] == pytest.approx(1.1 * 60_000, rel=0.03) and tokens["low"] / tokens["clean"] == pytest.approx(3 / 7, rel=0.05)
+    assert max(got.values()) >= 2 and set(range(400, 2400)) <= set(got)
+
+
 def test_pipeline_near_duplicates_with_ids_that_are_not_unique(spark):
     import corpus_pipeline
 
@@ -342,6 +422,15 @@ def test_pipeline_near_duplicates_with_ids_that_are_not_unique(spark):
     assert sorted(got, key=str) == sorted([(None, x), (None, y), (7, z), (8, u), (8, v), (3, copied), (9, w)], key=str)
 
 
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
@@ -366,5 +455,5 @@ def test_pipeline(spark, tmp_path):
     assert "301" not in ids("quality_rules") and "302" not in ids("quality_rules")
     assert after["line_dedup"].where("text LIKE '%shared line%'").count() == 1
     assert ids("minhash_dedup") == sorted([*map(str, range(120)), "None"])
-    assert ids("mixing") == ids("minhash_dedup") == ids("bpe")
+    assert sorted(set(ids("mixing"))) == ids("minhash_dedup") and ids("bpe") == ids("mixing")
     assert after["bpe"].where("NOT round_trip").count() == 0

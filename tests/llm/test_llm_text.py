@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import string
@@ -364,6 +365,68 @@ def test_quality_rules_learn_a_threshold(spark):
     assert none.where("kept").count() == 401 and quality_verdicts(df.limit(0), labels).count() == 0
 
 
+def plain_rules(rows, bins=32, most_rules=6, most_conditions=3, precision=0.9, least=5):
+    """Sequential covering with loops over rows of (bad, third, features)."""
+    feats = range(len(rows[0][2]))
+
+    def cuts_of(own, f):
+        values = sorted(r[2][f] for r in own)
+        return [values[max(0, math.ceil(i / bins * len(values)) - 1)] for i in range(1, bins)]
+
+    cuts = [sorted({*cuts_of(rows, f), *cuts_of([r for r in rows if r[0]], f)}) for f in feats]
+    holds = lambda rule, r: all((r[2][f] > t) == above for f, above, t in rule)
+    left, rules = rows, []
+    while len(rules) < most_rules:
+        rule = []
+        while len(rule) < most_conditions:
+            own = [r for r in left if r[1] < 2 and holds(rule, r)]
+            p0, n0 = sum(r[0] for r in own), sum(not r[0] for r in own)
+            if not p0 or not n0:
+                break
+            gain, best = 0.0, None
+            for f in feats:
+                for i, t in enumerate(cuts[f]):
+                    for above in (False, True):
+                        p, n = (sum((r[2][f] > t) == above and bool(r[0]) == bad for r in own) for bad in (True, False))
+                        if p and (g := p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))) > gain:
+                            gain, best = g, (f, above, (t + (cuts[f][i + 1] if i + 1 < len(cuts[f]) else t)) / 2)
+            if best is None:
+                break
+            rule.append(best)
+        score = []
+        for k in range(1, len(rule) + 1):
+            p, n = (sum(holds(rule[:k], r) for r in left if r[1] == 2 and bool(r[0]) == bad) for bad in (True, False))
+            score.append(((p - n) / max(p + n, 1), p, -k, n))
+        if not score:
+            break
+        _, p, k, n = max(score)
+        if p < least or p < precision * (p + n):
+            break
+        rules.append(rule[:-k])
+        left = [r for r in left if not holds(rules[-1], r)]
+    return rules
+
+
+def test_quality_rules_equal_plain_covering(spark):
+    from folio.llm.quality_rules import FEATURES, feature_columns, learn_rules
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        words, chars = rng.randint(20, 200), rng.uniform(3, 9)
+        symbols, dup, repeat = rng.randint(0, 30), rng.randint(0, 9), rng.randint(0, 60)
+        bad = symbols / words > 0.15 or (chars < 4.5 and repeat > 20) or rng.random() < 0.03
+        rows.append((i, bad, words, int(words * chars), symbols, dup, repeat))
+    df = spark.createDataFrame(rows, "doc_id long, bad boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    third = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)).alias("third")
+    seen = [(r["bad"], r["third"], [r[f"f_{f}"] for f in FEATURES]) for r in df.select("bad", third, *(c.alias(f"f_{f}") for f, c in feature_columns().items())).collect()]
+    want = [[(FEATURES[f], above, pytest.approx(t)) for f, above, t in rule] for rule in plain_rules(seen)]
+    assert want
+    for parts in (1, 3, 7):
+        got = learn_rules(df.repartition(parts)).rules
+        assert [[(c.feature, c.above, c.threshold) for c in rule] for rule in got] == want
+
+
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_line_dedup(spark, keep_first):
     from folio.llm.line_dedup import dedup_lines
@@ -394,6 +457,7 @@ def test_line_dedup(spark, keep_first):
 
 def test_line_dedup_with_shuffled_joins(spark, monkeypatch):
     """Many frequent lines, one of them in every document, and a column with the name of a result."""
+    from folio.llm import joins
     from folio.llm import line_dedup as m
 
     rows = [(i, "\n".join(["in all", *(f"line {(i + k) % 20}" for k in range(8)), f"own {i}"]), i) for i in range(60)] + [(99, "x" * 300_000 + "\nin all\n" + "y\n" * 50_000, 0)]
@@ -401,7 +465,7 @@ def test_line_dedup_with_shuffled_joins(spark, monkeypatch):
     want = {r["doc_id"]: (r["n_dropped"], r["kept_text"]) for r in m.dedup_lines(df).collect()}
     assert want[0] == (9, "own 0") and want[99][0] == 1 and want[99][1] == rows[-1][1].replace("\nin all", "")
     monkeypatch.setattr(m, "BROADCAST_ROWS", 5)
-    monkeypatch.setattr(m, "HEAVY_PART", 1 / 20)
+    monkeypatch.setattr(joins, "HEAVY_PART", 1 / 20)
     got = m.dedup_lines(df, keep_columns=["n_lines"])
     assert got.columns == ["doc_id", "n_lines", "n_dropped", "keep_runs", "kept_text"]
     assert {r["doc_id"]: (r["n_dropped"], r["kept_text"]) for r in got.collect()} == want
