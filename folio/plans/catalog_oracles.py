@@ -194,6 +194,8 @@ SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'infohash_mismatch,timeout' WHEN
 SELECT CASE WHEN p_partkey % 4 = 0 THEN 'false' ELSE 'true' END AS ok, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey::VARCHAR END AS dn,
        CASE WHEN p_partkey % 4 <> 0 THEN sha1(p_partkey::VARCHAR) END AS infohash_hex, CASE WHEN p_partkey % 4 = 0 THEN 'not_magnet' END AS error FROM part""",
     "status_lines": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'click') AS inserted, count(*) FILTER (WHERE event_type <> 'click') AS skipped FROM events GROUP BY 1",
+    "stored_status": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'click') AS inserted, count(*) FILTER (WHERE event_type <> 'click') AS skipped FROM events GROUP BY 1",
+    "stored_months": _CATALOG + "SELECT date, name, link, CASE WHEN date = '1996-03' THEN 'again' ELSE comment END AS comment FROM cat WHERE date <> '1996-03' OR link <> ''",
     "torrent_files": """
 SELECT doc_id, sha1('d5:filesld6:lengthi' || n_chars || 'e4:pathl1:a' || strlen(source) || ':' || source || 'eed6:lengthi7e4:pathl1:a' || strlen(lang) || ':' || lang || 'eei3ee4:name2:dde') AS infohash_hex,
        'dd' AS name, n_chars + 7 AS total_size, 'a/' || source || ',a/' || lang AS paths, NULL::VARCHAR AS error FROM documents""",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folio.functions import bencode, html, magnet, text, values
 from folio.operators import catalog, changes, editions, enrich, flows, match, progress
-from folio.sources.catalog import evolved, status_rows, to_json_lines
+from folio.sources.catalog import evolved, read_catalog, read_status, status_rows, to_json_lines, write_months
+from folio.sources.staging import scratch_path
 
 SKIP = ["ring", "gear"]
 DELETE = ["small", "red", "small red", "ECONOMY"]
@@ -330,6 +331,21 @@ def status_lines(spark, sf_dir):
     return status_rows(lines, "day string, fetched long, inserted long, skipped long")
 
 
+def stored_status(spark, sf_dir):
+    """Status rows from a folder of JSON lines."""
+    path = scratch_path(spark, "status")
+    to_json_lines(ingest_progress(spark, sf_dir)).write.text(path)
+    return read_status(spark, path, "day string, fetched long, inserted long, skipped long")
+
+
+def stored_months(spark, sf_dir):
+    """A catalog stored by months, of which one is written again with fewer rows."""
+    path, c = scratch_path(spark, "months"), orders_catalog(spark, sf_dir)
+    write_months(c, path)
+    write_months(c.where("date = '1996-03' AND link <> ''").withColumn("comment", F.lit("again")), path)
+    return read_catalog(spark, path).select("date", "name", "link", "comment")
+
+
 def torrent_files(spark, sf_dir):
     name, size = F.col("source"), F.col("n_chars")
     entry = lambda n, path: F.concat(F.lit("d6:lengthi"), n.cast("string"), F.lit("e4:pathl1:a"), F.octet_length(path).cast("string"), F.lit(":"), path, F.lit("ee"))
@@ -439,7 +455,7 @@ QUERIES = {
         tiered_top1, early_release_flag, fallback_lookup, url_params, magnet_parts, compare_normalize, compare_normalize_all, bracket_keyword, containment_match, existence_confidence,
         infohash_base32, bencode_infohash, torrent_metadata, torrent_total_size, html_links, ingest_progress, month_grid, json_first_key, additive_schema, duplicate_links,
         missing_links, catalog_page_of_year, catalog_page_of_month, listing_html_rows, candidate_html_rows, json_first_at_any_depth, lenient_numbers, month_arithmetic, run_ids,
-        month_grid_of_all_months, magnet_escapes, magnet_mismatch, request_answers, status_lines, torrent_files, tiered_one_tag, tiered_month_first, run_summary, check_summary,
+        month_grid_of_all_months, magnet_escapes, magnet_mismatch, request_answers, status_lines, stored_status, stored_months, torrent_files, tiered_one_tag, tiered_month_first, run_summary, check_summary,
         key_collisions, mark_downloaded, edit_rows, ingest_listings, ingest_counts, enrich_catalog,
     )
 }
