@@ -23,7 +23,7 @@ from folio.llm.columns import text_or_empty
 from folio.sources.staging import staged
 
 #: Labelled documents that the classifier may use, and words of its vocabulary.
-TRAIN_ROWS, VOCABULARY = 20_000, 256
+TRAIN_ROWS, VOCABULARY = 20_000, 1024
 #: How much more often a word of the vocabulary occurs in one domain's documents than in the others'.
 MIN_LIFT = 4.0
 #: The least log-likelihood ratio of a lexicon word.
