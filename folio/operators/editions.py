@@ -15,23 +15,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import longest_first, normalize_name, remove_literals
+from folio.sources.staging import staged
+
+#: Prefixes that more than this part of all prefix rows have are sent to every task; there can be no more than its inverse.
+HEAVY_PART = 1 / 200
 
 
 def dedup_editions(items: DataFrame, literals: Sequence[str] = (), *, group: str = "date", name: str = "name", company: str = "company", ordinal: str = "ordinal", ordered: bool = False) -> DataFrame:
     """group, name (cleaned), company of the accepted items, with ``ordered`` by group and name.
 
-    ``ordinal`` is the input order, unique in a group; any type with an order will do.  The key's
-    prefixes join the first positions of whole keys, one row each, so a first word that very many keys
-    share makes no large group on that side.
+    ``ordinal`` is the input order, unique in a group; any type with an order will do.  A first word that
+    very many keys of a group share is no burden to one task: its position is sent to their prefixes.
     """
     literals = longest_first(literals)
     cleaned = items.select(F.col(group).alias("_g"), remove_literals(F.col(name), literals).alias("_n"), F.col(company).alias("_c"), F.col(ordinal).alias("_o"))
     keyed = cleaned.withColumn("_k", normalize_name(F.col("_n"), literals))
     at = F.struct(F.col("_c").alias("c"), F.length("_n").alias("l"), F.col("_o").alias("o"), F.col("_n").alias("n"))
-    first = keyed.groupBy("_g", "_k").agg(F.min(at).alias("f"))
+    first = staged(keyed.groupBy("_g", "_k").agg(F.min(at).alias("f")), "first_positions")
     words = F.split("_k", " ")
     prefixes = first.select("_g", F.col("_k").alias("_key"), F.posexplode(F.transform(words, lambda _, i: F.array_join(F.slice(words, 1, i + 1), " "))).alias("i", "_k"))
-    known = prefixes.join(first, ["_g", "_k"], "left")
+    counts = prefixes.groupBy("_g", "_k").agg(F.count(F.lit(1)).alias("n"))
+    most = HEAVY_PART * (first.agg(F.sum(F.size(words)).alias("n")).first()["n"] or 0)
+    heavy = F.broadcast(counts.where(F.col("n") > most).join(first, ["_g", "_k"], "left").select("_g", "_k", F.col("f").alias("_f"), F.lit(True).alias("_heavy")))  # fewer than 1 / HEAVY_PART
+    marked = prefixes.join(heavy, ["_g", "_k"], "left")
+    light = marked.where("_heavy IS NULL").drop("_f", "_heavy").join(first, ["_g", "_k"], "left")
+    known = light.unionByName(marked.where("_heavy").drop("_heavy").withColumnRenamed("_f", "f"))
     chain = known.groupBy("_g", "_key").agg(F.array_sort(F.collect_list(F.struct("i", "f"))).alias("chain"))
     kind = first.schema["f"].dataType.simpleString()
     accepted = F.aggregate("chain", F.lit(None).cast(kind), lambda t, x: F.when(x["f"].isNotNull() & (t.isNull() | (t > x["f"])), x["f"]))

@@ -41,7 +41,9 @@ def loop(items):
     return sorted(out)
 
 
-def test_editions_equal_the_sequential_rule(spark):
+@pytest.mark.parametrize("heavy", [1 / 200, 1 / 20, 1])
+def test_editions_equal_the_sequential_rule(spark, monkeypatch, heavy):
+    monkeypatch.setattr(editions, "HEAVY_PART", heavy)
     rng = random.Random(5)
     groups = {f"g{g}": [(rng.choice("xy"), " ".join(rng.choice("abc") for _ in range(rng.randint(0, 4))), i) for i in range(rng.randint(1, 12))] for g in range(60)}
     groups["fixed"] = [("x", "A", 0), ("x", "A B", 1), ("x", "A B C", 2)]
