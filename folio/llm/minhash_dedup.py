@@ -189,17 +189,18 @@ def _star_pairs(large: DataFrame) -> DataFrame:
 
 
 def _linkable(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """bucket, node, comp of the members that share a prefix element with a member of another component of their bucket."""
-    nodes = members.select("node").distinct()
-    elements = sets.join(nodes, "node").select("node", F.size("s").alias("size"), F.explode("s").alias("e"))
+    """bucket, node, comp of the members that share a prefix element with a node of another component."""
+    nodes = members.select("node", "comp").distinct()
+    elements = sets.join(nodes, "node").select("node", "comp", F.size("s").alias("size"), F.explode("s").alias("e"))
     often = elements.groupBy("e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     nth = F.row_number().over(Window.partitionBy("node").orderBy("f", "e"))
     longest = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
-    prefix = elements.join(often, "e", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("nth", nth).where((F.col("nth") <= longest) & (F.col("f") > 1)).select("node", "e")
-    spots = staged(members.join(prefix, "node").select("bucket", "node", "comp", "e"), "prefixes")
-    shared = staged(spots.groupBy("bucket", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("bucket", "e", "m"), "shared_elements")
-    out = staged(join_by_weight(spots, shared, ["bucket", "e"], "m", spots.count()).select("bucket", "node", "comp").distinct(), "linkable")
-    free(spots, shared)
+    prefix = elements.join(often, "e", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("nth", nth).where((F.col("nth") <= longest) & (F.col("f") > 1))
+    prefix = staged(prefix.select("node", "comp", "e"), "prefixes")
+    shared = staged(prefix.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("e", "m"), "shared_elements")
+    able = join_by_weight(prefix, shared, ["e"], "m", prefix.count()).select("node").distinct()
+    out = staged(members.join(able, "node"), "linkable")
+    free(prefix, shared)
     return out
 
 
