@@ -41,10 +41,10 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: The same rule where a text has Latin characters only, none of them a control separator or a numeral outside 0-9.
 _LATIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 _NOT_LATIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
-_MEMO_ENTRIES = 200_000
+_MEMO_ENTRIES = 100_000
 _SHORT_BYTES = 64
 #: Bytes of a long text that are read at a time, and characters of the texts that are coded together.
-BLOCK_BYTES, CHUNK_CHARS = 1 << 17, 2_000_000
+BLOCK_BYTES, CHUNK_CHARS = 1 << 17, 500_000
 #: Characters behind a pre-token that may still change where it ends: two of a contraction, and one behind white space.
 _UNSURE = 3
 #: What a pre-token that outgrows a piece goes on with, by its second character.

@@ -121,7 +121,7 @@ def signed_rows(docs: DataFrame, *, id_col: str, text_col: str, bands: int, rows
     """id, h1, h2 (128 bits of the text's hash) and the band values of each row; a text without words has none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in in_chunks(_keyed_rows(batches), 1_000_000):
+        for chunk in in_chunks(_keyed_rows(batches), 300_000):
             of, h, count = shingle_sets([t for _, t in chunk], shingle)
             signature, some = dart_minhash(of, h, count if weighted else np.ones(len(count)), len(chunk), bands * rows)
             parts = signature.reshape(len(chunk), bands, rows)
@@ -153,7 +153,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, s
     own = keyed.join(F.broadcast(wanted) if few else wanted, same)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in in_chunks(_keyed_rows(batches), 1_000_000):
+        for chunk in in_chunks(_keyed_rows(batches), 300_000):
             of, h, count = shingle_sets([t for _, t in chunk], shingle)
             if weighted:
                 rows, nth = _spread(count)
