@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+#: Bytes that are hashed at a time.
+PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -36,23 +40,46 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return table[:n]
 
 
+def _pieces(inside: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about PIECE bytes that end where no word goes on."""
+    at = 0
+    while at < len(inside):
+        end = at + PIECE
+        if end >= len(inside):
+            end = len(inside)
+        else:
+            before = np.flatnonzero(~inside[at:end])
+            if len(before):
+                end = at + int(before[-1]) + 1
+            else:  # a word longer than a piece
+                end += int(np.argmin(inside[end:]))
+        yield at, end
+        at = end
+
+
 def hash_words(texts: list[str], word_bytes: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the offsets of each text's first word (one more than texts).
 
-    A word's hash depends on its bytes alone.
+    A word's hash depends on its bytes alone.  Bytes are hashed piece by piece, so that what is held
+    beside them does not grow with a text.
     """
     encoded = [t.encode() for t in texts]
-    raw = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
+    raw = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)  # the last byte is in no word
     sizes = np.fromiter((len(t) + 1 for t in encoded), np.int64, len(texts))
     if lower:
         raw = LOWER[raw]
     inside = word_bytes[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(raw)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(raw))[starts])
-    return hashes, np.concatenate([[0], np.searchsorted(starts, np.cumsum(sizes))])
+    hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for at, end in _pieces(inside):
+        own, edge = raw[at:end], np.diff(inside[at:end].astype(np.int8), prepend=0)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(ends) < len(starts):  # the piece ends with its word
+            ends = np.append(ends, len(own))
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum((own.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(own)), out=sums[1:])
+        hashes.append(mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(own))[starts]))
+        places.append(starts + at)
+    return np.concatenate(hashes), np.concatenate([[0], np.searchsorted(np.concatenate(places), np.cumsum(sizes))])
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:

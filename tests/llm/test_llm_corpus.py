@@ -57,6 +57,23 @@ def near_rows(seed, base_words, copies, edits):
     return out + [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(60)]
 
 
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    from folio.llm import word_hashes as w
+
+    rng = random.Random(31)
+    texts = ["".join(rng.choice(["ab", "é", " ", "\n", "  ", "x" * 40, "-"]) for _ in range(rng.randint(0, 40))) for _ in range(50)] + ["", " ", "y" * 500]
+    for kind, lower in ((w.NOT_SPACE, False), (w.ALNUM, True)):
+        want = w.hash_words(texts, kind, lower)
+        one = {x: w.hash_words([x], kind, lower)[0] for t in texts for x in (re.findall(r"[^\x20\x09-\x0D]+", t) if not lower else re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t))}
+        assert len(want[0]) == want[1][-1] and all(len(h) == 1 and h[0] in want[0] for h in one.values()) and len({int(h[0]) for h in one.values()}) == len(one)
+        for piece in (1, 7, 64):
+            monkeypatch.setattr(w, "PIECE", piece)
+            got = w.hash_words(texts, kind, lower)
+            assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+        monkeypatch.undo()
+    assert len(w.hash_words([], w.NOT_SPACE)[0]) == 0
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     from folio.llm.minhash_dedup import near_duplicate_classes
 
