@@ -41,13 +41,14 @@ SHAPES = {"symbols": [0.02, 0.05, 0.1, 0.2, 0.5, 1.0], "distinct": [0.1, 0.2, 0.
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """id, ``_more`` (struct of ``keep``), words in lower case, and the bins of the shape features."""
+    """id, ``_more`` (struct of ``keep``), words in lower case, the distinct ones, and the bins of the shape features."""
     rows = docs.select(F.col(id_col).alias("_id"), F.struct(F.lit(0).alias("_0"), *keep).alias("_more"), text_or_empty(text_col).alias("_t"))
     rows = rows.select("_id", "_more", "_t", F.array_remove(F.split(F.lower("_t"), _SPLIT), "").alias("_w"))
+    rows = rows.select("*", F.array_distinct("_w").alias("_dw"))
     n = F.greatest(F.size("_w"), F.lit(1))
-    shape = {"symbols": F.regexp_count("_t", F.lit(r"[#*$%&|<>]")) / n, "distinct": F.size(F.array_distinct("_w")) / n}
+    shape = {"symbols": F.regexp_count("_t", F.lit(r"[#*$%&|<>]")) / n, "distinct": F.size("_dw") / n}
     bins = [F.concat(F.lit(f"\x00{name}"), _bin(shape[name], cuts)) for name, cuts in SHAPES.items()]
-    return rows.select("_id", "_more", F.size("_w").cast("long").alias("_n"), "_w", F.array(*bins).alias("_b"))
+    return rows.select("_id", "_more", F.size("_w").cast("long").alias("_n"), "_w", "_dw", F.array(*bins).alias("_b"))
 
 
 def _bin(x: Column, cuts: list[float]) -> Column:
@@ -73,17 +74,18 @@ class Classifier:
             return F.array(*(F.lit(1.0 / len(self.domains)) for _ in self.domains))
         table = F.map_from_arrays(F.array(*map(F.lit, self.weights)), F.array(*(F.array(*map(F.lit, w)) for w in self.weights.values())))
         start = F.array(*map(F.lit, self.prior))
-        bins = F.concat("_b", *(F.array(b) for b in _lexicon_bins(self.lexicons, F.col("_w"), self.most_found)))
+        bins = F.concat("_b", *(F.array(b) for b in _lexicon_bins(self.lexicons, F.col("_dw"), self.most_found)))
         logs = F.aggregate(bins, start, lambda acc, b: F.zip_with(acc, F.coalesce(F.element_at(table, b), F.array(*(F.lit(0.0) for _ in self.domains))), lambda x, y: x + y))
         return F.aggregate(F.array(logs), F.array().cast("array<double>"), lambda _, x: _softmax(x))
 
 
 def _found(lexicon: list[str], words: Column) -> Column:
-    return F.size(F.array_intersect(words, F.array(*map(F.lit, lexicon))))
+    """How many of the distinct ``words`` are in a lexicon; the set of its words is made once, not for each row."""
+    return F.size(F.filter(words, lambda w: w.isin(lexicon)))
 
 
 def _lexicon_bins(lexicons: dict[str, list[str]], words: Column, most: int) -> list[Column]:
-    """Of each lexicon how many of its words are among ``words``, up to ``most``."""
+    """Of each lexicon how many of its words are among the distinct ``words``, up to ``most``."""
     return [F.concat(F.lit(f"\x00lexicon {d} "), F.least(_found(lex, words), F.lit(most)).cast("string")) for d, lex in lexicons.items() if lex]
 
 
