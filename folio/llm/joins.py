@@ -22,3 +22,12 @@ def join_by_weight(left: DataFrame, right: DataFrame, keys: Sequence[str], weigh
     light = right.where(F.col(weight) <= HEAVY_PART * total)
     rest = left.join(F.broadcast(right.where(F.col(weight) > HEAVY_PART * total).select(*keys)), keys, "left_anti")
     return left.join(heavy, keys).unionByName(rest.join(light, keys))
+
+
+def left_join_by_weight(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
+    """Like :func:`join_by_weight`, but every row of ``left`` stays, with nulls where ``right`` has nothing for it."""
+    keys = list(keys)
+    heavy = F.broadcast(right.where(F.col(weight) > HEAVY_PART * total).withColumn("_heavy", F.lit(True)))  # at most 1 / HEAVY_PART rows
+    near = left.join(heavy, keys, "left")
+    rest = near.where("_heavy IS NULL").select(*left.columns).join(right.where(F.col(weight) <= HEAVY_PART * total), keys, "left")
+    return near.where("_heavy").drop("_heavy").unionByName(rest)

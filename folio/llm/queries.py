@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.bpe import bpe_digest
+from folio.llm.embedding_dedup import embedding_classes
 from folio.llm.flac import media_digest
 from folio.llm.hmm import score_texts
+from folio.llm.importance import resample
 from folio.llm.license_scan import license_digest
 from folio.llm.line_dedup import line_dedup_digest
 from folio.llm.minhash_dedup import near_duplicate_classes
 from folio.llm.mixing import mixing_report
 from folio.llm.quality_rules import quality_verdicts
+from folio.llm.ranked_search import top_documents
 from folio.llm.token_counts import token_count_digest
 from folio.llm.warc import warc_round_trip
 
@@ -66,4 +69,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_flac_media, op4_warc_round_trip, op5_line_dedup, op6_license_scan, op7_hmm_scores, op8_quality_rules, op9_token_counts, op10_mixing)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_classes(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_bpe_round_trip, op3_flac_media, op4_warc_round_trip, op5_line_dedup, op6_license_scan, op7_hmm_scores, op8_quality_rules, op9_token_counts, op10_mixing, op11_importance_resampling, op12_ranked_search, op13_embedding_near_dedup)}
