@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from folio.sources.shipping import ship_package
 
 
+#: A number as lenient reading knows it (fixed value): digits with a point or an exponent, between white space.
+NUMBER = r"^[ \t\n\r\x0B\f]*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?[ \t\n\r\x0B\f]*$"
+
+
 def lenient_int(col: Column, default: int = 0) -> Column:
-    """The number of a text, cut at its point; null, empty and other texts give the default."""
-    return F.coalesce(F.trim(col).try_cast("double").try_cast("long"), F.lit(default).cast("long"))
+    """The number of a text, cut at its point; null, empty and other texts (``1d``, ``0x1``, ``NaN``) give the default."""
+    number = F.when(col.rlike(NUMBER), F.trim(F.translate(col, "\t\n\r\x0b\f", "     ")).try_cast("double").try_cast("long"))
+    return F.coalesce(number, F.lit(default).cast("long"))
 
 
 def month_of(col: Column) -> Column:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.operators.joins import join_by_weight
+from folio.operators.ranks import ranked
+from folio.sources.staging import staged
+
 PAGE = ["year", "month", "name", "company", "download_url", "match_name", "comment", "downloaded"]
 
 
@@ -64,8 +68,11 @@ def has_link(link: Column) -> Column:
 
 
 def links_to_check(catalog: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
-    """date, name and link of rows with a link; the month counts only if year and month are both given."""
-    rows = in_month(catalog, year, month) if year and month else catalog
+    """date, name and link of rows with a link; the month counts only if year and month are both given, and may be written without its zero."""
+    rows = catalog
+    if year and month:
+        number = F.regexp_extract(F.substring("date", 6, 100), r"^\s*([+-]?\d{1,9})", 1).try_cast("int")
+        rows = catalog.where((F.col("date") >= f"{year:04d}") & (F.col("date") < f"{year + 1:04d}") & (F.substring("date", 1, 4) == f"{year:04d}") & (number == month))
     return rows.where(has_link(F.col("link"))).select("date", "name", "link")
 
 
@@ -74,6 +81,20 @@ def missing_links(catalog: DataFrame, year: int, month: int) -> DataFrame:
 
 
 def with_link_uses(df: DataFrame, key: str, link: str, alias: str = "uses") -> DataFrame:
-    """``key`` and how many rows share each link that more than one row has; counted before the join, so a frequent link is one row of it."""
-    shared = df.where(has_link(F.col(link))).groupBy(F.xxhash64(link).alias("_h"), F.xxhash64(F.lit(1), link).alias("_g")).agg(F.count(F.lit(1)).alias(alias)).where(F.col(alias) > 1)
-    return df.select(key, F.xxhash64(link).alias("_h"), F.xxhash64(F.lit(1), link).alias("_g")).join(shared, ["_h", "_g"]).select(key, alias)
+    """``key`` and how many rows share each link that more than one row has; counted before the join, whose rows of a frequent link stay where they are."""
+    hashed = df.where(has_link(F.col(link))).select(key, F.xxhash64(link).alias("_h"), F.xxhash64(F.lit(1), link).alias("_g"))
+    shared = staged(hashed.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias(alias)).where(F.col(alias) > 1), "shared")
+    total = shared.agg(F.coalesce(F.sum(alias), F.lit(0)).alias("n")).first()["n"]
+    return join_by_weight(hashed, shared, ["_h", "_g"], alias, total).select(key, alias)
+
+
+def deep_page(ordered: DataFrame, page: int, per_page: int = 50) -> DataFrame:
+    """A page of a table of :func:`with_places`, however far back: a range of places, of which no task reads the rows before."""
+    first = (max(page, 1) - 1) * per_page
+    return ordered.where((F.col("place") > first) & (F.col("place") <= first + per_page))
+
+
+def with_places(catalog: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
+    """The listing with each row's ``place``, newest month first, as :func:`catalog_page` orders it; rows equal in all of the order are told apart by their link."""
+    rows = listing(in_month(catalog, year, month)).withColumns({"year": F.col("year").try_cast("int"), "month": F.col("month").try_cast("int")})
+    return ranked(rows.select(*PAGE), [F.desc("year"), F.desc("month"), F.col("name"), F.col("company"), F.col("download_url")], "place")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.sources.catalog import KEY
+from folio.sources.staging import staged
 
 
 def insert_or_ignore(existing: DataFrame, batch: DataFrame, keys: Sequence[str] = KEY, ordinal: str = "ordinal") -> DataFrame:
@@ -23,13 +24,13 @@ def insert_or_ignore(existing: DataFrame, batch: DataFrame, keys: Sequence[str]
     return existing.unionByName(fresh, allowMissingColumns=True).unionByName(batch.where(null_key).select(*columns), allowMissingColumns=True)
 
 
-def insert_counts(existing: DataFrame, batch: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """One row: fetched, inserted, skipped."""
+def insert_counts(existing: DataFrame, batch: DataFrame, keys: Sequence[str] = KEY, by: Sequence[str] = ()) -> DataFrame:
+    """One row: fetched, inserted, skipped; or one for each value of the key columns ``by``."""
     known = existing.select(*keys).distinct().withColumn("_known", F.lit(True))
     per_key = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(known, list(keys), "left")
     has_null = F.greatest(*(F.col(k).isNull().cast("int") for k in keys)) == 1
     inserted = F.when(has_null, F.col("n")).when(F.col("_known").isNull(), 1).otherwise(0)
-    return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fetched"), F.coalesce(F.sum(inserted), F.lit(0)).alias("inserted")).withColumn("skipped", F.col("fetched") - F.col("inserted"))
+    return per_key.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fetched"), F.coalesce(F.sum(inserted), F.lit(0)).alias("inserted")).withColumn("skipped", F.col("fetched") - F.col("inserted"))
 
 
 def _one_patch(patch: DataFrame, fields: Sequence[str], keys: Sequence[str], ordinal: str | None) -> DataFrame:
@@ -45,15 +46,95 @@ def update_rows(df: DataFrame, patch: DataFrame, fields: Sequence[str], keys: Se
     """Each patch row has the keys and ``new_<field>``; null leaves a field as it is, an empty text is a value.
 
     Several patches of one key apply in the order of ``ordinal`` (equal ordinals by value), as if one
-    after the other; without ``ordinal`` they fail the job.  A row of ``df`` stays one row.  Keys may
-    change; call :func:`collisions` first to see whether that makes two rows one.
+    after the other; without ``ordinal`` they fail the job.  A row of ``df`` stays one row.  Where keys
+    are among the fields, a patch that would make two rows one is refused; :func:`update_outcomes` says which.
     """
-    new = _one_patch(patch, fields, keys, ordinal).select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(f"new_{f}") for f in fields))
+    if any(k in fields for k in keys):
+        return _updated(df, _judged(df, patch, fields, keys, ordinal).where(F.col("outcome") == AFFECTED), fields, keys)
+    return _updated(df, _one_patch(patch, fields, keys, ordinal), fields, keys)
+
+
+def _updated(df: DataFrame, one: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    new = one.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(f"new_{f}") for f in fields))
+    joined = df.join(new, _equal(df, new, keys), "left")
+    return joined.select(*(F.coalesce(F.col(f"new_{c}").cast(df.schema[c].dataType), F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns))
+
+
+def _equal(df: DataFrame, new: DataFrame, keys: Sequence[str]):
     on = F.lit(True)
     for k in keys:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    joined = df.join(new, on, "left")
-    return joined.select(*(F.coalesce(F.col(f"new_{c}").cast(df.schema[c].dataType), F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns))
+        on = on & (df[k] == new[f"_{k}"])
+    return on
+
+
+#: Outcomes of a request.
+AFFECTED, NOT_FOUND, COLLISION, EMPTY = "affected", "not_found", "collision", "empty"
+
+
+def _judged(df: DataFrame, patch: DataFrame, fields: Sequence[str], keys: Sequence[str], ordinal: str | None) -> DataFrame:
+    """One row per key of the patch with its fields and ``outcome``, kept.
+
+    ``df`` is read once, for its keys: those that a patch names or wants.  A patch moves its row if it
+    names another key than the row's; the first by ``ordinal``, then by key, of those that want a free
+    key gets it.
+    """
+    one = _one_patch(patch, fields, keys, ordinal)
+    order = F.struct(*([F.col("_at")] if ordinal else []), *keys)
+    if ordinal:
+        at = patch.groupBy(*keys).agg(F.min(ordinal).alias("_at"))
+        one = one.join(at, _null_safe(one, at, keys)).select(one["*"], "_at")
+    wanted = [F.coalesce(F.col(f"new_{k}").cast(df.schema[k].dataType), F.col(k)).alias(f"_to_{k}") if k in fields else F.col(k).alias(f"_to_{k}") for k in keys]
+    one = staged(one.select("*", *wanted, order.alias("_order")), "patch")
+    own = one.select(*(F.col(k) for k in keys))
+    goals = one.select(*(F.col(f"_to_{k}").alias(k) for k in keys))
+    held = staged(own.unionByName(goals).distinct().join(df.select(*keys), list(keys), "left_semi"), "held")
+    there = held.select(*keys, F.lit(True).alias("_there"))
+    taken = held.select(*(F.col(k).alias(f"_to_{k}") for k in keys), F.lit(True).alias("_taken"))
+    found = one.join(there, list(keys), "left").join(taken, [f"_to_{k}" for k in keys], "left")
+    moves = F.lit(False)
+    for k in keys:
+        moves = moves | (F.col(k) != F.col(f"_to_{k}"))
+    moved = found.withColumns({"_moves": F.coalesce(moves, F.lit(False)) & F.coalesce("_there", F.lit(False))})
+    first = moved.where("_moves AND _taken IS NULL").groupBy(*(f"_to_{k}" for k in keys)).agg(F.min("_order").alias("_first"))
+    given = F.lit(False)
+    for f in fields:
+        given = given | F.col(f"new_{f}").isNotNull()
+    outcome = F.when(~given, EMPTY).when(F.col("_there").isNull(), NOT_FOUND).when(F.col("_moves") & (F.col("_taken").isNotNull() | (F.col("_order") != F.col("_first"))), COLLISION).otherwise(AFFECTED)
+    judged = moved.join(first, [f"_to_{k}" for k in keys], "left").select(*keys, *(f"new_{f}" for f in fields), outcome.alias("outcome"))
+    return staged(judged, "judged")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]):
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[k])
+    return on
+
+
+def update_outcomes(df: DataFrame, patch: DataFrame, fields: Sequence[str], keys: Sequence[str] = KEY, ordinal: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table of :func:`update_rows`, and the patch's rows with what became of each: ``outcome``.
+
+    ``affected``: the row is there and has the values now; ``not_found``: no row has the key (a null in
+    it is equal to nothing); ``empty``: no field is given; ``collision``: the patch names a key that
+    another row has, or that an earlier patch takes; the whole patch is refused, the row stays as it is.
+    A batch is judged against the table as it was before it, so a key that a patch of the batch frees is
+    not free yet.  Patches of one key are one patch and share its outcome.
+    """
+    judged = _judged(df, patch, fields, keys, ordinal)
+    table = _updated(df, judged.where(F.col("outcome") == AFFECTED), fields, keys)
+    said = judged.select(*(F.col(k).alias(f"_{k}") for k in keys), "outcome")
+    on = F.lit(True)
+    for k in keys:
+        on = on & patch[k].eqNullSafe(said[f"_{k}"])
+    return table, patch.join(said, on).select(*(patch[c] for c in patch.columns if c != "outcome"), "outcome")
+
+
+def delete_outcomes(df: DataFrame, requests: DataFrame, keys: Sequence[str] = KEY) -> tuple[DataFrame, DataFrame]:
+    """The table of :func:`delete_rows`, and the requests with ``outcome``: ``affected`` where a row has gone, else ``not_found``.  Repeated requests share theirs."""
+    there = requests.select(*keys).distinct().join(df.select(*keys), list(keys), "left_semi").withColumn("_there", F.lit(True))
+    outcome = F.when(F.col("_there"), AFFECTED).otherwise(NOT_FOUND)
+    asked = requests.join(there, list(keys), "left").select(*(c for c in requests.columns if c != "outcome"), outcome.alias("outcome"))
+    return delete_rows(df, requests, keys), asked
 
 
 def collisions(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -96,6 +177,11 @@ def edits_as_patch(edits: DataFrame) -> DataFrame:
 
 
 def edit_rows(df: DataFrame, edits: DataFrame, ordinal: str | None = None) -> DataFrame:
-    """``df`` after the edits of :func:`edits_as_patch`."""
+    """``df`` after the edits of :func:`edits_as_patch`; an edit to a key that another row has is refused."""
+    return edit_outcomes(df, edits, ordinal)[0]
+
+
+def edit_outcomes(df: DataFrame, edits: DataFrame, ordinal: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` after the edits, and what became of each: see :func:`update_outcomes`."""
     patch = edits_as_patch(edits)
-    return update_rows(df, patch, [f for f in [*KEPT_WHEN_EMPTY, *EMPTIED, "downloaded"] if f"new_{f}" in patch.columns], KEY, ordinal)
+    return update_outcomes(df, patch, [f for f in [*KEPT_WHEN_EMPTY, *EMPTIED, "downloaded"] if f"new_{f}" in patch.columns], KEY, ordinal)

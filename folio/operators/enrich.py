@@ -24,12 +24,12 @@ def month_before_tag(name: Column, month: Column, tag: str) -> Column:
     return F.when(has_month & has_tag, 1).when(has_month, 2).when(has_tag, 3).otherwise(4)
 
 
-def best_candidates(rows: DataFrame, keys: Sequence[str], tier_col: Column, date: Column, ties: Sequence[str], values: Sequence[str], link: str = "link", last_tier: int | None = None) -> DataFrame:
-    """Per key the candidate of the least tier, newest first (no date last), then by ``ties``; in ``last_tier`` its link is cleared.
+def best_candidates(rows: DataFrame, keys: Sequence[str], tier_col: Column, date: Column, ties: Sequence[str], values: Sequence[str], link: str = "link", last_tier: int | None = None, first: Sequence[str] = ()) -> DataFrame:
+    """Per key the candidate with the least ``first`` columns, then of the least tier, newest first (no date last), then by ``ties``; in ``last_tier`` its link is cleared.
 
     One aggregation with map-side combination: no group is sorted.
     """
-    newest = F.struct(F.col("_t"), F.col("_d").isNull(), -F.coalesce("_d", F.lit(0)), *ties)
+    newest = F.struct(*first, F.col("_t"), F.col("_d").isNull(), -F.coalesce("_d", F.lit(0)), *ties)
     marked = rows.withColumns({"_t": tier_col, "_d": F.unix_micros(date.cast("timestamp"))})
     best = marked.groupBy(*keys).agg(F.min_by(F.struct(F.col("_t").alias("tier"), *values), newest).alias("b"))
     out = best.select(*keys, "b.*")

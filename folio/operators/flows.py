@@ -13,8 +13,7 @@ from folio.functions.text import hyphens_to_spaces, month_tag, without_hyphens,
 from folio.operators.catalog import has_link
 from folio.operators.changes import insert_counts, insert_or_ignore
 from folio.operators.editions import dedup_editions
-from folio.operators.enrich import best_candidates, lookup_with_fallback, tier
-from folio.sources.catalog import KEY
+from folio.operators.enrich import best_candidates, tier
 
 
 def ingest(catalog: DataFrame, pages: DataFrame, skip: Sequence[str] = (), delete: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -27,6 +26,12 @@ def ingest(catalog: DataFrame, pages: DataFrame, skip: Sequence[str] = (), delet
     return insert_or_ignore(catalog, items), insert_counts(catalog, items).withColumn("success", F.col("fetched") > 0)
 
 
+def ingest_months(catalog: DataFrame, pages: DataFrame, skip: Sequence[str] = (), delete: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Like :func:`ingest`, with the counts of each month."""
+    items = dedup_editions(listings(pages, list(skip)), delete).withColumn("ordinal", F.length("name"))
+    return insert_or_ignore(catalog, items), insert_counts(catalog, items, by=["date"])
+
+
 def with_search_keys(catalog: DataFrame) -> DataFrame:
     """Adds ``search`` (name without hyphens, and company) and ``relaxed`` (its word characters, and the company with spaces for hyphens)."""
     bare = without_hyphens(F.col("name"))
@@ -34,22 +39,33 @@ def with_search_keys(catalog: DataFrame) -> DataFrame:
 
 
 def enrich(catalog: DataFrame, candidates: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
-    """Fills size, link and match_name of rows without a link.
+    """Fills size, link and match_name of rows without a link that have a candidate; all other rows stay as they are.
 
     ``candidates`` has ``query``, name, link, size, date (timestamp) and ordinal.  The relaxed query
     counts only for items whose own query has no candidate.  Without a candidate of the month the
-    newest one is noted without its link; without any, size, link, match_name and comment become null.
+    newest one is noted without its link.  A row with a null in its key is left alone, too.
     """
-    open_catalog = catalog.where(~has_link(F.col("link")))
-    open_rows = with_search_keys(open_catalog.select("date", "name", "company"))
-    keyed = open_rows.select(F.xxhash64("date", "name").alias("item"), F.col("date").alias("item_date"), F.col("name").alias("item_name"), "search", "relaxed")
+    is_open = ~has_link(F.col("link"))
+    patch = _chosen(with_search_keys(catalog.where(is_open).select("date", "name", "company")), candidates, tags)
+    joined = catalog.select("*", is_open.alias("_open")).join(patch, (F.col("date") == F.col("_date")) & (F.col("name") == F.col("_name")) & F.col("_open"), "left")
+    found = F.col("_date").isNotNull()
+    return joined.select(*(F.when(found, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in ("size", "link", "match_name") else F.col(c) for c in catalog.columns))
+
+
+def enrich_months(catalog: DataFrame, candidates: DataFrame, tags: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """:func:`enrich`, and how many records of each month have a candidate now."""
+    is_open = catalog.where(~has_link(F.col("link")))
+    updated = _chosen(with_search_keys(is_open.select("date", "name", "company")), candidates, tags).where("_date IS NOT NULL AND _name IS NOT NULL")
+    return enrich(catalog, candidates, tags), updated.groupBy(F.col("_date").alias("date")).agg(F.count(F.lit(1)).alias("updated"))
+
+
+def _chosen(keyed: DataFrame, candidates: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """The best candidate of each key that has one; those of both queries are read once, and one of the own query comes first."""
+    queries = F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("search").alias("query")), F.struct(F.lit(2).alias("level"), F.col("relaxed").alias("query")))).alias("q")
+    asked = keyed.select(F.col("date").alias("_date"), F.col("name").alias("_name"), queries).select("_date", "_name", "q.*")
     c = candidates.select("query", F.col("name").alias("new_match_name"), F.col("link").alias("new_link"), F.col("size").alias("new_size"), F.col("date").alias("released"), "ordinal")
-    rows = lookup_with_fallback(keyed, c.withColumnRenamed("query", "search"), c.withColumnRenamed("query", "relaxed"), ["search"], ["relaxed"], "item")
-    chosen = best_candidates(rows, ["item_date", "item_name"], tier(F.col("new_match_name"), month_tag(F.col("item_date")), tags), F.col("released"), ["ordinal"], ["new_match_name", "new_link", "new_size"], link="new_link", last_tier=len(tags) + 2)
-    patch = chosen.select(F.col("item_date").alias("date"), F.col("item_name").alias("name"), "new_size", "new_link", "new_match_name", F.lit(True).alias("_any"))
-    joined = open_catalog.join(patch, KEY, "left")
-    filled = {"size": F.col("new_size"), "link": F.col("new_link"), "match_name": F.col("new_match_name"), "comment": F.when(F.col("_any"), F.col("comment"))}
-    return catalog.where(has_link(F.col("link"))).unionByName(joined.select(*(filled.get(c, F.col(c)).alias(c) for c in catalog.columns)))
+    month = tier(F.col("new_match_name"), month_tag(F.col("_date")), tags)
+    return best_candidates(asked.join(c, "query"), ["_date", "_name"], month, F.col("released"), ["ordinal"], ["new_match_name", "new_link", "new_size"], link="new_link", last_tier=len(tags) + 2, first=["level"])
 
 
 def answers(requests: DataFrame, metadata: DataFrame | None = None) -> DataFrame:

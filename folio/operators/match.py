@@ -10,10 +10,12 @@ result is exactly the containment join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.magnet import parse_magnet
 from folio.functions.text import before_plus, comparable, from_first_bracket, search_keyword, strip
+from folio.operators.folders import folder_of, subtree
 from folio.sources.staging import staged
 
 #: Words that at least this part of all (text, word) rows have are dealt out; there can be no more of them than its inverse.
@@ -29,7 +31,7 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, " "), F.when(F.contains(text, F.lit(" ")), F.array(F.lit(_BLANK))).otherwise(F.array().cast("array<string>"))))
 
 
-def _grams(word: Column) -> Column:
+def character_grams(word: Column) -> Column:
     """All runs of one to three characters, in time proportional to the word."""
 
     def runs(chars: Column) -> Column:
@@ -51,10 +53,10 @@ def _dealt_join(postings: DataFrame, wanted: DataFrame, counts: DataFrame, total
 
 def _words_with(parts: DataFrame, counts: DataFrame) -> DataFrame:
     """``_h``, ``_k``: the words of the vocabulary that have the part ``_e``, found by its gram that the fewest words have."""
-    grams = counts.select("_k", F.explode(_grams(F.col("_k"))).alias("_g"))
+    grams = counts.select("_k", F.explode(character_grams(F.col("_k"))).alias("_g"))
     often = staged(grams.groupBy("_g").agg(F.count(F.lit(1)).alias("gf")), "grams")
     often = F.broadcast(often) if often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else often
-    own = F.filter(_grams(F.col("_e")), lambda g: F.length(g) == F.least(F.lit(3), F.length("_e")))
+    own = F.filter(character_grams(F.col("_e")), lambda g: F.length(g) == F.least(F.lit(3), F.length("_e")))
     rarest = parts.select("_h", "_e", F.explode(own).alias("_g")).join(often, "_g").groupBy("_h").agg(F.min_by(F.struct("_g", "_e"), F.struct("gf", "_g")).alias("r"))
     return rarest.select("_h", "r.*").join(grams, "_g").where(F.contains("_k", "_e")).select("_h", "_k")
 
@@ -63,27 +65,47 @@ def contained_in(needles: DataFrame, hay: DataFrame, needle: str, text: str, key
     """Distinct pairs of keys (needle's, text's) where the non-empty needle is part of the text; nulls are part of nothing."""
     n = needles.select(F.col(keys[0]).alias("_a"), F.col(needle).alias("_n")).where(F.col("_n") != "")
     h = hay.select(F.col(keys[1]).alias("_b"), F.col(text).alias("_t")).where(F.col("_t") != "")
-    postings = h.select("_b", F.explode(_words(F.col("_t"))).alias("_k"))
-    counts = staged(postings.groupBy("_k").agg(F.count(F.lit(1)).alias("df")), "words")
-    total = counts.agg(F.sum("df").alias("n")).first()["n"] or 1
     longest_text = h.agg(F.max(F.length("_t")).alias("n")).first()["n"] or 0
     # Equal needles are sought once; one longer than every text is part of none.
-    texts = n.where(F.length("_n") <= longest_text).select("_n").distinct().select("_n", F.struct(F.xxhash64("_n"), F.xxhash64(F.lit(1), "_n")).alias("_h"), F.split("_n", " ").alias("_w"))
-    inner = F.filter(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: w != "")
-    by_word = texts.where(F.size(inner) > 0).select("_h", F.explode(F.array_distinct(inner)).alias("_k")).join(counts, "_k").groupBy("_h").agg(F.min_by("_k", F.struct("df", "_k")).alias("_k"))
-    longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
-    edges = texts.where(F.size(inner) == 0).select("_h", longest.alias("_e"))
-    blank = edges.where(F.col("_e") == "").select("_h", F.lit(_BLANK).alias("_k"))
-    wanted = by_word.select("_h", "_k").unionByName(blank)
-    edges = staged(edges.where(F.col("_e") != ""), "edges")
-    if edges.limit(1).count():
-        wanted = wanted.unionByName(_words_with(edges, counts))
-
-    pairs = _dealt_join(postings, wanted, counts, total).select("_h", "_b").distinct()
-    found = pairs.join(texts.select("_h", "_n"), "_h").join(h, "_b").where(F.contains("_t", "_n")).select("_n", "_b")
+    distinct = n.where(F.length("_n") <= longest_text).select("_n").distinct()
+    words = F.split("_n", " ")
+    inner = F.array_distinct(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    texts = distinct.select("_n", F.struct(F.xxhash64("_n"), F.xxhash64(F.lit(1), "_n")).alias("_h"), inner.alias("_inner"))
+    texts = staged(texts.select("_n", "_h", "_inner", F.when(F.size("_inner") == 0, longest).alias("_e")), "needles")
+    kinds = texts.agg(F.count_if(F.size("_inner") > 0).alias("inner"), F.count("_e").alias("edges")).first()
+    every = h.select("_b", F.explode(_words(F.col("_t"))).alias("_k"))
+    pairs = [_by_inner_word(texts, every)] if kinds["inner"] else []
+    if kinds["edges"]:
+        pairs.append(_by_edge(texts.where("_e IS NOT NULL").select("_h", "_e"), every))
+    if not pairs:
+        return n.join(h, F.lit(False)).select(F.col("_a").alias(keys[0]), F.col("_b").alias(keys[1]))
+    both = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])
+    found = both.distinct().join(texts.select("_h", "_n"), "_h").join(h, "_b").where(F.contains("_t", "_n")).select("_n", "_b")
     return n.join(found, "_n").select(F.col("_a").alias(keys[0]), F.col("_b").alias(keys[1])).distinct()
 
 
+def _by_inner_word(texts: DataFrame, every: DataFrame) -> DataFrame:
+    """``_h``, ``_b``: texts that have the needle's rarest inner word.  Only words that some needle has are counted and kept."""
+    own = texts.select("_h", F.explode("_inner").alias("_k"))
+    sought = staged(own.select("_k").distinct(), "sought")
+    few = sought.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    postings = staged(every.join(F.broadcast(sought) if few else sought, "_k", "left_semi"), "postings")
+    counts = staged(postings.groupBy("_k").agg(F.count(F.lit(1)).alias("df")), "words")
+    wanted = own.join(counts, "_k").groupBy("_h").agg(F.min_by("_k", F.struct("df", "_k")).alias("_k"))
+    # A needle with a word that no text has is in none.
+    whole = own.join(counts, "_k", "left").groupBy("_h").agg(F.count_if(F.col("df").isNull()).alias("_missing")).where("_missing = 0").select("_h")
+    return _dealt_join(postings, wanted.join(whole, "_h", "left_semi"), counts, postings.count()).select("_h", "_b")
+
+
+def _by_edge(edges: DataFrame, every: DataFrame) -> DataFrame:
+    """``_h``, ``_b``: texts with a word that has the needle's longest word as a part; such words are sought in the vocabulary of all texts."""
+    counts = staged(every.groupBy("_k").agg(F.count(F.lit(1)).alias("df")), "words")
+    total = counts.agg(F.sum("df").alias("n")).first()["n"] or 1
+    wanted = edges.where(F.col("_e") == "").select("_h", F.lit(_BLANK).alias("_k")).unionByName(_words_with(edges.where(F.col("_e") != ""), counts))
+    return _dealt_join(every, wanted, counts, total).select("_h", "_b")
+
+
 def containment_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, keys: tuple[str, str]) -> DataFrame:
     """Pairs of keys where either name contains the other, both non-empty; both tables are read once and kept."""
     left, right = (staged(df.select(key, name), "names") for df, key, name in ((left, keys[0], left_name), (right, keys[1], right_name)))
@@ -96,49 +118,86 @@ def _title(dn: Column) -> Column:
     return strip(F.regexp_replace(from_first_bracket(before_plus(dn)), r"\[[^\]]+\]", ""))
 
 
-def match_existing(magnets: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
-    """magnet_id, exists, confidence, matched_files, in_tasks.
+#: Fields of a matched file.
+FILE = "struct<name: string, size: bigint, pick_code: string>"
+#: What a link that can't be parsed is answered with, before its errors (fixed value).
+PARSE_FAILED = "磁链解析失败: "
 
-    ``magnets`` has magnet_id, magnet, dn, infohash_hex; ``files`` has file_id and file_name; ``tasks``
-    has task_id and url.  Searches go by keyword, then date tag, then bare title (of three characters
-    or more); the next one counts only if the one before found no file at all.  If nothing matched and
-    no task has the link, the first twelve digits of the hash are searched.  A found file matches when
-    either comparable name contains the other.  Confidence is high for a match or a task, low if the
-    shortened keyword finds a file, else none.
-    """
+
+def _found(magnets: DataFrame, files: DataFrame, tasks: DataFrame, low_counts: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(magnet_id, file_id and the file's fields) of matched files, (magnet_id) of links that a task has, (magnet_id) of those whose shortened keyword finds a file."""
     dn = F.coalesce("dn", F.lit(""))
     m = magnets.select("magnet_id", "magnet", dn.alias("dn"), "infohash_hex", search_keyword(dn).alias("keyword"), comparable(dn).alias("_norm"))
     m = staged(m, "magnets")
     code = F.coalesce(F.get(F.regexp_extract_all("dn", F.lit(r"\[(\d{6})\]"), F.lit(1)), 0), F.lit(""))
     title = F.when(F.length(_title(F.col("dn"))) >= 3, F.substring(_title(F.col("dn")), 1, 20)).otherwise(F.lit(""))
-    short = F.expr("substring(keyword, 1, greatest(8, cast(floor(length(keyword) / 3) as int)))")
+    short = F.expr("substring(keyword, 1, greatest(8, cast(floor(length(keyword) / 3) as int)))") if low_counts else F.lit("")
     # All searches of all magnets are one containment join: levels 0 to 2 in turn, 3 by the hash, 4 for low confidence.
     words = F.array("keyword", code, title, F.coalesce(F.substring("infohash_hex", 1, 12), F.lit("")), short)
     searches = m.where("dn <> ''").select("magnet_id", F.posexplode(words).alias("level", "word")).where("word <> ''")
     searches = staged(searches.select(F.struct("magnet_id", "level").alias("search"), "word"), "searches")
-    names = staged(files.select("file_id", "file_name", comparable(F.col("file_name")).alias("_file")), "names")
+    more = [F.col(c) if c in files.columns else F.lit(None).cast(t).alias(c) for c, t in (("size", "long"), ("pick_code", "string"))]
+    names = staged(files.select("file_id", "file_name", *more, comparable(F.col("file_name")).alias("_file")), "names")
     found = staged(contained_in(searches, names, "word", "file_name", ("search", "file_id")).select("search.magnet_id", "search.level", "file_id"), "found")
     least = found.where("level < 3").groupBy("magnet_id").agg(F.min("level").alias("level"))
     level_hits = found.join(least, ["magnet_id", "level"]).select("magnet_id", "file_id")
     either = (F.col("_norm") != "") & (F.col("_file") != "") & (F.contains("_norm", "_file") | F.contains("_file", "_norm"))
-    check = lambda hits: hits.join(m.select("magnet_id", "_norm"), "magnet_id").join(names, "file_id").where(either).select("magnet_id", "file_id", "file_name")
+    check = lambda hits: hits.join(m.select("magnet_id", "_norm"), "magnet_id").join(names, "file_id").where(either).select("magnet_id", "file_id", "file_name", "size", "pick_code")
     matched = check(level_hits)
 
     lowered = tasks.select("task_id", F.lower(F.coalesce("url", F.lit(""))).alias("_url"))
     links = m.select("magnet_id", F.explode(F.array(F.lower("magnet"), F.coalesce("infohash_hex", F.lit("")))).alias("part"))
-    in_tasks = contained_in(links, lowered, "part", "_url", ("magnet_id", "task_id")).select("magnet_id").distinct().withColumn("in_tasks", F.lit(True))
+    in_tasks = contained_in(links, lowered, "part", "_url", ("magnet_id", "task_id")).select("magnet_id").distinct()
 
     by_hash = check(found.where("level = 3").select("magnet_id", "file_id"))
-    by_hash = by_hash.join(matched.select("magnet_id").distinct(), "magnet_id", "left_anti").join(in_tasks.select("magnet_id"), "magnet_id", "left_anti")
-    all_matched = matched.unionByName(by_hash).distinct().groupBy("magnet_id").agg(F.array_sort(F.collect_list("file_name")).alias("matched_files"))
+    by_hash = by_hash.join(matched.select("magnet_id").distinct(), "magnet_id", "left_anti").join(in_tasks, "magnet_id", "left_anti")
+    return matched.unionByName(by_hash).distinct(), in_tasks, found.where("level = 4").select("magnet_id").distinct()
+
+
+def match_existing(magnets: DataFrame, files: DataFrame, tasks: DataFrame, *, folders: DataFrame | None = None, save_path: str | None = None, most_files: int = 100) -> DataFrame:
+    """magnet_id, exists, confidence, matched_files (name, size, pick_code), n_matched, in_tasks, message.
+
+    ``magnets`` has magnet_id, magnet, dn, infohash_hex and, where links are parsed here, ``errors`` (see
+    :func:`parsed_links`); ``files`` has file_id, file_name and any of size, pick_code and parent_id;
+    ``tasks`` has task_id and url.  Searches go by keyword, then date tag, then bare title (of three characters
+    or more); the next one counts only if the one before found no file at all.  If nothing matched and
+    no task has the link, the first twelve digits of the hash are searched.  A found file matches when
+    either comparable name contains the other.  Confidence is high for a match or a task, low if the
+    shortened keyword finds a file, else none.
 
-    low = found.where("level = 4").select("magnet_id").distinct().withColumn("_low", F.lit(True))
-    out = m.select("magnet_id").join(all_matched, "magnet_id", "left").join(in_tasks, "magnet_id", "left").join(low, "magnet_id", "left")
-    exists = F.col("matched_files").isNotNull() | F.col("in_tasks").isNotNull()
+    With ``folders`` (folder_id, parent_id, name) files are sought in the folder ``save_path`` and below it
+    only; a path that no folder has means all files, and no low confidence.  ``matched_files`` has the first ``most_files`` of all
+    ``n_matched`` by name and id.  A link with errors matches nothing; its ``message`` names them.
+    """
+    low_counts = True
+    if folders is not None:
+        root = folder_of(folders, save_path) if save_path else None
+        low_counts = root is not None
+        if low_counts:
+            files = files.join(subtree(folders, root).withColumnRenamed("folder_id", "parent_id"), "parent_id", "left_semi")
+    bad = F.size(F.coalesce("errors", F.array().cast("array<string>"))) > 0 if "errors" in magnets.columns else F.lit(False)
+    message = F.when(bad, F.concat(F.lit(PARSE_FAILED), F.array_join("errors", ", "))) if "errors" in magnets.columns else F.lit(None).cast("string")
+    matched, in_tasks, low = _found(magnets.where(~bad), files, tasks, low_counts)
+    order = Window.partitionBy("magnet_id").orderBy("file_name", "file_id")
+    first = matched.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_files)
+    file = F.struct("_n", F.struct(F.col("file_name").alias("name"), F.col("size").cast("long").alias("size"), "pick_code").alias("file"))
+    first = first.groupBy("magnet_id").agg(F.transform(F.array_sort(F.collect_list(file)), lambda x: x["file"]).alias("matched_files"))
+    counts = matched.groupBy("magnet_id").agg(F.count(F.lit(1)).alias("n_matched"))
+    out = magnets.select("magnet_id", message.alias("message"))
+    for part in (first, counts, in_tasks.withColumn("in_tasks", F.lit(True)), low.withColumn("_low", F.lit(True))):
+        out = out.join(part, "magnet_id", "left")
+    exists = F.col("n_matched").isNotNull() | F.col("in_tasks").isNotNull()
     return out.select(
         "magnet_id",
         exists.alias("exists"),
         F.when(exists, "high").when(F.col("_low"), "low").otherwise("none").alias("confidence"),
-        F.coalesce("matched_files", F.array().cast("array<string>")).alias("matched_files"),
+        F.coalesce("matched_files", F.array().cast(f"array<{FILE}>")).alias("matched_files"),
+        F.coalesce("n_matched", F.lit(0).cast("long")).alias("n_matched"),
         F.coalesce("in_tasks", F.lit(False)).alias("in_tasks"),
+        "message",
     )
+
+
+def parsed_links(links: DataFrame, link: str = "link") -> DataFrame:
+    """``links`` with magnet, dn, infohash_hex and errors, as :func:`match_existing` takes them."""
+    return links.withColumn("_p", parse_magnet(F.col(link))).select(*links.columns, F.col(link).alias("magnet"), "_p.dn", "_p.infohash_hex", "_p.errors")

@@ -15,6 +15,16 @@ def month_grid(spark: SparkSession, start_year: int, end_year: int, start_month:
     return spark.range(a, b + 1).select(F.col("id").cast("int").alias("year"), months.alias("month")).withColumn("date", F.format_string("%04d-%02d", "year", "month"))
 
 
+def month_grid_between(bounds: DataFrame) -> DataFrame:
+    """:func:`month_grid` of each row of bounds (start_year, end_year, start_month, end_month), made in the plan; a row with a null gives none."""
+    a, b = F.least("start_year", "end_year"), F.greatest("start_year", "end_year")
+    c, d = F.least("start_month", "end_month"), F.greatest("start_month", "end_month")
+    known = bounds.where("start_year IS NOT NULL AND end_year IS NOT NULL AND start_month IS NOT NULL AND end_month IS NOT NULL")
+    months = F.when(c == 0, F.sequence(F.lit(1), F.lit(12))).otherwise(F.sequence(c, d))
+    grid = known.select(months.alias("_m"), F.explode(F.sequence(a, b)).alias("year")).select("year", F.explode("_m").alias("month"))
+    return grid.select(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")).withColumn("date", F.format_string("%04d-%02d", "year", "month"))
+
+
 def percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.round(done / total * 100, 2)).otherwise(F.lit(0.0))
 

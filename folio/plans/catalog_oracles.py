@@ -77,6 +77,52 @@ fresh AS (SELECT r.date, r.name, r.company FROM walk w JOIN ranked r ON r.date =
 old AS (SELECT date, name, min(company) AS company FROM items WHERE o % 9 = 0 GROUP BY ALL)
 """
 
+
+
+def _existence(scope: str) -> str:
+    """Verdicts on the links of ``part`` over the files of ``supplier`` in a scope."""
+    return f"""
+WITH t AS ({_TITLES}), {_KEYWORDS},
+m AS (SELECT p_partkey AS id, dn, keyword, sha1('m|' || p_partkey) AS h, {_comparable("dn")} AS norm,
+             coalesce(regexp_extract_all(dn, '\\[(\\d{{6}})\\]', 1)[1], '') AS code,
+             {_strip("regexp_replace(" + _FROM_BRACKET.format(x=_before_plus("dn")) + ", '\\[[^\\]]+\\]', '', 'g')")} AS title FROM w WHERE p_partkey % 10 <> 0),
+f AS (SELECT s_suppkey AS file, s_nationkey * 1000 || '|pc' || s_suppkey AS more, CASE WHEN s_nationkey % 2 = 0 THEN '[' || lpad(s_suppkey::VARCHAR, 6, '0') || '] [x' || s_name || ']'
+             ELSE 'old red ' || lpad(s_suppkey::VARCHAR, 6, '0') || ' ' || s_name END AS name FROM supplier WHERE {scope}),
+fn AS (SELECT *, {_comparable("name")} AS fnorm FROM f),
+searches AS (SELECT id, norm, 0 AS level, keyword AS word FROM m UNION ALL SELECT id, norm, 1, code FROM m
+             UNION ALL SELECT id, norm, 2, CASE WHEN length(title) >= 3 THEN substr(title, 1, 20) ELSE '' END FROM m),
+found AS (SELECT s.id, s.level, s.norm, fn.file, fn.name, fn.more, fn.fnorm FROM searches s JOIN fn ON s.word <> '' AND contains(fn.name, s.word)),
+level_hits AS (SELECT * FROM found WHERE (id, level) IN (SELECT id, min(level) FROM found GROUP BY id)),
+matched AS (SELECT id, file, name, more FROM level_hits WHERE norm <> '' AND fnorm <> '' AND (contains(norm, fnorm) OR contains(fnorm, norm))),
+tasked AS (SELECT DISTINCT m.id FROM m JOIN supplier ON s_acctbal > 5000 AND m.h = sha1('m|' || s_suppkey)),
+by_hash AS (SELECT m.id, fn.file, fn.name, fn.more FROM m JOIN fn ON contains(fn.name, substr(m.h, 1, 12)) AND norm <> '' AND fnorm <> '' AND (contains(norm, fnorm) OR contains(fnorm, norm))
+            WHERE m.id NOT IN (SELECT id FROM matched) AND m.id NOT IN (SELECT id FROM tasked)),
+every AS (SELECT id, count(*) AS n, string_agg(name || '|' || more, ',' ORDER BY name, file) AS names FROM (SELECT DISTINCT * FROM matched UNION SELECT * FROM by_hash) GROUP BY id),
+low AS (SELECT DISTINCT m.id FROM m JOIN fn ON contains(fn.name, substr(keyword, 1, greatest(8, length(keyword) // 3))))
+SELECT p_partkey AS magnet_id, every.id IS NOT NULL OR tasked.id IS NOT NULL AS exists,
+       CASE WHEN every.id IS NOT NULL OR tasked.id IS NOT NULL THEN 'high' WHEN low.id IS NOT NULL THEN 'low' ELSE 'none' END AS confidence,
+       coalesce(names, '') AS matched_files, coalesce(n, 0) AS n_matched, tasked.id IS NOT NULL AS in_tasks,
+       CASE WHEN p_partkey % 10 = 0 THEN '磁链解析失败: invalid_btih' END AS message
+FROM part LEFT JOIN every ON p_partkey = every.id LEFT JOIN tasked ON p_partkey = tasked.id LEFT JOIN low ON p_partkey = low.id"""
+
+
+_CUSTOMER_TREE = "WITH RECURSIVE t AS (SELECT c_custkey AS folder_id, c_custkey // 3 AS parent_id, 'c' || c_nationkey AS name FROM customer)"
+
+#: Links of ``part`` and what a check of all of them finds.
+_CHECKED = f"""
+WITH v AS ({_existence("true")}),
+c AS (SELECT p_partkey AS k, '2001-' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') AS date, 'title ' || p_partkey AS name, p_partkey % 5 <> 0 AS linked, v.exists, v.confidence, v.message,
+             CASE WHEN p_partkey % 10 <> 0 THEN sha1('m|' || p_partkey) END AS h FROM part JOIN v ON v.magnet_id = p_partkey)
+"""
+_EDITS = _CATALOG + """, n AS (SELECT *, substr(name, 7)::BIGINT AS k FROM cat),
+one AS (SELECT count(*) AS n FROM n WHERE k = 1),
+e AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'not_found' WHEN k % 7 = 0 AND k <> 1 THEN 'collision' ELSE 'affected' END AS outcome FROM n WHERE k % 11 = 0)
+"""
+_ANSWERS = """
+SELECT CASE WHEN p_partkey % 4 = 0 THEN 'false' ELSE 'true' END AS ok, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey::VARCHAR END AS dn,
+       CASE WHEN p_partkey % 4 <> 0 THEN sha1(p_partkey::VARCHAR) END AS infohash_hex, CASE WHEN p_partkey % 4 = 0 THEN 'not_magnet' END AS error FROM part"""
+_YEARS = "(SELECT unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS y FROM orders)"
+
 ORACLES = {
     "catalog_listing": _CATALOG + "SELECT substr(date, 1, 4) AS year, substr(date, 6, 2) AS month, name, company, link AS download_url, NULL::VARCHAR AS match_name, comment, coalesce(downloaded, 0) AS downloaded, NULL::VARCHAR AS infohash_hex FROM cat",
     "catalog_years": _CATALOG + "SELECT DISTINCT substr(date, 1, 4)::INT AS year FROM cat",
@@ -138,30 +184,10 @@ UNION ALL SELECT s_suppkey, 2, b.n, b.least FROM i JOIN b USING (nation) WHERE N
     + " FROM q",
     "magnet_parts": "SELECT p_partkey, true AS ok, upper(sha1(p_name || '|' || p_partkey)) AS btih, p_name AS dn, 'udp://t' || p_size AS trackers, sha1(p_name || '|' || p_partkey) AS infohash_hex, '' AS errors FROM part",
     "compare_normalize": f"SELECT doc_id, {_comparable('text')} AS name FROM documents",
-    "compare_normalize_all": f"SELECT doc_id, {_comparable('text')} AS name FROM documents",
+    "compare_normalize_all": f"SELECT conv_id, turn, {_comparable('text')} AS name FROM conversations",
     "bracket_keyword": f"WITH t AS ({_TITLES}), {_KEYWORDS} SELECT p_partkey, keyword FROM w",
-    "existence_confidence": f"""
-WITH t AS ({_TITLES}), {_KEYWORDS},
-m AS (SELECT p_partkey AS id, dn, keyword, sha1('m|' || p_partkey) AS h, {_comparable("dn")} AS norm,
-             coalesce(regexp_extract_all(dn, '\\[(\\d{{6}})\\]', 1)[1], '') AS code,
-             {_strip("regexp_replace(" + _FROM_BRACKET.format(x=_before_plus("dn")) + ", '\\[[^\\]]+\\]', '', 'g')")} AS title FROM w),
-f AS (SELECT s_suppkey AS file, CASE WHEN s_nationkey % 2 = 0 THEN '[' || lpad(s_suppkey::VARCHAR, 6, '0') || '] [x' || s_name || ']'
-             ELSE 'old red ' || lpad(s_suppkey::VARCHAR, 6, '0') || ' ' || s_name END AS name FROM supplier),
-fn AS (SELECT *, {_comparable("name")} AS fnorm FROM f),
-searches AS (SELECT id, norm, 0 AS level, keyword AS word FROM m UNION ALL SELECT id, norm, 1, code FROM m
-             UNION ALL SELECT id, norm, 2, CASE WHEN length(title) >= 3 THEN substr(title, 1, 20) ELSE '' END FROM m),
-found AS (SELECT s.id, s.level, s.norm, fn.file, fn.name, fn.fnorm FROM searches s JOIN fn ON s.word <> '' AND contains(fn.name, s.word)),
-level_hits AS (SELECT * FROM found WHERE (id, level) IN (SELECT id, min(level) FROM found GROUP BY id)),
-matched AS (SELECT id, file, name FROM level_hits WHERE norm <> '' AND fnorm <> '' AND (contains(norm, fnorm) OR contains(fnorm, norm))),
-tasked AS (SELECT DISTINCT m.id FROM m JOIN supplier ON s_acctbal > 5000 AND m.h = sha1('m|' || s_suppkey)),
-by_hash AS (SELECT m.id, fn.file, fn.name FROM m JOIN fn ON contains(fn.name, substr(m.h, 1, 12)) AND norm <> '' AND fnorm <> '' AND (contains(norm, fnorm) OR contains(fnorm, norm))
-            WHERE m.id NOT IN (SELECT id FROM matched) AND m.id NOT IN (SELECT id FROM tasked)),
-every AS (SELECT id, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT * FROM matched UNION SELECT * FROM by_hash) GROUP BY id),
-low AS (SELECT DISTINCT m.id FROM m JOIN fn ON contains(fn.name, substr(keyword, 1, greatest(8, length(keyword) // 3))))
-SELECT m.id AS magnet_id, every.id IS NOT NULL OR tasked.id IS NOT NULL AS exists,
-       CASE WHEN every.id IS NOT NULL OR tasked.id IS NOT NULL THEN 'high' WHEN low.id IS NOT NULL THEN 'low' ELSE 'none' END AS confidence,
-       coalesce(names, '') AS matched_files, tasked.id IS NOT NULL AS in_tasks
-FROM m LEFT JOIN every ON m.id = every.id LEFT JOIN tasked ON m.id = tasked.id LEFT JOIN low ON m.id = low.id""",
+    "existence_confidence": _existence("true"),
+    "existence_in_folder": _existence("s_suppkey % 11 IN (2, 4, 5, 8, 9, 10)"),
     "containment_match": f"WITH b AS (SELECT item_id, {_NORM} AS b FROM benchmark), d AS (SELECT doc_id, {_NORM} AS d FROM documents) SELECT item_id, doc_id FROM b JOIN d ON b.b <> '' AND d.d <> '' AND (contains(d.d, b.b) OR contains(b.b, d.d))",
     "infohash_base32": "WITH h AS (SELECT doc_id, sha1(coalesce(text, '')) AS h FROM documents) SELECT doc_id, h AS infohash_hex, "
     + " || ".join(f"substr('abcdefghijklmnopqrstuvwxyz234567', ((('0x' || substr(h, {10 * c + 1}, 10))::BIGINT >> {35 - 5 * d}) & 31)::INT + 1, 1)" for c in range(4) for d in range(8))
@@ -171,7 +197,7 @@ FROM m LEFT JOIN every ON m.id = every.id LEFT JOIN tasked ON m.id = tasked.id L
     "torrent_total_size": "SELECT conv_id, count(*) AS n_files, sum(length(text))::BIGINT AS total_size FROM conversations GROUP BY conv_id",
     "html_links": "SELECT page_id, len(l)::BIGINT AS n_links, coalesce(array_to_string(l, ' '), '') AS links FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages)",
     "ingest_progress": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'click') AS inserted, count(*) FILTER (WHERE event_type <> 'click') AS skipped, round(round(count(*) FILTER (WHERE event_type = 'click') / count(*) * 100, 2), 1) AS progress FROM events GROUP BY 1",
-    "month_grid": "SELECT y::INT AS year, m::INT AS month, format('{:04d}-{:02d}', y, m) AS date FROM range(2001, 2004) a(y), range(3, 12) b(m)",
+    "month_grid": f"SELECT y::INT AS year, m::INT AS month, format('{{:04d}}-{{:02d}}', y, m) AS date FROM {_YEARS} a, range(3, 12) b(m)",
     "json_first_key": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS found FROM events",
     "additive_schema": "SELECT c_name AS name, c_mktsegment AS company, NULL::VARCHAR AS link, NULL::VARCHAR AS match_name, 0 AS downloaded, NULL::VARCHAR AS infohash_hex FROM customer",
     "duplicate_links": "SELECT doc_id, uses FROM (SELECT doc_id, text, count(*) OVER (PARTITION BY text) AS uses FROM documents WHERE text <> '') WHERE uses > 1",
@@ -181,18 +207,17 @@ FROM m LEFT JOIN every ON m.id = every.id LEFT JOIN tasked ON m.id = tasked.id L
     "listing_html_rows": "SELECT p_partkey, p_name AS name, p_brand AS company, 0 AS row FROM part WHERE NOT (contains(p_name, 'ring') OR contains(p_name, 'gear'))",
     "candidate_html_rows": "SELECT o_orderkey, 'A & ' || o_orderkey AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'magnet:?xt=urn:btih:' || sha1(o_orderkey::VARCHAR) END AS link, '1 GB' AS size, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M') END AS released, 0 AS ordinal FROM orders",
     "json_first_at_any_depth": "SELECT event_id, event_type AS kind, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "lenient_numbers": "SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_size ELSE 7 END::BIGINT AS number FROM part",
+    "lenient_numbers": "SELECT p_partkey, CASE WHEN p_partkey % 7 < 2 THEN p_size WHEN p_partkey % 7 = 4 THEN p_size * 10 ELSE 7 END::BIGINT AS number FROM part",
     "month_arithmetic": """
 SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 MONTH, '%Y-%m') AS before, strftime(date_trunc('month', o_orderdate) + INTERVAL 13 MONTH, '%Y-%m') AS after,
        year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, strftime(o_orderdate, '%y%m') AS tag, strftime(o_orderdate, '%Y-%m') AS date FROM orders""",
     "run_ids": "SELECT o_orderkey, '/store/' || year(o_orderdate) AS path, epoch(o_orderdate)::BIGINT || ':' || o_orderkey || ':' || year(o_orderdate) || ':' || month(o_orderdate) AS run FROM orders",
-    "month_grid_of_all_months": "SELECT y::INT AS year, m::INT AS month, format('{:04d}-{:02d}', y, m) AS date FROM range(2001, 2004) a(y), range(1, 13) b(m)",
+    "month_grid_of_all_months": f"SELECT y::INT AS year, m::INT AS month, format('{{:04d}}-{{:02d}}', y, m) AS date FROM {_YEARS} a, range(1, 13) b(m)",
     "magnet_escapes": "SELECT p_partkey, '%zzA ' || p_name || '%4' AS dn, sha1(p_partkey::VARCHAR) AS infohash_hex, true AS ok FROM part",
     "magnet_mismatch": """
 SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'infohash_mismatch,timeout' WHEN p_size % 3 = 1 THEN 'infohash_mismatch' ELSE '' END AS errors FROM part""",
-    "request_answers": """
-SELECT CASE WHEN p_partkey % 4 = 0 THEN 'false' ELSE 'true' END AS ok, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey::VARCHAR END AS dn,
-       CASE WHEN p_partkey % 4 <> 0 THEN sha1(p_partkey::VARCHAR) END AS infohash_hex, CASE WHEN p_partkey % 4 = 0 THEN 'not_magnet' END AS error FROM part""",
+    "request_answers": _ANSWERS,
+    "request_answers_streamed": _ANSWERS,
     "status_lines": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'click') AS inserted, count(*) FILTER (WHERE event_type <> 'click') AS skipped FROM events GROUP BY 1",
     "stored_status": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'click') AS inserted, count(*) FILTER (WHERE event_type <> 'click') AS skipped FROM events GROUP BY 1",
     "stored_months": _CATALOG + "SELECT date, name, link, CASE WHEN date = '1996-03' THEN 'again' ELSE comment END AS comment FROM cat WHERE date <> '1996-03' OR link <> ''",
@@ -211,16 +236,20 @@ SELECT count(*) AS checked, count(*) FILTER (downloaded = 1) AS found_downloaded
     "mark_downloaded": _CATALOG
     + """, n AS (SELECT *, substr(name, 7)::BIGINT AS k FROM cat)
 SELECT date, name, CASE WHEN k % 7 = 0 THEN 1 ELSE downloaded END AS downloaded, CASE WHEN k % 7 = 0 THEN sha1(name || '|' || (2 - k % 2)) END AS infohash_hex FROM n""",
-    "edit_rows": _CATALOG
-    + """, n AS (SELECT *, substr(name, 7)::BIGINT AS k FROM cat)
-SELECT date, CASE WHEN k % 22 = 0 THEN name || ' b' ELSE name END AS name, company, CASE WHEN k % 33 = 0 THEN '' WHEN k % 11 = 0 AND k % 3 = 1 THEN 'l' ELSE link END AS link,
-       CASE WHEN k % 55 = 0 THEN 1 ELSE downloaded END AS downloaded FROM n""",
+    "edit_rows": _EDITS
+    + """SELECT n.date, CASE WHEN outcome = 'affected' AND n.k % 2 = 0 THEN n.name || ' b' ELSE n.name END AS name, n.company,
+       CASE WHEN outcome = 'affected' AND n.k % 3 = 0 THEN '' WHEN outcome = 'affected' AND n.k % 3 = 1 THEN 'l' ELSE n.link END AS link,
+       CASE WHEN outcome = 'affected' AND n.k % 5 = 0 THEN 1 ELSE n.downloaded END AS downloaded FROM n LEFT JOIN e ON n.k = e.k""",
+    "edit_outcomes": _EDITS
+    + """SELECT CASE WHEN k % 13 = 0 THEN '1900-01' ELSE date END AS date, name,
+       CASE WHEN k % 7 <> 0 AND k % 2 <> 0 AND k % 3 = 2 AND k % 5 <> 0 THEN 'empty' ELSE outcome END AS outcome FROM e""",
+    "delete_outcomes": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 100000000 END AS c_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'affected' ELSE 'not_found' END AS outcome FROM orders",
     "ingest_listings": _INGEST + "SELECT * FROM old UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.date = f.date AND o.name = f.name)",
     "ingest_counts": _INGEST
     + """, k AS (SELECT count(*) AS fetched, count(*) FILTER (NOT EXISTS (SELECT 1 FROM old o WHERE o.date = f.date AND o.name = f.name)) AS inserted FROM fresh f)
 SELECT fetched, inserted, fetched - inserted AS skipped, fetched > 0 AS success FROM k""",
     "enrich_catalog": """
-WITH own AS (SELECT p_partkey AS k, (1995 + p_size % 3) || '-' || lpad((p_size % 12 + 1)::VARCHAR, 2, '0') AS date, p_name || '-' || p_partkey AS name,
+WITH own AS (SELECT p_partkey AS k, (1995 + p_size % 3) || '-' || lpad((p_size % 12 + 1)::VARCHAR, 2, '0') AS date, CASE WHEN p_partkey % 17 <> 0 THEN p_name || '-' || p_partkey END AS name,
                     CASE p_partkey % 4 WHEN 0 THEN 'has' WHEN 1 THEN '' END AS link FROM part),
 c AS (SELECT own.k, strftime(l_shipdate, '%y%m') || ' ' || l_returnflag AS match_name, 'link ' || l_orderkey AS new_link, l_linenumber || ' GB' AS size, l_shipdate, l_orderkey, l_linenumber, l_returnflag,
              substr(replace(date, '-', ''), 3) AS tag, CASE WHEN own.k % 3 = 0 AND l_linenumber <= 5 THEN 1 ELSE 2 END AS level
@@ -228,6 +257,37 @@ c AS (SELECT own.k, strftime(l_shipdate, '%y%m') || ' ' || l_returnflag AS match
 l AS (SELECT * FROM c WHERE (k, level) IN (SELECT k, min(level) FROM c GROUP BY k)),
 t AS (SELECT *, CASE WHEN contains(match_name, tag) AND contains(match_name, 'R') THEN 1 WHEN contains(match_name, tag) AND contains(match_name, 'A') THEN 2 WHEN contains(match_name, tag) THEN 3 ELSE 4 END AS tier FROM l),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tier, l_shipdate DESC NULLS LAST, l_orderkey, l_linenumber, l_returnflag) AS rn FROM t) WHERE rn = 1)
-SELECT date, name, CASE WHEN own.k % 4 = 0 THEN link WHEN tier < 4 THEN new_link END AS link, size, match_name, CASE WHEN own.k % 4 = 0 OR b.k IS NOT NULL THEN 'old' END AS comment
-FROM own LEFT JOIN b ON own.k = b.k""",
+SELECT date, name, CASE WHEN b.k IS NULL THEN link WHEN tier < 4 THEN new_link END AS link, CASE WHEN b.k IS NULL THEN 'sz' ELSE size END AS size,
+       CASE WHEN b.k IS NULL THEN 'mn' ELSE match_name END AS match_name, 'old' AS comment
+FROM own LEFT JOIN b ON own.k = b.k AND name IS NOT NULL""",
+    "folder_paths": _CUSTOMER_TREE
+    + """, p AS (SELECT folder_id, '/' || name AS path FROM t WHERE parent_id = folder_id UNION ALL SELECT t.folder_id, p.path || '/' || t.name FROM p JOIN t ON t.parent_id = p.folder_id AND t.folder_id <> p.folder_id)
+SELECT folder_id, path FROM p""",
+    "folder_subtree": _CUSTOMER_TREE + ", p AS (SELECT folder_id FROM t WHERE folder_id = 7 UNION ALL SELECT t.folder_id FROM p JOIN t ON t.parent_id = p.folder_id) SELECT folder_id FROM p",
+    "check_all_marks": _CHECKED + "SELECT date, name, CASE WHEN linked AND exists THEN 1 ELSE 0 END AS downloaded, CASE WHEN linked AND exists THEN h END AS infohash_hex FROM c",
+    "check_all_runs": _CHECKED
+    + """SELECT 1 AS run, count(*) AS checked, count(*) FILTER (exists) AS found_downloaded FROM c WHERE linked AND date = '2001-03'
+UNION ALL SELECT 2, count(*), count(*) FILTER (exists) FROM c WHERE linked AND date <> '2001-03'
+UNION ALL SELECT 3, 0, 0
+UNION ALL SELECT 4, count(*), 0 FROM c WHERE k % 9 = 0""",
+    "check_all_ledger": _CHECKED
+    + f"""SELECT c.date, c.name, sha256('magnet:?xt=urn:btih:' || CASE WHEN k % 10 = 0 THEN 'none' ELSE sha1('m|' || k) END || '&dn=' || replace(url_encode(dn), '%20', '+')) AS link_hash, exists, confidence, h AS infohash_hex, message
+FROM c JOIN ({_TITLES}) t ON t.p_partkey = k WHERE linked""",
+    "month_run": """
+WITH y AS (SELECT year(o_orderdate)::VARCHAR AS date, count(*) AS fetched, count(*) FILTER (o_orderstatus IN ('P', 'O')) AS inserted, count(*) FILTER (o_orderstatus = 'P') AS updated FROM orders GROUP BY 1)
+SELECT 1 AS attempt, date, date <> '1996' AS ok, CASE WHEN date <> '1996' THEN fetched END AS fetched, CASE WHEN date <> '1996' THEN inserted END AS inserted, CASE WHEN date <> '1996' THEN updated END AS updated,
+       CASE WHEN date = '1996' THEN true END AS told FROM y
+UNION ALL SELECT 2, date, true, fetched, inserted, updated, NULL FROM y""",
+    "deep_pages": _CATALOG
+    + """, r AS (SELECT row_number() OVER (ORDER BY date DESC, name, company) AS place, substr(date, 1, 4)::INT AS year, substr(date, 6, 2)::INT AS month, name, company, link AS download_url FROM cat)
+SELECT * FROM r WHERE (place > 300 AND place <= 350) OR (place > 1100 AND place <= 1150)""",
+    "run_states": """
+WITH e AS (SELECT user_id::VARCHAR AS run, ts, event_type = 'purchase' AS done, lag(ts) OVER w AS before, coalesce(lag(event_type = 'purchase') OVER w, true) AS ended FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type = 'purchase')),
+r AS (SELECT run, arg_max(done, (ts, done)) AS done, max(ts) AS last, count(*) FILTER (NOT ended AND epoch_ms(ts) - epoch_ms(before) > 86400000) AS stops FROM e GROUP BY run),
+s AS (SELECT *, CASE WHEN done THEN 'finished' WHEN epoch_ms((SELECT max(ts) FROM events)) - epoch_ms(last) > 86400000 THEN 'stopped' ELSE 'running' END AS state FROM r)
+SELECT run, state, CASE WHEN state = 'stopped' THEN 'not_running' END AS reason, strftime(last, '%Y-%m-%d %H:%M:%S') AS last_beat, stops + (state = 'stopped')::INT AS stops FROM s""",
+    "gram_search": """
+WITH b AS (SELECT '2001-' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') AS date, p_name || ' ' || p_partkey AS name FROM part),
+a AS (SELECT date, CASE WHEN date IN ('2001-02', '2001-05') THEN name || ' string' ELSE name END AS name FROM b WHERE date <> '2001-07' UNION ALL SELECT '2001-09', 'spring ' || s_name FROM supplier)
+SELECT 'before' AS when, date, name FROM b WHERE contains(name, 'ring') UNION ALL SELECT 'after', date, name FROM a WHERE contains(name, 'ring')""",
 }

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import bencode, html, magnet, text, values
-from folio.operators import catalog, changes, editions, enrich, flows, match, progress
+from folio.operators import catalog, changes, editions, enrich, flows, folders, grams, match, progress, verify
 from folio.sources.catalog import evolved, read_catalog, read_status, status_rows, to_json_lines, write_months
+from folio.sources.runs import run_months
 from folio.sources.staging import scratch_path
+from folio.streaming.heartbeats import runs_now
+from folio.streaming.requests import answer_requests
 
 SKIP = ["ring", "gear"]
 DELETE = ["small", "red", "small red", "ECONOMY"]
@@ -60,11 +63,13 @@ def links_to_check(spark, sf_dir):
 
 
 def missing_enrichment(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return changes.delete_rows(_t(spark, sf_dir, "documents").select("doc_id", "source"), _t(spark, sf_dir, "labels"), ["doc_id"])
 
 
 def present_enrichment(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels"), "doc_id")
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    none = _t(spark, sf_dir, "labels").limit(0)
+    return enrich.lookup_with_fallback(d, _t(spark, sf_dir, "labels"), none, ["doc_id"], ["doc_id"], "doc_id").select("doc_id", "source", "quality", "toxic")
 
 
 def skip_list_filter(spark, sf_dir):
@@ -161,8 +166,8 @@ def compare_normalize(spark, sf_dir):
 
 
 def compare_normalize_all(spark, sf_dir):
-    """The comparison form of every document; without SQL, as DuckDB has other rules for Unicode case and word boundaries."""
-    return _t(spark, sf_dir, "documents").select("doc_id", text.comparable(F.col("text")).alias("name"))
+    """The comparison form of every turn of the conversations."""
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.comparable(F.col("text")).alias("name"))
 
 
 def _titles(spark, sf_dir):
@@ -183,16 +188,87 @@ def containment_match(spark, sf_dir):
     return match.containment_pairs(b, d, "item_name", "doc_name", ("item_id", "doc_id"))
 
 
-def existence_confidence(spark, sf_dir):
+def _links(spark, sf_dir):
+    """A link of each part, one of ten with a hash that is none."""
     hashed = F.sha1(F.concat_ws("|", F.lit("m"), F.col("p_partkey").cast("string")))
-    titles = _titles(spark, sf_dir).withColumn("infohash_hex", hashed)
-    magnets = titles.select(F.col("p_partkey").alias("magnet_id"), F.concat(F.lit("magnet:?xt=urn:btih:"), "infohash_hex").alias("magnet"), "dn", "infohash_hex")
+    uri = F.concat(F.lit("magnet:?xt=urn:btih:"), F.when(F.col("p_partkey") % 10 == 0, "none").otherwise(hashed), F.lit("&dn="), F.url_encode("dn"))
+    return _titles(spark, sf_dir).select(F.col("p_partkey").alias("magnet_id"), uri.alias("link"))
+
+
+def _stored_files(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier")
     key = F.lpad(F.col("s_suppkey").cast("string"), 6, "0")
-    files = s.select(F.col("s_suppkey").alias("file_id"), F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("["), key, F.lit("] [x"), "s_name", F.lit("]"))).otherwise(F.concat_ws(" ", F.lit("old red"), key, "s_name")).alias("file_name"))
+    name = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("["), key, F.lit("] [x"), "s_name", F.lit("]"))).otherwise(F.concat_ws(" ", F.lit("old red"), key, "s_name"))
+    files = s.select(F.col("s_suppkey").alias("file_id"), name.alias("file_name"), (F.col("s_nationkey") * 1000).cast("long").alias("size"), F.concat(F.lit("pc"), F.col("s_suppkey").cast("string")).alias("pick_code"), (F.col("s_suppkey") % 11).alias("parent_id"))
     tasks = s.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("task_id"), F.concat(F.lit("MAGNET:?xt=urn:btih:"), F.upper(F.sha1(F.concat_ws("|", F.lit("m"), F.col("s_suppkey").cast("string"))))).alias("url"))
-    out = match.match_existing(magnets, files, tasks)
-    return out.withColumn("matched_files", F.array_join("matched_files", ","))
+    return files, tasks
+
+
+def _verdict_rows(verdicts):
+    shown = F.transform("matched_files", lambda f: F.concat_ws("|", f["name"], f["size"].cast("string"), f["pick_code"]))
+    return verdicts.withColumn("matched_files", F.array_join(shown, ","))
+
+
+def existence_confidence(spark, sf_dir):
+    files, tasks = _stored_files(spark, sf_dir)
+    return _verdict_rows(match.match_existing(match.parsed_links(_links(spark, sf_dir)), files, tasks))
+
+
+def _folders(spark, sf_dir):
+    """Folders 0 to 10 in a tree: folder k lies in folder k // 2."""
+    s = _t(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 11).alias("folder_id")).agg(F.min("s_suppkey").alias("_least"))
+    return s.select("folder_id", F.floor(F.col("folder_id") / 2).cast("long").alias("parent_id"), F.concat(F.lit("f"), F.col("folder_id").cast("string")).alias("name"))
+
+
+def existence_in_folder(spark, sf_dir):
+    """Verdicts where only a folder and what lies below it is searched."""
+    files, tasks = _stored_files(spark, sf_dir)
+    return _verdict_rows(match.match_existing(match.parsed_links(_links(spark, sf_dir)), files, tasks, folders=_folders(spark, sf_dir), save_path="f0/f1/f2"))
+
+
+def _customer_tree(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("folder_id"), F.floor(F.col("c_custkey") / 3).cast("long").alias("parent_id"), F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("name"))
+
+
+def folder_paths(spark, sf_dir):
+    return folders.folder_paths(_customer_tree(spark, sf_dir))
+
+
+def folder_subtree(spark, sf_dir):
+    return folders.subtree(_customer_tree(spark, sf_dir), 7)
+
+
+def _linked_catalog(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    key = F.col("magnet_id").cast("string")
+    return evolved(links.select(F.concat(F.lit("2001-"), F.lpad((F.col("magnet_id") % 12 + 1).cast("string"), 2, "0")).alias("date"), F.concat(F.lit("title "), key).alias("name"), F.lit("m").alias("company"), F.when(F.col("magnet_id") % 5 != 0, F.col("link")).alias("link")))
+
+
+def check_all_marks(spark, sf_dir):
+    """The catalog after all its links were checked."""
+    files, tasks = _stored_files(spark, sf_dir)
+    return verify.check_all(_linked_catalog(spark, sf_dir), files, tasks).catalog.select("date", "name", "downloaded", "infohash_hex")
+
+
+def check_all_runs(spark, sf_dir):
+    """What four runs did: the first checks one month, the second the others, the third nothing, the fourth the links that have changed."""
+    files, tasks = _stored_files(spark, sf_dir)
+    before = _linked_catalog(spark, sf_dir)
+    after = before.withColumn("link", F.when(F.substring("name", 7, 20).cast("long") % 9 == 0, F.lit("no link")).otherwise(F.col("link")))
+    first = verify.check_all(before, files, tasks, year=2001, month=3)
+    second = verify.check_all(before, files, tasks, first.ledger)
+    third = verify.check_all(before, files, tasks, second.ledger)
+    fourth = verify.check_all(after, files, tasks, third.ledger)
+    out = None
+    for n, run in enumerate((first, second, third, fourth), 1):
+        row = run.summary.select(F.lit(n).alias("run"), "checked", "found_downloaded")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def check_all_ledger(spark, sf_dir):
+    files, tasks = _stored_files(spark, sf_dir)
+    return verify.check_all(_linked_catalog(spark, sf_dir), files, tasks).ledger.select("date", "name", "link_hash", "exists", "confidence", "infohash_hex", "message")
 
 
 def infohash_base32(spark, sf_dir):
@@ -227,13 +303,18 @@ def ingest_progress(spark, sf_dir):
     return progress.counters(e, "day", F.col("event_type") == "click").withColumn("progress", F.round("progress", 1))
 
 
+def _year_bounds(spark, sf_dir, start_month, end_month):
+    """The years of the orders, the last one first."""
+    year = F.year("o_orderdate")
+    return _t(spark, sf_dir, "orders").agg(F.max(year).alias("start_year"), F.min(year).alias("end_year")).select("*", F.lit(start_month).alias("start_month"), F.lit(end_month).alias("end_month"))
+
+
 def month_grid(spark, sf_dir):
-    return progress.month_grid(spark, 2003, 2001, 11, 3)
+    return progress.month_grid_between(_year_bounds(spark, sf_dir, 11, 3))
 
 
 def json_first_key(spark, sf_dir):
-    named = [F.get_json_object("props", f"$.{k}") for k in ("id", "key", "k")]
-    return _t(spark, sf_dir, "events").select("event_id", F.coalesce(*(F.nullif(F.trim(n), F.lit("")) for n in named)).try_cast("long").alias("found"))
+    return _t(spark, sf_dir, "events").select("event_id", values.first_int(F.col("props"), ["id", "key", "k"]).alias("found"))
 
 
 def additive_schema(spark, sf_dir):
@@ -280,8 +361,8 @@ def json_first_at_any_depth(spark, sf_dir):
 
 
 def lenient_numbers(spark, sf_dir):
-    size = F.col("p_size").cast("string")
-    raw = F.when(F.col("p_partkey") % 4 == 0, size).when(F.col("p_partkey") % 4 == 1, F.concat(size, F.lit(".75"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("x"), size)).otherwise(F.lit(" "))
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 7
+    raw = F.when(kind == 0, size).when(kind == 1, F.concat(size, F.lit(".75"))).when(kind == 2, F.concat(F.lit("x"), size)).when(kind == 3, F.concat(size, F.lit("d"))).when(kind == 4, F.concat(F.lit(" "), size, F.lit("e1 "))).when(kind == 5, F.concat(size, F.lit("F"))).otherwise(F.lit(" "))
     return _t(spark, sf_dir, "part").select("p_partkey", values.lenient_int(raw, 7).alias("number"))
 
 
@@ -298,7 +379,7 @@ def run_ids(spark, sf_dir):
 
 
 def month_grid_of_all_months(spark, sf_dir):
-    return progress.month_grid(spark, 2003, 2001, 0, 0)
+    return progress.month_grid_between(_year_bounds(spark, sf_dir, 0, 0))
 
 
 def magnet_escapes(spark, sf_dir):
@@ -315,16 +396,23 @@ def magnet_mismatch(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(magnet.with_mismatch(errors, wanted, found), ",").alias("errors"))
 
 
-def request_answers(spark, sf_dir):
-    """JSON request lines in, JSON answers out, one of four requests malformed."""
+def _request_lines(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
     uri = F.concat(F.lit("magnet:?xt=urn:btih:"), F.sha1(key), F.lit("&dn="), key)
     line = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('{"magnet": '), key)).otherwise(F.to_json(F.struct(uri.alias("magnet"))))
-    said = flows.answers(_t(spark, sf_dir, "part").select(line.alias("value")))
+    return _t(spark, sf_dir, "part").select("p_partkey", line.alias("value"))
+
+
+def _answer_fields(said):
     field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
     return said.select(field("ok"), field("dn"), field("infohash_hex"), F.get_json_object("value", "$.errors[0]").alias("error"))
 
 
+def request_answers(spark, sf_dir):
+    """JSON request lines in, JSON answers out, one of four requests malformed."""
+    return _answer_fields(flows.answers(_request_lines(spark, sf_dir)))
+
+
 def status_lines(spark, sf_dir):
     """Status rows written as JSON lines and read back."""
     lines = to_json_lines(ingest_progress(spark, sf_dir))
@@ -400,16 +488,97 @@ def mark_downloaded(spark, sf_dir):
     return changes.set_downloaded(c, marks, ordinal="ordinal").select("date", "name", "downloaded", "infohash_hex")
 
 
-def edit_rows(spark, sf_dir):
-    """Edits: an empty name or company is not supplied, an empty link is a value."""
+def _edits(spark, sf_dir):
+    """A catalog and edits: an empty name or company is not supplied, an empty link is a value; some want a name that is taken, some are for records that aren't there, some say nothing."""
     c = orders_catalog(spark, sf_dir)
     number = F.col("name").substr(7, 20).cast("long")
-    asked = c.where(number % 11 == 0)
+    asked = c.where(number % 11 == 0).select("date", "name", number.alias("n"))
+    new_name = F.when(F.col("n") % 7 == 0, "order 1").when(F.col("n") % 2 == 0, F.concat("name", F.lit(" b"))).otherwise("")
     edits = asked.select(
-        "date", F.col("name").alias("old_name"), F.when(number % 2 == 0, F.concat("name", F.lit(" b"))).otherwise("").alias("new_name"), F.lit("").alias("new_company"),
-        F.when(number % 3 == 0, "").when(number % 3 == 1, "l").alias("new_link"), F.when(number % 5 == 0, F.lit(4)).alias("new_downloaded"),
+        F.when(F.col("n") % 13 == 0, "1900-01").otherwise(F.col("date")).alias("date"), F.col("name").alias("old_name"), F.when(F.col("n") % 7 == 0, first_month(c)).alias("new_date"), new_name.alias("new_name"), F.lit("").alias("new_company"),
+        F.when(F.col("n") % 3 == 0, "").when(F.col("n") % 3 == 1, "l").alias("new_link"), F.when(F.col("n") % 5 == 0, F.lit(4)).alias("new_downloaded"),
     )
-    return changes.edit_rows(c, edits).select("date", "name", "company", "link", "downloaded")
+    return c, edits
+
+
+def first_month(c):
+    """The month of order 1, which the edits of some other orders want with its name."""
+    return F.lit(c.where("name = 'order 1'").select("date").first()["date"])
+
+
+def edit_rows(spark, sf_dir):
+    return changes.edit_rows(*_edits(spark, sf_dir)).select("date", "name", "company", "link", "downloaded")
+
+
+def edit_outcomes(spark, sf_dir):
+    return changes.edit_outcomes(*_edits(spark, sf_dir))[1].select("date", "name", "outcome")
+
+
+def delete_outcomes(spark, sf_dir):
+    """Every order asks for its customer to go; half of the requests are for customers beyond the last."""
+    key = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 100_000_000)
+    return changes.delete_outcomes(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").select("o_orderkey", key.alias("c_custkey")), ["c_custkey"])[1]
+
+
+def month_run(spark, sf_dir):
+    """The ledger of a run over the years of the orders, in which one year fails and the others are committed; the year is mended, and the run goes on."""
+    store, ledger = scratch_path(spark, "store"), scratch_path(spark, "ledger")
+    c = orders_catalog(spark, sf_dir).withColumn("date", F.substring("date", 1, 4))
+    years = [r["date"] for r in c.select("date").distinct().collect()]
+
+    def work(part, poisoned):
+        rows = c.where(F.col("date").isin(part))
+        if poisoned:
+            rows = rows.withColumn("name", F.when(F.col("date") == "1996", F.raise_error(F.lit("poisoned"))).otherwise(F.col("name")))
+        return rows, rows.groupBy("date").agg(F.count(F.lit(1)).alias("fetched"), F.count("link").alias("inserted"), F.count_if(F.col("link") == "").alias("updated"))
+
+    broken = run_months(spark, "a", years, lambda part: work(part, True), store, ledger).select(F.lit(1).alias("attempt"), "date", "ok", "fetched", "inserted", "updated", F.col("error").contains("poisoned").alias("told"))
+    broken = spark.createDataFrame(broken.collect(), broken.schema)  # a row a year, read before the ledger goes on
+    mended = run_months(spark, "a", years, lambda part: work(part, False), store, ledger).select(F.lit(2).alias("attempt"), "date", "ok", "fetched", "inserted", "updated", F.col("error").contains("poisoned").alias("told"))
+    return broken.unionByName(mended)
+
+
+def deep_pages(spark, sf_dir):
+    """Pages far back in the listing of all months, from the rows' places."""
+    placed = catalog.with_places(orders_catalog(spark, sf_dir))
+    return catalog.deep_page(placed, 7).unionByName(catalog.deep_page(placed, 23)).select("place", "year", "month", "name", "company", "download_url")
+
+
+def run_states(spark, sf_dir):
+    """Users as runs and their events as beats, a purchase as the end; silent for a day means stopped."""
+    e = _t(spark, sf_dir, "events")
+    beats = e.select(F.col("user_id").cast("string").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "purchase", "finish").otherwise("beat").alias("event"))
+    return runs_now(beats, 86_400).select("run", "state", "reason", F.date_format("last_beat", "yyyy-MM-dd HH:mm:ss").alias("last_beat"), "stops")
+
+
+def request_answers_streamed(spark, sf_dir):
+    """The requests as files, answered by a stream that is stopped and started again with more files."""
+    asked, said, checkpoint = (scratch_path(spark, n) for n in ("requests", "answers", "checkpoint"))
+    lines = _request_lines(spark, sf_dir)
+    for half in (0, 1):
+        lines.where(F.col("p_partkey") % 2 == half).select("value").write.mode("append").text(asked)
+        answer_requests(spark, asked, said, checkpoint).awaitTermination()
+    return _answer_fields(spark.read.text(said))
+
+
+def gram_search(spark, sf_dir):
+    """Names with a text in them, from a stored index, before and after inserts, an edit of names and deletes in some months."""
+    path = scratch_path(spark, "grams")
+    n = F.col("p_partkey")
+    date = lambda k: F.concat(F.lit("2001-"), F.lpad((k % 12 + 1).cast("string"), 2, "0"))
+    before = _t(spark, sf_dir, "part").select(date(n).alias("date"), F.concat_ws(" ", "p_name", n.cast("string")).alias("name"))
+    grams.write_grams(before, path)
+    found = grams.names_with(grams.read_grams(spark, path), "ring")
+    first = found.select(F.lit("before").alias("when"), "date", "name")
+    kept = scratch_path(spark, "found")
+    first.write.parquet(kept)  # the index goes on
+    touched = F.col("date").isin("2001-02", "2001-05")
+    edited = before.where("date <> '2001-07'").withColumn("name", F.when(touched, F.concat("name", F.lit(" string"))).otherwise(F.col("name")))
+    inserted = _t(spark, sf_dir, "supplier").select(F.lit("2001-09").alias("date"), F.concat(F.lit("spring "), "s_name").alias("name"))
+    after = edited.unionByName(inserted)
+    grams.write_grams(after, path, ["2001-02", "2001-05", "2001-07", "2001-09"])
+    again = grams.names_with(grams.read_grams(spark, path), "ring").select(F.lit("after").alias("when"), "date", "name")
+    return spark.read.parquet(kept).unionByName(again)
 
 
 def _short_titles(spark, sf_dir):
@@ -435,10 +604,11 @@ def ingest_counts(spark, sf_dir):
 
 
 def enrich_catalog(spark, sf_dir):
-    """Open records get the best of the candidates of their query, or of their relaxed query where it has none."""
+    """Open records get the best of the candidates of their query, or of their relaxed query where it has none; without any, or without a name, they stay as they are."""
     n = F.col("p_partkey")
     date = F.concat((F.col("p_size") % 3 + 1995).cast("string"), F.lit("-"), F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0"))
-    own = evolved(_t(spark, sf_dir, "part").select("p_partkey", date.alias("date"), F.concat_ws("-", "p_name", n.cast("string")).alias("name"), F.concat(F.lit("M-"), "p_brand").alias("company"), F.when(n % 4 == 0, "has").when(n % 4 == 1, "").alias("link"), F.lit("old").alias("comment")))
+    title = F.when(n % 17 != 0, F.concat_ws("-", "p_name", n.cast("string")))
+    own = evolved(_t(spark, sf_dir, "part").select("p_partkey", date.alias("date"), title.alias("name"), F.lit("sz").alias("size"), F.lit("mn").alias("match_name"), F.concat(F.lit("M-"), "p_brand").alias("company"), F.when(n % 4 == 0, "has").when(n % 4 == 1, "").alias("link"), F.lit("old").alias("comment")))
     lines = _t(spark, sf_dir, "lineitem").join(flows.with_search_keys(own).select(n.alias("l_partkey"), "search", "relaxed"), "l_partkey")
     kind = F.col("l_partkey") % 3
     query = F.when((kind == 0) & (F.col("l_linenumber") <= 5), F.col("search")).when(kind < 2, F.col("relaxed")).otherwise("nothing")
@@ -457,5 +627,7 @@ QUERIES = {
         missing_links, catalog_page_of_year, catalog_page_of_month, listing_html_rows, candidate_html_rows, json_first_at_any_depth, lenient_numbers, month_arithmetic, run_ids,
         month_grid_of_all_months, magnet_escapes, magnet_mismatch, request_answers, status_lines, stored_status, stored_months, torrent_files, tiered_one_tag, tiered_month_first, run_summary, check_summary,
         key_collisions, mark_downloaded, edit_rows, ingest_listings, ingest_counts, enrich_catalog,
+        existence_in_folder, folder_paths, folder_subtree, check_all_marks, check_all_runs, check_all_ledger, edit_outcomes, delete_outcomes, month_run, deep_pages, run_states,
+        request_answers_streamed, gram_search,
     )
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,11 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_months(catalog: DataFrame, path: str) -> None:
-    """Replaces the months that ``catalog`` has, each as one partition; other months stay."""
-    catalog.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    """Replaces the months that ``catalog`` has, each as one partition; other months stay.
+
+    Rows are dealt by month first, and a large month to several tasks, so each file is of a good size.
+    """
+    catalog.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def read_config(path: str) -> dict:
@@ -52,6 +56,23 @@ def read_config(path: str) -> dict:
         return {}
 
 
+def write_shared_status(spark: SparkSession, path: str, status: dict) -> None:
+    """A status object as a JSON file on the cluster's storage, by its own rename: readers see the old file or the new one."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    target, beside = fs_path(path), fs_path(f"{path}.{uuid.uuid4().hex}.tmp")
+    conf = spark._jsc.hadoopConfiguration()
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(conf).makeQualified(target).toUri(), conf)
+    out = beside.getFileSystem(conf).create(beside, True)
+    try:
+        out.write(bytearray(json.dumps(status, ensure_ascii=False).encode()))
+    finally:
+        out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    files.rename(beside, target, options)
+
+
 def write_status(path: str, status: dict) -> None:
     """A status object as a JSON file on the driver.  Readers see the old file or the new one, never a part: it is written beside and then renamed."""
     target = Path(path)
@@ -83,5 +104,12 @@ def read_torrents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", parse_torrent(F.col("content")).alias("meta")).select("path", "meta.*")
 
 
+def first_torrents(torrents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of rows of :func:`read_torrents`, for each ``infohash_hex`` of ``wanted`` the first file by path that has it; files with an error have none."""
+    found = torrents.where("error IS NULL").join(wanted.select("infohash_hex").distinct(), "infohash_hex")
+    values = F.struct(*(c for c in torrents.columns if c != "infohash_hex"))
+    return found.groupBy("infohash_hex").agg(F.min_by(values, "path").alias("f")).select("infohash_hex", "f.*")
+
+
 def to_json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

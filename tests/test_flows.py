@@ -8,8 +8,8 @@ from folio.sources.catalog import evolved
 
 
 def test_values(spark):
-    df = spark.createDataFrame([("12",), ("1.9",), ("1e3",), ("x",), ("",), (None,)], "x string")
-    assert [r[0] for r in df.select(values.lenient_int(F.col("x"), 7)).collect()] == [12, 1, 1000, 7, 7, 7]
+    df = spark.createDataFrame([("12",), ("1.9",), ("1e3",), ("x",), ("",), (None,), ("1d",), ("2f",), ("3D",), ("0x1",), ("NaN",), ("Infinity",), (" -4.9\t",), (".5",), ("6.",), ("1 2",)], "x string")
+    assert [r[0] for r in df.select(values.lenient_int(F.col("x"), 7)).collect()] == [12, 1, 1000, 7, 7, 7, 7, 7, 7, 7, 7, 7, -4, 0, 6, 7]
     months = spark.createDataFrame([("2018-3",), ("2018-13x",), (None,)], "x string")
     assert [tuple(r[0]) if r[0] else None for r in months.select(values.month_of(F.col("x"))).collect()] == [(2018, 3), None, None]
     row = spark.range(1).select(values.month_shift(F.lit("2018-01"), -1), values.save_path("/a/", F.lit(2018)), values.run_id(F.lit(5), F.lit("p"))).first()
@@ -41,13 +41,17 @@ def test_ingest(spark):
 
 
 def test_enrich(spark):
-    data = [("2018-01", "A-B", "M-x", None), ("2018-01", "C!", "M-x", ""), ("2018-01", "D", "M", "has"), ("2018-01", "E", "M", None)]
-    catalog = evolved(spark.createDataFrame(data, "date string, name string, company string, link string"))
-    found = [("AB+M-x", "tag 1801", "l1", "1 GB", "2018-01-05 00:00", 0), ("AB+M-x", "1801 other", "l2", "2 GB", "2018-02-05 00:00", 1), ("C+M x", "1712", "l3", "3 GB", None, 0), ("D+M", "1801", "l4", "", None, 0)]
+    data = [("2018-01", "A-B", "M-x", None, "sz", "mn", "c"), ("2018-01", "C!", "M-x", "", "sz", "mn", "c"), ("2018-01", "D", "M", "has", "sz", "mn", "c"), ("2018-01", "E", "M", None, "sz", "mn", "keep"), ("2018-01", None, "N", None, "sz", "mn", "c"), (None, "F", "M", "", "sz", "mn", "c")]
+    catalog = evolved(spark.createDataFrame(data, "date string, name string, company string, link string, size string, match_name string, comment string"))
+    found = [("AB+M-x", "tag 1801", "l1", "1 GB", "2018-01-05 00:00", 0), ("AB+M-x", "1801 other", "l2", "2 GB", "2018-02-05 00:00", 1), ("AB+M x", "tag 1801", "l9", "9 GB", "2019-01-05 00:00", 0)]
+    found += [("C+M x", "1712", "l3", "3 GB", None, 0), ("D+M", "1801", "l4", "", None, 0), ("N", "1801", "l5", "", None, 0), ("F+M", "1801", "l6", "", None, 0)]
     candidates = spark.createDataFrame(found, "query string, name string, link string, size string, d string, ordinal int").withColumn("date", F.try_to_timestamp("d", F.lit("yyyy-MM-dd HH:mm")))
-    got = {r["name"]: (r["link"], r["size"], r["match_name"]) for r in flows.enrich(catalog, candidates, ["tag"]).collect()}
-    assert got["A-B"] == ("l1", "1 GB", "tag 1801") and got["D"] == ("has", None, None) and got["E"] == (None, None, None)
-    assert got["C!"][0] in (None, "") and got["C!"][1:] == ("3 GB", "1712")
+    table, counts = flows.enrich_months(catalog, candidates, ["tag"])
+    got = {r["name"]: (r["link"], r["size"], r["match_name"], r["comment"]) for r in table.collect()}
+    assert got["A-B"] == ("l1", "1 GB", "tag 1801", "c") and got["C!"] == (None, "3 GB", "1712", "c")
+    # Without a candidate, with a link or with a null in the key nothing changes.
+    assert got["D"] == ("has", "sz", "mn", "c") and got["E"] == (None, "sz", "mn", "keep") and got[None] == (None, "sz", "mn", "c") and got["F"] == ("", "sz", "mn", "c")
+    assert [tuple(r) for r in counts.collect()] == [("2018-01", 2)]
 
 
 def test_magnet_report(spark):
