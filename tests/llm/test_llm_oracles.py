@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["op4_warc_round_trip", "op5_line_dedup"])
+@pytest.mark.parametrize("name", ["op4_warc_round_trip", "op5_line_dedup", "op11_importance_resampling", "op12_ranked_search", "op13_embedding_near_dedup"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
@@ -16,7 +16,7 @@ def test_query_equals_its_sql(spark, name):
     from folio.llm.queries import QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     want = con.sql(ORACLES[name])
