@@ -29,7 +29,7 @@ from folio.sources.staging import staged
 #: Terms of the items that are sent to the tasks at a time, repeats between items included; more items make more blocks of items.
 ITEM_TERMS = 200_000
 #: Documents and postings of a block of documents.
-BLOCK_DOCS, BLOCK_POSTINGS = 16_384, 2_000_000
+BLOCK_DOCS, BLOCK_POSTINGS = 8_192, 500_000
 #: Groups in which an item's best rows of all tasks are merged before the last merge.
 MERGE = 64
 _NO_ID = np.iinfo(np.int64).max
@@ -62,7 +62,7 @@ def _index(vocabulary: dict[bytes, int]):
                 continue
             ids.append(i), lengths.append(n), terms.append(found), times.append(often)
             held += len(found)
-            if len(ids) == 4096 or held > 500_000:
+            if len(ids) == 1024 or held > 100_000:
                 yield out()
                 ids, lengths, terms, times, held = [], [], [], [], 0
         if ids:
@@ -140,8 +140,8 @@ def _search(items: list[tuple[int, list[tuple[int, int]]]], n_docs: int, n_words
 
         held, n, size = [], 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 held.append(part)
                 n, size = n + part.num_rows, size + len(part.column(2).flatten())
                 if n >= BLOCK_DOCS or size >= BLOCK_POSTINGS:
