@@ -31,3 +31,17 @@ def left_join_by_weight(left: DataFrame, right: DataFrame, keys: Sequence[str],
     near = left.join(heavy, keys, "left")
     rest = near.where("_heavy IS NULL").select(*left.columns).join(right.where(F.col(weight) <= HEAVY_PART * total), keys, "left")
     return near.where("_heavy").drop("_heavy").unionByName(rest)
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int, by: str) -> DataFrame:
+    """Like :func:`join_by_weight`, for a ``right`` with rows too large to send to every task.
+
+    A heavy key's rows of ``left`` are dealt to slices by a hash of ``by``, and its row of ``right`` goes to each
+    slice: one copy for every HEAVY_PART of all rows.
+    """
+    keys = list(keys)
+    slices = F.ceil(F.col(weight) / (HEAVY_PART * total)).cast("int")
+    heavy = F.broadcast(right.where(F.col(weight) > HEAVY_PART * total).select(*keys, slices.alias("_m")))  # at most 1 / HEAVY_PART rows
+    dealt = left.join(heavy, keys, "left").withColumn("_s", F.pmod(F.xxhash64(by), F.coalesce("_m", F.lit(1)))).drop("_m")
+    copied = right.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), slices).cast("long") - 1)))
+    return dealt.join(copied, [*keys, "_s"]).drop("_s")
