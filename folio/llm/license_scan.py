@@ -52,20 +52,25 @@ def _template_grams(templates: list[tuple[str, list[str], int]]) -> list[tuple[i
 
 
 def license_votes(rows: DataFrame, templates: list[tuple[str, list[str], int]]) -> DataFrame:
-    """Spans to verify from rows of (id, sum, text): id, sum, ``spans`` array<struct<template, lo, hi>> (range of merged diagonals)."""
+    """Spans to verify from rows of (id, sum, text): id, sum, ``spans`` array<struct<template, lo, hi>> (range of merged diagonals).
+
+    Each row votes for itself, so rows that repeat have the spans that one of them has.
+    """
     spark = rows.sparkSession
     table = spark.createDataFrame(_template_grams(templates), "h long, template int, j int")
-    hashed = rows.mapInArrow(_grams_of_rows, "id long, sum long, grams array<long>")
-    found = hashed.select("id", "sum", F.posexplode("grams").alias("at", "h")).join(F.broadcast(table), "h")  # the templates are fixed
-    votes = found.select("id", "sum", "template", (F.floor(F.col("at") / len(_SIZES)).cast("int") - F.col("j")).alias("d"))
-    by_diagonal = votes.groupBy("id", "sum", "template", "d").agg(F.count(F.lit(1)).alias("n"))
-    ordered = Window.partitionBy("id", "sum", "template").orderBy("d")
+    key = ["id", "sum", "row"]
+    hashed = rows.mapInArrow(_grams_of_rows, "id long, sum long, grams array<long>").withColumn("row", F.monotonically_increasing_id())
+    found = hashed.select(*key, F.posexplode("grams").alias("at", "h")).join(F.broadcast(table), "h")  # the templates are fixed
+    votes = found.select(*key, "template", (F.floor(F.col("at") / len(_SIZES)).cast("int") - F.col("j")).alias("d"))
+    by_diagonal = votes.groupBy(*key, "template", "d").agg(F.count(F.lit(1)).alias("n"))
+    ordered = Window.partitionBy(*key, "template").orderBy("d")
     long = F.col("template") >= len(PHRASES)
     begins = F.coalesce(F.col("d") - F.lag("d").over(ordered) > F.when(long, F.lit(NEAR)).otherwise(F.lit(0)), F.lit(True))
     runs = by_diagonal.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(ordered))
     need = F.element_at(F.array(*(F.lit(len(w) - k + 1 if k == PHRASE_K else max(1, int(VOTES * (len(w) - k + 1)))) for _, w, k in templates)), F.col("template") + 1)
-    spans = runs.groupBy("id", "sum", "template", "run").agg(F.sum("n").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).where(F.col("n") >= need)
-    return spans.groupBy("id", "sum").agg(F.array_sort(F.collect_list(F.struct("template", "lo", "hi"))).alias("spans"))
+    spans = runs.groupBy(*key, "template", "run").agg(F.sum("n").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).where(F.col("n") >= need)
+    by_row = spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("template", "lo", "hi"))).alias("spans"))
+    return by_row.groupBy("id", "sum").agg(F.first("spans").alias("spans"))
 
 
 def _grams_of_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
