@@ -370,23 +370,54 @@ def _frames_of(segments: list[bytes], first: np.ndarray, base: np.ndarray) -> _F
     return _Found(data, of, number, at, end, head, samples)
 
 
+def _crc16_of(data: np.ndarray, start: int, size: int) -> int:
+    """The CRC-16 of one long range: it is cut into equal rows, of which a step takes a byte each, and their CRCs are moved together."""
+    width = max(1, int(size**0.5))
+    rows = -(-size // width)
+    padded = np.zeros(rows * width, np.uint8)  # zeros in front change nothing
+    padded[rows * width - size :] = data[start : start + size]
+    own = _crc(_CRC16, padded, np.arange(rows) * width, np.full(rows, width))
+    # What ``width`` zero bytes make of the high and the low byte of a CRC.
+    bytes_ = np.arange(256, dtype=np.uint16)
+    high, low = bytes_ << 8, bytes_.copy()
+    for _ in range(width):
+        high, low = (_CRC16[t >> 8] ^ t << 8 for t in (high, low))
+    crc = 0
+    for c in own.tolist():
+        crc = int(high[crc >> 8]) ^ int(low[crc & 255]) ^ c
+    return crc
+
+
 def _chain(data: np.ndarray, at: np.ndarray, number: np.ndarray, found: np.ndarray, end: int) -> list[int]:
-    """Of the candidates, those that follow each other by number and CRC-16 from the first to the stream's end."""
+    """Of the candidates, those that follow each other by number and CRC-16 from the first to the stream's end.
+
+    Numbers are taken one after the other: a candidate is reached if the bytes from one of the number
+    before, itself reached, to it are a frame; it remembers that one.  Only where no number follows is the
+    rest of the stream tried as a last frame, so each byte is read a few times however long the stream is.
+    """
     by_number: dict[int, list[int]] = {}
     for i in found.tolist():
         by_number.setdefault(int(number[i]), []).append(i)
 
     def sound(a: int, b: int) -> bool:
-        crc = _crc(_CRC16, data, np.array([a]), np.array([b - a - 2]))[0] if b - a > 2 else -1
-        return crc == int(data[b - 2]) << 8 | int(data[b - 1])
-
-    paths = [[i] for i in by_number.get(0, [])]
-    while paths:
-        path = paths.pop()
-        following = [j for j in by_number.get(len(path), []) if at[j] > at[path[-1]] and sound(int(at[path[-1]]), int(at[j]))]
-        if sound(int(at[path[-1]]), end) and not following:
-            return path
-        paths += [[*path, j] for j in following]
+        return b - a > 2 and _crc16_of(data, a, b - a - 2) == int(data[b - 2]) << 8 | int(data[b - 1])
+
+    reached, before = [by_number.get(0, [])], dict.fromkeys(by_number.get(0, []), -1)
+    while reached[-1]:
+        level = []
+        for j in by_number.get(len(reached), []):
+            i = next((i for i in reversed(reached[-1]) if at[j] > at[i] and sound(int(at[i]), int(at[j]))), None)
+            if i is not None:
+                before[j] = i
+                level.append(j)
+        reached.append(level)
+    for level in reversed(reached):
+        for i in level:
+            if sound(int(at[i]), end):
+                path = [i]
+                while before[path[-1]] >= 0:
+                    path.append(before[path[-1]])
+                return path[::-1]
     raise FlacError("no chain of frames reaches the end")
 
 
