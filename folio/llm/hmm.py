@@ -34,9 +34,9 @@ from folio.llm.frequent import most_frequent
 from folio.sources.shipping import ship_package
 from folio.sources.staging import staged
 
-#: Words looked up on the map side; bytes of a word's key; bytes of a text whose words are held at a time.
+#: Words looked up on the map side (more, if more have symbols of their own); bytes of a word's key; bytes of a text whose words are held at a time.
 HOT_WORDS, KEY_BYTES, PIECE_BYTES = 1 << 18, 64, 1 << 20
-#: Words with symbols of their own (HOT_WORDS at most), classes of all others, and by how many last bytes.
+#: Words with symbols of their own, classes of all others, and by how many last bytes.
 OWN_SYMBOLS, CLASSES, TAIL_BYTES = 8192, 2048, 3
 STATES, ITERATIONS = 8, 5
 #: Longer texts are cut: in training, in scoring.  The results don't depend on it.
@@ -295,9 +295,9 @@ def score_texts(
     """One row per row of ``docs``: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     The model learns from the rows that are not held out.  ``symbols`` tells how many words are symbols
-    of their own (HOT_WORDS at most) and how the others are classed; with as many as there are words
-    nothing is classed.  A null or empty text has one token, its end.  Repeated rows are texts of their
-    own; words with equal counts are ranked by their bytes; words of more than KEY_BYTES bytes are told
+    of their own, a table that goes to every task, and how the others are classed; with as many as there
+    are words nothing is classed.  A null or empty text has one token, its end.  Repeated rows are texts of their
+    own; words with equal counts are ranked by their bytes, and where only some of them fit into the table a hash chooses; words of more than KEY_BYTES bytes are told
     apart by 128 bits; a table with no training row scores every word as unknown; an empty table gives no
     rows; only the two named columns are read.
     """
@@ -307,7 +307,7 @@ def score_texts(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out(id_col).alias("held_out"))
     found = rows.where("NOT held_out").select("text").mapInArrow(lambda batches: _counted(batches, symbols), "word string, class int, c long")
     counts = staged(found.groupBy("word").agg(F.first("class").alias("class"), F.sum("c").alias("c")), "word_counts")
-    table = most_frequent(counts, "c", HOT_WORDS).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    table = most_frequent(counts, "c", max(HOT_WORDS, symbols.own), "word").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     own = table.slice(0, symbols.own)
     by_class = counts.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
     tokens, vocabulary = sum(by_class["n"].to_pylist()), sum(by_class["v"].to_pylist())

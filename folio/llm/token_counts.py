@@ -86,7 +86,7 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
 
     found = rows.mapInArrow(distinct, "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
     counts = staged(found.mapInArrow(pieces_of, "key string, freq long, tokens long"), "pretoken_counts")
-    hot = most_frequent(counts, "freq", hot_entries).select("key", "tokens").toArrow()
+    hot = most_frequent(counts, "freq", hot_entries, "key").select("key", "tokens").toArrow()
     sent = docs.sparkSession.sparkContext.broadcast(dict(zip(hot["key"].to_pylist(), hot["tokens"].to_pylist(), strict=True)))
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
