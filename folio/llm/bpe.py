@@ -8,11 +8,12 @@ part must have such a u at its left edge.  So the longest weighted chain of rule
 one before it and linked in that way, bounds how far the end of the input reaches back: tokens that
 end at least that many bytes before the end of what has been read can no longer change.
 
-Streams.  Every pre-token is a byte stream that the transducer reads in windows of the lookahead and a
-step: it merges what it holds, emits the tokens that are stable, and reads on; the end of a stream makes
-all of it stable.  Many streams advance together.  A long text is itself read in pieces: pre-tokens are
-cut off as soon as no further character can change them, and one that outgrows a piece is passed on to
-its stream piece by piece.  So what is held beside a row never depends on the length of its text.
+Streams.  Every text is read in windows of the same size, many texts side by side.  After each window a
+text's pre-tokens that no further character can change are cut off, and their ids are stable and come
+out; the rest waits for the next window, and the end of the text makes all of it stable.  A pre-token
+that outgrows a window is a byte stream of its own: the transducer merges what it holds of it, emits the
+tokens that end the lookahead or more before the end of what has been read, and reads on.  So what is
+held beside a row never depends on the length of its text, and no text takes another path.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ _LATIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(
 _NOT_LATIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
 _MEMO_ENTRIES = 200_000
 _SHORT_BYTES = 64
-#: Bytes of a long text that are read at a time, and characters of the texts that are coded together.
-BLOCK_BYTES, CHUNK_CHARS = 1 << 17, 500_000
+#: Bytes of a text that are read at a time, bytes of the texts that are read together, and ids of a text that are held before they are passed on.
+WINDOW, CHUNK_BYTES, BLOCK_IDS = 1024, 500_000, 1 << 16
 #: Characters behind a pre-token that may still change where it ends: two of a contraction, and one behind white space.
 _UNSURE = 3
 #: What a pre-token that outgrows a piece goes on with, by its second character.
@@ -256,10 +257,11 @@ class StreamingEncoder:
         self.transducer, self.held = transducer, b""
 
     def feed(self, data: bytes) -> Iterator[bytes]:
-        most = self.transducer.window
-        for at in range(0, len(data), most):
-            self.held += data[at : at + most]
-            if len(self.held) > most:
+        at, window = 0, self.transducer.window
+        while at < len(data):
+            take = window - len(self.held)
+            self.held, at = self.held + data[at : at + take], at + take
+            if len(self.held) == window:
                 ids, self.held = self.transducer.advance([self.held], [False])[0]
                 yield ids
 
@@ -306,7 +308,10 @@ class PretokenReader:
     def _sure(self, text: str, start: int) -> int:
         """The place from which the end of what is known may be the beginning of a literal."""
         most = max(map(len, self.vocabulary.literals), default=0)
-        for at in range(max(start, len(text) - most + 1), len(text)):
+        at = max(start, len(text) - most + 1)
+        if not any(x[0] in text[at:] for x in self.vocabulary.literals):
+            return len(text)
+        for at in range(at, len(text)):
             if any(len(x) > len(text) - at and x.startswith(text[at:]) for x in self.vocabulary.literals):
                 return at
         return len(text)
@@ -334,7 +339,7 @@ class PretokenReader:
             while found and end > len(text) - _UNSURE:
                 end -= len(found.pop())
             self.carry = text[end:]
-            if not found and len(text) > BLOCK_BYTES:
+            if not found and len(text) > WINDOW:
                 second = text[1]
                 self.run = "space" if regex.match(r"\p{White_Space}", second) else "letters" if regex.match(r"\p{L}", second) else "numbers" if regex.match(r"\p{N}", second) else "other"
                 yield Part(text[:-_UNSURE].encode())
@@ -343,53 +348,66 @@ class PretokenReader:
             yield found
 
 
+class TextStream:
+    """A text that is read window by window: its pre-tokens so far, and the one that has outgrown a window."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.reader, self.run = PretokenReader(vocabulary), None
+
+    def part(self, transducer: Transducer, part: Part) -> Iterator[bytes]:
+        self.run = self.run or StreamingEncoder(transducer)
+        yield from self.run.feed(part.raw)
+        if part.last:
+            yield self.run.finish()
+            self.run = None
+
+
 class Encoder:
     """Ids of texts, all of them from the transducer; a bounded memo keeps what it gave for short pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.memo, self.transducer = vocabulary, {}, Transducer(vocabulary)
 
+    def advance(self, streams: list[TextStream], windows: list[str], ended: list[bool]) -> list[bytes]:
+        """Of each text the ids that are stable after its next window, at its end all (as int32 bytes); new pre-tokens of all texts advance together."""
+        blocks, plan = [], []
+        for k, (stream, window, over) in enumerate(zip(streams, windows, ended, strict=True)):
+            for x in stream.reader.feed(window, over):
+                if isinstance(x, list):
+                    plan.append((k, len(blocks)))
+                    blocks.append(x)
+                elif x.literal is not None:
+                    plan.append((k, np.array([x.literal], np.int32).tobytes()))
+                else:
+                    plan += ((k, ids) for ids in stream.part(self.transducer, x))
+        known = self._ids(blocks)
+        out: list[list[bytes]] = [[] for _ in streams]
+        for k, x in plan:
+            out[k].append(known[x] if isinstance(x, int) else x)
+        return [b"".join(x) for x in out]
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each whole text; the new pre-tokens of all of them advance together."""
-        reader, split, literals = PretokenReader(self.vocabulary), self.vocabulary.split_literals, self.vocabulary.literals
-        blocks, owner = [], []
-        for k, text in enumerate(texts):
-            parts = split.split(text) if split else [text]
-            for n, part in enumerate(parts):
-                blocks.append([part] if n % 2 else reader.whole(part))
-                owner.append((k, n % 2))
-        ids = iter(self._ids([b for b, (_, literal) in zip(blocks, owner, strict=True) if not literal]))
-        out: list[list[bytes]] = [[] for _ in texts]
-        for block, (k, literal) in zip(blocks, owner, strict=True):
-            out[k].append(np.array([literals[block[0]]], np.int32).tobytes() if literal else next(ids))
-        return [np.frombuffer(b"".join(p), np.int32) for p in out]
+        """Ids of each whole text; all that are not at their end take a window together."""
+        streams, out, at = [TextStream(self.vocabulary) for _ in texts], [[] for _ in texts], 0
+        live = list(range(len(texts)))
+        while live:
+            over = [at + WINDOW >= len(texts[k]) for k in live]
+            for k, ids in zip(live, self.advance([streams[k] for k in live], [texts[k][at : at + WINDOW] for k in live], over), strict=True):
+                out[k].append(ids)
+            live, at = [k for k, done in zip(live, over, strict=True) if not done], at + WINDOW
+        return [np.frombuffer(b"".join(x), np.int32) for x in out]
 
     def encode_pieces(self, pieces: Iterable[str]) -> Iterator[tuple[str, np.ndarray]]:
-        """Of a text in pieces each piece and the ids that are certain after it."""
-        reader, stream, before = PretokenReader(self.vocabulary), None, None
-
-        def coded(found: Iterable[list[str] | Part]) -> Iterator[bytes]:
-            nonlocal stream
-            for x in found:
-                if isinstance(x, list):
-                    yield self._ids([x])[0]
-                elif x.literal is not None:
-                    yield np.array([x.literal], np.int32).tobytes()
-                else:
-                    stream = stream or StreamingEncoder(self.transducer)
-                    yield from stream.feed(x.raw)
-                    if x.last:
-                        yield stream.finish()
-                        stream = None
-
+        """Of a text in pieces of any size each piece and the ids that are stable after it."""
+        stream, before = TextStream(self.vocabulary), None
         for piece in pieces:
             if before is not None:
-                yield before, np.frombuffer(b"".join(coded(reader.feed(before))), np.int32)
+                yield before, np.frombuffer(self.advance([stream], [before], [False])[0], np.int32)
             before = piece
-        yield before or "", np.frombuffer(b"".join(coded(reader.feed(before or "", last=True))), np.int32)
+        yield before or "", np.frombuffer(self.advance([stream], [before or ""], [True])[0], np.int32)
 
     def _ids(self, blocks: list[list[str]]) -> list[bytes]:
         memo = self.memo
@@ -427,42 +445,61 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _pieces(raw: pa.Buffer) -> Iterator[str]:
-    """A text in pieces, straight from its bytes."""
-    state = codecs.getincrementaldecoder("utf-8")()
-    view = memoryview(raw)
-    for at in range(0, len(view), BLOCK_BYTES):
-        yield state.decode(view[at : at + BLOCK_BYTES])
+class _Text:
+    """A row whose text is read window by window, straight from its bytes."""
+
+    def __init__(self, row: int, own_id: int | None, raw: pa.Buffer | None, vocab: Vocabulary, keep_text: bool):
+        self.row, self.id, self.view, self.at = row, own_id, memoryview(raw) if raw is not None else memoryview(b""), 0
+        self.stream, self.utf8, self.decoder = TextStream(vocab), codecs.getincrementaldecoder("utf-8")(), ByteTextDecoder(vocab)
+        self.keep_text, self.ids, self.held, self.texts = keep_text, [], 0, []
+
+    def window(self) -> tuple[str, bool]:
+        self.at, at = self.at + WINDOW, self.at
+        text = self.utf8.decode(self.view[at : self.at])
+        if self.keep_text:
+            self.texts.append(text)
+        return text, self.at >= len(self.view)
+
+    def take(self, ids: bytes) -> None:
+        self.ids.append(ids)
+        self.held += len(ids) // 4
+
+    def block(self, last: bool) -> tuple:
+        """What has come since the last block."""
+        ids = np.frombuffer(b"".join(self.ids), np.int32)
+        text = self.decoder.feed(ids.tolist()) + (self.decoder.finish() if last else "")
+        out = (self.row, self.id, last, ids, text, "".join(self.texts))
+        self.ids, self.held, self.texts = [], 0, []
+        return out
 
 
 def _coded(batches: Iterable[pa.RecordBatch], vocabulary: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of :func:`bpe_blocks`, without ``keep_text`` with empty texts: texts of up to BLOCK_BYTES whole and many at a time, longer ones piece by piece."""
+    """Rows of :func:`bpe_blocks`, without ``keep_text`` with empty texts.  Texts are read together until they have CHUNK_BYTES in all; one that has as many is alone and passes its ids on as they come."""
     vocab = _vocabulary(vocabulary)
     encoder, numbers = Encoder(vocab), row_numbers()
 
-    def chunk_rows(chunk: list[tuple[int | None, str]]) -> pa.RecordBatch:
-        decoder = ByteTextDecoder(vocab)
-        every = encoder.encode_many([text for _, text in chunk])
-        rows = [next(numbers) for _ in chunk]
-        return _block_batch(rows, [i for i, _ in chunk], [True] * len(chunk), every, [decoder.decode(x.tolist()) for x in every], [t if keep_text else "" for _, t in chunk])
+    def read(chunk: list[_Text]) -> Iterator[pa.RecordBatch]:
+        live = chunk
+        while live:
+            windows, ended = zip(*(t.window() for t in live), strict=True)
+            for t, ids in zip(live, encoder.advance([t.stream for t in live], windows, ended), strict=True):
+                t.take(ids)
+            live = [t for t, over in zip(live, ended, strict=True) if not over]
+            if len(chunk) == 1 and live and live[0].held >= BLOCK_IDS:
+                yield _block_batch(*([x] for x in live[0].block(False)))
+        yield _block_batch(*map(list, zip(*(t.block(True) for t in chunk), strict=True)))
 
     chunk, size = [], 0
     for batch in batches:
         for i, text in zip(batch.column(0), batch.column(1), strict=True):
-            raw = text.as_buffer() if text.is_valid else None
-            if raw is None or raw.size <= BLOCK_BYTES:
-                chunk.append((i.as_py(), text.as_py() or ""))
-                size += len(chunk[-1][1])
-                if size >= CHUNK_CHARS or len(chunk) >= 4096:
-                    yield chunk_rows(chunk)
-                    chunk, size = [], 0
-                continue
-            row, decoder = next(numbers), ByteTextDecoder(vocab)
-            for piece, ids in encoder.encode_pieces(_pieces(raw)):
-                yield _block_batch([row], [i.as_py()], [False], [ids], [decoder.feed(ids.tolist())], [piece if keep_text else ""])
-            yield _block_batch([row], [i.as_py()], [True], [np.empty(0, np.int32)], [decoder.finish()], [""])
+            own = _Text(next(numbers), i.as_py(), text.as_buffer() if text.is_valid else None, vocab, keep_text)
+            if chunk and (size + len(own.view) > CHUNK_BYTES or len(chunk) == 4096):
+                yield from read(chunk)
+                chunk, size = [], 0
+            chunk.append(own)
+            size += len(own.view)
     if chunk:
-        yield chunk_rows(chunk)
+        yield from read(chunk)
 
 
 _BLOCK_NAMES = ["row", "id", "last", "ids", "decoded", "text"]
@@ -478,7 +515,7 @@ def _block_batch(rows: list, ids: list, last: list, tokens: list[np.ndarray], de
 def bpe_blocks(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """The blocks of every row of ``docs``, one after the other in its partition: ``row`` (a number), ``id``, ``last``, ``ids``, ``decoded``, and ``text`` (empty without ``keep_text``).
 
-    Texts of up to BLOCK_BYTES are one block; the concatenated ids, decoded texts and texts of a row's
+    Most texts are one block, those with very many ids several; the concatenated ids, decoded texts and texts of a row's
     blocks are those of the row.  ``vocabulary`` is the path of a byte-level BPE file, at the same place
     on every machine.  A null text is the empty text and has no ids; null ids and repeated rows are rows
     of their own; an empty table gives no rows; only the two named columns are read.
