@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.components import components
-from folio.llm.joins import join_by_weight, left_join_by_weight
 from folio.llm.word_hashes import mix
+from folio.operators.joins import join_by_weight, left_join_by_weight
 from folio.sources.shipping import ship_package
 from folio.sources.staging import free, staged
 

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.arrow_rows import in_chunks
 from folio.llm.components import components
-from folio.llm.joins import join_by_weight
 from folio.llm.word_hashes import NOT_SPACE, grams, hash_words, mix
+from folio.operators.joins import dealt_join, join_by_weight, left_join_by_weight
 from folio.sources.shipping import ship_package
 from folio.sources.staging import free, staged
 
@@ -166,8 +166,12 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, s
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    """The kept pairs whose sets are similar.  The set of a node with very many pairs, as a bucket's pivot has, is copied to slices of its pairs."""
+    both, total = pairs, pairs.count()
+    for end, other in (("a", "b"), ("b", "a")):
+        uses = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_n"))
+        own = sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")).join(uses, end)
+        both = dealt_join(both, own, [end], "_n", total, other).drop("_n")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
 
@@ -192,15 +196,16 @@ def _linkable(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     """bucket, node, comp of the members that share a prefix element with a node of another component."""
     nodes = members.select("node", "comp").distinct()
     elements = sets.join(nodes, "node").select("node", "comp", F.size("s").alias("size"), F.explode("s").alias("e"))
-    often = elements.groupBy("e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    often = staged(elements.groupBy("e").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "frequent_elements")
     nth = F.row_number().over(Window.partitionBy("node").orderBy("f", "e"))
     longest = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
-    prefix = elements.join(often, "e", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("nth", nth).where((F.col("nth") <= longest) & (F.col("f") > 1))
+    total = sets.join(nodes, "node").agg(F.coalesce(F.sum(F.size("s")), F.lit(0)).alias("n")).first()["n"]
+    prefix = left_join_by_weight(elements, often, ["e"], "f", total).withColumn("f", F.coalesce("f", F.lit(1))).withColumn("nth", nth).where((F.col("nth") <= longest) & (F.col("f") > 1))
     prefix = staged(prefix.select("node", "comp", "e"), "prefixes")
     shared = staged(prefix.groupBy("e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("e", "m"), "shared_elements")
     able = join_by_weight(prefix, shared, ["e"], "m", prefix.count()).select("node").distinct()
     out = staged(members.join(able, "node"), "linkable")
-    free(prefix, shared)
+    free(prefix, shared, often)
     return out
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.joins import HEAVY_PART
+from folio.operators.joins import HEAVY_PART
 from folio.sources.shipping import ship_package
 from folio.sources.staging import free, scratch_path, staged
 
