@@ -107,7 +107,7 @@ def test_weighted_near_duplicates_equal_all_pairs(spark):
 
 
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
-    from folio.llm import joins
+    from folio.operators import joins
     from folio.llm import minhash_dedup as m
 
     monkeypatch.setattr(m, "SMALL_BUCKET", 3)

@@ -177,7 +177,8 @@ def test_blocks_stop_creating_accumulators_and_lose_nothing():
 def plain_embeddings(rows, threshold=0.98):
     """(id, links, component, kept) of each row."""
     good = lambda v: v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(x != 0 for x in v)
-    units = [np.array(v) / np.linalg.norm(np.array(v)) if good(v) else None for _, v, _ in rows]
+    scaled = [np.array(v) / max(map(abs, v)) if good(v) else None for _, v, _ in rows]
+    units = [None if v is None else v / np.linalg.norm(v) for v in scaled]
     links = [[j for j in range(len(rows)) if j != i and units[i] is not None and units[j] is not None and rows[i][2] is not None and rows[i][2] == rows[j][2] and len(units[i]) == len(units[j]) and (rows[i][1] == rows[j][1] or units[i] @ units[j] >= threshold)] for i in range(len(rows))]
     component, least = [-1] * len(rows), [None] * len(rows)
     for i in range(len(rows)):

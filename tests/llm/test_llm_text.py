@@ -83,6 +83,24 @@ def test_every_id_comes_from_the_transducer(monkeypatch):
     assert [b"".join(vocab.token_bytes[i] for i in x).decode() for x in every] == texts
 
 
+def test_most_ids_are_stable_before_a_text_ends():
+    from folio.llm import bpe
+
+    vocab = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder, early, late = bpe.Encoder(vocab), [], []
+    advance = encoder.advance
+
+    def recorded(streams, windows, ended):
+        out = advance(streams, windows, ended)
+        for ids, over in zip(out, ended, strict=True):
+            (late if over else early).append(len(ids))
+        return out
+
+    encoder.advance = recorded
+    every = encoder.encode_many(["the cat sat on the mat " * 400, "w" * 90_000, "x " * 5000])
+    assert sum(early) > 4 * sum(late) and sum(early) + sum(late) == 4 * sum(map(len, every))
+
+
 @pytest.mark.parametrize("size", [1, 2, 5, 37, 1 << 17])
 def test_texts_in_pieces_equal_the_library(size, monkeypatch):
     from folio.llm import bpe
@@ -90,7 +108,7 @@ def test_texts_in_pieces_equal_the_library(size, monkeypatch):
     vocab = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(size)
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(bpe, "WINDOW", 40)
     bits = ["a", "the", "ing", " ", "  ", "\n", "é", "日", "1", "'s", "'", "'re", "!", "<|endoftext|>", "<|endof", "<", "\u3000", "z" * 90, " " * 90, "7" * 90, "?" * 90, "\n" * 90, " " + "q" * 90]
     for _ in range(60):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
@@ -293,6 +311,41 @@ def plain_notices(text, notices):
     return found
 
 
+def test_repeated_rows_vote_for_themselves(spark):
+    from folio.llm.license_scan import scan_licenses
+    from folio.llm.license_texts import NOTICES
+
+    words = dict(NOTICES)["isc"].split()
+    for step in (3, 4, 5, 6, 8):  # about the threshold of votes and of words
+        text = " ".join("other" if i % step == 0 else w for i, w in enumerate(words))
+        seen = {}
+        for copies in (1, 2, 4):
+            rows = spark.createDataFrame([(1, text)] * copies + [(2, "cc by"), (2, "cc by"), (3, None)], "doc_id long, text string")
+            got = [repr(r) for r in scan_licenses(rows).where("doc_id = 1").collect()]
+            assert len(got) == copies and len(set(got)) == 1
+            seen[copies] = got[0]
+        assert len(set(seen.values())) == 1
+
+
+def test_false_headers_are_sorted_out_in_linear_time():
+    import time
+
+    from folio.llm import flac
+
+    rng = np.random.default_rng(3)
+    payload = rng.integers(32, 127, 3_000_000).astype(np.uint8).tobytes()
+    data = np.frombuffer(flac.encode([payload])[0] + bytes(8), np.uint8)
+    at, _, number, _ = flac._headers(data)
+    assert len(at) == number[-1] + 1  # the stream has no false header of its own
+    end = len(data) - 8
+    assert flac._crc16_of(data, int(at[3]), 4321) == int(flac._crc(flac._CRC16, data, at[3:4], np.array([4321]))[0])
+    false = [(int(at[k]) + 30, int(k)) for k in (0, 7, 8)] + [(int(at[900]) + 11, 5), (int(at[10]) + 17, int(number[-1]) + 1), (int(at[20]) + 9, int(number[-1]))]
+    every = sorted([(int(a), int(n), True) for a, n in zip(at, number, strict=True)] + [(a, n, False) for a, n in false])
+    began = time.perf_counter()
+    path = flac._chain(data, np.array([x[0] for x in every]), np.array([x[1] for x in every]), np.arange(len(every)), end)
+    assert path == [i for i, x in enumerate(every) if x[2]] and time.perf_counter() - began < 30
+
+
 def test_license_notices_equal_a_plain_version(spark):
     from folio.llm.license_scan import NOTICES, scan_licenses
 
@@ -457,7 +510,7 @@ def test_line_dedup(spark, keep_first):
 
 def test_line_dedup_with_shuffled_joins(spark, monkeypatch):
     """Many frequent lines, one of them in every document, and a column with the name of a result."""
-    from folio.llm import joins
+    from folio.operators import joins
     from folio.llm import line_dedup as m
 
     rows = [(i, "\n".join(["in all", *(f"line {(i + k) % 20}" for k in range(8)), f"own {i}"]), i) for i in range(60)] + [(99, "x" * 300_000 + "\nin all\n" + "y\n" * 50_000, 0)]
