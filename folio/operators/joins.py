@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A key is heavy if it has more than this part of all rows; there can be no more heavy keys than its inverse.
 HEAVY_PART = 1 / 20_000
+#: Rows of a key that are never dealt to several slices.
+SLICE_ROWS = 1000
 
 
 def join_by_weight(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
@@ -37,11 +39,11 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: s
     """Like :func:`join_by_weight`, for a ``right`` with rows too large to send to every task.
 
     A heavy key's rows of ``left`` are dealt to slices by a hash of ``by``, and its row of ``right`` goes to each
-    slice: one copy for every HEAVY_PART of all rows.
+    slice: one copy for every HEAVY_PART of all rows, and for SLICE_ROWS of them at least.
     """
-    keys = list(keys)
-    slices = F.ceil(F.col(weight) / (HEAVY_PART * total)).cast("int")
-    heavy = F.broadcast(right.where(F.col(weight) > HEAVY_PART * total).select(*keys, slices.alias("_m")))  # at most 1 / HEAVY_PART rows
+    keys, each = list(keys), float(max(HEAVY_PART * total, SLICE_ROWS))
+    slices = F.ceil(F.col(weight) / each).cast("int")
+    heavy = F.broadcast(right.where(F.col(weight) > each).select(*keys, slices.alias("_m")))  # at most 1 / HEAVY_PART rows
     dealt = left.join(heavy, keys, "left").withColumn("_s", F.pmod(F.xxhash64(by), F.coalesce("_m", F.lit(1)))).drop("_m")
-    copied = right.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), slices).cast("long") - 1)))
+    copied = right.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), slices.cast("long") - 1)))
     return dealt.join(copied, [*keys, "_s"]).drop("_s")
