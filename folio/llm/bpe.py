@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -44,8 +45,8 @@ _LATIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(
 _NOT_LATIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
 _MEMO_ENTRIES = 200_000
 _SHORT_BYTES = 64
-#: Bytes of a text that are read at a time, bytes of the texts that are read together, and ids of a text that are held before they are passed on.
-WINDOW, CHUNK_BYTES, BLOCK_IDS = 1024, 500_000, 1 << 16
+#: Bytes of a text that are read at a time, texts that are read side by side, and ids of a text that are held before they are passed on.
+WINDOW, LIVE_TEXTS, BLOCK_IDS = 1024, 512, 1 << 14
 #: Characters behind a pre-token that may still change where it ends: two of a contraction, and one behind white space.
 _UNSURE = 3
 #: What a pre-token that outgrows a piece goes on with, by its second character.
@@ -413,7 +414,7 @@ class Encoder:
         memo = self.memo
         if len(memo) >= _MEMO_ENTRIES:
             memo.clear()
-        new = list(set().union(*blocks) - memo.keys())
+        new = [p for p in set().union(*blocks) if p not in memo]
         found = dict(zip(new, self.transducer.run([p.encode() for p in new]), strict=True))
         long = {p: ids for p, ids in found.items() if len(p) > _SHORT_BYTES}
         memo.update((p, ids) for p, ids in found.items() if len(p) <= _SHORT_BYTES)
@@ -446,10 +447,10 @@ def _vocabulary(path: str) -> Vocabulary:
 
 
 class _Text:
-    """A row whose text is read window by window, straight from its bytes."""
+    """A row whose text is read window by window from its bytes; ``parted`` if ids of it were passed on before its end."""
 
-    def __init__(self, row: int, own_id: int | None, raw: pa.Buffer | None, vocab: Vocabulary, keep_text: bool):
-        self.row, self.id, self.view, self.at = row, own_id, memoryview(raw) if raw is not None else memoryview(b""), 0
+    def __init__(self, row: int, own_id: int | None, raw: bytes, vocab: Vocabulary, keep_text: bool):
+        self.row, self.id, self.view, self.at, self.parted = row, own_id, memoryview(raw), 0, False
         self.stream, self.utf8, self.decoder = TextStream(vocab), codecs.getincrementaldecoder("utf-8")(), ByteTextDecoder(vocab)
         self.keep_text, self.ids, self.held, self.texts = keep_text, [], 0, []
 
@@ -474,32 +475,27 @@ class _Text:
 
 
 def _coded(batches: Iterable[pa.RecordBatch], vocabulary: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of :func:`bpe_blocks`, without ``keep_text`` with empty texts.  Texts are read together until they have CHUNK_BYTES in all; one that has as many is alone and passes its ids on as they come."""
+    """Rows of :func:`bpe_blocks`, without ``keep_text`` with empty texts.
+
+    LIVE_TEXTS texts take a window together; one that ends makes room for the next, so that a step is always as large, whatever the lengths.
+    """
     vocab = _vocabulary(vocabulary)
     encoder, numbers = Encoder(vocab), row_numbers()
-
-    def read(chunk: list[_Text]) -> Iterator[pa.RecordBatch]:
-        live = chunk
-        while live:
-            windows, ended = zip(*(t.window() for t in live), strict=True)
-            for t, ids in zip(live, encoder.advance([t.stream for t in live], windows, ended), strict=True):
-                t.take(ids)
-            live = [t for t, over in zip(live, ended, strict=True) if not over]
-            if len(chunk) == 1 and live and live[0].held >= BLOCK_IDS:
-                yield _block_batch(*([x] for x in live[0].block(False)))
-        yield _block_batch(*map(list, zip(*(t.block(True) for t in chunk), strict=True)))
-
-    chunk, size = [], 0
-    for batch in batches:
-        for i, text in zip(batch.column(0), batch.column(1), strict=True):
-            own = _Text(next(numbers), i.as_py(), text.as_buffer() if text.is_valid else None, vocab, keep_text)
-            if chunk and (size + len(own.view) > CHUNK_BYTES or len(chunk) == 4096):
-                yield from read(chunk)
-                chunk, size = [], 0
-            chunk.append(own)
-            size += len(own.view)
-    if chunk:
-        yield from read(chunk)
+    texts = (_Text(next(numbers), i.as_py(), text.as_buffer().to_pybytes() if text.is_valid else b"", vocab, keep_text) for batch in batches for i, text in zip(batch.column(0), batch.column(1), strict=True))
+    live = list(islice(texts, LIVE_TEXTS))
+    while live:
+        windows, ended = zip(*(t.window() for t in live), strict=True)
+        for t, ids in zip(live, encoder.advance([t.stream for t in live], windows, ended), strict=True):
+            t.take(ids)
+        whole = [t.block(True) for t, over in zip(live, ended, strict=True) if over and not t.parted]
+        if whole:
+            yield _block_batch(*map(list, zip(*whole, strict=True)))
+        for t, over in zip(live, ended, strict=True):
+            if over and t.parted or not over and t.held >= BLOCK_IDS:
+                t.parted = True
+                yield _block_batch(*([x] for x in t.block(over)))
+        live = [t for t, over in zip(live, ended, strict=True) if not over]
+        live += islice(texts, LIVE_TEXTS - len(live))
 
 
 _BLOCK_NAMES = ["row", "id", "last", "ids", "decoded", "text"]
@@ -513,9 +509,10 @@ def _block_batch(rows: list, ids: list, last: list, tokens: list[np.ndarray], de
 
 
 def bpe_blocks(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """The blocks of every row of ``docs``, one after the other in its partition: ``row`` (a number), ``id``, ``last``, ``ids``, ``decoded``, and ``text`` (empty without ``keep_text``).
+    """The blocks of every row of ``docs``: ``row`` (a number), ``id``, ``last``, ``ids``, ``decoded``, and ``text`` (empty without ``keep_text``).
 
-    Most texts are one block, those with very many ids several; the concatenated ids, decoded texts and texts of a row's
+    Most texts are one block, those with very many ids several, in their order, though blocks of other rows
+    may stand between them; the concatenated ids, decoded texts and texts of a row's
     blocks are those of the row.  ``vocabulary`` is the path of a byte-level BPE file, at the same place
     on every machine.  A null text is the empty text and has no ids; null ids and repeated rows are rows
     of their own; an empty table gives no rows; only the two named columns are read.
@@ -533,17 +530,18 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     names = ["id", "ids", "decoded", "text"][: 3 + keep_text]
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.RecordBatch] = []
+        parts: dict[int, list[pa.RecordBatch]] = {}
         for batch in _coded(batches, vocabulary, keep_text):
-            parts.append(batch)
-            if not batch.column("last")[batch.num_rows - 1].as_py():
-                continue
-            if len(parts) > 1:
-                join = lambda c: "".join("".join(p.column(c).to_pylist()) for p in parts)  # noqa: E731, B023
-                tokens = np.concatenate([p.column("ids").flatten().to_numpy() for p in parts])
+            row, last = (batch.column(c)[0].as_py() for c in ("row", "last"))
+            if not last or row in parts:
+                parts.setdefault(row, []).append(batch)
+                if not last:
+                    continue
+                own = parts.pop(row)
+                join = lambda c: "".join("".join(p.column(c).to_pylist()) for p in own)  # noqa: E731, B023
+                tokens = np.concatenate([p.column("ids").flatten().to_numpy() for p in own])
                 batch = _block_batch([0], [batch.column("id")[0].as_py()], [True], [tokens], [join("decoded")], [join("text")])
             yield batch.select(names)
-            parts = []
 
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -555,24 +553,24 @@ _WHOLE_SCHEMA = "id long, ids array<int>, decoded string, n long, ids_sha256 str
 
 def _with_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one block as they are; of a row in several blocks the checksums over them, one block at a time, and no ids or text."""
-    n, of_ids, of_text, is_open = 0, hashlib.sha256(), hashlib.sha256(), False
+    sums: dict[int, list] = {}
     names = [x.split()[0] for x in _WHOLE_SCHEMA.split(", ")]
     for batch in batches:
-        rows = batch.num_rows
-        if not is_open and batch.column("last")[rows - 1].as_py():
+        rows, row, last = batch.num_rows, batch.column("row")[0].as_py(), batch.column("last")[0].as_py()
+        if last and row not in sums:
             nulls = [pa.nulls(rows, t) for t in (pa.int64(), pa.string(), pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *nulls], names)
             continue
         tokens = batch.column("ids")[0].values.to_numpy().tolist()
+        state = sums.setdefault(row, [0, hashlib.sha256(), hashlib.sha256()])
         if tokens:
-            of_ids.update(("," * bool(n) + ",".join(map(str, tokens))).encode())
-        n += len(tokens)
-        of_text.update(batch.column("decoded")[0].as_buffer())
-        is_open = not batch.column("last")[0].as_py()
-        if not is_open:
-            row = [batch.column("id"), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.string()), pa.array([n], pa.int64()), pa.array([of_ids.hexdigest()]), pa.array([of_text.hexdigest()])]
-            yield pa.RecordBatch.from_arrays(row, names)
-            n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+            state[1].update(("," * bool(state[0]) + ",".join(map(str, tokens))).encode())
+        state[0] += len(tokens)
+        state[2].update(batch.column("decoded")[0].as_buffer())
+        if last:
+            n, of_ids, of_text = sums.pop(row)
+            out = [batch.column("id"), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.string()), pa.array([n], pa.int64()), pa.array([of_ids.hexdigest()]), pa.array([of_text.hexdigest()])]
+            yield pa.RecordBatch.from_arrays(out, names)
 
 
 def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
