@@ -2,24 +2,25 @@
 
 A naive Bayes classifier, learned from counts over a bounded sample of the labelled table, gives every
 document a posterior over domains.  A document with rate r and n tokens then adds r * n * p_d expected
-tokens to domain d.  The rates are the weighted least squares of T(r) - target over r >= 0, and of all such rates the
-nearest to 1: max(0, 1 + p . m) for one multiplier m a domain.  The multipliers are found by gradient steps,
-preconditioned with the Gram matrix of the documents whose rate is positive; each needs only the domain totals and that
-matrix, one aggregation over all documents.  Steps end when the gradient vanishes; targets that are missed are reported.
+tokens to domain d.  The rates are found by projected gradient steps on the weighted least squares of
+T(r) - target over r >= 0: all rates start at 1, every step moves each against its gradient, which is
+p . (T - target) / spread, and puts what falls below 0 back to 0, with the momentum of accelerated
+gradients.  A step needs only the domain totals, one aggregation over all documents; a document's rate
+is a fold over the few steps so far, so nothing is kept for it in between.  Steps end when the targets
+are met or the rates stand still; targets that are missed are reported.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.columns import text_or_empty
+from folio.llm.columns import let, text_or_empty
 from folio.sources.staging import staged
 
 #: Labelled documents that the classifier may use, and words of its vocabulary.
@@ -31,8 +32,10 @@ MIN_RATIO = 25.0
 #: Least share of the largest domain's Gram entry in the inverse weight of a domain.  Weights only matter where no
 #: rates meet all targets: there a domain that hardly exists does not steer the others.
 FLOOR = 0.02
-#: Weight of the rates' distance from 1 against the squares.
-NEAR = 1e-8
+#: Rows whose rates are rounded together.
+ROUND_ROWS = 1000
+#: Gradient steps at most.
+STEPS = 200
 #: Lexicon words found in a text are counted up to this number, by default.
 MOST_FOUND = 3
 _SPLIT = r"[\s.,;:!?]+"
@@ -138,115 +141,149 @@ def mix_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     scale: float = 1.0,
-    anchor: str | None = None,
-    banned: Sequence[str] = (),
-    steps: int = 30,
-    tolerance: float = 1e-4,
+    keep_all: bool = False,
+    steps: int = STEPS,
+    tolerance: float = 1e-3,
     keep_columns: list[str] | None = None,
     **options,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_tokens``, ``posterior`` (domain to probability), ``domain``, ``rate``, ``copies``.
 
-    ``targets`` are relative weights of the domains.  The token budget is ``scale`` times all tokens,
-    or, with ``anchor``, such that the anchor domain's target is ``scale`` times what it has; another domain's target
-    is then at least what the documents of the anchor domain add to it at that scale, and does not count if no document
-    is likeliest of that domain, so that it does not thin them.
-    Documents whose domain is ``banned`` get rate 0; such a domain's target is what the other documents add to it by
-    their own posteriors, whatever ``targets`` says, so it neither thins nor raises them.
-    ``copies`` rounds the rate up or down by a hash of id and text, so that its mean is the rate.
+    ``targets`` are relative weights of the domains.  The token budget is ``scale`` times all tokens or,
+    with ``keep_all``, ``scale`` times the least budget with which no domain has to be thinned.  Targets
+    stand as they are given: one that can't be met, as of a domain that no document has, is missed and reported.
+    ``copies`` rounds the rate up or down so that what is written of each domain follows the rates: see :func:`_rounded`.
     A null or empty text has no tokens and the prior as posterior; null ids are never labelled but
-    mixed; repeated rows get equal results; ties of the posterior go to the first domain by name;
-    without labels all domains are equally likely; an empty table gives no rows.  Of other columns
+    mixed; repeated rows get equal rates, and copies that differ by one at most; very long texts are one row like any other; ties of the posterior go to the first domain by name;
+    without labels all domains are equally likely and every rate is 1; an empty table gives no rows.  Of other columns
     only ``keep_columns`` are read, and returned unless a column of the result has their name.  The metadata of ``rate`` has under ``mixing`` the goal and the
-    expected tokens of each domain, and whether the fit is optimal within ``steps``; a missed target also gives a warning.
+    expected tokens of each domain, the steps taken, and whether the rates are optimal after them; a missed target also gives a warning.
     """
     domains = sorted(targets)
     model = learn_domains(docs, labelled, domains, id_col=id_col, text_col=text_col, **options)
     tokens = _tokens(docs, id_col, text_col, keep_columns or [])
-    chance = F.pmod(F.xxhash64("_id", "_w"), F.lit(1 << 20)) / float(1 << 20)
-    rows = staged(tokens.select("_id", "_more", "_n", chance.alias("_u"), model.posterior().alias("_p")), "posteriors")
+    rows = staged(tokens.select("_id", "_more", "_n", model.posterior().alias("_p")).withColumn("_row", F.monotonically_increasing_id()), "posteriors")
     weight = [targets[d] / sum(targets.values()) for d in domains]
     best = F.element_at(F.array(*map(F.lit, domains)), F.array_position("_p", F.array_max("_p")).cast("int"))
-    rows, aimed = rows.withColumn("_d", best), [i for i, d in enumerate(domains) if d not in banned]
-    live = rows.where(~F.col("_d").isin(list(banned))) if banned else rows
-    have = _totals(live, [0.0] * len(domains)).tokens
-    budget = scale * (sum(have) if anchor is None else have[domains.index(anchor)] / weight[domains.index(anchor)])
+    rows = rows.withColumn("_d", best)
+    start = _totals(rows, [], len(domains))
+    budget = scale * (max(t / w for t, w in zip(start.tokens, weight, strict=True) if w > 0) if keep_all else sum(start.tokens))
     goal = [budget * w for w in weight]
-    if anchor is not None:
-        own = _totals(live.where(F.col("_d") == anchor), [0.0] * len(domains)).tokens
-        goal = [g if d == anchor else max(g, scale * t) for d, g, t in zip(domains, goal, own)]
-        found = {r["_d"] for r in live.select("_d").distinct().collect()}
-        aimed = [i for i in aimed if domains[i] in found]
-    multipliers, got, optimal = _fit(live, goal, aimed, steps, tolerance)
-    report = {"optimal": optimal, "goal": {d: g for d, g in zip(domains, goal) if d not in banned}, "expected": dict(zip(domains, got))}
-    missed = {d: round(t / g, 4) for d, t, g in zip(domains, got, goal) if d not in banned and abs(t - g) > 10 * tolerance * g}
+    if not model.weights:  # nothing tells the domains apart
+        goal = start.tokens
+    path, got, optimal = _fit(rows, start, goal, steps, tolerance)
+    report = {"optimal": optimal, "steps": len(path), "goal": dict(zip(domains, goal, strict=True)), "expected": dict(zip(domains, got, strict=True))}
+    missed = {d: round(t / g, 4) for d, t, g in zip(domains, got, goal, strict=True) if g > 0 and abs(t - g) > 10 * tolerance * g}
     if budget > 0 and (missed or not optimal):
         warnings.warn(f"mixing: {'not all targets are met' if optimal else f'not optimal after {steps} steps'}; expected tokens by target: {missed}", stacklevel=2)
-    rate = F.when(F.col("_d").isin(list(banned)), 0.0).otherwise(_rate(multipliers)) if banned else _rate(multipliers)
-    return rows.withColumn("_r", rate).select(
+    rated = rows.withColumn("_r", _rate(path))
+    return rated.join(_rounded(rated.select("_row", "_n", "_d", "_r")), "_row").select(
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_tokens"),
         F.map_from_arrays(F.array(*map(F.lit, domains)), F.col("_p")).alias("posterior"),
         F.col("_d").alias("domain"),
         F.col("_r").alias("rate", metadata={"mixing": report}),
-        F.floor(F.col("_r") + F.col("_u")).cast("long").alias("copies"),
+        F.col("_copies").alias("copies"),
         *(F.col("_more")[c].alias(c) for c in keep_columns or [] if c not in {id_col, "n_tokens", "posterior", "domain", "rate", "copies"}),
     )
 
 
+def without_domain(docs: DataFrame, labelled: DataFrame, domains: list[str], gone: str, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that are likelier of the domain ``gone`` than of any other of ``domains``; ties stay.
+
+    Null and empty texts have the prior's posterior; repeated rows fare alike; without labels all stay.
+    """
+    model = learn_domains(docs, labelled, domains, id_col=id_col, text_col=text_col, **options)
+    tokens = _tokens(docs, id_col, text_col, docs.columns)
+    p = model.posterior()
+    rows = tokens.select("_more", p.alias("_p"))
+    others = F.array_max(F.array(*(F.col("_p")[i] for i, d in enumerate(domains) if d != gone)))
+    return rows.where(F.col("_p")[domains.index(gone)] <= others).select(*(F.col("_more")[c].alias(c) for c in docs.columns))
+
+
+def _rounded(rated: DataFrame) -> DataFrame:
+    """``_row`` and ``_copies``: each rate rounded up or down.
+
+    Rows of a domain are dealt to groups of about ROUND_ROWS by their number.  In a group they are taken
+    from the longest to the shortest, and each is rounded so that the tokens written so far are nearest
+    to what the rates ask for; what is left over at a group's end is half of its shortest text at most.
+    """
+    groups = max(1, -(-rated.count() // ROUND_ROWS))
+    item = F.struct((-F.col("_n")).alias("m"), F.col("_row").alias("row"), F.col("_r").alias("r"))
+    lists = rated.groupBy("_d", F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("_g")).agg(F.array_sort(F.collect_list(item)).alias("l"))
+
+    def copies(s: Column, x: Column) -> Column:
+        wanted = x["r"] + F.when(x["m"] < 0, s["left"] / -x["m"]).otherwise(0.0)
+        return F.greatest(F.floor(x["r"]), F.least(F.ceil(x["r"]), F.floor(wanted + 0.5)))
+
+    def step(s: Column, x: Column) -> Column:
+        return let(copies(s, x), lambda c: F.struct((s["left"] - (x["r"] - c) * x["m"]).alias("left"), F.concat(s["out"], F.array(F.struct(x["row"].alias("row"), c.alias("c")))).alias("out")))
+
+    start = F.struct(F.lit(0.0).alias("left"), F.array().cast("array<struct<row: bigint, c: bigint>>").alias("out"))
+    return lists.select(F.explode(F.aggregate("l", start, step, lambda s: s["out"])).alias("x")).select(F.col("x.row").alias("_row"), F.col("x.c").alias("_copies"))
+
+
 @dataclass
 class Totals:
-    """Expected tokens by domain, the Gram matrix of the documents whose rate is positive, and half the squared rates."""
+    """Expected tokens by domain, all tokens times how far the last step moved their rates, and the Gram matrix of all documents."""
 
     tokens: list[float]
+    moved: float
     gram: np.ndarray
-    energy: float
 
 
-def _rate(multipliers: list[float]) -> Column:
-    """max(0, 1 + p . m)"""
-    return F.greatest(F.lit(0.0), sum((F.col("_p")[i] * float(m) for i, m in enumerate(multipliers)), F.lit(1.0)))
+def _rate(path: list[tuple[float, list[float]]]) -> Column:
+    """The rate after steps of (momentum, gradient): from 1, each time what it was plus momentum less p . gradient, but not below 0."""
+    return _last_rates(path)["x"]
 
 
-def _totals(rows: DataFrame, multipliers: list[float]) -> Totals:
-    n, rate, k = F.col("_n"), _rate(multipliers), len(multipliers)
-    p = [F.col("_p")[i] for i in range(k)]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    out = rows.withColumn("_r", rate).agg(
-        *(F.sum(n * p[i] * F.col("_r")).alias(f"t{i}") for i in range(k)), *(F.sum(F.when(F.col("_r") > 0, n * p[i] * p[j])).alias(f"g{i}_{j}") for i, j in pairs), F.sum(n * F.col("_r") * F.col("_r") / 2).alias("e")
-    ).first()
-    gram = np.array([[out[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    return Totals([out[f"t{i}"] or 0.0 for i in range(k)], gram, out["e"] or 0.0)
+def _last_rates(path: list[tuple[float, list[float]]]) -> Column:
+    """struct<x, was> of the last two rates of a document."""
+    state = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("was"))
+    if not path:
+        return state
 
+    def step(s: Column, g: Column) -> Column:
+        against = sum((F.col("_p")[i] * g["g"][i] for i in range(len(path[0][1]))), F.lit(0.0))
+        moved = F.greatest(F.lit(0.0), s["x"] + g["b"] * (s["x"] - s["was"]) - against)
+        return F.struct(moved.alias("x"), s["x"].alias("was"))
 
-def _fit(rows: DataFrame, goal: list[float], aimed: list[int], steps: int, tolerance: float) -> tuple[list[float], list[float], bool]:
-    """Multipliers of the rates, their expected tokens, and whether they are optimal; only the ``aimed`` domains have a goal.
+    steps = F.array(*(F.struct(F.lit(float(b)).alias("b"), F.array(*(F.lit(float(v)) for v in g)).alias("g")) for b, g in path))
+    return F.aggregate(steps, state, step)
 
-    They maximise the concave dual  m . goal - sum n r(m)^2 / 2 - NEAR / 2 * sum spread * m^2.
-    """
-    on = np.zeros(len(goal))
-    on[aimed] = 1.0
-    at, aim = np.zeros(len(goal)), np.array(goal) * on
-    now = _totals(rows, at.tolist())
-    diagonal = np.diag(now.gram)
-    spread = np.maximum(diagonal, max(FLOOR * (diagonal * on).max(), 1e-9))
-    exact = tolerance * np.where(aim > 0, aim, max(aim.sum(), 1e-9))
-    value = lambda m, t: float(m @ aim) - t.energy - NEAR / 2 * float(spread @ m**2)
-    slope_at = lambda m, t: on * (aim - np.array(t.tokens) - NEAR * spread * m)
-    for _ in range(steps):
-        slope = slope_at(at, now)
-        if (np.abs(slope) <= exact).all():
-            break
-        step = np.zeros(len(goal))
-        step[aimed] = np.linalg.solve((now.gram + NEAR * np.diag(spread))[np.ix_(aimed, aimed)], slope[aimed])
-        was, length = value(at, now), 1.0
-        while True:
-            after = _totals(rows, (at + length * step).tolist())
-            if value(at + length * step, after) - was >= 1e-4 * length * float(slope @ step) or length < 1e-6:
-                break
-            length /= 2
-        at, now = at + length * step, after
-    return at.tolist(), now.tokens, bool((np.abs(slope_at(at, now)) <= exact).all())
+
+def _totals(rows: DataFrame, path: list[tuple[float, list[float]]], k: int) -> Totals:
+    n, p = F.col("_n"), [F.col("_p")[i] for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)] if not path else []
+    out = rows.withColumn("_s", _last_rates(path)).agg(
+        *(F.sum(n * p[i] * F.col("_s")["x"]).alias(f"t{i}") for i in range(k)), F.sum(n * F.abs(F.col("_s")["x"] - F.col("_s")["was"])).alias("moved"), *(F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)
+    ).first()
+    gram = np.array([[out[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) if pairs else np.empty((0, 0))
+    return Totals([out[f"t{i}"] or 0.0 for i in range(k)], out["moved"] or 0.0, gram)
+
+
+def _fit(rows: DataFrame, start: Totals, goal: list[float], steps: int, tolerance: float) -> tuple[list[tuple[float, list[float]]], list[float], bool]:
+    """The steps of the rates, their expected tokens, and whether the rates are optimal: all targets met, or no step moves them."""
+    aim = np.array(goal)
+    if not aim.sum() > 0:
+        return [], start.tokens, True
+    diagonal = np.diag(start.gram)
+    spread = np.maximum(diagonal, FLOOR * diagonal.max())
+    # The gradient's Lipschitz constant: the largest eigenvalue of the Gram matrix in the weights' scale.
+    length = 1.0 / float(np.linalg.eigvalsh(start.gram / np.sqrt(np.outer(spread, spread))).max())
+    path: list[tuple[float, list[float]]] = []
+    now, before, age = start, np.inf, 0
+    while True:
+        off = np.array(now.tokens) - aim
+        met = bool((np.abs(off) <= tolerance * np.where(aim > 0, aim, aim.sum())).all())
+        still = len(path) > 0 and now.moved <= 1e-2 * tolerance * aim.sum()
+        if met or still or len(path) == steps:
+            return path, now.tokens, bool(met or still)
+        error = float((off**2 / spread).sum())
+        age = age + 1 if error <= before else 0  # momentum that overshoots begins anew
+        before = error
+        path.append((age / (age + 3), (length * off / spread).tolist()))
+        now = _totals(rows, path, len(goal))
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
