@@ -14,16 +14,18 @@ from folio.llm.bpe import bpe_round_trip
 from folio.llm.columns import SPACE_CLASS
 from folio.llm.line_dedup import dedup_lines
 from folio.llm.minhash_dedup import near_duplicate_classes, text_hashes
-from folio.llm.mixing import domain_labels, mix_documents
+from folio.llm.mixing import domain_labels, mix_documents, without_domain
 from folio.llm.quality_rules import quality_verdicts
 from folio.sources.staging import scratch, scratch_path, staged
 
 #: Rows of a key table that may be sent to every task; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Weights of the mix.  Toxic documents go; clean ones, too, have some chance of being toxic, which is that domain's target.
-#: The anchor domain's target is a tenth above what it has: no clean document is lost, and a tenth of them is written twice.
-MIX, ANCHOR, SCALE, BANNED = {"clean": 0.97, "low": 0.01, "toxic": 0.02}, "clean", 1.1, ["toxic"]
+#: Relative weights of the languages' tokens in the mix.  The smaller languages are written more often than they
+#: occur, so that no document has to go; SCALE leaves room for the documents that are a little of another language.
+MIX, SCALE = {"de": 0.18, "en": 0.52, "es": 0.12, "fr": 0.18}, 1.03
+#: What the labels tell of a document.
+KINDS = ["clean", "low", "toxic"]
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,18 +72,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.unionByName(once).select(*COLUMNS)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its fitted rate says, rounded up or down by a hash, so that the written tokens have the mix.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not likelier toxic than clean or low, however many there are; without labels all."""
+    return without_domain(docs, domain_labels(_labels(spark, sf_dir)), KINDS, "toxic")
+
+
+def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as its fitted rate says, rounded up or down by a hash, so that the written tokens have the languages' shares of MIX.
 
-    A document that is likelier toxic than clean or low goes, however many there are.  Null and empty
-    texts have no tokens and the prior's rate; repeated rows fare alike; without labels every rate is
-    that of equally likely domains.
+    The classifier learns the languages from the labelled documents that name one.  Null and empty texts
+    have no tokens and the prior's rate; repeated rows fare alike; without such documents each is written once.
     """
-    labelled = domain_labels(_labels(spark, sf_dir))
-    mixed = mix_documents(docs, labelled, MIX, anchor=ANCHOR, scale=SCALE, banned=BANNED, keep_columns=COLUMNS).where("copies >= 1")
+    named = docs.where(F.col("lang").isin(list(MIX))).select("doc_id", F.col("lang").alias("domain"))
+    labelled = named.join(_labels(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
+    mixed = mix_documents(docs, labelled, MIX, scale=SCALE, keep_all=True, keep_columns=COLUMNS).where("copies >= 1")
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*COLUMNS)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the languages, after the toxic documents have gone; see :func:`drop_toxic` and :func:`mix_languages`."""
+    return mix_languages(spark, drop_toxic(spark, docs.select(*COLUMNS), sf_dir), sf_dir)
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and whether they decode to the text; a null text has no ids and counts as empty."""
     import public_tokenizers
