@@ -73,9 +73,9 @@ def contained_in(needles: DataFrame, hay: DataFrame, needle: str, text: str, key
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
     texts = distinct.select("_n", F.struct(F.xxhash64("_n"), F.xxhash64(F.lit(1), "_n")).alias("_h"), inner.alias("_inner"))
     texts = staged(texts.select("_n", "_h", "_inner", F.when(F.size("_inner") == 0, longest).alias("_e")), "needles")
-    kinds = texts.agg(F.count_if(F.size("_inner") > 0).alias("inner"), F.count("_e").alias("edges")).first()
+    kinds = texts.agg(F.coalesce(F.sum(F.size("_inner")), F.lit(0)).alias("inner"), F.count("_e").alias("edges")).first()
     every = h.select("_b", F.explode(_words(F.col("_t"))).alias("_k"))
-    pairs = [_by_inner_word(texts, every)] if kinds["inner"] else []
+    pairs = [_by_inner_word(texts, every, kinds["inner"] <= BROADCAST_ROWS)] if kinds["inner"] else []
     if kinds["edges"]:
         pairs.append(_by_edge(texts.where("_e IS NOT NULL").select("_h", "_e"), every))
     if not pairs:
@@ -85,17 +85,17 @@ def contained_in(needles: DataFrame, hay: DataFrame, needle: str, text: str, key
     return n.join(found, "_n").select(F.col("_a").alias(keys[0]), F.col("_b").alias(keys[1])).distinct()
 
 
-def _by_inner_word(texts: DataFrame, every: DataFrame) -> DataFrame:
+def _by_inner_word(texts: DataFrame, every: DataFrame, few: bool) -> DataFrame:
     """``_h``, ``_b``: texts that have the needle's rarest inner word.  Only words that some needle has are counted and kept."""
     own = texts.select("_h", F.explode("_inner").alias("_k"))
-    sought = staged(own.select("_k").distinct(), "sought")
-    few = sought.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sought = own.select("_k").distinct()
     postings = staged(every.join(F.broadcast(sought) if few else sought, "_k", "left_semi"), "postings")
     counts = staged(postings.groupBy("_k").agg(F.count(F.lit(1)).alias("df")), "words")
     wanted = own.join(counts, "_k").groupBy("_h").agg(F.min_by("_k", F.struct("df", "_k")).alias("_k"))
     # A needle with a word that no text has is in none.
     whole = own.join(counts, "_k", "left").groupBy("_h").agg(F.count_if(F.col("df").isNull()).alias("_missing")).where("_missing = 0").select("_h")
-    return _dealt_join(postings, wanted.join(whole, "_h", "left_semi"), counts, postings.count()).select("_h", "_b")
+    total = counts.agg(F.sum("df").alias("n")).first()["n"] or 1
+    return _dealt_join(postings, wanted.join(whole, "_h", "left_semi"), counts, total).select("_h", "_b")
 
 
 def _by_edge(edges: DataFrame, every: DataFrame) -> DataFrame:
@@ -132,24 +132,27 @@ def _found(magnets: DataFrame, files: DataFrame, tasks: DataFrame, low_counts: b
     code = F.coalesce(F.get(F.regexp_extract_all("dn", F.lit(r"\[(\d{6})\]"), F.lit(1)), 0), F.lit(""))
     title = F.when(F.length(_title(F.col("dn"))) >= 3, F.substring(_title(F.col("dn")), 1, 20)).otherwise(F.lit(""))
     short = F.expr("substring(keyword, 1, greatest(8, cast(floor(length(keyword) / 3) as int)))") if low_counts else F.lit("")
-    # All searches of all magnets are one containment join: levels 0 to 2 in turn, 3 by the hash, 4 for low confidence.
+    # All searches of all magnets, in names and in the tasks' links, are one containment join: levels 0 to 2 in turn, 3 by the hash, 4 for low confidence, 5 in links.
     words = F.array("keyword", code, title, F.coalesce(F.substring("infohash_hex", 1, 12), F.lit("")), short)
-    searches = m.where("dn <> ''").select("magnet_id", F.posexplode(words).alias("level", "word")).where("word <> ''")
-    searches = staged(searches.select(F.struct("magnet_id", "level").alias("search"), "word"), "searches")
+    in_names = m.where("dn <> ''").select("magnet_id", F.posexplode(words).alias("level", "word"))
+    in_links = m.select("magnet_id", F.lit(5).alias("level"), F.explode(F.array(F.lower("magnet"), F.coalesce("infohash_hex", F.lit("")))).alias("word"))
+    searches = in_names.unionByName(in_links).where("word <> ''").select(F.struct("magnet_id", "level").alias("search"), "word")
     more = [F.col(c) if c in files.columns else F.lit(None).cast(t).alias(c) for c, t in (("size", "long"), ("pick_code", "string"))]
-    names = staged(files.select("file_id", "file_name", *more, comparable(F.col("file_name")).alias("_file")), "names")
-    found = staged(contained_in(searches, names, "word", "file_name", ("search", "file_id")).select("search.magnet_id", "search.level", "file_id"), "found")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key")
+    names = staged(files.select("file_id", key("file_id"), "file_name", *more, comparable(F.col("file_name")).alias("_file")), "names")
+    place = lambda task: F.struct(F.lit(task).alias("task"), F.col("_key").alias("key")).alias("place")
+    urls = tasks.select(key("task_id"), F.lower("url").alias("text")).where("text <> ''")
+    places = names.select(place(False), F.col("file_name").alias("text")).unionByName(urls.select(place(True), "text"))
+    found = contained_in(staged(searches, "searches"), places, "word", "text", ("search", "place")).where((F.col("search.level") == 5) == F.col("place.task"))
+    found = staged(found.select("search.magnet_id", "search.level", F.col("place.key").alias("_key")), "found")
     least = found.where("level < 3").groupBy("magnet_id").agg(F.min("level").alias("level"))
-    level_hits = found.join(least, ["magnet_id", "level"]).select("magnet_id", "file_id")
+    level_hits = found.join(least, ["magnet_id", "level"]).select("magnet_id", "_key")
     either = (F.col("_norm") != "") & (F.col("_file") != "") & (F.contains("_norm", "_file") | F.contains("_file", "_norm"))
-    check = lambda hits: hits.join(m.select("magnet_id", "_norm"), "magnet_id").join(names, "file_id").where(either).select("magnet_id", "file_id", "file_name", "size", "pick_code")
+    check = lambda hits: hits.join(m.select("magnet_id", "_norm"), "magnet_id").join(names, "_key").where(either).select("magnet_id", "file_id", "file_name", "size", "pick_code")
     matched = check(level_hits)
 
-    lowered = tasks.select("task_id", F.lower(F.coalesce("url", F.lit(""))).alias("_url"))
-    links = m.select("magnet_id", F.explode(F.array(F.lower("magnet"), F.coalesce("infohash_hex", F.lit("")))).alias("part"))
-    in_tasks = contained_in(links, lowered, "part", "_url", ("magnet_id", "task_id")).select("magnet_id").distinct()
-
-    by_hash = check(found.where("level = 3").select("magnet_id", "file_id"))
+    in_tasks = found.where("level = 5").select("magnet_id").distinct()
+    by_hash = check(found.where("level = 3").select("magnet_id", "_key"))
     by_hash = by_hash.join(matched.select("magnet_id").distinct(), "magnet_id", "left_anti").join(in_tasks, "magnet_id", "left_anti")
     return matched.unionByName(by_hash).distinct(), in_tasks, found.where("level = 4").select("magnet_id").distinct()
 
