@@ -94,7 +94,7 @@ def keyword_relax(spark, sf_dir):
 def greedy_prefix_dedup(spark, sf_dir):
     words = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
     items = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("date"), F.array_join(F.slice(words, 1, F.col("p_size") % 3 + 1), " ").alias("name"), F.concat(F.lit("m"), (F.col("p_size") % 5).cast("string")).alias("company"), F.col("p_partkey").alias("ordinal"))
-    return editions.dedup_editions(items)
+    return editions.dedup_editions(items, ordered=True)
 
 
 def _event_keys(spark, sf_dir):

@@ -1,9 +1,9 @@
 """Outcomes of edits, month-wise runs, verification with a ledger, folder trees, gram indexes and streams."""
 
 import datetime
+import hashlib
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import catalog, changes, folders, grams, verify
@@ -126,6 +126,21 @@ def test_long_names_take_room_in_proportion(spark):
     assert sorted(len(r["name"]) for r in dedup_editions(items).collect()) == [2, 8, len(words)]
 
 
+def test_stored_torrents_of_a_folder(spark, tmp_path):
+    from folio.sources.catalog import read_torrents
+
+    info = b"d6:lengthi7e4:name1:ae"
+    for name, data in (("b.torrent", b"d4:info" + info + b"e"), ("sub/a.torrent", b"d4:info" + info + b"e"), ("bad.torrent", b"d4:info"), ("other.txt", b"x")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    rows = read_torrents(spark, str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[1]: (r["infohash_hex"], r["total_size"], r["error"] is None) for r in rows.collect()}
+    wanted = hashlib.sha1(info).hexdigest()
+    assert got["b.torrent"] == got["a.torrent"] == (wanted, 7, True) and not got["bad.torrent"][2] and len(got) == 3
+    first = first_torrents(rows, spark.createDataFrame([(wanted,)], "infohash_hex string")).collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in first] == ["b.torrent"]  # by path
+
+
 def test_first_torrent_of_a_hash(spark):
     rows = spark.createDataFrame([("b", "h1", "n1", None), ("a", "h1", "n2", None), ("0", "h1", "n3", "bad"), ("c", "h2", "n4", None)], "path string, infohash_hex string, name string, error string")
     wanted = spark.createDataFrame([("h1",), ("h1",), ("h3",)], "infohash_hex string")
