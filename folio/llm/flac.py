@@ -612,8 +612,8 @@ def payload_of(text: str, unit: int = 192) -> bytes:
 def write_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = 576) -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes`` (of the text), ``media`` (a FLAC stream).
 
-    A null or empty text is a payload of spaces; null ids and repeated rows pass through; an empty
-    table gives no rows; only the two named columns are read.
+    A null or empty text is a payload of spaces; null ids and repeated rows pass through; a very long
+    text is coded a range of frames at a time; an empty table gives no rows; only the two named columns are read.
     """
     ship_package(docs.sparkSession)
 

@@ -79,7 +79,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``min_docs`` documents; with ``keep_first`` the first occurrence in (id, text hash, position) order
     stays.  A document is a distinct (id, text): rows repeated in full count once and get equal results.
     Lines and texts are told apart by 128 bits of two hashes.  A null or empty text is one empty line; a
-    null id is an id like any other; an empty table gives no rows; of the other columns only
+    null id is an id like any other; a very long text is one row of as many lines as it has; an empty table gives no rows; of the other columns only
     ``keep_columns`` are read, and returned unless a column of the result has their name.
     """
     marks = staged(keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options).select(F.col("_doc").alias("_d"), F.col("_s1").alias("_m1"), F.col("_s2").alias("_m2"), "keep_runs"), "bitmaps")

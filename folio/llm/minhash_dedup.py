@@ -275,7 +275,8 @@ def near_duplicate_classes(
     A null text is the empty text.  Texts without words are copies only of equal texts; texts of fewer
     words than a shingle are compared as one shingle.  Rows with a null id take part; if a whole class
     has none, its ``class_id`` is null.  Of repeated rows exactly one per class has ``keep``.  An empty
-    table gives no rows; only the two named columns are read.  ``with_hashes`` adds ``h1`` and ``h2`` of
+    table gives no rows; only the two named columns are read.  A very long text is hashed piece by piece; its set
+    of shingles is held whole where it is compared.  ``with_hashes`` adds ``h1`` and ``h2`` of
     :func:`text_hashes`, which with the id name a row as far as its repeats.
     """
     ship_package(docs.sparkSession)

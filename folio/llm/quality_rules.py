@@ -196,7 +196,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     """One row per row of ``docs``: id, the five counts, ``base_failed`` and ``kept``.
 
     The list is learned from at most ``train_rows`` labelled documents.  A null text has no words; a
-    null id is kept as it is; repeated rows get equal results; ties between thresholds go to the first
+    null id is kept as it is; a very long text is one row like any other; repeated rows get equal results; ties between thresholds go to the first
     feature and the smallest threshold; without labels only the base rules decide; ``keep_columns``
     of ``docs`` are returned too, unless a column of the result has that name; others are not read.
     """
