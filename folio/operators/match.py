@@ -178,15 +178,16 @@ def match_existing(magnets: DataFrame, files: DataFrame, tasks: DataFrame, *, fo
         low_counts = root is not None
         if low_counts:
             files = files.join(subtree(folders, root).withColumnRenamed("folder_id", "parent_id"), "parent_id", "left_semi")
-    bad = F.size(F.coalesce("errors", F.array().cast("array<string>"))) > 0 if "errors" in magnets.columns else F.lit(False)
-    message = F.when(bad, F.concat(F.lit(PARSE_FAILED), F.array_join("errors", ", "))) if "errors" in magnets.columns else F.lit(None).cast("string")
-    matched, in_tasks, low = _found(magnets.where(~bad), files, tasks, low_counts)
+    errors = F.coalesce("errors", F.array().cast("array<string>")) if "errors" in magnets.columns else F.array().cast("array<string>")
+    message = F.when(F.size(errors) > 0, F.concat(F.lit(PARSE_FAILED), F.array_join(errors, ", ")))
+    magnets = staged(magnets.select("magnet_id", "magnet", "dn", "infohash_hex", message.alias("message")), "links")  # parsed once
+    matched, in_tasks, low = _found(magnets.where("message IS NULL"), files, tasks, low_counts)
     order = Window.partitionBy("magnet_id").orderBy("file_name", "file_id")
     first = matched.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_files)
     file = F.struct("_n", F.struct(F.col("file_name").alias("name"), F.col("size").cast("long").alias("size"), "pick_code").alias("file"))
     first = first.groupBy("magnet_id").agg(F.transform(F.array_sort(F.collect_list(file)), lambda x: x["file"]).alias("matched_files"))
     counts = matched.groupBy("magnet_id").agg(F.count(F.lit(1)).alias("n_matched"))
-    out = magnets.select("magnet_id", message.alias("message"))
+    out = magnets.select("magnet_id", "message")
     for part in (first, counts, in_tasks.withColumn("in_tasks", F.lit(True)), low.withColumn("_low", F.lit(True))):
         out = out.join(part, "magnet_id", "left")
     exists = F.col("n_matched").isNotNull() | F.col("in_tasks").isNotNull()
@@ -203,4 +204,5 @@ def match_existing(magnets: DataFrame, files: DataFrame, tasks: DataFrame, *, fo
 
 def parsed_links(links: DataFrame, link: str = "link") -> DataFrame:
     """``links`` with magnet, dn, infohash_hex and errors, as :func:`match_existing` takes them."""
-    return links.withColumn("_p", parse_magnet(F.col(link))).select(*links.columns, F.col(link).alias("magnet"), "_p.dn", "_p.infohash_hex", "_p.errors")
+    # Bound inside a lambda the parsed struct is made once, and not again for each of its fields.
+    return links.withColumn("_p", F.transform(F.array(link), lambda x: parse_magnet(x))[0]).select(*links.columns, F.col(link).alias("magnet"), "_p.dn", "_p.infohash_hex", "_p.errors")

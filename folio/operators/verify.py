@@ -56,8 +56,7 @@ def check_all(catalog: DataFrame, files: DataFrame, tasks: DataFrame, ledger: Da
     links = links_to_check(catalog, year, month).withColumn("link_hash", F.sha2(F.encode("link", "UTF-8"), 256))
     known = ledger.where(F.col("snapshot") == shot).select(*KEY, "link_hash")
     todo = links.join(known, _same(links, known, [*KEY, "link_hash"]), "left_anti")
-    todo = staged(todo.withColumn("magnet_id", F.monotonically_increasing_id()), "links")
-    parsed = parsed_links(todo)
+    parsed = staged(parsed_links(todo.withColumn("magnet_id", F.monotonically_increasing_id())), "links")
     said = match_existing(parsed.select("magnet_id", "magnet", "dn", "infohash_hex", "errors"), files, tasks, folders=folders, save_path=save_path, most_files=1)
     results = said.select("magnet_id", "exists", "confidence", "message").join(parsed.select("magnet_id", *KEY, "link_hash", "infohash_hex"), "magnet_id")
     results = staged(results.select(*KEY, "link_hash", F.lit(shot).alias("snapshot"), "exists", "confidence", "infohash_hex", "message"), "results")
