@@ -47,10 +47,9 @@ def update_rows(df: DataFrame, patch: DataFrame, fields: Sequence[str], keys: Se
 
     Several patches of one key apply in the order of ``ordinal`` (equal ordinals by value), as if one
     after the other; without ``ordinal`` they fail the job.  A row of ``df`` stays one row.  Where keys
-    are among the fields, a patch that would make two rows one is refused; :func:`update_outcomes` says which.
+    are among the fields this may give two rows one key (:func:`checked` raises then);
+    :func:`update_outcomes` refuses such patches and says which they are.
     """
-    if any(k in fields for k in keys):
-        return _updated(df, _judged(df, patch, fields, keys, ordinal).where(F.col("outcome") == AFFECTED), fields, keys)
     return _updated(df, _one_patch(patch, fields, keys, ordinal), fields, keys)
 
 
@@ -112,7 +111,7 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]):
 
 
 def update_outcomes(df: DataFrame, patch: DataFrame, fields: Sequence[str], keys: Sequence[str] = KEY, ordinal: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The table of :func:`update_rows`, and the patch's rows with what became of each: ``outcome``.
+    """The table of :func:`update_rows` without the patches that are refused, and the patch's rows with what became of each: ``outcome``.
 
     ``affected``: the row is there and has the values now; ``not_found``: no row has the key (a null in
     it is equal to nothing); ``empty``: no field is given; ``collision``: the patch names a key that

@@ -166,8 +166,8 @@ def compare_normalize(spark, sf_dir):
 
 
 def compare_normalize_all(spark, sf_dir):
-    """The comparison form of every turn of the conversations."""
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.comparable(F.col("text")).alias("name"))
+    """The comparison form of every document, of any script; the same rows as ``compare_normalize``."""
+    return _t(spark, sf_dir, "documents").select("doc_id", text.comparable(F.col("text")).alias("name"))
 
 
 def _titles(spark, sf_dir):

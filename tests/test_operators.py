@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import html
-from folio.operators import catalog, changes, editions, enrich, match, progress
+from folio.operators import catalog, changes, editions, enrich, joins, match, progress
 from folio.sources.catalog import evolved, read_catalog, read_config, read_status, write_months, write_status
 
 
@@ -43,7 +43,7 @@ def loop(items):
 
 @pytest.mark.parametrize("heavy", [1 / 200, 1 / 20, 1])
 def test_editions_equal_the_sequential_rule(spark, monkeypatch, heavy):
-    monkeypatch.setattr(editions, "HEAVY_PART", heavy)
+    monkeypatch.setattr(joins, "HEAVY_PART", heavy)
     rng = random.Random(5)
     groups = {f"g{g}": [(rng.choice("xy"), " ".join(rng.choice("abc") for _ in range(rng.randint(0, 4))), i) for i in range(rng.randint(1, 12))] for g in range(60)}
     groups["fixed"] = [("x", "A", 0), ("x", "A B", 1), ("x", "A B C", 2)]
@@ -130,7 +130,7 @@ def test_match_existing_cascade(spark):
         [(1, "[180126] [Maker] Title (disc 1)"), (2, "x 180126 misc"), (3, "some bare title [x]"), (4, "5656565656565656 [160101] [hash] only"), (5, "q [170101 z")], "file_id int, file_name string"
     )
     tasks = spark.createDataFrame([(1, "xx magnet:?5 yy"), (2, None)], "task_id int, url string")
-    got = {r["magnet_id"]: (r["exists"], r["confidence"], r["matched_files"]) for r in match.match_existing(magnets, files, tasks).collect()}
+    got = {r["magnet_id"]: (r["exists"], r["confidence"], [f["name"] for f in r["matched_files"]]) for r in match.match_existing(magnets, files, tasks).collect()}
     assert got[1][:2] == (True, "high") and got[1][2] == ["[180126] [Maker] Title (disc 1)"]
     assert got[2] == (False, "low", [])  # the date search found files, so the title search does not run
     assert got[5] == (True, "high", [])
