@@ -35,7 +35,9 @@ FLOOR = 0.02
 #: Rows whose rates are rounded together.
 ROUND_ROWS = 1000
 #: Gradient steps at most.
-STEPS = 200
+STEPS = 60
+#: Targets that can't be met: steps end when so many of them have lowered the squares by less than this part.
+STALLED, PART = 5, 0.01
 #: Lexicon words found in a text are counted up to this number, by default.
 MOST_FOUND = 3
 _SPLIT = r"[\s.,;:!?]+"
@@ -263,7 +265,7 @@ def _totals(rows: DataFrame, path: list[tuple[float, list[float]]], k: int) -> T
 
 
 def _fit(rows: DataFrame, start: Totals, goal: list[float], steps: int, tolerance: float) -> tuple[list[tuple[float, list[float]]], list[float], bool]:
-    """The steps of the rates, their expected tokens, and whether the rates are optimal: all targets met, or no step moves them."""
+    """The steps of the rates, their expected tokens, and whether they are done: all targets are met, or further steps gain next to nothing."""
     aim = np.array(goal)
     if not aim.sum() > 0:
         return [], start.tokens, True
@@ -272,16 +274,16 @@ def _fit(rows: DataFrame, start: Totals, goal: list[float], steps: int, toleranc
     # The gradient's Lipschitz constant: the largest eigenvalue of the Gram matrix in the weights' scale.
     length = 1.0 / float(np.linalg.eigvalsh(start.gram / np.sqrt(np.outer(spread, spread))).max())
     path: list[tuple[float, list[float]]] = []
-    now, before, age = start, np.inf, 0
+    now, errors, age = start, [], 0
     while True:
         off = np.array(now.tokens) - aim
         met = bool((np.abs(off) <= tolerance * np.where(aim > 0, aim, aim.sum())).all())
-        still = len(path) > 0 and now.moved <= 1e-2 * tolerance * aim.sum()
+        still = len(path) > 0 and now.moved <= 1e-2 * tolerance * aim.sum() or len(errors) > STALLED and min(errors[-STALLED:]) > (1 - PART) * min(errors[:-STALLED])
         if met or still or len(path) == steps:
             return path, now.tokens, bool(met or still)
         error = float((off**2 / spread).sum())
-        age = age + 1 if error <= before else 0  # momentum that overshoots begins anew
-        before = error
+        age = age + 1 if not errors or error <= errors[-1] else 0  # momentum that overshoots begins anew
+        errors.append(error)
         path.append((age / (age + 3), (length * off / spread).tolist()))
         now = _totals(rows, path, len(goal))
 
