@@ -91,7 +91,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the languages, after the toxic documents have gone; see :func:`drop_toxic` and :func:`mix_languages`."""
-    return mix_languages(spark, drop_toxic(spark, docs.select(*COLUMNS), sf_dir), sf_dir)
+    return mix_languages(spark, staged(drop_toxic(spark, docs.select(*COLUMNS), sf_dir), "not_toxic"), sf_dir)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
