@@ -36,8 +36,7 @@ def run_states(beats: DataFrame, silence: int, lateness: str = "1 minute") -> Da
         last = state.get[0] if state.exists else None
         got = pd.concat(list(batches))
         out = []
-        for at, event in sorted(zip(got["ts"].astype("int64") // 1000, got["event"], strict=True)):
-            at = int(at) // _PER_MILLI
+        for at, event in sorted(zip(got["ts"].astype("datetime64[ms]").astype("int64").tolist(), got["event"], strict=True)):
             if last is not None and at - last > silence * 1000:
                 out.append((key[0], "stopped", "not_running", last + silence * 1000, last))
                 last = None
@@ -60,9 +59,6 @@ def run_states(beats: DataFrame, silence: int, lateness: str = "1 minute") -> Da
     return rows.withWatermark("ts", lateness).groupBy("run").applyInPandasWithState(step, STATES, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-_PER_MILLI = 1000
-
-
 def _rows(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["run", "state", "reason", "at", "last_beat"])
     for c in ("at", "last_beat"):
