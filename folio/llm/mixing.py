@@ -35,9 +35,9 @@ FLOOR = 0.02
 #: Rows whose rates are rounded together.
 ROUND_ROWS = 1000
 #: Gradient steps at most.
-STEPS = 60
+STEPS = 200
 #: Targets that can't be met: steps end when so many of them have lowered the squares by less than this part.
-STALLED, PART = 5, 0.01
+STALLED, PART = 20, 0.001
 #: Lexicon words found in a text are counted up to this number, by default.
 MOST_FOUND = 3
 _SPLIT = r"[\s.,;:!?]+"
