@@ -85,7 +85,9 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     named = docs.where(F.col("lang").isin(list(MIX))).select("doc_id", F.col("lang").alias("domain"))
     labelled = named.join(_labels(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
-    mixed = mix_documents(docs, labelled, MIX, scale=SCALE, keep_all=True, keep_columns=COLUMNS).where("copies >= 1")
+    named_some = {r["domain"] for r in labelled.select("domain").distinct().collect()}  # of the languages of MIX
+    targets = {d: w for d, w in MIX.items() if d in named_some} or MIX  # a language that no label names can't be told
+    mixed = mix_documents(docs, labelled, targets, scale=SCALE, keep_all=True, keep_columns=COLUMNS).where("copies >= 1")
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*COLUMNS)
 
 
