@@ -47,3 +47,8 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: s
     dealt = left.join(heavy, keys, "left").withColumn("_s", F.pmod(F.xxhash64(by), F.coalesce("_m", F.lit(1)))).drop("_m")
     copied = right.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), slices.cast("long") - 1)))
     return dealt.join(copied, [*keys, "_s"]).drop("_s")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out by a hash of its rows, so that costly columns made of it keep all tasks busy though its file has few row groups."""
+    return df.repartition(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)))

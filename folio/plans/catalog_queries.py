@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import bencode, html, magnet, text, values
-from folio.operators import catalog, changes, editions, enrich, flows, folders, grams, match, progress, verify
+from folio.operators import catalog, changes, editions, enrich, flows, folders, grams, joins, match, progress, verify
 from folio.sources.catalog import evolved, read_catalog, read_status, status_rows, to_json_lines, write_months
 from folio.sources.runs import run_months
 from folio.sources.staging import scratch_path
@@ -385,8 +385,8 @@ def month_grid_of_all_months(spark, sf_dir):
 def magnet_escapes(spark, sf_dir):
     hashed = F.sha1(F.col("p_partkey").cast("string"))
     uri = F.concat(F.lit("magnet:?xt=urn:btih:"), magnet.infohash_to_base32(hashed), F.lit("&dn=%zz%41+"), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("%4"))
-    m = magnet.parse_magnet(uri, accept_base32=True)
-    return _t(spark, sf_dir, "part").select("p_partkey", m["dn"].alias("dn"), m["infohash_hex"].alias("infohash_hex"), m["ok"].alias("ok"))
+    m = joins.spread(_t(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", magnet.parse_magnet(uri, accept_base32=True).alias("m"))
+    return m.select("p_partkey", "m.dn", "m.infohash_hex", "m.ok")
 
 
 def magnet_mismatch(spark, sf_dir):

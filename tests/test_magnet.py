@@ -28,6 +28,13 @@ def test_parse_magnet(spark):
     assert opened == HASH
 
 
+def test_a_link_is_evaluated_once(spark):
+    df = spark.createDataFrame([("magnet:?xt=urn:btih:" + HASH,)], "wholelink string")
+    for accept in (False, True):
+        plan = df.select(magnet.parse_magnet(F.col("wholelink"), accept_base32=accept).alias("p")).select("p.*")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array(wholelink#") == 1 and plan.split("LogicalRDD")[0].count("wholelink#") == 1
+
+
 def test_base32_round_trip(spark):
     hashes = [hashlib.sha1(bytes([i])).hexdigest() for i in range(50)] + ["0" * 40, "f" * 40]
     df = spark.createDataFrame([(h,) for h in hashes], "h string")
