@@ -157,7 +157,7 @@ def url_params(spark, sf_dir):
 def magnet_parts(spark, sf_dir):
     hashed = F.sha1(F.concat_ws("|", "p_name", F.col("p_partkey").cast("string")))
     uri = F.concat(F.lit("magnet:?xt=urn:btih:"), F.upper(hashed), F.lit("&dn="), F.replace("p_name", F.lit(" "), F.lit("+")), F.lit("&tr=udp%3A%2F%2Ft"), F.col("p_size").cast("string"), F.lit("#x"))
-    m = _t(spark, sf_dir, "part").select("p_partkey", magnet.parse_magnet(uri).alias("m"))
+    m = joins.spread(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", magnet.parse_magnet(uri).alias("m"))
     return m.select("p_partkey", "m.ok", "m.btih", "m.dn", F.array_join("m.trackers", ",").alias("trackers"), "m.infohash_hex", F.array_join("m.errors", ",").alias("errors"))
 
 
