@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HEAVY_PART = 1 / 20_000
 #: Rows of a key that are never dealt to several slices.
 SLICE_ROWS = 1000
+#: Rows of a key that :func:`dealt_rows` leaves together.
+DEALT_ROWS = 100_000
 
 
 def join_by_weight(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
@@ -49,6 +51,19 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: s
     return dealt.join(copied, [*keys, "_s"]).drop("_s")
 
 
+def dealt_rows(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, weight: str, by: str) -> DataFrame:
+    """Inner join where ``right`` may have many rows of a key, too; ``counts`` has one row per key and in ``weight`` how many rows ``left`` has of it.
+
+    A key's rows of ``left`` beyond DEALT_ROWS are dealt to slices by a hash of ``by``, and its rows of ``right`` go
+    to each slice.
+    """
+    heavy = F.broadcast(counts.where(F.col(weight) > DEALT_ROWS).select(key, F.ceil(F.col(weight) / DEALT_ROWS).cast("int").alias("_m")))  # at most a row for every DEALT_ROWS
+    dealt = left.join(heavy, key, "left").withColumn("_s", F.pmod(F.xxhash64(by), F.coalesce("_m", F.lit(1))).cast("int")).drop("_m")
+    copied = right.join(heavy, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_m", F.lit(1)) - 1))).drop("_m")
+    return dealt.join(copied, [key, "_s"]).drop("_s")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out by a hash of its rows, so that costly columns made of it keep all tasks busy though its file has few row groups."""
-    return df.repartition(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)))
+    hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]  # those have no hash
+    return df.repartition(F.xxhash64(*hashed))

@@ -2,8 +2,8 @@
 
 If a needle of three words or more is part of a text, its inner words are whole words of that text; the
 one that the fewest texts have is its key.  The longest word of a shorter needle is part of a word of
-the text; those words are found in the vocabulary of all texts by the rarest of its character triples,
-and are its keys.  Only ids and single words are exploded and shuffled; a word that very many texts have
+the text; those words are found in the vocabulary of all texts by an equality join on runs of
+characters nearly as long as itself, and are its keys.  Only ids and single words are exploded and shuffled; a word that very many texts have
 is dealt out in slices.  The texts are joined to the candidates that are left, and checked, so the
 result is exactly the containment join.
 """
@@ -16,16 +16,26 @@ from pyspark.sql import functions as F
 from folio.functions.magnet import parse_magnet
 from folio.functions.text import before_plus, comparable, from_first_bracket, search_keyword, strip
 from folio.operators.folders import folder_of, subtree
+from folio.operators.joins import spread
 from folio.sources.staging import staged
 
 #: Words that at least this part of all (text, word) rows have are dealt out; there can be no more of them than its inverse.
 HEAVY_PART = 1 / 200
-#: Rows of a gram table that may be sent to every task; beyond it the join is shuffled.
+#: Rows of a table of words that may be sent to every task; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
+#: Lengths of the runs by which parts of words are found; a part takes the longest that it holds, so two cover it and a short part is one.
+RUNS = (*range(1, 17), 24, 32, 48, 64)
+#: Runs of a word start in pieces of this many characters, so that a long word is not walked through for each of them.
+PIECE = 256
 #: Stands for needles of nothing but spaces: every text with a space has it.  No word is like it, as words have no spaces.
 _BLANK = " "
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` staged, for joins by shuffles: its compressed size would have tables of millions of rows sent through the driver to every task."""
+    return staged(df, name).hint("merge")
+
+
 def _words(text: Column) -> Column:
     """Distinct words between single spaces (empty ones, too), and the mark of a text with a space."""
     return F.array_distinct(F.concat(F.split(text, " "), F.when(F.contains(text, F.lit(" ")), F.array(F.lit(_BLANK))).otherwise(F.array().cast("array<string>"))))
@@ -51,14 +61,37 @@ def _dealt_join(postings: DataFrame, wanted: DataFrame, counts: DataFrame, total
     return left.join(right, ["_k", "_s"]).drop("_s")
 
 
+def _runs(word: Column, sizes: list[int]) -> Column:
+    """Hashes of all runs of some lengths in a word."""
+
+    def of(size: int) -> Column:
+        starts = F.when(F.length(word) >= size, F.sequence(F.lit(0), F.length(word) - size, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
+        pieces = F.transform(starts, lambda i: F.substring(word, i + 1, F.lit(PIECE + size - 1)))
+        return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - size + 1), lambda i: F.xxhash64(F.substring(p, i, F.lit(size))))))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, sizes))))
+
+
 def _words_with(parts: DataFrame, counts: DataFrame) -> DataFrame:
-    """``_h``, ``_k``: the words of the vocabulary that have the part ``_e``, found by its gram that the fewest words have."""
-    grams = counts.select("_k", F.explode(character_grams(F.col("_k"))).alias("_g"))
-    often = staged(grams.groupBy("_g").agg(F.count(F.lit(1)).alias("gf")), "grams")
-    often = F.broadcast(often) if often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else often
-    own = F.filter(character_grams(F.col("_e")), lambda g: F.length(g) == F.least(F.lit(3), F.length("_e")))
+    """``_h``, ``_k``: the words of the vocabulary that have the part ``_e``, found by its run that the fewest words have.
+
+    A run is nearly as long as its part, so the words that share it are hardly more than those sought:
+    the work grows with the vocabulary's characters and the hits, not with parts times words.
+    """
+    longest = counts.agg(F.max(F.length("_k")).alias("n")).first()["n"] or 0
+    parts = parts.where(F.length("_e") <= longest)  # a longer part is in no word
+    size = F.array_max(F.filter(F.array(*map(F.lit, RUNS)), lambda r: r <= F.length("_e")))
+    parts = parts.withColumn("_size", size)
+    sizes = sorted(r["_size"] for r in parts.select("_size").distinct().collect())  # at most as many as RUNS
+    if not sizes:
+        return parts.select("_h", F.col("_e").alias("_k"))
+    runs = _kept(spread(counts.select("_k")).select("_k", F.explode(_runs(F.col("_k"), sizes)).alias("_g")), "runs")
+    often = runs.groupBy("_g").agg(F.count(F.lit(1)).alias("gf"))
+    last = F.length("_e") - F.col("_size")
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(RUNS[-1] // 2)), F.array(last)))
+    own = F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("_e"), i + 1, F.col("_size"))))
     rarest = parts.select("_h", "_e", F.explode(own).alias("_g")).join(often, "_g").groupBy("_h").agg(F.min_by(F.struct("_g", "_e"), F.struct("gf", "_g")).alias("r"))
-    return rarest.select("_h", "r.*").join(grams, "_g").where(F.contains("_k", "_e")).select("_h", "_k")
+    return rarest.select("_h", "r.*").join(runs, "_g").where(F.contains("_k", "_e")).select("_h", "_k").distinct()
 
 
 def contained_in(needles: DataFrame, hay: DataFrame, needle: str, text: str, keys: tuple[str, str]) -> DataFrame:
@@ -72,7 +105,7 @@ def contained_in(needles: DataFrame, hay: DataFrame, needle: str, text: str, key
     inner = F.array_distinct(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""))
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
     texts = distinct.select("_n", F.struct(F.xxhash64("_n"), F.xxhash64(F.lit(1), "_n")).alias("_h"), inner.alias("_inner"))
-    texts = staged(texts.select("_n", "_h", "_inner", F.when(F.size("_inner") == 0, longest).alias("_e")), "needles")
+    texts = _kept(texts.select("_n", "_h", "_inner", F.when(F.size("_inner") == 0, longest).alias("_e")), "needles")
     kinds = texts.agg(F.coalesce(F.sum(F.size("_inner")), F.lit(0)).alias("inner"), F.count("_e").alias("edges")).first()
     every = h.select("_b", F.explode(_words(F.col("_t"))).alias("_k"))
     pairs = [_by_inner_word(texts, every, kinds["inner"] <= BROADCAST_ROWS)] if kinds["inner"] else []
@@ -89,8 +122,8 @@ def _by_inner_word(texts: DataFrame, every: DataFrame, few: bool) -> DataFrame:
     """``_h``, ``_b``: texts that have the needle's rarest inner word.  Only words that some needle has are counted and kept."""
     own = texts.select("_h", F.explode("_inner").alias("_k"))
     sought = own.select("_k").distinct()
-    postings = staged(every.join(F.broadcast(sought) if few else sought, "_k", "left_semi"), "postings")
-    counts = staged(postings.groupBy("_k").agg(F.count(F.lit(1)).alias("df")), "words")
+    postings = _kept(every.join(F.broadcast(sought) if few else sought, "_k", "left_semi"), "postings")
+    counts = _kept(postings.groupBy("_k").agg(F.count(F.lit(1)).alias("df")), "words")
     wanted = own.join(counts, "_k").groupBy("_h").agg(F.min_by("_k", F.struct("df", "_k")).alias("_k"))
     # A needle with a word that no text has is in none.
     whole = own.join(counts, "_k", "left").groupBy("_h").agg(F.count_if(F.col("df").isNull()).alias("_missing")).where("_missing = 0").select("_h")
@@ -100,7 +133,7 @@ def _by_inner_word(texts: DataFrame, every: DataFrame, few: bool) -> DataFrame:
 
 def _by_edge(edges: DataFrame, every: DataFrame) -> DataFrame:
     """``_h``, ``_b``: texts with a word that has the needle's longest word as a part; such words are sought in the vocabulary of all texts."""
-    counts = staged(every.groupBy("_k").agg(F.count(F.lit(1)).alias("df")), "words")
+    counts = _kept(every.groupBy("_k").agg(F.count(F.lit(1)).alias("df")), "words")
     total = counts.agg(F.sum("df").alias("n")).first()["n"] or 1
     wanted = edges.where(F.col("_e") == "").select("_h", F.lit(_BLANK).alias("_k")).unionByName(_words_with(edges.where(F.col("_e") != ""), counts))
     return _dealt_join(every, wanted, counts, total).select("_h", "_b")
@@ -108,7 +141,7 @@ def _by_edge(edges: DataFrame, every: DataFrame) -> DataFrame:
 
 def containment_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, keys: tuple[str, str]) -> DataFrame:
     """Pairs of keys where either name contains the other, both non-empty; both tables are read once and kept."""
-    left, right = (staged(df.select(key, name), "names") for df, key, name in ((left, keys[0], left_name), (right, keys[1], right_name)))
+    left, right = (_kept(df.select(key, name), "names") for df, key, name in ((left, keys[0], left_name), (right, keys[1], right_name)))
     forth = contained_in(left, right, left_name, right_name, keys)
     back = contained_in(right, left, right_name, left_name, (keys[1], keys[0])).select(*keys)
     return forth.unionByName(back).distinct()
@@ -128,7 +161,7 @@ def _found(magnets: DataFrame, files: DataFrame, tasks: DataFrame, low_counts: b
     """(magnet_id, file_id and the file's fields) of matched files, (magnet_id) of links that a task has, (magnet_id) of those whose shortened keyword finds a file."""
     dn = F.coalesce("dn", F.lit(""))
     m = magnets.select("magnet_id", "magnet", dn.alias("dn"), "infohash_hex", search_keyword(dn).alias("keyword"), comparable(dn).alias("_norm"))
-    m = staged(m, "magnets")
+    m = _kept(m, "magnets")
     code = F.coalesce(F.get(F.regexp_extract_all("dn", F.lit(r"\[(\d{6})\]"), F.lit(1)), 0), F.lit(""))
     title = F.when(F.length(_title(F.col("dn"))) >= 3, F.substring(_title(F.col("dn")), 1, 20)).otherwise(F.lit(""))
     short = F.expr("substring(keyword, 1, greatest(8, cast(floor(length(keyword) / 3) as int)))") if low_counts else F.lit("")
@@ -139,17 +172,17 @@ def _found(magnets: DataFrame, files: DataFrame, tasks: DataFrame, low_counts: b
     searches = in_names.unionByName(in_links).where("word <> ''").select(F.struct("magnet_id", "level").alias("search"), "word")
     more = [F.col(c) if c in files.columns else F.lit(None).cast(t).alias(c) for c, t in (("size", "long"), ("pick_code", "string"))]
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key")
-    names = staged(files.select("file_id", key("file_id"), "file_name", *more, comparable(F.col("file_name")).alias("_file")), "names")
+    names = _kept(files.select("file_id", key("file_id"), "file_name", *more, comparable(F.col("file_name")).alias("_file")), "names")
     place = lambda task: F.struct(F.lit(task).alias("task"), F.col("_key").alias("key")).alias("place")
     urls = tasks.select(key("task_id"), F.lower("url").alias("text")).where("text <> ''")
     places = names.select(place(False), F.col("file_name").alias("text")).unionByName(urls.select(place(True), "text"))
-    found = contained_in(staged(searches, "searches"), places, "word", "text", ("search", "place")).where((F.col("search.level") == 5) == F.col("place.task"))
-    found = staged(found.select("search.magnet_id", "search.level", F.col("place.key").alias("_key")), "found")
+    found = contained_in(_kept(searches, "searches"), places, "word", "text", ("search", "place")).where((F.col("search.level") == 5) == F.col("place.task"))
+    found = _kept(found.select("search.magnet_id", "search.level", F.col("place.key").alias("_key")), "found")
     least = found.where("level < 3").groupBy("magnet_id").agg(F.min("level").alias("level"))
     level_hits = found.join(least, ["magnet_id", "level"]).select("magnet_id", "_key")
     either = (F.col("_norm") != "") & (F.col("_file") != "") & (F.contains("_norm", "_file") | F.contains("_file", "_norm"))
     check = lambda hits: hits.join(m.select("magnet_id", "_norm"), "magnet_id").join(names, "_key").where(either).select("magnet_id", "file_id", "file_name", "size", "pick_code")
-    matched = check(level_hits)
+    matched = _kept(check(level_hits), "matched")
 
     in_tasks = found.where("level = 5").select("magnet_id").distinct()
     by_hash = check(found.where("level = 3").select("magnet_id", "_key"))
@@ -180,8 +213,9 @@ def match_existing(magnets: DataFrame, files: DataFrame, tasks: DataFrame, *, fo
             files = files.join(subtree(folders, root).withColumnRenamed("folder_id", "parent_id"), "parent_id", "left_semi")
     errors = F.coalesce("errors", F.array().cast("array<string>")) if "errors" in magnets.columns else F.array().cast("array<string>")
     message = F.when(F.size(errors) > 0, F.concat(F.lit(PARSE_FAILED), F.array_join(errors, ", ")))
-    magnets = staged(magnets.select("magnet_id", "magnet", "dn", "infohash_hex", message.alias("message")), "links")  # parsed once
+    magnets = _kept(magnets.select("magnet_id", "magnet", "dn", "infohash_hex", message.alias("message")), "links")  # parsed once
     matched, in_tasks, low = _found(magnets.where("message IS NULL"), files, tasks, low_counts)
+    matched = _kept(matched, "matched")
     order = Window.partitionBy("magnet_id").orderBy("file_name", "file_id")
     first = matched.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_files)
     file = F.struct("_n", F.struct(F.col("file_name").alias("name"), F.col("size").cast("long").alias("size"), "pick_code").alias("file"))
@@ -203,6 +237,6 @@ def match_existing(magnets: DataFrame, files: DataFrame, tasks: DataFrame, *, fo
 
 
 def parsed_links(links: DataFrame, link: str = "link") -> DataFrame:
-    """``links`` with magnet, dn, infohash_hex and errors, as :func:`match_existing` takes them."""
+    """``links`` with magnet, dn, infohash_hex and errors, as :func:`match_existing` takes them; the rows are dealt out first."""
     # Bound inside a lambda the parsed struct is made once, and not again for each of its fields.
-    return links.withColumn("_p", F.transform(F.array(link), lambda x: parse_magnet(x))[0]).select(*links.columns, F.col(link).alias("magnet"), "_p.dn", "_p.infohash_hex", "_p.errors")
+    return spread(links).withColumn("_p", F.transform(F.array(link), lambda x: parse_magnet(x))[0]).select(*links.columns, F.col(link).alias("magnet"), "_p.dn", "_p.infohash_hex", "_p.errors")

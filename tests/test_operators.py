@@ -190,3 +190,22 @@ def test_containment_deals_out_a_word_that_every_text_has(spark):
     got = match.contained_in(spark.createDataFrame([(1, "the"), (2, " of "), (3, "7 x of"), (4, " "), (5, "e 1")], "a int, x string"), spark.createDataFrame(names, "b int, y string"), "x", "y", ("a", "b"))
     counts = {r["a"]: r["count"] for r in got.groupBy("a").count().collect()}
     assert counts == {1: 300, 2: 300, 3: 30, 4: 300, 5: sum(str(i).startswith("1") for i in range(300))}
+
+
+def test_parts_of_words_are_found_by_runs_of_their_length(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("ab\u65e5\U0001f600") for _ in range(rng.choice((1, 5, 17, 40, 64, 100, 300, 700)))) for _ in range(60)]
+    parts = sorted({w[i : i + n] for w in words for n in (1, 3, 16, 17, 31, 48, 70, 97, 257, 400, 700) for i in (rng.randrange(len(w)),)} | {"abab" * 300, "x"})
+    vocabulary = spark.createDataFrame([(w, 1) for w in sorted(set(words))], "_k string, df long")
+    got = match._words_with(spark.createDataFrame([(p, p) for p in parts], "_h string, _e string"), vocabulary)
+    assert rows(got) == sorted(((p, w) for p in parts for w in set(words) if p in w), key=repr)
+    # A part of six characters meets only words that have it, and no others with three of its characters.
+    codes = spark.createDataFrame([(f"{n:06d}",) for n in range(500)], "_k string")
+    met = codes.select("_k", F.explode(match._runs(F.col("_k"), [6])).alias("g")).join(codes.select(F.xxhash64("_k").alias("g")), "g")
+    assert met.count() == 500
+
+
+def test_matching_sends_no_staged_table_to_every_task(spark):
+    some = match._kept(spark.range(10).withColumnRenamed("id", "k"), "some")
+    plan = spark.range(1000).withColumnRenamed("id", "k").join(some.where("k > 3").groupBy("k").count(), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
