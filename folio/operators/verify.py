@@ -56,10 +56,11 @@ def check_all(catalog: DataFrame, files: DataFrame, tasks: DataFrame, ledger: Da
     links = links_to_check(catalog, year, month).withColumn("link_hash", F.sha2(F.encode("link", "UTF-8"), 256))
     known = ledger.where(F.col("snapshot") == shot).select(*KEY, "link_hash")
     todo = links.join(known, _same(links, known, [*KEY, "link_hash"]), "left_anti")
-    parsed = staged(parsed_links(todo.withColumn("magnet_id", F.monotonically_increasing_id())), "links")
+    # The hint keeps tables of many rows in a small file from being sent through the driver to every task.
+    parsed = staged(parsed_links(todo).withColumn("magnet_id", F.monotonically_increasing_id()), "links").hint("merge")
     said = match_existing(parsed.select("magnet_id", "magnet", "dn", "infohash_hex", "errors"), files, tasks, folders=folders, save_path=save_path, most_files=1)
     results = said.select("magnet_id", "exists", "confidence", "message").join(parsed.select("magnet_id", *KEY, "link_hash", "infohash_hex"), "magnet_id")
-    results = staged(results.select(*KEY, "link_hash", F.lit(shot).alias("snapshot"), "exists", "confidence", "infohash_hex", "message"), "results")
+    results = staged(results.select(*KEY, "link_hash", F.lit(shot).alias("snapshot"), "exists", "confidence", "infohash_hex", "message"), "results").hint("merge")
     marks = results.where("exists").groupBy(*KEY).agg(F.lit(1).alias("new_downloaded"), F.max("infohash_hex").alias("new_infohash_hex"))
     summary = check_summary(results.withColumn("error", F.lit(None).cast("string")), most_errors)
     again = results.select(*KEY).distinct()

@@ -76,6 +76,15 @@ def test_check_all_checks_only_what_has_changed(spark):
     assert {r["name"]: r["downloaded"] for r in fourth.catalog.collect()} == {"A": 1, "B": 1, "C": 0, "D": 0, "E": 0}
 
 
+def test_check_all_sends_no_results_to_every_task(spark):
+    c = evolved(spark.createDataFrame([("2018-01", "A", "magnet:?xt=urn:btih:" + "a" * 40)], f"{KEYS}, link string"))
+    files, tasks = spark.createDataFrame([(1, "[180101] a title")], "file_id int, file_name string"), spark.createDataFrame([(1, "magnet:?xt=urn:btih:" + "a" * 40)], "task_id int, url string")
+    run = verify.check_all(c, files, tasks)
+    plan = run.catalog._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert run.catalog.first()["downloaded"] == 1
+
+
 def test_verdicts_in_a_folder(spark):
     from folio.operators.match import match_existing, parsed_links
 
