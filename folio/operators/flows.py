@@ -14,6 +14,7 @@ from folio.operators.catalog import has_link
 from folio.operators.changes import insert_counts, insert_or_ignore
 from folio.operators.editions import dedup_editions
 from folio.operators.enrich import best_candidates, tier
+from folio.operators.joins import dealt_rows
 
 
 def ingest(catalog: DataFrame, pages: DataFrame, skip: Sequence[str] = (), delete: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -60,12 +61,17 @@ def enrich_months(catalog: DataFrame, candidates: DataFrame, tags: Sequence[str]
 
 
 def _chosen(keyed: DataFrame, candidates: DataFrame, tags: Sequence[str]) -> DataFrame:
-    """The best candidate of each key that has one; those of both queries are read once, and one of the own query comes first."""
+    """The best candidate of each key without nulls that has one; those of both queries are read once, and one of the own query comes first.
+
+    Candidates of a query that very many have are dealt out, whether or not any key asks it.
+    """
     queries = F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("search").alias("query")), F.struct(F.lit(2).alias("level"), F.col("relaxed").alias("query")))).alias("q")
-    asked = keyed.select(F.col("date").alias("_date"), F.col("name").alias("_name"), queries).select("_date", "_name", "q.*")
-    c = candidates.select("query", F.col("name").alias("new_match_name"), F.col("link").alias("new_link"), F.col("size").alias("new_size"), F.col("date").alias("released"), "ordinal")
+    # Rows with a null in their key are never filled, and without a name all those of a company would ask the same.
+    asked = keyed.where("date IS NOT NULL AND name IS NOT NULL").select(F.col("date").alias("_date"), F.col("name").alias("_name"), queries).select("_date", "_name", "q.*")
+    c = candidates.where("query IS NOT NULL").select("query", F.col("name").alias("new_match_name"), F.col("link").alias("new_link"), F.col("size").alias("new_size"), F.col("date").alias("released"), "ordinal")
     month = tier(F.col("new_match_name"), month_tag(F.col("_date")), tags)
-    return best_candidates(asked.join(c, "query"), ["_date", "_name"], month, F.col("released"), ["ordinal"], ["new_match_name", "new_link", "new_size"], link="new_link", last_tier=len(tags) + 2, first=["level"])
+    counts = c.groupBy("query").agg(F.count(F.lit(1)).alias("uses"))
+    return best_candidates(dealt_rows(c, asked, "query", counts, "uses", by="ordinal"), ["_date", "_name"], month, F.col("released"), ["ordinal"], ["new_match_name", "new_link", "new_size"], link="new_link", last_tier=len(tags) + 2, first=["level"])
 
 
 def answers(requests: DataFrame, metadata: DataFrame | None = None) -> DataFrame:

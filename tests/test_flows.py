@@ -61,3 +61,13 @@ def test_magnet_report(spark):
     got = [json.loads(r[0]) for r in flows.magnet_report(df, meta).collect()]
     assert sorted(g["errors"][0] for g in got) == ["infohash_mismatch", "not_magnet"]
     assert [json.loads(r[0])["ok"] for r in flows.magnet_report(df).collect()] == [True, False]
+
+
+def test_enrich_deals_out_a_query_and_asks_for_no_nulls(spark, monkeypatch):
+    from folio.operators import joins
+
+    monkeypatch.setattr(joins, "DEALT_ROWS", 3)
+    keyed = spark.createDataFrame([("2020-01", "a", "q", "r"), ("2020-02", "b", "q", "r"), ("2020-01", None, "n", "n"), (None, "d", "n", "n"), ("2020-01", "e", "x", "r")], "date string, name string, search string, relaxed string")
+    found = spark.createDataFrame([(q, f"{2001 + i % 2} t", f"l{q}{i}", "s", i) for q in ("q", "r", "n", "nothing", None) for i in range(20)], "query string, name string, link string, size string, ordinal int")
+    got = {r["_name"]: (r["tier"], r["new_link"]) for r in flows._chosen(keyed, found.withColumn("date", F.lit(None).cast("timestamp")), ["t"]).collect()}
+    assert got == {"a": (1, "lq0"), "b": (1, "lq1"), "e": (1, "lr0")}
