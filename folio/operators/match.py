@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.magnet import parse_magnet
+from folio.functions.magnet import bound, parse_magnet
 from folio.functions.text import before_plus, comparable, from_first_bracket, search_keyword, strip
 from folio.operators.folders import folder_of, subtree
 from folio.operators.joins import spread
@@ -100,7 +100,8 @@ def contained_in(needles: DataFrame, hay: DataFrame, needle: str, text: str, key
     h = hay.select(F.col(keys[1]).alias("_b"), F.col(text).alias("_t")).where(F.col("_t") != "")
     longest_text = h.agg(F.max(F.length("_t")).alias("n")).first()["n"] or 0
     # Equal needles are sought once; one longer than every text is part of none.
-    distinct = n.where(F.length("_n") <= longest_text).select("_n").distinct()
+    n = n.where(F.length("_n") <= longest_text)
+    distinct = n.select("_n").distinct()
     words = F.split("_n", " ")
     inner = F.array_distinct(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""))
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
@@ -124,11 +125,12 @@ def _by_inner_word(texts: DataFrame, every: DataFrame, few: bool) -> DataFrame:
     sought = own.select("_k").distinct()
     postings = _kept(every.join(F.broadcast(sought) if few else sought, "_k", "left_semi"), "postings")
     counts = _kept(postings.groupBy("_k").agg(F.count(F.lit(1)).alias("df")), "words")
-    wanted = own.join(counts, "_k").groupBy("_h").agg(F.min_by("_k", F.struct("df", "_k")).alias("_k"))
+    size = counts.agg(F.coalesce(F.sum("df"), F.lit(1)).alias("total"), F.count(F.lit(1)).alias("words")).first()
+    # Frequent words would burden their tasks in a shuffle; few words, as a rule, are both sought and there.
+    near = own.join(F.broadcast(counts) if size["words"] <= BROADCAST_ROWS else counts, "_k", "left")
     # A needle with a word that no text has is in none.
-    whole = own.join(counts, "_k", "left").groupBy("_h").agg(F.count_if(F.col("df").isNull()).alias("_missing")).where("_missing = 0").select("_h")
-    total = counts.agg(F.sum("df").alias("n")).first()["n"] or 1
-    return _dealt_join(postings, wanted.join(whole, "_h", "left_semi"), counts, total).select("_h", "_b")
+    rarest = near.groupBy("_h").agg(F.min_by("_k", F.struct("df", "_k")).alias("_k"), F.bool_and(F.col("df").isNotNull()).alias("_whole"))
+    return _dealt_join(postings, rarest.where("_whole").select("_h", "_k"), counts, size["total"]).select("_h", "_b")
 
 
 def _by_edge(edges: DataFrame, every: DataFrame) -> DataFrame:
@@ -163,7 +165,7 @@ def _found(magnets: DataFrame, files: DataFrame, tasks: DataFrame, low_counts: b
     m = magnets.select("magnet_id", "magnet", dn.alias("dn"), "infohash_hex", search_keyword(dn).alias("keyword"), comparable(dn).alias("_norm"))
     m = _kept(m, "magnets")
     code = F.coalesce(F.get(F.regexp_extract_all("dn", F.lit(r"\[(\d{6})\]"), F.lit(1)), 0), F.lit(""))
-    title = F.when(F.length(_title(F.col("dn"))) >= 3, F.substring(_title(F.col("dn")), 1, 20)).otherwise(F.lit(""))
+    title = bound(_title(F.col("dn")), lambda t: F.when(F.length(t) >= 3, F.substring(t, 1, 20)).otherwise(F.lit("")))
     short = F.expr("substring(keyword, 1, greatest(8, cast(floor(length(keyword) / 3) as int)))") if low_counts else F.lit("")
     # All searches of all magnets, in names and in the tasks' links, are one containment join: levels 0 to 2 in turn, 3 by the hash, 4 for low confidence, 5 in links.
     words = F.array("keyword", code, title, F.coalesce(F.substring("infohash_hex", 1, 12), F.lit("")), short)

@@ -117,6 +117,13 @@ def test_containment_equals_all_pairs(spark):
     assert rows(got) == sorted(((i, j) for i, x in left for j, y in right if x and y and (x in y or y in x)), key=repr)
 
 
+def test_needles_that_are_too_long_are_left_out_of_the_last_join(spark):
+    needles, texts = spark.createDataFrame([(1, "b c"), (2, "a b c d"), (3, "a b c"), (4, "a x c")], "a int, x string"), spark.createDataFrame([(1, "a b c"), (2, "b")], "b int, y string")
+    pairs = match.contained_in(needles, texts, "x", "y", ("a", "b"))
+    assert rows(pairs) == [(1, 1), (3, 1)]
+    assert "length(" in pairs._jdf.queryExecution().optimizedPlan().toString()  # not only where distinct needles are kept
+
+
 def test_match_existing_cascade(spark):
     h = "ab" * 20
     magnets = spark.createDataFrame(
