@@ -216,6 +216,10 @@ def match_existing(magnets: DataFrame, files: DataFrame, tasks: DataFrame, *, fo
     errors = F.coalesce("errors", F.array().cast("array<string>")) if "errors" in magnets.columns else F.array().cast("array<string>")
     message = F.when(F.size(errors) > 0, F.concat(F.lit(PARSE_FAILED), F.array_join(errors, ", ")))
     magnets = _kept(magnets.select("magnet_id", "magnet", "dn", "infohash_hex", message.alias("message")), "links")  # parsed once
+    none, nothing = F.array().cast(f"array<{FILE}>"), F.lit(0).cast("long")
+    if not magnets.where("message IS NULL").limit(1).count():  # nothing to seek, as in a check after one that was finished
+        no = F.lit(False)
+        return magnets.select("magnet_id", no.alias("exists"), F.lit("none").alias("confidence"), none.alias("matched_files"), nothing.alias("n_matched"), no.alias("in_tasks"), "message")
     matched, in_tasks, low = _found(magnets.where("message IS NULL"), files, tasks, low_counts)
     matched = _kept(matched, "matched")
     order = Window.partitionBy("magnet_id").orderBy("file_name", "file_id")
@@ -231,8 +235,8 @@ def match_existing(magnets: DataFrame, files: DataFrame, tasks: DataFrame, *, fo
         "magnet_id",
         exists.alias("exists"),
         F.when(exists, "high").when(F.col("_low"), "low").otherwise("none").alias("confidence"),
-        F.coalesce("matched_files", F.array().cast(f"array<{FILE}>")).alias("matched_files"),
-        F.coalesce("n_matched", F.lit(0).cast("long")).alias("n_matched"),
+        F.coalesce("matched_files", none).alias("matched_files"),
+        F.coalesce("n_matched", nothing).alias("n_matched"),
         F.coalesce("in_tasks", F.lit(False)).alias("in_tasks"),
         "message",
     )

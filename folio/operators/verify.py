@@ -54,6 +54,7 @@ def check_all(catalog: DataFrame, files: DataFrame, tasks: DataFrame, ledger: Da
     ledger = spark.createDataFrame([], LEDGER) if ledger is None else ledger
     shot = snapshot(files, tasks) if folders is None else f"{snapshot(files, tasks, folders)}|{save_path}"
     links = links_to_check(catalog, year, month).withColumn("link_hash", F.sha2(F.encode("link", "UTF-8"), 256))
+    ledger = ledger.hint("merge")  # it has a row for every link, too
     known = ledger.where(F.col("snapshot") == shot).select(*KEY, "link_hash")
     todo = links.join(known, _same(links, known, [*KEY, "link_hash"]), "left_anti")
     # The hint keeps tables of many rows in a small file from being sent through the driver to every task.

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from folio.operators import catalog, changes, folders, grams, verify
+from folio.operators import catalog, changes, folders, grams, match, verify
 from folio.sources.catalog import evolved, first_torrents, read_catalog, write_shared_status
 from folio.sources.runs import read_ledger, run_months
 
@@ -85,6 +85,34 @@ def test_check_all_sends_no_results_to_every_task(spark):
     assert run.catalog.first()["downloaded"] == 1
 
 
+def test_a_second_check_sends_no_ledger_to_every_task(spark, monkeypatch):
+    c = evolved(spark.createDataFrame([("2018-01", n, f"magnet:?xt=urn:btih:{n * 40}") for n in "ab"], f"{KEYS}, link string"))
+    files, tasks = spark.createDataFrame([(1, "[180101] a title")], "file_id int, file_name string"), spark.createDataFrame([], "task_id int, url string")
+    first = verify.check_all(c.where("name = 'a'"), files, tasks)
+    plans, staged = {}, verify.staged
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, name)
+
+    monkeypatch.setattr(verify, "staged", seen)
+    second = verify.check_all(c, files, tasks, first.ledger)
+    assert "Broadcast" not in plans["links"] and "SortMergeJoin" in plans["links"]
+    assert second.summary.first()["checked"] == 1 and second.ledger.count() == 2
+
+
+def test_nothing_is_sought_for_links_that_are_none(spark, monkeypatch):
+    monkeypatch.setattr(match, "_found", None)  # a call would fail
+    c = evolved(spark.createDataFrame([("2018-01", "a", "no link"), ("2018-01", "b", None)], f"{KEYS}, link string"))
+    files, tasks = spark.createDataFrame([(1, "no link")], "file_id int, file_name string"), spark.createDataFrame([], "task_id int, url string")
+    first = verify.check_all(c, files, tasks)
+    assert tuple(first.summary.first())[:2] == (1, 0)
+    got = first.ledger.first()
+    assert (got["name"], got["exists"], got["confidence"], got["message"]) == ("a", False, "none", "磁链解析失败: not_magnet")
+    second = verify.check_all(c, files, tasks, first.ledger)
+    assert tuple(second.summary.first())[:2] == (0, 0) and second.ledger.count() == 1
+
+
 def test_verdicts_in_a_folder(spark):
     from folio.operators.match import match_existing, parsed_links
 
