@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio.functions.magnet import bound
+
 
 def strip(col: Column) -> Column:
     """Without white space at the ends; ``trim`` would keep wide spaces."""
@@ -56,8 +58,7 @@ def words_only(name: Column) -> Column:
 
 def from_first_bracket(name: Column) -> Column:
     """Text before the first ``[`` goes, unless the name begins with it."""
-    at = F.instr(name, "[")
-    return F.when(at > 1, F.substring(name, at, F.length(name))).otherwise(name)
+    return bound(name, lambda n: F.when(F.instr(n, "[") > 1, F.substring(n, F.instr(n, "["), F.length(n))).otherwise(n))
 
 
 def before_plus(name: Column) -> Column:
@@ -92,17 +93,18 @@ def search_keyword(title: Column) -> Column:
 
     The date is the first tag of six digits; longer numbers and sizes are no tags.
     """
-    name = from_first_bracket(strip(title))
-    tags = F.transform(F.regexp_extract_all(name, F.lit(r"\[([^\]]+)\]"), F.lit(1)), strip)
-    date = F.get(F.filter(tags, lambda t: t.rlike(r"(?U)^\d{6}$")), 0)
-    other = F.get(F.filter(tags, lambda t: ~t.rlike(r"(?U)^\d{6,}$") & ~F.lower(t).rlike(f"(?U)^{SIZE}$")), 0)
     bracketed = lambda x: F.concat(F.lit("["), x, F.lit("]"))
-    return (
-        F.when(date.isNotNull() & other.isNotNull(), F.concat_ws(" ", bracketed(date), bracketed(other)))
-        .when(date.isNotNull(), bracketed(date))
-        .when(other.isNotNull(), bracketed(other))
-        .otherwise(F.substring(strip(before_plus(name)), 1, 30))
-    )
+
+    def keyword(name: Column, tags: Column) -> Column:
+        date = F.get(F.filter(tags, lambda t: t.rlike(r"(?U)^\d{6}$")), 0)
+        other = F.get(F.filter(tags, lambda t: ~t.rlike(r"(?U)^\d{6,}$") & ~F.lower(t).rlike(f"(?U)^{SIZE}$")), 0)
+        # A null stays null in its brackets, and concat_ws leaves it out.
+        found = F.concat_ws(" ", bracketed(date), bracketed(other))
+        return bound(found, lambda f: F.when(f != "", f).otherwise(F.substring(strip(before_plus(name)), 1, 30)))
+
+    # The name and its tags are each evaluated once.
+    tags = lambda name: F.transform(F.regexp_extract_all(name, F.lit(r"\[([^\]]+)\]"), F.lit(1)), strip)
+    return bound(from_first_bracket(strip(title)), lambda name: bound(tags(name), lambda t: keyword(name, t)))
 
 
 def month_tag(date: Column) -> Column:

@@ -66,4 +66,7 @@ def dealt_rows(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, w
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out by a hash of its rows, so that costly columns made of it keep all tasks busy though its file has few row groups."""
     hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]  # those have no hash
-    return df.repartition(F.xxhash64(*hashed))
+    # Named, the number of partitions stays: else a small table, however costly its columns, would be put together to one task.
+    spark = df.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, F.xxhash64(*hashed))

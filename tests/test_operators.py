@@ -124,6 +124,10 @@ def test_needles_that_are_too_long_are_left_out_of_the_last_join(spark):
     assert "length(" in pairs._jdf.queryExecution().optimizedPlan().toString()  # not only where distinct needles are kept
 
 
+def test_few_rows_are_dealt_to_all_tasks(spark):
+    assert joins.spread(spark.range(1000)).select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_match_existing_cascade(spark):
     h = "ab" * 20
     magnets = spark.createDataFrame(
